@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.blocks import blocks, forest, stream
 from millrace.llm.common import stage, table, unstage
 from millrace.llm.components import components
 from millrace.llm.golay import DATA_BITS, fuzzy_keys
@@ -18,6 +19,9 @@ SEED, BITS, MOST_FLIPS = 42, 64, 2
 SEGMENTS = (21, 21, 22)
 #: Fingerprints in a bucket that are compared pair by pair; a larger bucket goes another way.
 BUCKET = 32
+#: For near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles: flips of a link, and
+#: fingerprints in a block.
+WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 8, 5, 256
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -58,16 +62,21 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "mr_fp", kee
     return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(name, T.LongType())]))
 
 
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
+    fps, parts, low = fps.view(np.uint64), [], 0
+    for w in SEGMENTS:
+        parts.append(((fps >> np.uint64(low)) & np.uint64((1 << w) - 1)).astype(np.uint32))
+        low += w
+    return parts
+
+
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): keys of which fingerprints that differ in two bits or fewer share one at least.
 
     A key is one segment as it is, for the segment without a flip, and a Golay key of the next, which has
     two flips at most: about 16 of 35 bits for a fingerprint.
     """
-    fps, parts, low = fps.view(np.uint64), [], 0
-    for w in SEGMENTS:
-        parts.append(((fps >> np.uint64(low)) & np.uint64((1 << w) - 1)).astype(np.uint32))
-        low += w
+    parts = _segments(fps)
     rows, keys = [], []
     fuzzy = [fuzzy_keys(p, w) for p, w in zip(parts, SEGMENTS)]
     for i in range(len(SEGMENTS)):
@@ -77,6 +86,54 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): keys of which fingerprints that differ in five bits or fewer share one at least.
+
+    Of three segments two have two flips at most each: a key is a Golay key of both, 26 bits with the choice
+    of the segments; there are about 80 for a fingerprint. Many pairs with more flips share one too.
+    """
+    rows, keys = [], []
+    fuzzy = [fuzzy_keys(p, w) for p, w in zip(_segments(fps), SEGMENTS)]
+    for i in range(len(SEGMENTS)):
+        (ra, ka), (rb, kb) = fuzzy[i], fuzzy[(i + 1) % len(SEGMENTS)]
+        # All pairs of the two lists of each row.
+        count = np.bincount(rb, minlength=len(fps))
+        start = np.cumsum(count) - count
+        each = count[ra]
+        left = np.repeat(np.arange(len(ra)), each)
+        right = start[ra[left]] + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+        rows.append(ra[left])
+        keys.append((np.int64(i) << np.int64(2 * DATA_BITS)) | (ka[left].astype(np.int64) << np.int64(DATA_BITS)) | kb[right].astype(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _wide_batches(batches):
+    for batch in batches:
+        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i in range(0, len(fps), 2048):
+            row, key = wide_keys(fps[i : i + 2048])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 2048][row])], names=["key", "id"])
+
+
+def _near(block: dict):
+    x = block["id"].astype(np.int64).view(np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WIDE_FLIPS, 1))
+    if block["mr_i"][0] != block["mr_j"][0]:
+        across = block["mr_chunk"][a] != block["mr_chunk"][b]
+        a, b = a[across], b[across]
+    tree = forest(len(x), a, b)
+    if tree:
+        ids = block["id"]
+        yield pa.RecordBatch.from_arrays([pa.array([int(ids[p]) for p, _ in tree]), pa.array([int(ids[q]) for _, q in tree])], names=["a", "b"])
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) as ``links`` gives them, at WIDE_FLIPS: all at five flips or fewer, and of those at six to
+    eight the ones that share a key. Buckets of any size are compared in blocks."""
+    keys = fps.mapInArrow(_wide_batches, "key long, id long")
+    return stage(blocks(keys, None, WIDE_BLOCK).mapInArrow(lambda b: stream(b, _near), "a long, b long").distinct(), "op2-links")
+
+
 def _key_batches(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -108,29 +165,52 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, keep_text: bool = True) -> DataFrame:
-    """``docs`` with mr_fp (the fingerprint, a long) and component_id, which replaces a column of that name.
-
-    docs: doc_id, text and any more columns. component_id is the smallest doc_id reachable by links, over
-    null ids none; it is null where a component has null ids only. Null, empty and blank texts have
-    fingerprint 0. Repeated rows and equal texts share a component. An empty table gives an empty one.
-    """
-    docs = docs.drop("component_id")
-    prints = with_fingerprint(docs, shingle, keep_text=keep_text)
-    known = stage(with_fingerprint(docs.select("doc_id", "text"), shingle, keep_text=False) if keep_text else prints, "op2-prints")
+def _named(known: DataFrame, find) -> DataFrame:
+    """(mr_node, component_id, root) of every fingerprint in ``known`` (mr_fp, doc_id)."""
     nodes = stage(known.groupBy("mr_fp").agg(F.min("doc_id").alias("least")), "op2-nodes")
-    linked = components(links(nodes.select(F.col("mr_fp").alias("fp"))))
+    linked = components(find(nodes.select(F.col("mr_fp").alias("fp"))))
     rooted = nodes.join(linked, F.col("mr_fp") == F.col("node"), "left").select("mr_fp", "least", F.coalesce("root", "mr_fp").alias("root"))
     rooted = stage(rooted, "op2-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stage(rooted.join(least, "root").select(F.col("mr_fp").alias("mr_node"), "component_id"), "op2-names")
+    names = stage(rooted.join(least, "root").select(F.col("mr_fp").alias("mr_node"), "component_id", "root"), "op2-names")
     unstage(nodes, rooted)
-    return (prints if keep_text else known).join(names, F.col("mr_fp") == F.col("mr_node")).drop("mr_node")
+    return names
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The columns of ``docs`` but text, with mr_fp (the fingerprint, a long) and component_id, which replaces
+    a column of that name.
+
+    docs: doc_id, text and any more columns. component_id is the smallest doc_id reachable by links, over
+    null ids none; it is null where a component has null ids only. Null, empty and blank texts have
+    fingerprint 0. Repeated rows and equal texts share a component. An empty table gives an empty one.
+    """
+    known = stage(with_fingerprint(docs.drop("component_id"), shingle, keep_text=False), "op2-prints")
+    return known.join(_named(known, links).drop("root"), F.col("mr_fp") == F.col("mr_node")).drop("mr_node")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near-duplicates, by five-word shingles and
+    WIDE_FLIPS: that of the smallest doc_id (null last; of equal ids, by a hash of the text).
+
+    Texts without words are one group. Repeated rows are copies like others. An empty table gives an empty one.
+    """
+    keyed = docs.withColumn("mr_doc", F.xxhash64("doc_id", "text"))
+    known = stage(with_fingerprint(keyed.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), WIDE_SHINGLE, keep_text=False), "op2-prints")
+    names = _named(known, wide_links).select("mr_node", "root")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mr_doc")
+    first = known.join(names, F.col("mr_fp") == F.col("mr_node")).groupBy("root").agg(F.min(order).alias("x"))
+    kept = stage(first.select(F.col("x.mr_doc").alias("mr_doc")).distinct(), "op2-kept")
+    out = keyed.join(kept, "mr_doc", "left_semi")
+    # Rows that repeat a kept one wholly in id and text: only then must survivors meet once more.
+    if not known.join(kept, "mr_doc", "left_semi").groupBy("mr_doc").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["mr_doc"])
+    return out.select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash_groups(docs, keep_text=False).select("doc_id", F.lower(F.lpad(F.hex("mr_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("mr_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op2_simhash": op2_simhash}

@@ -233,12 +233,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     runs = repeats(docs).withColumnRenamed("mr_doc", "mr_d")
     docs = docs.drop("mr_removed")
     joined = _keyed(docs).join(runs, F.col("mr_doc") == F.col("mr_d"), "left").drop("mr_doc", "mr_d")
-    at = joined.columns.index("text")
+    at, names = joined.columns.index("text"), docs.columns
 
     def run(batches):
         for batch in batches:
             texts, gone = batch.column(at).to_pylist(), []
-            for i, r in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            for i, r in enumerate(batch.column(len(names)).to_pylist()):
                 gone.append(0)
                 if r:
                     text = texts[i].encode()
@@ -250,7 +250,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     texts[i] = (b"".join(out) + text[last:]).decode()
             columns = [*batch.columns[:-1], pa.array(gone, pa.int64())]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*docs.columns, "mr_removed"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "mr_removed"])
 
     out = joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("mr_removed", T.LongType())]))
     return out.withColumn("n_chars", F.when(F.col("mr_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
