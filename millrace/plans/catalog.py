@@ -1,11 +1,421 @@
-"""The registered queries over the reference's operators, and their SQL."""
+"""The registered queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text as tx
+from millrace.functions.params import DEPTH
+from millrace.operators import answers, chunking, dense, metrics, spectral
+from millrace.operators.lexical import LexicalIndex
+from millrace.operators.ranking import fuse, top_k
+from millrace.operators.search import Corpus
+from millrace.plans import oracle as o
+from millrace.sources import gates
+
+_queries: dict = {}
+_oracle: dict[str, str] = {}
+
+
+def _register(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _oracle[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_oracle)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered chunks of documents: id, doc, page, text and their place."""
+    numbered = chunking.number_chunks(chunking.chunk_documents(_t(spark, sf_dir, "documents")), "doc_id")
+    return numbered.select(F.col("chunk_id").alias("id"), "doc_id", F.col("doc_id").cast("string").alias("doc"), "page", "seq", "start_word", "end_word", "text")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+# Words and chunks
+
+
+@_register(f"SELECT doc_id, len(regexp_extract_all(text, '{o.WORD}'))::BIGINT AS n_words FROM documents")
+def word_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(tx.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@_register(f"WITH {o.CHUNKS} SELECT doc_id, seq::BIGINT AS seq, id AS chunk_id, start_word::BIGINT AS start_word, end_word::BIGINT AS end_word, text FROM chunks")
+def chunk_documents(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", F.col("id").alias("chunk_id"), *_long("seq", "start_word", "end_word"), "text")
+
+
+@_register(rf"""WITH v AS (
+    SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<![^>]*>|</?[a-z][^>]*>', ' ', 'g') AS t FROM pages
+), w AS (
+    SELECT page_id, regexp_extract_all(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{o.WORD}') AS w FROM v
+), {o.windows('w')}
+SELECT page_id, seq::BIGINT AS seq, seq * 120::BIGINT AS start_word, least(seq * 120 + 150, len(w))::BIGINT AS end_word, array_to_string(w[seq * 120 + 1 : seq * 120 + 150], ' ') AS text FROM c0""")
+def chunk_html(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", tx.html_words(F.col("html")).alias("w"))
+    return chunking.chunk_words(pages, "w").select("page_id", *_long("seq", "start_word", "end_word"), "text")
+
+
+@_register(f"""WITH p AS (
+    SELECT conv_id, turn, regexp_extract_all(text, '{o.WORD}') AS w FROM conversations
+), w AS (
+    SELECT conv_id, flatten(list(w ORDER BY turn)) AS w, flatten(list(list_transform(w, lambda x: turn) ORDER BY turn)) AS p FROM p GROUP BY conv_id
+), {o.windows('w')}
+SELECT conv_id, seq::BIGINT AS seq, seq * 120::BIGINT AS start_word, least(seq * 120 + 150, len(w))::BIGINT AS end_word, p[seq * 120 + 1]::BIGINT AS page,
+    array_to_string(w[seq * 120 + 1 : seq * 120 + 150], ' ') AS text FROM c0""")
+def chunk_conversations(spark, sf_dir):
+    out = chunking.chunk_pages(_t(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return out.select("conv_id", *_long("seq", "start_word", "end_word", "page"), "text")
+
+
+@_register(f"WITH {o.CHUNKS} SELECT id AS chunk_id, doc_id, text FROM chunks WHERE id < 500")
+def corpus_cap(spark, sf_dir):
+    """The corpus stops growing at a number of chunks."""
+    return chunking.number_chunks(chunking.chunk_documents(_t(spark, sf_dir, "documents")), "doc_id", cap=500).select("chunk_id", "doc_id", "text")
+
+
+@_register(f"WITH {o.CHUNKS} SELECT id AS chunk_id, doc_id, text FROM chunks WHERE id BETWEEN 20 AND 29")
+def chunks_page(spark, sf_dir):
+    return _chunks(spark, sf_dir).where("id BETWEEN 20 AND 29").select(F.col("id").alias("chunk_id"), "doc_id", "text")
+
+
+@_register(f"""WITH gone AS (SELECT sha256(text) AS s FROM documents ORDER BY doc_id LIMIT 1), {o.CHUNKS.replace('FROM documents)', 'FROM documents WHERE sha256(text) <> (SELECT s FROM gone))', 1)}
+SELECT id AS chunk_id, doc_id, seq::BIGINT AS seq FROM chunks""")
+def delete_document(spark, sf_dir):
+    """The chunks that are left, numbered anew, after the first document's digest is deleted."""
+    docs = _t(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
+    gone = docs.orderBy("doc_id").limit(1).select("sha256")
+    left = docs.join(F.broadcast(gone), "sha256", "left_anti")
+    return chunking.number_chunks(chunking.chunk_documents(left), "doc_id").select("chunk_id", "doc_id", F.col("seq").cast("long").alias("seq"))
+
+
+# Gates
+
+
+_FILES = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'a.b/doc' || doc_id || '.TXT' WHEN 1 THEN 'doc' || doc_id || '.pdf' WHEN 2 THEN 'doc' || doc_id || '.exe' ELSE 'doc' || doc_id || '.docx' END AS name, text FROM documents
+    UNION ALL SELECT page_id, 'page' || page_id || '.html', html FROM pages"""
+
+
+@_register(f"""WITH f AS ({_FILES}), g AS (SELECT *, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext FROM f)
+SELECT id, name, ext, strlen(text)::BIGINT AS length, sha256(text) AS sha256,
+    (CASE WHEN ext NOT IN ('.txt', '.pdf', '.docx', '.html') THEN 415 WHEN strlen(text) > 5000 THEN 413 WHEN strlen(text) = 0 THEN 422
+        WHEN ext = '.pdf' AND text NOT LIKE '%PDF-%' THEN 415 WHEN ext = '.docx' THEN 415 ELSE 200 END)::BIGINT AS status FROM g""")
+def gate_files(spark, sf_dir):
+    """Texts under names of several kinds, with a small size limit."""
+    docs, pages = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pages")
+    n = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 4
+    name = F.when(kind == 0, F.concat(F.lit("a.b/doc"), n, F.lit(".TXT"))).when(kind == 1, F.concat(F.lit("doc"), n, F.lit(".pdf"))).when(kind == 2, F.concat(F.lit("doc"), n, F.lit(".exe"))).otherwise(F.concat(F.lit("doc"), n, F.lit(".docx")))
+    files = docs.select(F.col("doc_id").alias("id"), name.alias("name"), F.encode("text", "utf-8").alias("content")).unionByName(
+        pages.select(F.col("page_id").alias("id"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("content")))
+    return gates.gate(files, limit=5000).select("id", "name", "ext", "length", "sha256", F.col("status").cast("long").alias("status"))
+
+
+@_register("SELECT doc_id, sha256(text) AS sha256, (CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 200 ELSE 409 END)::BIGINT AS status FROM documents")
+def content_digest_dedup(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    out = gates.first_of_digest(docs.select("doc_id", F.sha2("text", 256).alias("h")), F.col("h"), "doc_id")
+    return out.select("doc_id", "sha256", F.col("status").cast("long").alias("status"))
+
+
+# Lexical
+
+
+def _index(spark, sf_dir) -> LexicalIndex:
+    return LexicalIndex.build(_chunks(spark, sf_dir).select("id", "text"), "id")
+
+
+@_register(f"SELECT doc_id, len({o.tokens('text')})::BIGINT AS n_terms, md5(array_to_string({o.tokens('text')}, ' ')) AS terms_md5 FROM documents")
+def tokenize_terms(spark, sf_dir):
+    t = tx.terms(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("terms_md5"))
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL} SELECT term, id AS chunk_id, tf::BIGINT AS tf FROM post")
+def bm25_postings(spark, sf_dir):
+    return _index(spark, sf_dir).postings.select("term", F.col("id").alias("chunk_id"), "tf")
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL} SELECT id AS chunk_id, dl::BIGINT AS dl FROM dl")
+def bm25_doc_lengths(spark, sf_dir):
+    return _index(spark, sf_dir).lengths.select(F.col("id").alias("chunk_id"), F.col("dl").cast("long").alias("dl"))
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL} SELECT term, df::BIGINT AS df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, st")
+def bm25_df_idf(spark, sf_dir):
+    return _index(spark, sf_dir).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL} SELECT n::BIGINT AS n_docs, (SELECT count(*) FROM df)::BIGINT AS vocab_size, round(total / n, 6) AS avgdl FROM st")
+def bm25_corpus_stats(spark, sf_dir):
+    return _index(spark, sf_dir).summary().select("n_docs", "vocab_size", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL}, {o.QUERIES}, {o.BM25} SELECT query_id, id AS chunk_id, round(bm25, 6) AS bm25 FROM bm")
+def bm25_scores(spark, sf_dir):
+    s = _index(spark, sf_dir).scores(_asked(spark, sf_dir), "query_id")
+    return s.select("query_id", F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
+@_register(f"WITH {o.CHUNKS}, {o.LEXICAL}, {o.QUERIES}, {o.BM25}, {o.ranked('r', 'bm', 'bm25')} SELECT query_id, rank, id AS chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10")
+def bm25_search(spark, sf_dir):
+    s = _index(spark, sf_dir).search(_asked(spark, sf_dir), "query_id", k=10)
+    return s.select("query_id", *_long("rank"), F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
+# Dense
+
+
+@_register(f"SELECT id AS vec_id, list_transform(e, lambda x: round(x, 9)) AS embedding FROM {o.UNIT}")
+def dense_normalize(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(dense.unit(F.col("embedding")), lambda x: F.round(x, 9)).alias("embedding"))
+
+
+def _near(spark, sf_dir) -> DataFrame:
+    """The DEPTH nearest vectors of the first 20."""
+    v = _t(spark, sf_dir, "embeddings")
+    return dense.search(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("id"), "embedding"), DEPTH)
+
+
+_NEAR = f"v AS {o.UNIT}, s AS (SELECT a.id AS query_id, a.label AS query_label, b.id, b.label, list_dot_product(a.e, b.e) AS cosine FROM v a, v b WHERE a.id < 20), {o.ranked('r', 's', 'cosine')}"
+
+
+@_register(f"WITH {_NEAR} SELECT query_id, rank, id AS vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 50")
+def dense_search(spark, sf_dir):
+    return _near(spark, sf_dir).select("query_id", *_long("rank"), F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
+@_register(f"WITH {o.hashed('h', 'documents', 'doc_id')} SELECT id AS doc_id, bucket::BIGINT AS bucket, round(weight, 9) AS weight FROM h")
+def hash_embed(spark, sf_dir):
+    return dense.hash_vectors(_t(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), *_long("bucket"), F.round("weight", 9).alias("weight"))
+
+
+@_register(f"WITH {o.CHUNKS}, q AS (SELECT item_id AS query_id, text FROM benchmark), {o.DENSE}, {o.ranked('r', 'ds', 'cosine')} SELECT query_id, rank, id AS chunk_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 10")
+def hash_dense_search(spark, sf_dir):
+    c, q = _chunks(spark, sf_dir), _asked(spark, sf_dir)
+    s = dense.sparse_search(dense.hash_vectors(q, "query_id"), q.select("query_id"), dense.hash_vectors(c, "id"), c, 10)
+    return s.select("query_id", *_long("rank"), F.col("id").alias("chunk_id"), F.round("cosine", 6).alias("cosine"))
+
+
+# Fusion
+
+
+@_register("""WITH l AS (
+    SELECT conv_id AS query_id, 0 AS list_id, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank, turn AS id FROM conversations
+    UNION ALL SELECT conv_id, 1, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn), turn FROM conversations WHERE role <> 'system'
+), f AS (SELECT query_id, id, sum(1 / (60 + rank)) AS rrf, min(rank) AS best FROM l GROUP BY ALL)
+SELECT query_id, id, round(rrf, 9) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, best, id) AS rank FROM f""")
+def rrf_fuse(spark, sf_dir):
+    """Two rankings of the turns of each conversation: by length, and of those that aren't the system's by text."""
+    c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), "role", "text")
+    w = Window.partitionBy("query_id")
+    a = c.select("query_id", F.lit(0).alias("list_id"), F.row_number().over(w.orderBy(F.char_length("text").desc(), "id")).alias("rank"), "id")
+    b = c.where("role <> 'system'").select("query_id", F.lit(1).alias("list_id"), F.row_number().over(w.orderBy("text", "id")).alias("rank"), "id")
+    return fuse(a.unionByName(b)).select("query_id", "id", F.round("rrf", 9).alias("rrf"), *_long("rank"))
+
+
+def _corpus(spark, sf_dir) -> Corpus:
+    return Corpus.build(_chunks(spark, sf_dir).select("id", "doc", "page", "text"))
+
+
+@_register(f"WITH {o.HYBRID} SELECT query_id, rank, id AS chunk_id, round(rrf, 9) AS rrf, dense_rank, bm25_rank FROM fr WHERE rank <= 5")
+def hybrid_search(spark, sf_dir):
+    p = _corpus(spark, sf_dir).passages(_asked(spark, sf_dir), 5)
+    return p.select("query_id", *_long("rank"), "chunk_id", F.round("rrf", 9).alias("rrf"), *_long("dense_rank", "bm25_rank"))
+
+
+_PASSAGES = f"WITH {o.HYBRID}, p AS (SELECT fr.query_id, fr.rank, fr.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, cosine AS dense, coalesce(bm25, 0) AS bm25, dense_rank, bm25_rank FROM fr JOIN chunks USING (id) JOIN ds USING (query_id, id) LEFT JOIN bm USING (query_id, id) WHERE rank <= 5)"
+
+
+@_register(f"{_PASSAGES} SELECT query_id, rank, chunk_id, doc, NULL::INT AS page, text, round(rrf, 9) AS rrf, round(dense, 6) AS dense, round(bm25, 6) AS bm25, dense_rank, bm25_rank FROM p")
+def hybrid_passages(spark, sf_dir):
+    p = _corpus(spark, sf_dir).passages(_asked(spark, sf_dir), 5)
+    return p.select("query_id", *_long("rank"), "chunk_id", "doc", "page", "text", F.round("rrf", 9).alias("rrf"), F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"), *_long("dense_rank", "bm25_rank"))
+
+
+_MODES = f"""{o.ranked('m1', 'bm', 'bm25')}, {o.ranked('m2', 'ds', 'cosine')}, modes AS (
+    SELECT 'bm25' AS mode, query_id, rank, id FROM m1 WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, rank, id FROM m2 WHERE rank <= 10
+    UNION ALL SELECT 'hybrid', query_id, rank, id FROM fr WHERE rank <= 10)"""
+
+
+def _modes(spark, sf_dir) -> DataFrame:
+    corpus, asked, out = _corpus(spark, sf_dir), _asked(spark, sf_dir), None
+    for mode in ("bm25", "dense", "hybrid"):
+        r = corpus.ranking(asked, mode).withColumn("mode", F.lit(mode))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@_register(f"WITH {o.HYBRID}, {_MODES} SELECT mode, query_id, rank, id AS chunk_id FROM modes")
+def ranking_modes(spark, sf_dir):
+    return _modes(spark, sf_dir).select("mode", "query_id", *_long("rank"), F.col("id").alias("chunk_id"))
+
+
+# Map
+
+
+@_register("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT vec_id, unnest(e) AS v, unnest(range(len(e))) AS i FROM e)
+SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(sum(a.v * b.v), 6) AS g FROM x a JOIN x b USING (vec_id) GROUP BY ALL""")
+def gram_matrix(spark, sf_dir):
+    return spectral.gram(_t(spark, sf_dir, "embeddings")).select(*_long("i", "j"), F.round("g", 6).alias("g"))
+
+
+@_register()
+def svd_map_points(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    fitted = spectral.SpectralMap.fit(v)
+    return fitted.points(v).withColumn("eta", F.lit(round(fitted.eta, 9)))
+
+
+# Evaluation
+
+
+@_register(f"WITH {o.CHUNKS} SELECT item_id AS query_id, id AS chunk_id, 2::BIGINT AS grade FROM chunks JOIN (SELECT item_id, lower(text) AS p FROM benchmark WHERE text <> '') ON contains(lower(chunks.text), p)")
+def qrels_build(spark, sf_dir):
+    phrases = _asked(spark, sf_dir).select("query_id", F.col("text").alias("phrase"), F.lit(2).alias("grade"))
+    return metrics.build_qrels(phrases, _chunks(spark, sf_dir)).select("query_id", F.col("id").alias("chunk_id"), *_long("grade"))
+
+
+_GRADED = f"""{_NEAR}, rel AS (SELECT query_id, id, 1 AS grade, row_number() OVER (PARTITION BY query_id ORDER BY id) AS i FROM s WHERE label = query_label),
+ideal AS (SELECT query_id, sum(1 / log2(i + 1)) AS ideal FROM rel WHERE i <= 10 GROUP BY query_id),
+hit AS (SELECT query_id, min(rank) AS first_rank, sum(1 / log2(rank + 1)) AS dcg FROM r WHERE rank <= 10 AND label = query_label GROUP BY query_id),
+pq AS (SELECT v.id AS query_id, first_rank, coalesce(1 / first_rank, 0) AS rr, coalesce(dcg, 0) AS dcg, coalesce(coalesce(dcg, 0) / ideal, 0) AS ndcg
+    FROM v LEFT JOIN hit ON v.id = hit.query_id LEFT JOIN ideal ON v.id = ideal.query_id WHERE v.id < 20)"""
+
+
+def _graded(spark, sf_dir) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    qrels = v.join(F.broadcast(asked), F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("grade"))
+    return metrics.per_query(asked, _near(spark, sf_dir), qrels)
+
+
+@_register(f"WITH {_GRADED} SELECT query_id, first_rank, round(rr, 6) AS rr FROM pq")
+def reciprocal_rank(spark, sf_dir):
+    return _graded(spark, sf_dir).select("query_id", *_long("first_rank"), F.round("rr", 6).alias("rr"))
+
+
+@_register(f"WITH {_GRADED} SELECT query_id, round(dcg, 6) AS dcg, round(ndcg, 6) AS ndcg FROM pq")
+def ndcg(spark, sf_dir):
+    return _graded(spark, sf_dir).select("query_id", F.round("dcg", 6).alias("dcg"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@_register(f"WITH {_GRADED} SELECT count(*)::BIGINT AS n_queries, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM pq")
+def mean_metrics(spark, sf_dir):
+    m = metrics.report(_graded(spark, sf_dir).withColumn("mode", F.lit("dense")))
+    return m.select("n_queries", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@_register(f"""WITH {o.HYBRID}, {_MODES}, qr AS (
+    SELECT item_id AS query_id, id, 2 AS grade, row_number() OVER (PARTITION BY item_id ORDER BY id) AS i FROM chunks JOIN (SELECT item_id, lower(text) AS p FROM benchmark) ON contains(lower(chunks.text), p)
+), ideal AS (SELECT query_id, sum(3 / log2(i + 1)) AS ideal FROM qr WHERE i <= 10 GROUP BY query_id),
+hit AS (SELECT mode, query_id, min(rank) AS first_rank, sum(3 / log2(rank + 1)) AS dcg FROM modes JOIN qr USING (query_id, id) GROUP BY ALL),
+pq AS (SELECT mode, query_id, first_rank, coalesce(1 / first_rank, 0) AS rr, coalesce(coalesce(dcg, 0) / ideal, 0) AS ndcg
+    FROM ideal CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid')) m(mode) LEFT JOIN hit USING (mode, query_id))
+SELECT mode, count(*)::BIGINT AS n_queries, count_if(first_rank IS NULL)::BIGINT AS n_missed, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM pq GROUP BY mode""")
+def eval_report(spark, sf_dir):
+    """All modes over the benchmark items that some chunk holds."""
+    phrases = _asked(spark, sf_dir).select("query_id", F.col("text").alias("phrase"), F.lit(2).alias("grade"))
+    qrels = metrics.build_qrels(phrases, _chunks(spark, sf_dir))
+    asked, out = qrels.select("query_id").distinct(), None
+    modes = _modes(spark, sf_dir)
+    for mode in ("bm25", "dense", "hybrid"):
+        m = metrics.per_query(asked, modes.where(F.col("mode") == mode).drop("mode"), qrels).withColumn("mode", F.lit(mode))
+        out = m if out is None else out.unionByName(m)
+    return metrics.report(out).select("mode", "n_queries", *_long("n_missed"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
+
+
+# Answers
+
+
+_PAIRS = "pairs AS (SELECT i.item_id AS query_id, d.doc_id, i.text AS question, d.text AS passage, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents d JOIN benchmark i ON contains(d.text, i.text))"
+_BEST = f"""{_PAIRS}, parts AS (
+    SELECT query_id, doc_id, rank, {o.tokens('question')} AS qt, list_filter(string_split(regexp_replace(passage, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: len(regexp_extract_all(s, '{o.WORD}')) >= 4) AS p, passage FROM pairs
+), each AS (SELECT query_id, doc_id, qt, trim(unnest(p), chr(10) || chr(32) || chr(9)) AS sentence, unnest(range(len(p))) AS pos FROM parts),
+scored AS (SELECT *, len(list_intersect(list_distinct({o.tokens('sentence')}), list_distinct(qt))) / (1 + length(sentence) / 400) AS score FROM each),
+best AS (SELECT query_id, doc_id, score, sentence FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, pos) = 1),
+bs AS (SELECT p.query_id, p.doc_id, p.rank, coalesce(score, 0) AS score, coalesce(sentence, substr(trim(passage, chr(10) || chr(32) || chr(9)), 1, 300)) AS sentence FROM parts p LEFT JOIN best USING (query_id, doc_id))"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Benchmark items and the documents that hold them word for word, as questions and passages."""
+    asked = _asked(spark, sf_dir).select("query_id", F.col("text").alias("question"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"))
+    held = docs.join(F.broadcast(asked), F.contains("passage", "question"))
+    return held.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+
+
+@_register(f"WITH {_BEST} SELECT query_id, doc_id, round(score, 6) AS score, sentence FROM bs")
+def best_sentence(spark, sf_dir):
+    return answers.best_sentences(_pairs(spark, sf_dir)).select("query_id", "doc_id", F.round("score", 6).alias("score"), "sentence")
+
+
+@_register(f"""WITH {_BEST}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM bs WHERE rank <= 5 AND score > 0)
+SELECT query_id, coalesce(string_agg('- ' || substr(sentence, 1, 400) || ' [' || rank || ']', chr(10) ORDER BY rank) FILTER (n <= 3), 'Not found in the document.') AS answer,
+    coalesce(string_agg(rank::VARCHAR, ',' ORDER BY rank) FILTER (n <= 3), '') AS citations
+FROM (SELECT DISTINCT query_id FROM pairs) LEFT JOIN n USING (query_id) GROUP BY query_id""")
+def extractive_answer(spark, sf_dir):
+    a = answers.extractive(_pairs(spark, sf_dir).select("query_id", "rank", "question", "passage"))
+    return a.select("query_id", "answer", F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations"))
+
+
+@_register(f"""WITH {_PAIRS}, u AS (SELECT query_id, question, rank, passage FROM pairs)
+SELECT query_id, md5('<passages>' || chr(10) || string_agg('[' || rank || '] ' || passage, chr(10) || chr(10) ORDER BY rank) || chr(10) || '</passages>' || chr(10) || chr(10) || 'Question: ' || question) AS prompt_md5 FROM u GROUP BY query_id, question""")
+def answer_prompts(spark, sf_dir):
+    return answers.prompts(_pairs(spark, sf_dir)).select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@_register("""WITH a AS (SELECT conv_id, turn, 'Claim [' || turn || '] and [' || (conv_id % 7) || '], again [' || turn || '].' AS answer FROM conversations),
+c AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT))) AS n FROM a)
+SELECT conv_id, turn, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 3), ',') AS valid, array_to_string(list_filter(n, lambda x: x < 1 OR x > 3), ',') AS invalid FROM c""")
+def citation_check(spark, sf_dir):
+    n = F.col("turn").cast("string")
+    made = F.concat(F.lit("Claim ["), n, F.lit("] and ["), (F.col("conv_id") % 7).cast("string"), F.lit("], again ["), n, F.lit("]."))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("answer"))
+    valid, invalid = answers.citations(F.col("answer"), F.lit(3))
+    return rows.select("conv_id", "turn", F.array_join(valid.cast("array<string>"), ",").alias("valid"), F.array_join(invalid.cast("array<string>"), ",").alias("invalid"))
+
+
+# Corpus
+
+
+@_register(f"""WITH {o.CHUNKS}, {o.LEXICAL} SELECT (SELECT count(*) FROM documents)::BIGINT AS n_docs, n::BIGINT AS n_chunks, (SELECT count(*) FROM df)::BIGINT AS vocab_size,
+    round(total / n, 2) AS avgdl, 20000::BIGINT AS max_chunks, n >= 20000 AS capped FROM st""")
+def corpus_stats(spark, sf_dir):
+    s = _index(spark, sf_dir).summary()
+    d = _t(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))
+    s = s.select(F.col("n_docs").alias("n_chunks"), "vocab_size", F.round("avgdl", 2).alias("avgdl"))
+    return d.join(s, F.lit(True)).withColumn("max_chunks", F.lit(20000).cast("long")).withColumn("capped", F.col("n_chunks") >= 20000)
+
+
+@_register("""SELECT conv_id, turn, text AS question, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest FROM (
+    SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def qa_history(spark, sf_dir):
+    """Questions and answers of each conversation, newest first."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _t(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
+    c = c.where("role = 'user' AND next_role = 'assistant'")
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return c.select("conv_id", "turn", F.col("text").alias("question"), "answer", newest.cast("long").alias("newest"))
