@@ -16,28 +16,28 @@ from millrace.llm.components import components
 #: Vectors that the rotations are learned from, at most; every vector is indexed.
 SAMPLE = 8192
 #: Chance aimed at that a pair exactly at the threshold meets in a table.
-RECALL = 0.995
+RECALL, MOST_TABLES = 0.995, 127
 ITERATIONS, BLOCK = 30, 384
 
 
-def learn_rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection of ``bits`` columns): principal axes, turned so that signs lose least.
+def learn_rotations(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
+    """A projection of ``bits`` columns: principal axes, turned so that signs lose least.
 
     Each rotation starts at random and alternates between the signs of the turned data and the turn that
-    comes nearest to them (Procrustes). As many rotations are learned as the bits need.
+    comes nearest to them (Procrustes), which spreads the variance evenly over the bits. As many rotations
+    are learned as the bits need. The data isn't centred: that would change the angle between two vectors,
+    which the threshold is about, and two near each other and the mean might share no bit.
     """
-    mean = sample.mean(axis=0)
-    x = sample - mean
-    _, axes = np.linalg.eigh(x.T @ x)
-    v = x @ axes
-    rng, out, d = np.random.default_rng(seed), [], x.shape[1]
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    v = sample @ axes
+    rng, out, d = np.random.default_rng(seed), [], v.shape[1]
     for _ in range(ceil(bits / d)):
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
         for _ in range(ITERATIONS):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, np.concatenate(out, axis=1)[:, :bits]
+    return np.concatenate(out, axis=1)[:, :bits]
 
 
 def table_shape(rows: int, threshold: float) -> tuple[int, int]:
@@ -48,6 +48,28 @@ def table_shape(rows: int, threshold: float) -> tuple[int, int]:
     return ceil(log(1 - RECALL) / log(1 - agree)), width
 
 
+def chance_found(sample: np.ndarray, turn: np.ndarray, tables: int, width: int, threshold: float, seed: int = 5) -> float:
+    """The share of pairs just at the threshold that meet in a table: each sample vector and one turned away
+    from it, in a random direction."""
+    rng = np.random.default_rng(seed)
+    away = rng.standard_normal(sample.shape)
+    away -= sample * np.einsum("ij,ij->i", away, sample)[:, None]
+    away /= np.maximum(np.sqrt(np.einsum("ij,ij->i", away, away)), 1e-12)[:, None]
+    other = threshold * sample + (1 - threshold**2) ** 0.5 * away
+    same = ((sample @ turn > 0) == (other @ turn > 0)).reshape(len(sample), tables, width)
+    return float(same.all(axis=2).any(axis=1).mean())
+
+
+def fit_index(sample: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, int, int]:
+    """(projection, tables, bits of each): tables are added until the measured chance is RECALL."""
+    tables, width = table_shape(rows, threshold)
+    while True:
+        turn = learn_rotations(sample, tables * width)
+        if tables == MOST_TABLES or chance_found(np.tile(sample, (-(-1024 // len(sample)), 1))[:2048], turn, tables, width, threshold) >= RECALL:
+            return turn, tables, width
+        tables = min(MOST_TABLES, ceil(tables * 1.4))
+
+
 def _compare(threshold: float):
     def work(block: dict):
         n = len(block["id"])
@@ -107,12 +129,11 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     shape = nodes.agg(F.count("*"), F.max("mr_dim")).first()
     edges = counts = None
     if shape[0] > 1:
-        tables, width = table_shape(shape[0], threshold)
         dim = shape[1]
         rows = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).collect()
         sample = np.array([[*r[0], *[0.0] * (dim - len(r[0]))] for r in rows], np.float64)
         sample /= np.sqrt((sample**2).sum(axis=1))[:, None]
-        mean, turn = learn_rotations(sample, tables * width)
+        turn, tables, width = fit_index(sample, shape[0], threshold)
         weights = (1 << np.arange(width)).astype(np.int64)
 
         def code(batches):
@@ -124,7 +145,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 # Scaled first, so that squares of very large or small components stay finite.
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.sqrt((x**2).sum(axis=1))[:, None]
-                bits = ((x - mean) @ turn > 0).reshape(n, tables, width)
+                bits = (x @ turn > 0).reshape(n, tables, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((bits @ weights).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "codes"])
 
         coded = stage(nodes.select("id", "embedding").mapInArrow(code, "id long, codes array<int>"), "op5-codes")
