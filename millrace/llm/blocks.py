@@ -15,7 +15,7 @@ from millrace.llm.common import partitions, stage
 def blocks(keys: DataFrame, payload: DataFrame | None, cap: int) -> DataFrame:
     """Rows of blocks in which every two ids that share a key meet.
 
-    keys: key (long), id (long), distinct. payload: id and more columns, one row for each id, or None. A key of one
+    keys: key (long), id (long) and more columns, distinct. payload: id and more columns, one row for each id, or None. A key of one
     id has no block. Up to ``cap`` ids are one block; the ids of a larger bucket are dealt into chunks of
     about cap, and every two chunks are a block. A block is known by (key, mr_i, mr_j); mr_chunk is the
     row's own chunk, and only rows of different chunks need comparing where mr_i and mr_j differ. Blocks
@@ -24,8 +24,8 @@ def blocks(keys: DataFrame, payload: DataFrame | None, cap: int) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keys.join(sizes, "key").withColumn("mr_c", F.expr(f"CAST(ceil(n / {cap}) AS int)"))
     dealt = shared.withColumn("mr_chunk", F.expr("CAST(pmod(xxhash64(id), mr_c) AS int)"))
-    met = dealt.select("key", "id", "mr_chunk", F.explode(F.expr("sequence(0, mr_c - 1)")).alias("mr_o"))
-    met = met.select("key", "id", "mr_chunk", F.least("mr_chunk", "mr_o").alias("mr_i"), F.greatest("mr_chunk", "mr_o").alias("mr_j"))
+    met = dealt.select(*keys.columns, "mr_chunk", F.explode(F.expr("sequence(0, mr_c - 1)")).alias("mr_o"))
+    met = met.select(*keys.columns, "mr_chunk", F.least("mr_chunk", "mr_o").alias("mr_i"), F.greatest("mr_chunk", "mr_o").alias("mr_j"))
     if payload is not None:
         met = stage(met, "met").join(payload, "id")
     return met.repartition(partitions(keys.sparkSession), "key", "mr_i", "mr_j").sortWithinPartitions("key", "mr_i", "mr_j")

@@ -19,33 +19,53 @@ SEED, BITS, MOST_FLIPS = 42, 64, 2
 SEGMENTS = (21, 21, 22)
 #: Fingerprints in a bucket that are compared pair by pair; a larger bucket goes another way.
 BUCKET = 32
-#: For near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles: flips of a link, and
-#: fingerprints in a block.
-WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 8, 5, 256
+#: For near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles: flips of a link in 128 bits
+#: (20 are expected at 0.8, 13 at 0.9), and fingerprints in a block.
+WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 22, 5, 256
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The SimHash of one text as a signed long: 0 if it is null or has no words.
+def _shingles(text: bytes | None, shingle: int) -> tuple[memoryview, list[int], list[int]]:
+    """The words of a text joined by blanks, and where each shingle starts and ends; none if there are no words.
 
     Words are what lies between ASCII blanks, A-Z in lower case; shingles are counted as often as they occur.
     """
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
+        return memoryview(b""), [], []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[-n:].tolist()
-    digest = xxhash.xxh64_intdigest
-    votes = np.zeros(BITS, np.int64)
-    for i in range(0, n, BLOCK):
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])), np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > n, bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return memoryview(b" ".join(words)), np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[-n:].tolist()
+
+
+def _vote(digests, n: int, size: int) -> np.ndarray:
+    """The bits (little-endian, in bytes) set in over half of n digests, given in blocks."""
+    votes = np.zeros(8 * size, np.int64)
+    for h in digests:
+        votes += np.unpackbits(h.reshape(-1, size), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, bitorder="little")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The SimHash of one text as a signed long: 0 if it is null or has no words."""
+    joined, starts, stops = _shingles(text, shingle)
+    digest, n = xxhash.xxh64_intdigest, len(starts)
+    if not n:
+        return 0
+    blocks_ = (np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])), np.uint64).view(np.uint8) for i in range(0, n, BLOCK))
+    return int(_vote(blocks_, n, 8).view(np.int64)[0])
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
+    """A SimHash of 128 bits, as two signed longs."""
+    joined, starts, stops = _shingles(text, shingle)
+    digest, n = xxhash.xxh3_128_digest, len(starts)
+    if not n:
+        return 0, 0
+    blocks_ = (np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])]), np.uint8) for i in range(0, n, BLOCK))
+    a, b = _vote(blocks_, n, 16).view(np.int64).tolist()
+    return a, b
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "mr_fp", keep_text: bool = True) -> DataFrame:
@@ -107,17 +127,30 @@ def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _node(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for both halves of a wide fingerprint."""
+    a, b = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = a ^ (b << np.uint64(29)) ^ (b >> np.uint64(35))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
 def _wide_batches(batches):
+    """(f0, f1) -> (key, id, f0, f1): the keys of either half."""
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i in range(0, len(fps), 2048):
-            row, key = wide_keys(fps[i : i + 2048])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[i : i + 2048][row])], names=["key", "id"])
+        f = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2)]
+        for i in range(0, batch.num_rows, 1024):
+            part = [x[i : i + 1024] for x in f]
+            ids = _node(*part)
+            for half in range(2):
+                row, key = wide_keys(part[half])
+                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(half << 40)), pa.array(ids[row]), pa.array(part[0][row]), pa.array(part[1][row])], names=["key", "id", "f0", "f1"])
 
 
 def _near(block: dict):
-    x = block["id"].astype(np.int64).view(np.uint64)
-    a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WIDE_FLIPS, 1))
+    x, y = (block[c].astype(np.int64).view(np.uint64) for c in ("f0", "f1"))
+    flips = np.bitwise_count(x[:, None] ^ x[None, :]) + np.bitwise_count(y[:, None] ^ y[None, :])
+    a, b = np.nonzero(np.triu(flips <= WIDE_FLIPS, 1))
     if block["mr_i"][0] != block["mr_j"][0]:
         across = block["mr_chunk"][a] != block["mr_chunk"][b]
         a, b = a[across], b[across]
@@ -127,13 +160,27 @@ def _near(block: dict):
         yield pa.RecordBatch.from_arrays([pa.array([int(ids[p]) for p, _ in tree]), pa.array([int(ids[q]) for _, q in tree])], names=["a", "b"])
 
 
-def wide_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) as ``links`` gives them, at WIDE_FLIPS: all at five flips or fewer, and of those at six to
-    eight the ones that share a key. Buckets of any size are compared in blocks."""
-    keys = fps.mapInArrow(_wide_batches, "key long, id long")
+def wide_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of wide fingerprints (f0, f1), distinct: no two of more than WIDE_FLIPS
+    differing bits; of fewer, enough to join all that share a key in either half. Those are all with ten bits
+    or fewer, nearly all at a similarity of 0.9. Buckets of any size are compared in blocks."""
+    keys = prints.select("f0", "f1").mapInArrow(_wide_batches, "key long, id long, f0 long, f1 long")
     return stage(blocks(keys, None, WIDE_BLOCK).mapInArrow(lambda b: stream(b, _near), "a long, b long").distinct(), "op2-links")
 
 
+def _with_wide(docs: DataFrame) -> DataFrame:
+    """(mr_doc, doc_id, text) -> (mr_doc, doc_id, f0, f1, mr_fp)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                f = np.array([wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(2).cast(pa.large_binary())], np.int64).T.copy()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f[0]), pa.array(f[1]), pa.array(_node(f[0], f[1]))], names=["mr_doc", "doc_id", "f0", "f1", "mr_fp"])
+
+    return docs.mapInArrow(run, "mr_doc long, doc_id long, f0 long, f1 long, mr_fp long")
+
+
 def _key_batches(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -165,10 +212,10 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
-def _named(known: DataFrame, find) -> DataFrame:
-    """(mr_node, component_id, root) of every fingerprint in ``known`` (mr_fp, doc_id)."""
-    nodes = stage(known.groupBy("mr_fp").agg(F.min("doc_id").alias("least")), "op2-nodes")
-    linked = components(find(nodes.select(F.col("mr_fp").alias("fp"))))
+def _named(known: DataFrame, find, *more: str) -> DataFrame:
+    """(mr_node, component_id, root) of every fingerprint in ``known`` (mr_fp, doc_id, more)."""
+    nodes = stage(known.groupBy("mr_fp", *more).agg(F.min("doc_id").alias("least")), "op2-nodes")
+    linked = components(find(nodes.select(F.col("mr_fp").alias("fp"), *more)))
     rooted = nodes.join(linked, F.col("mr_fp") == F.col("node"), "left").select("mr_fp", "least", F.coalesce("root", "mr_fp").alias("root"))
     rooted = stage(rooted, "op2-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -196,8 +243,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Texts without words are one group. Repeated rows are copies like others. An empty table gives an empty one.
     """
     keyed = docs.withColumn("mr_doc", F.xxhash64("doc_id", "text"))
-    known = stage(with_fingerprint(keyed.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), WIDE_SHINGLE, keep_text=False), "op2-prints")
-    names = _named(known, wide_links).select("mr_node", "root")
+    known = stage(_with_wide(keyed.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text")), "op2-prints")
+    names = _named(known, wide_links, "f0", "f1").select("mr_node", "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mr_doc")
     first = known.join(names, F.col("mr_fp") == F.col("mr_node")).groupBy("root").agg(F.min(order).alias("x"))
     kept = stage(first.select(F.col("x.mr_doc").alias("mr_doc")).distinct(), "op2-kept")
