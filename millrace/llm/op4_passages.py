@@ -31,7 +31,7 @@ RUN_WORDS = 20
 BLOCK, FILTER_BITS = 256, 25
 
 _CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORD = re.compile(rb"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
@@ -51,8 +51,8 @@ def paragraphs(text: bytes) -> list[tuple[int, int, list[bytes]]]:
                 start, words = b, []
             return
         for m in _WORD.finditer(lower, a, b):
-            words.append(m.group())
-            if len(words) >= UNIT_WORDS and (crc32(m.group()) % 16 == 0 or len(words) >= LONG_SENTENCE):
+            words.append(m.group(1))
+            if len(words) >= UNIT_WORDS and (crc32(m.group(1)) % 16 == 0 or len(words) >= LONG_SENTENCE):
                 out.append((start, m.end(), words))
                 start, words = m.end(), []
 
