@@ -118,3 +118,34 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_preferences": op3_preferences}
+
+_PIECE = "'<|' || x.role || '|>' || chr(10) || x.text || chr(10) || '<|end|>' || chr(10)"
+_SPANS = """array_to_string(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant' THEN
+        coalesce(list_sum(list_transform({0}[1 : i - 1], lambda x: length(x.role) + length(x.text) + 14)), 0) + 14 || '-' ||
+        coalesce(list_sum(list_transform({0}[1 : i - 1], lambda x: length(x.role) + length(x.text) + 14)), 0) + 14 + length({0}[i].text) + 9 END), lambda x: x IS NOT NULL), ',')"""
+
+ORACLE = {
+    "op3_preferences": f"""
+WITH t AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS t, sum(length(text)) AS chars FROM t GROUP BY conv_id
+), g AS (
+    SELECT *, t[1] AS opening, (row_number() OVER (PARTITION BY t[1] ORDER BY conv_id) - 1) // 2 AS pair FROM c
+), s AS (
+    SELECT list(conv_id ORDER BY len(t) DESC, chars DESC, conv_id) AS id, list(t ORDER BY len(t) DESC, chars DESC, conv_id) AS t FROM g GROUP BY opening, pair
+), p AS (
+    SELECT id[1] AS chosen_id, id[2] AS rejected_id, t[1] AS c, coalesce(t[2], []) AS r FROM s
+), n AS (
+    SELECT *, coalesce(nullif(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS NOT NULL AND r[i] IS NOT NULL AND c[i] = r[i]), false), 0) - 1, greatest(len(c), len(r)))::INT AS n_shared FROM p
+), x AS (
+    SELECT *, c[n_shared + 1 :] AS a, r[n_shared + 1 :] AS b FROM n
+)
+SELECT chosen_id, rejected_id, n_shared,
+    array_to_string(list_transform(c[1 : n_shared], lambda x: {_PIECE}), '') AS prompt,
+    array_to_string(list_transform(a, lambda x: {_PIECE}), '') AS chosen_completion,
+    array_to_string(list_transform(b, lambda x: {_PIECE}), '') AS rejected_completion,
+    {_SPANS.format('a')} AS chosen_mask, {_SPANS.format('b')} AS rejected_mask
+FROM x
+"""
+}

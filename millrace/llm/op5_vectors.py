@@ -178,3 +178,20 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_vectors": op5_vectors}
+
+ORACLE = {
+    "op5_vectors": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), n AS (
+    SELECT a, count(*) AS n FROM l GROUP BY a
+), r(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+    SELECT a, min(b) AS c FROM r GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+}

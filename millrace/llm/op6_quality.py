@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import stage, table
+from millrace.llm.common import WORD, stage, table
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -169,3 +169,45 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_quality": op6_quality}
+
+
+def _oracle() -> str:
+    gamma = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
+    ratios = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {r[0].replace('0D', '0.0')} AS v FROM m" for k, r in RULES.items())
+    quantiles = ", ".join(f"min(CASE WHEN rule = '{k}' AND cum >= a * {q} THEN val END) AS {k}_{name}" for k, r in RULES.items() for name, q in (("lo", r[1]), ("mid", 0.5), ("hi", r[2])))
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""{name}_b AS (SELECT {by}rule, bucket, sum(n) AS n FROM k GROUP BY ALL),
+{name}_c AS (SELECT *, CASE WHEN bucket = {ZERO_BUCKET} THEN 0 ELSE pow({gamma!r}, bucket) * 2 / {gamma + 1!r} END AS val, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}rule) AS a FROM {name}_b),
+{name} AS (SELECT {by}max(a) AS n, {quantiles} FROM {name}_c {'GROUP BY ' + keys if keys else ''})"""
+
+    names = [f"{rule}_{q}" for rule in RULES for q in ("lo", "mid", "hi")]
+    pick = ", ".join(f"CASE WHEN o.n >= {LEAST_GROUP} THEN o.{c} WHEN l.n >= {LEAST_GROUP} THEN l.{c} ELSE e.{c} END AS {c}" for c in names)
+    room = {rule: f"greatest({r[4]}, {r[3]} * ({rule}_hi - {rule}_lo))" for rule, r in RULES.items()}
+    fine = " AND ".join([f"{r[0].replace('0D', '0.0')} <= {rule}_mid + {room[rule]}" + (f" AND {r[0].replace('0D', '0.0')} >= {rule}_mid - {room[rule]}" if r[5] else "") for rule, r in RULES.items()])
+    return f"""
+WITH w AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), repeated AS (
+    SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS place FROM windows WHERE n > 1) GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM w
+), m AS (
+    SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+    FROM w JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), k AS (
+    SELECT lang, source, rule, CASE WHEN v > 0 THEN ceil(ln(v) / {float(np.log(gamma))!r})::INT ELSE {ZERO_BUCKET} END AS bucket, count(*) AS n FROM ({ratios}) GROUP BY ALL
+), {level('o', 'lang, source')}, {level('l', 'lang')}, {level('e', '')}, t AS (
+    SELECT o.lang, o.source, {pick} FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+    ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce({fine}, false) AS kept
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
+"""
+
+
+ORACLE = {"op6_quality": _oracle()}
