@@ -21,9 +21,9 @@ from millrace.llm.common import table
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 
 #: Characters of text whose new pieces are encoded by one query, and of a text that is split as a stream.
-BLOCK_CHARS, STREAM_CHARS = 1 << 20, 1 << 22
-#: Pieces that a worker remembers; it starts afresh beyond.
-REMEMBERED = 250_000
+BLOCK_CHARS, STREAM_CHARS = 1 << 19, 1 << 22
+#: Pieces that a worker remembers; it starts afresh beyond. Documents in a batch that it returns.
+REMEMBERED, ROWS = 200_000, 256
 #: Bytes of a piece that goes through the query, whose rows grow with the square of a piece; the same merges
 #: are made in a longer one with a heap.
 LONG_PIECE = 256
@@ -61,7 +61,7 @@ class Codec:
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_file.splitlines()) if t}
         self.split = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         ranks = self.ranks
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         for name, columns, rows in (("merges", ("l", "r", "tok"), merges), ("vocab", ("tok", "hex"), [(r, t.hex()) for t, r in ranks.items()])):
@@ -225,10 +225,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, ids
     def run(batches):
         c = codec(vocabulary.value, pattern)
         for batch in batches:
-            rows = list(c.texts([x or "" for x in batch.column(at).to_pylist()], ids))
-            n, a, b, i = zip(*rows) if rows else ([], [], [], [])
-            new = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] + [pa.array(i, pa.list_(pa.int32()))] * ids
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *new], names=[*[batch.schema.names[k] for k in keep], *added])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                n, a, b, i = zip(*c.texts([x or "" for x in part.column(at).to_pylist()], ids))
+                new = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if ids:
+                    ends = np.cumsum([0, *map(len, i)])
+                    new.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(i))))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *new], names=[*[part.schema.names[k] for k in keep], *added])
 
     types = [T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * ids
     return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[k] for k in keep], *[T.StructField(c, t) for c, t in zip(added, types)]]))
