@@ -22,12 +22,12 @@ from millrace.llm.blocks import blocks, forest, stream
 from millrace.llm.common import stage, table, unstage
 from millrace.llm.components import components
 
-UNIT_WORDS, LONG_SENTENCE, SHINGLE = 12, 48, 5  # a paragraph has at most 12 + 48 words
+UNIT_WORDS, LONG_SENTENCE, SHINGLE = 8, 48, 5  # a paragraph has at most 8 + 48 words
 #: Bands of rows: two paragraphs at the threshold of 0.8 meet with a chance of 0.95, at 0.9 with 0.99.
 BANDS, ROWS, THRESHOLD = 3, 2, 0.8
-#: Words that a run of repeated paragraphs has to have. What remains of a passage of over 50 words when its
-#: first and last sentences have grown together with the text around them.
-RUN_WORDS = 20
+#: Words that a repeated passage has to have. Its first and last sentences may have grown together with the text
+#: around them: up to CONTEXT words on either side of the paragraphs are compared one by one.
+PASSAGE_WORDS, CONTEXT = 50, 32
 BLOCK, FILTER_BITS = 256, 25
 
 _CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
@@ -117,34 +117,51 @@ def _unit_batches(batches):
             )
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) for the paragraph names in column id of ``wanted``, once each.
+def _bitmap(names: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, those of the longs in column id set. The size is fixed, whatever the input."""
+    low = f"pmod(id, {1 << FILTER_BITS})"
+    rows = names.groupBy(F.expr(f"CAST({low} DIV 32 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 32 AS int))")).alias("b")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for r in rows:
+        out[r[0]] = r[1]
+    return out
+
 
-    The documents are cut again; a bitmap of fixed size (2^FILTER_BITS bits) keeps most other paragraphs
-    from the join.
+def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataFrame:
+    """(mr_doc, doc_id, seq, unit, words, before, after, text): paragraphs whose names are in ``repeated`` or
+    ``near`` (id), and a few others; with CRCs of up to CONTEXT words before and after, and the text if near.
+
+    The documents are cut again, and bitmaps choose what comes out.
     """
-    spark = docs.sparkSession
-    rows = wanted.groupBy(F.expr(f"CAST(pmod(id, {1 << FILTER_BITS}) DIV 32 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(id, {1 << FILTER_BITS}) % 32 AS int))")).alias("b")).collect()
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in rows:
-        bitmap[r[0]] = r[1]
-    seen = spark.sparkContext.broadcast(bitmap)
+    seen = docs.sparkSession.sparkContext.broadcast((_bitmap(repeated), _bitmap(near)))
+    kind = "mr_doc long, doc_id long, seq int, unit long, words int, before array<int>, after array<int>, text string"
+    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
+    names = [c.split()[0] for c in kind.split(", ")]
 
     def run(batches):
-        bits = seen.value
+        exact, close = seen.value
         for batch in batches:
-            names, texts = [], []
-            for t in batch.column(0).cast(pa.large_binary()):
-                for _, _, w in paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []:
-                    if len(w) >= UNIT_WORDS:
-                        name = _name(w)
-                        low = name & ((1 << FILTER_BITS) - 1)
-                        if bits[low >> 5] >> (low & 31) & 1:
-                            names.append(name)
-                            texts.append(b" ".join(w).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
-
-    return docs.select("text").mapInArrow(run, "id long, text string").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                rows = []
+                for doc, doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary())):
+                    crcs, at = None, 0
+                    cut = paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []
+                    for seq, (_, _, w) in enumerate(cut):
+                        end = at + len(w)
+                        if len(w) >= UNIT_WORDS:
+                            name = _name(w)
+                            word, bit = (name & ((1 << FILTER_BITS) - 1)) >> 5, name & 31
+                            is_near = close[word] >> bit & 1
+                            if is_near or exact[word] >> bit & 1:
+                                if crcs is None:
+                                    crcs = [crc32(x) - (1 << 31) for _, _, u in cut for x in u]
+                                text = b" ".join(w).decode("utf-8") if is_near else None
+                                rows.append((doc, doc_id, seq, name - (1 << 64) if name >> 63 else name, len(w), crcs[max(0, at - CONTEXT) : at][::-1], crcs[end : end + CONTEXT], text))
+                        at = end
+                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * 8, arrow)], names=names)
+
+    return docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
 def _verify(block: dict):
@@ -184,45 +201,66 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(mr_doc, runs) of the documents from which something goes; runs: array of (first, last, words, keepers).
+    """(mr_doc, runs) of the documents from which something goes; runs: array of (first, last, words, left, right,
+    keepers), paragraphs first to last with left and right more words before and after them.
 
     Paragraphs that are equal, or whose sets of five-word shingles have a Jaccard similarity of THRESHOLD, are
-    one class with all that they lead to. The document with the smallest doc_id (null last) that holds a
-    class keeps it; elsewhere a run of adjoining paragraphs of RUN_WORDS words or more goes.
+    one class with all that they lead to. The document with the smallest doc_id (null last) that holds a class
+    keeps it. Elsewhere adjoining paragraphs of such classes are a run, which reaches as far as its ends go on
+    like the kept ones; it goes if it has PASSAGE_WORDS words.
     """
-    spark = docs.sparkSession
-    units = stage(_keyed(docs).select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_unit_batches, "mr_doc long, doc_id long, seq int, unit long, words int, " + ", ".join(f"m{b} long" for b in range(BANDS))), "op4-units")
+    spark, docs = docs.sparkSession, _keyed(docs)
+    units = stage(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_unit_batches, "mr_doc long, doc_id long, seq int, unit long, words int, " + ", ".join(f"m{b} long" for b in range(BANDS))).drop("doc_id", "seq", "words"), "op4-units")
     keyed = units.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
-    mixed = keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key")
+    mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "op4-mixed")
     keys = stage(keyed.join(mixed, "key", "left_semi").select("key", F.col("unit").alias("id")).distinct(), "op4-keys")
+    twice = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select(F.col("unit").alias("id"))
+    at = stage(_occurrences(docs, twice, keys.select("id")), "op4-at")
+    unstage(units, mixed)
     _release(spark)
-    payload = stage(_texts_of(docs, keys.select("id").distinct()), "op4-texts")
-    edges = stage(blocks(keys, payload, BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
+    texts = at.where("text IS NOT NULL").groupBy(F.col("unit").alias("id")).agg(F.first("text").alias("text"))
+    edges = stage(blocks(keys, stage(texts, "op4-texts"), BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
     roots = stage(components(edges), "op4-roots")
-    unstage(keys, payload, edges)
-    # Classes that lie in more than one document.
-    held = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"))
-    classed = held.join(roots, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("class"), "d0", "d1", F.col("root").isNotNull().alias("near"))
-    apart = stage(classed.where("near OR d0 <> d1"), "op4-classed")
-    many = apart.groupBy("class").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("d0 <> d1").select("class")
-    names = stage(apart.join(many, "class", "left_semi").select(F.col("unit").alias("u"), "class"), "op4-names")
-    at = stage(units.select("mr_doc", "doc_id", "seq", "unit", "words").join(names, F.col("unit") == F.col("u")).select("mr_doc", "doc_id", "seq", "words", "class"), "op4-at")
-    unstage(units, apart)
+    unstage(keys, edges)
+    classed = stage(at.drop("text").join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).drop("node", "root", "unit"), "op4-classed")
+    unstage(at)
     _release(spark)
-    first = at.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc")).alias("keeper"))
-    first = first.select(F.col("class").alias("c"), F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("keeper_doc"))
-    going = at.join(first, F.col("class") == F.col("c")).where("mr_doc <> keeper_doc").select("mr_doc", "seq", "words", "keeper").distinct()
-    listed = going.groupBy("mr_doc").agg(F.array_sort(F.collect_list(F.struct("seq", "words", "keeper"))).alias("x"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", "seq", "before", "after")
+    kept = classed.groupBy(F.col("class").alias("c")).agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("c", "keeper")
+    kept = stage(kept, "op4-kept")
+    same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
+    going = classed.join(kept, F.col("class") == F.col("c")).where("mr_doc <> keeper.mr_doc").selectExpr(
+        "mr_doc", "seq", "words", f"CAST({same('before', 'keeper.before')} AS int) AS left", f"CAST({same('after', 'keeper.after')} AS int) AS right", "keeper.doc_id AS keeper"
+    ).distinct()
+    listed = going.groupBy("mr_doc").agg(F.array_sort(F.collect_list(F.struct("seq", "words", "left", "right", "keeper"))).alias("x"))
+    run = "named_struct('first', {first}, 'last', e.seq, 'words', {words}, 'left', {left}, 'right', e.right, 'keepers', {keepers})"
+    last = "element_at(acc, -1)"
     runs = listed.select("mr_doc", F.expr(f"""
-        filter(aggregate(x, CAST(array() AS array<struct<first:int,last:int,words:int,keepers:array<bigint>>>), (acc, e) ->
-            CASE WHEN size(acc) > 0 AND element_at(acc, -1).last + 1 = e.seq THEN
-                concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', e.seq,
-                    'words', element_at(acc, -1).words + e.words, 'keepers', array_union(element_at(acc, -1).keepers, array(e.keeper)))))
-            ELSE concat(acc, array(named_struct('first', e.seq, 'last', e.seq, 'words', e.words, 'keepers', array(e.keeper)))) END),
-        r -> r.words >= {RUN_WORDS})""").alias("runs"))
+        filter(aggregate(x, CAST(array() AS array<struct<first:int,last:int,words:int,left:int,right:int,keepers:array<bigint>>>), (acc, e) ->
+            CASE WHEN size(acc) > 0 AND {last}.last + 1 = e.seq THEN concat(slice(acc, 1, size(acc) - 1), array({run.format(first=f"{last}.first", words=f"{last}.words + e.words", left=f"{last}.left", keepers=f"array_union({last}.keepers, array(e.keeper))")}))
+            ELSE concat(acc, array({run.format(first="e.seq", words="e.words", left="e.left", keepers="array(e.keeper)")})) END),
+        r -> r.left + r.words + r.right >= {PASSAGE_WORDS})""").alias("runs"))
     return stage(runs.where("size(runs) > 0"), "op4-runs")
 
 
+def _spans(text: bytes, runs: list) -> list[tuple[int, int]]:
+    """Bytes of a text that runs cover, with their left and right words."""
+    cut, out = paragraphs(text), []
+    for r in runs:
+        start, end = cut[r["first"]][0], cut[r["last"]][1]
+        if r["left"]:
+            # CONTEXT words lie within as many paragraphs as hold them, each of UNIT_WORDS at least.
+            low = cut[max(0, r["first"] - CONTEXT // UNIT_WORDS - 1)][0]
+            start = [m.start() for m in _WORD.finditer(text, low, start)][-r["left"]]
+        for _, m in zip(range(r["right"]), _WORD.finditer(text, end)):
+            end = m.end()
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from text, and mr_removed: the words that went; n_chars, if there
     is one, is counted anew. A document of which nothing is left has the empty text.
@@ -241,12 +279,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             for i, r in enumerate(batch.column(len(names)).to_pylist()):
                 gone.append(0)
                 if r:
-                    text = texts[i].encode()
-                    p, out, last = paragraphs(text), [], 0
-                    for x in r:
-                        out.append(text[last : p[x["first"]][0]])
-                        last = p[x["last"]][1]
-                        gone[-1] += x["words"]
+                    text, out, last = texts[i].encode(), [], 0
+                    for start, end in _spans(text, r):
+                        out.append(text[last:start])
+                        gone[-1] += len(text[start:end].split())
+                        last = end
                     texts[i] = (b"".join(out) + text[last:]).decode()
             columns = [*batch.columns[:-1], pa.array(gone, pa.int64())]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
@@ -263,7 +300,7 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _keyed(docs).drop("text").join(runs, F.col("mr_doc") == F.col("d"), "left")
     return joined.select(
         "doc_id",
-        F.coalesce(F.expr("aggregate(runs, 0L, (n, r) -> n + r.words)"), F.lit(0)).cast("long").alias("n_removed_words"),
+        F.coalesce(F.expr("aggregate(runs, 0L, (n, r) -> n + r.left + r.words + r.right)"), F.lit(0)).cast("long").alias("n_removed_words"),
         F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
         F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(runs, r -> r.keepers))))"), F.array().cast("array<bigint>")).alias("kept_in"),
     )
