@@ -22,8 +22,19 @@ class Corpus:
     vectors: DataFrame
 
     @staticmethod
-    def build(chunks: DataFrame) -> Corpus:
-        return Corpus(chunks, LexicalIndex.build(chunks, "id"), dense.hash_vectors(chunks, "id"))
+    def build(chunks: DataFrame, keep: bool = True) -> Corpus:
+        """``keep``: hold chunks, postings, lengths and vectors in memory or on local disk once they are made, as
+        several branches of every query read them; ``release`` lets them go."""
+        held = chunks.persist() if keep else chunks
+        lexical, vectors = LexicalIndex.build(held, "id"), dense.hash_vectors(held, "id")
+        if keep:
+            lexical = LexicalIndex(lexical.postings.persist(), lexical.lengths.persist(), lexical.stats)
+            vectors = vectors.persist()
+        return Corpus(held, lexical, vectors)
+
+    def release(self) -> None:
+        for df in (self.chunks, self.lexical.postings, self.lexical.lengths, self.vectors):
+            df.unpersist()
 
     def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Full score tables and the k best by each: lexical, dense."""
@@ -42,6 +53,14 @@ class Corpus:
             return (best_s if mode == "bm25" else best_d).select("query_id", "rank", "id")
         return self._fused(best_s, best_d, k).select("query_id", "rank", "id")
 
+    def rankings(self, queries: DataFrame, k: int = 10, depth: int = DEPTH) -> DataFrame:
+        """(mode, query_id, rank, id) of all modes, from one pair of score tables."""
+        _, _, best_s, best_d = self._parts(queries, max(k, depth))
+        best_s, best_d = best_s.persist(), best_d.persist()
+        lists = {"bm25": best_s.where(F.col("rank") <= k), "dense": best_d.where(F.col("rank") <= k), "hybrid": self._fused(best_s.where(F.col("rank") <= depth), best_d.where(F.col("rank") <= depth), k)}
+        parts = [r.select(F.lit(mode).alias("mode"), "query_id", "rank", "id") for mode, r in lists.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
     def _fused(self, best_s: DataFrame, best_d: DataFrame, k: int) -> DataFrame:
         lists = [r.select("query_id", F.lit(i).alias("list_id"), "rank", "id") for i, r in ((0, best_d), (1, best_s))]
         return fuse(lists[0].unionByName(lists[1]), top=k)
