@@ -21,7 +21,10 @@ SEGMENTS = (21, 21, 22)
 BUCKET = 32
 #: For near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles: flips of a link in 128 bits
 #: (20 are expected at 0.8, 13 at 0.9), and fingerprints in a block.
-WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 22, 5, 256
+WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 24, 5, 256
+#: Shingles of a document that its wide keys are tied to, one for each segment of both halves.
+ANCHORS = 2 * len(SEGMENTS)
+_MIXERS = np.random.default_rng(17).integers(1, 1 << 63, ANCHORS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -57,15 +60,26 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(_vote(blocks_, n, 8).view(np.int64)[0])
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
-    """A SimHash of 128 bits, as two signed longs."""
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[int, ...]:
+    """A SimHash of 128 bits as two signed longs, then ANCHORS longs: the least of the shingles' hashes under as
+    many mixings. Zeros if there are no words."""
     joined, starts, stops = _shingles(text, shingle)
     digest, n = xxhash.xxh3_128_digest, len(starts)
     if not n:
-        return 0, 0
-    blocks_ = (np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])]), np.uint8) for i in range(0, n, BLOCK))
-    a, b = _vote(blocks_, n, 16).view(np.int64).tolist()
-    return a, b
+        return (0,) * (2 + ANCHORS)
+    least = np.full(ANCHORS, np.iinfo(np.uint64).max)
+
+    def digests():
+        for i in range(0, n, BLOCK):
+            h = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])]), np.uint8)
+            word = h.view(np.uint64)[::2]
+            for k, m in enumerate(_MIXERS):
+                x = (word ^ (word >> np.uint64(31))) * m
+                least[k] = min(least[k], (x ^ (x >> np.uint64(29))).min())
+            yield h
+
+    a, b = _vote(digests(), n, 16).view(np.int64).tolist()
+    return a, b, *least.view(np.int64).tolist()
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "mr_fp", keep_text: bool = True) -> DataFrame:
@@ -106,24 +120,19 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): keys of which fingerprints that differ in five bits or fewer share one at least.
+def wide_keys(f: list[np.ndarray], anchors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of wide fingerprints: the Golay keys of each segment, each together with one anchor.
 
-    Of three segments two have two flips at most each: a key is a Golay key of both, 26 bits with the choice
-    of the segments; there are about 80 for a fingerprint. Many pairs with more flips share one too.
+    Documents that share the anchor, as they do with a chance of their similarity, and differ in two bits or
+    fewer of its segment share a key; there are about 32 for a document. A Golay key alone has 12 bits, and
+    buckets of many millions would fill with strangers.
     """
     rows, keys = [], []
-    fuzzy = [fuzzy_keys(p, w) for p, w in zip(_segments(fps), SEGMENTS)]
-    for i in range(len(SEGMENTS)):
-        (ra, ka), (rb, kb) = fuzzy[i], fuzzy[(i + 1) % len(SEGMENTS)]
-        # All pairs of the two lists of each row.
-        count = np.bincount(rb, minlength=len(fps))
-        start = np.cumsum(count) - count
-        each = count[ra]
-        left = np.repeat(np.arange(len(ra)), each)
-        right = start[ra[left]] + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
-        rows.append(ra[left])
-        keys.append((np.int64(i) << np.int64(2 * DATA_BITS)) | (ka[left].astype(np.int64) << np.int64(DATA_BITS)) | kb[right].astype(np.int64))
+    for i, part in enumerate(x for half in f for x in _segments(half)):
+        row, code = fuzzy_keys(part, SEGMENTS[i % len(SEGMENTS)])
+        tied = (anchors[i].view(np.uint64) << np.uint64(15)) | np.uint64(i << DATA_BITS)
+        rows.append(row)
+        keys.append((tied[row] | code.astype(np.uint64)).view(np.int64))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -135,16 +144,17 @@ def _node(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
+_WIDE = ["f0", "f1", *[f"a{k}" for k in range(ANCHORS)]]
+
+
 def _wide_batches(batches):
-    """(f0, f1) -> (key, id, f0, f1): the keys of either half."""
+    """_WIDE -> (key, id, f0, f1)."""
     for batch in batches:
-        f = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2)]
-        for i in range(0, batch.num_rows, 1024):
-            part = [x[i : i + 1024] for x in f]
-            ids = _node(*part)
-            for half in range(2):
-                row, key = wide_keys(part[half])
-                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(half << 40)), pa.array(ids[row]), pa.array(part[0][row]), pa.array(part[1][row])], names=["key", "id", "f0", "f1"])
+        c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(_WIDE))]
+        for i in range(0, batch.num_rows, 4096):
+            part = [x[i : i + 4096] for x in c]
+            row, key = wide_keys(part[:2], part[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_node(*part[:2])[row]), pa.array(part[0][row]), pa.array(part[1][row])], names=["key", "id", "f0", "f1"])
 
 
 def _near(block: dict):
@@ -161,24 +171,25 @@ def _near(block: dict):
 
 
 def wide_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between the ids of wide fingerprints (f0, f1), distinct: no two of more than WIDE_FLIPS
-    differing bits; of fewer, enough to join all that share a key in either half. Those are all with ten bits
-    or fewer, nearly all at a similarity of 0.9. Buckets of any size are compared in blocks."""
-    keys = prints.select("f0", "f1").mapInArrow(_wide_batches, "key long, id long, f0 long, f1 long")
+    """Links (a, b) between the ids of wide fingerprints (columns _WIDE), distinct: no two of more than
+    WIDE_FLIPS differing bits; of fewer, enough to join all that share a key. Buckets of any size are compared
+    in blocks."""
+    keys = prints.select(*_WIDE).mapInArrow(_wide_batches, "key long, id long, f0 long, f1 long")
     return stage(blocks(keys, None, WIDE_BLOCK).mapInArrow(lambda b: stream(b, _near), "a long, b long").distinct(), "op2-links")
 
 
 def _with_wide(docs: DataFrame) -> DataFrame:
-    """(mr_doc, doc_id, text) -> (mr_doc, doc_id, f0, f1, mr_fp)."""
+    """(mr_doc, doc_id, text) -> (mr_doc, doc_id, _WIDE, mr_fp)."""
+    names = ["mr_doc", "doc_id", *_WIDE, "mr_fp"]
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 f = np.array([wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(2).cast(pa.large_binary())], np.int64).T.copy()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f[0]), pa.array(f[1]), pa.array(_node(f[0], f[1]))], names=["mr_doc", "doc_id", "f0", "f1", "mr_fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, f), pa.array(_node(f[0], f[1]))], names=names)
 
-    return docs.mapInArrow(run, "mr_doc long, doc_id long, f0 long, f1 long, mr_fp long")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _key_batches(batches):
@@ -214,7 +225,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 def _named(known: DataFrame, find, *more: str) -> DataFrame:
     """(mr_node, component_id, root) of every fingerprint in ``known`` (mr_fp, doc_id, more)."""
-    nodes = stage(known.groupBy("mr_fp", *more).agg(F.min("doc_id").alias("least")), "op2-nodes")
+    nodes = known.groupBy("mr_fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("mr_fp", *more)).alias("m"))
+    nodes = stage(nodes.select("mr_fp", "least", *[f"m.{c}" for c in more]), "op2-nodes")
     linked = components(find(nodes.select(F.col("mr_fp").alias("fp"), *more)))
     rooted = nodes.join(linked, F.col("mr_fp") == F.col("node"), "left").select("mr_fp", "least", F.coalesce("root", "mr_fp").alias("root"))
     rooted = stage(rooted, "op2-rooted")
@@ -244,7 +256,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.withColumn("mr_doc", F.xxhash64("doc_id", "text"))
     known = stage(_with_wide(keyed.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text")), "op2-prints")
-    names = _named(known, wide_links, "f0", "f1").select("mr_node", "root")
+    names = _named(known, wide_links, *_WIDE).select("mr_node", "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mr_doc")
     first = known.join(names, F.col("mr_fp") == F.col("mr_node")).groupBy("root").agg(F.min(order).alias("x"))
     kept = stage(first.select(F.col("x.mr_doc").alias("mr_doc")).distinct(), "op2-kept")
