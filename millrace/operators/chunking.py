@@ -25,18 +25,20 @@ def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to less than size")
-    stride = size - overlap
-    n = F.size(word_array)
-    k = F.least(n_windows(n, size, overlap), F.lit(cap))
-    out = df.withColumn("mr_n", n).where("mr_n > 0").withColumn("seq", F.explode(F.sequence(F.lit(0), k - 1)))
-    part = F.slice(F.col(word_array), F.col("seq") * stride + 1, F.lit(size))
-    text = F.array_join(F.transform(part, lambda w: w["word"]) if paged else part, " ")
-    page = F.col(word_array)[F.col("seq") * stride]["page"] if paged else F.lit(None).cast("int")
-    return out.select(
-        *[c for c in df.columns if c != word_array], "seq",
-        (F.col("seq") * stride).alias("start_word"), F.least(F.col("seq") * stride + size, F.col("mr_n")).alias("end_word"),
-        page.alias("page"), text.alias("text"),
-    )
+    stride, w = size - overlap, F.col(word_array)
+    k = F.least(n_windows(F.size(w), size, overlap), F.lit(cap))
+
+    def window(c: Column) -> Column:
+        part = F.slice(w, c * stride + 1, F.lit(size))
+        return F.struct(
+            c.alias("seq"), (c * stride).alias("start_word"), F.least(c * stride + size, F.size(w)).alias("end_word"),
+            (F.get(w, c * stride)["page"] if paged else F.lit(None).cast("int")).alias("page"),
+            F.array_join(F.transform(part, lambda x: x["word"]) if paged else part, " ").alias("text"),
+        )
+
+    # All windows of a row are made before they are spread out, so that no row but the source holds all words.
+    windows = F.when((F.size(w) > 0) & (k > 0), F.transform(F.sequence(F.lit(0), k - 1), window))
+    return df.select(*[c for c in df.columns if c != word_array], F.inline(windows))
 
 
 def number_chunks(chunks: DataFrame, order: str, cap: int | None = None) -> DataFrame:
