@@ -119,14 +119,23 @@ class Store:
     def chunk(self, id: int):
         return self.all_chunks().where(F.col("id") == id).first()
 
+    def health(self) -> dict:
+        return {"ok": True, "chunks": self.all_chunks().count()}
+
     def page(self, offset: int, limit: int) -> DataFrame:
-        """Chunks offset to offset + limit, in order."""
+        """Chunks offset to offset + limit, in order; limit from 1 to 100."""
+        if offset < 0 or not 1 <= limit <= 100:
+            raise ValueError("offset from 0, limit from 1 to 100")
         return self.all_chunks().where(F.col("id").between(offset, offset + limit - 1)).orderBy("id")
 
     def corpus(self) -> Corpus:
         return Corpus.build(self.all_chunks())
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """Passages of each query (query_id, text); k from 1 to 20. Queries of no or over 2000 characters have none."""
+        if not 1 <= k <= 20:
+            raise ValueError("k from 1 to 20")
+        queries = queries.where(F.char_length("text").between(1, 2000))
         return self.corpus().passages(queries, k)
 
     def vectors(self) -> DataFrame:

@@ -69,6 +69,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     return top_k(parts, "cosine", k)
 
 
+def append_vectors(vectors: DataFrame, path: str, dim: int = EMBED_DIM) -> None:
+    """Add unit vectors (id, embedding) to a table. A vector of another length is an error, and nothing is added."""
+    made = vectors.select("id", unit(F.col("embedding")).cast("array<float>").alias("embedding"))
+    wrong = made.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim)
+    if not wrong.isEmpty():
+        raise ValueError(f"vectors of {dim} components are kept here")
+    made.write.mode("append").parquet(path)
+
+
 def hash_buckets(text: Column, dim: int = EMBED_DIM) -> Column:
     """The bucket of every word of a text in lower case, without . , ? at its ends: its MD5 as a number modulo dim."""
     parts = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.params import BM25_B, BM25_K1
@@ -27,6 +27,27 @@ class LexicalIndex:
         postings = found.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
         return LexicalIndex(postings, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
 
+    def save(self, path: str) -> None:
+        """Write the index, postings in the order of terms, so that a term's are read from few row groups."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LexicalIndex:
+        lengths = spark.read.parquet(f"{path}/lengths")
+        return LexicalIndex(spark.read.parquet(f"{path}/postings"), lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
+
+    def size_bytes(self) -> DataFrame:
+        """One row: the bytes of the terms and of 12 for each posting and 12 for each document."""
+        terms_ = self.postings.select("term").distinct().agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("t"))
+        p = self.postings.agg(F.count("*").alias("p"))
+        return terms_.join(p, F.lit(True)).join(self.stats, F.lit(True)).select((F.col("t") + 12 * F.col("p") + 12 * F.col("n")).alias("index_bytes"))
+
+    def append(self, other: LexicalIndex) -> LexicalIndex:
+        """Both indexes as one, of documents with different ids. Counts and lengths add up; nothing is made anew."""
+        stats = self.stats.unionByName(other.stats).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        return LexicalIndex(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), stats)
+
     def idf(self) -> DataFrame:
         """(term, df, idf) of every indexed term."""
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -15,6 +15,13 @@ def build_qrels(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     return t.join(F.broadcast(p), F.contains("t", "p")).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
 
 
+def require_labels(queries: DataFrame, qrels: DataFrame) -> None:
+    """Raise if a query has no relevant text: its metrics would say nothing about a ranking."""
+    bare = queries.select("query_id").join(qrels.where("grade > 0"), "query_id", "left_anti").orderBy("query_id").head(5)
+    if bare:
+        raise ValueError(f"queries without a relevant text: {', '.join(str(r[0]) for r in bare)}")
+
+
 def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,24 +14,32 @@ from millrace.operators.lexical import LexicalIndex
 from millrace.operators.ranking import fuse, top_k
 
 
+class Embedder(Protocol):
+    """Makes unit vectors of texts: rows (id, bucket, weight) of the components that aren't zero. A model goes
+    here as a function over ``mapInArrow`` or a pandas UDF."""
+
+    def __call__(self, docs: DataFrame, key: str) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """Chunks (id, doc, page, text) with their lexical index and hashed vectors."""
+    """Chunks (id, doc, page, text) with their lexical index and vectors."""
 
     chunks: DataFrame
     lexical: LexicalIndex
     vectors: DataFrame
+    embed: Embedder = dense.hash_vectors
 
     @staticmethod
-    def build(chunks: DataFrame, keep: bool = True) -> Corpus:
+    def build(chunks: DataFrame, keep: bool = True, embed: Embedder = dense.hash_vectors) -> Corpus:
         """``keep``: hold chunks, postings, lengths and vectors in memory or on local disk once they are made, as
         several branches of every query read them; ``release`` lets them go."""
         held = chunks.persist() if keep else chunks
-        lexical, vectors = LexicalIndex.build(held, "id"), dense.hash_vectors(held, "id")
+        lexical, vectors = LexicalIndex.build(held, "id"), embed(held, "id")
         if keep:
             lexical = LexicalIndex(lexical.postings.persist(), lexical.lengths.persist(), lexical.stats)
             vectors = vectors.persist()
-        return Corpus(held, lexical, vectors)
+        return Corpus(held, lexical, vectors, embed)
 
     def release(self) -> None:
         for df in (self.chunks, self.lexical.postings, self.lexical.lengths, self.vectors):
@@ -39,7 +48,7 @@ class Corpus:
     def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Full score tables and the k best by each: lexical, dense."""
         full_s = self.lexical.scores(queries, "query_id")
-        full_d = dense.sparse_scores(dense.hash_vectors(queries, "query_id"), self.vectors)
+        full_d = dense.sparse_scores(self.embed(queries, "query_id"), self.vectors)
         best_s = top_k(full_s, "bm25", k)
         best_d = dense.sparse_search(queries, queries.select("query_id"), self.vectors, self.chunks, k, full_d)
         return full_s, full_d, best_s, best_d

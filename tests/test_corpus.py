@@ -87,6 +87,10 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in store.page(0, 100).collect()] == list(range(6)) and store.chunk(5)["doc"] == "y.txt"
     q = spark.createDataFrame([(1, "frogs ponds")], "query_id long, text string")
     assert store.search(q).where("rank = 1").first()["doc"] == "a.txt"
+    assert store.health() == {"ok": True, "chunks": 6}
+    for wrong in (lambda: store.page(-1, 5), lambda: store.page(0, 101), lambda: store.search(q, 21)):
+        with pytest.raises(ValueError):
+            wrong()
     m = store.map(q, k=2)
     assert m["n_total"] == 6 and m["points"].count() == 6 and m["queries"].count() == 1 and m["hits"].count() == 2 and 0 < m["eta"] <= 1
     gone = store.docs().where("name = 'b.txt'").first()["sha256"]

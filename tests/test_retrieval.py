@@ -226,3 +226,39 @@ def test_citations_and_fallbacks(spark):
     reasons = {i: out[i]["reason"] for i in (2, 3, 4, 5, 6, 7, 9, 10)}
     assert reasons == {2: "answer failed citation check", 3: "answer failed citation check", 4: "model rate limit", 5: "model not reached", 6: "no passages retrieved", 7: "model answer empty", 9: "model key refused", 10: "model error 503"}
     assert all(out[i]["answer"] == "- e [1]" for i in reasons)
+
+
+def test_index_on_disk_and_in_parts(spark, tiny, tmp_path):
+    tiny.save(str(tmp_path / "i"))
+    loaded = LexicalIndex.load(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "cat dog")], "query_id long, text string")
+    same = lambda i: sorted((r["id"], round(r["bm25"], 12)) for r in i.scores(q, "query_id").collect())
+    assert same(loaded) == same(tiny) and tiny.size_bytes().first()[0] == 3 + 3 + 4 + 4 + 12 * 5 + 12 * 3
+    a = LexicalIndex.build(spark.createDataFrame([(0, "cat cat dog")], "id long, text string"), "id")
+    b = LexicalIndex.build(spark.createDataFrame([(1, "dog bird"), (2, "fish")], "id long, text string"), "id")
+    assert same(a.append(b)) == same(tiny)
+
+
+def test_vector_table(spark, tmp_path):
+    v = spark.createDataFrame([(1, [3.0, 4.0])], "id long, embedding array<double>")
+    dense.append_vectors(v, str(tmp_path / "v"), 2)
+    with pytest.raises(ValueError):
+        dense.append_vectors(v, str(tmp_path / "v"), 3)
+    assert [r["embedding"] for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [pytest.approx([0.6, 0.8])]
+
+
+def test_labels_are_required(spark):
+    q = spark.createDataFrame([(1,), (2,)], "query_id long")
+    rel = spark.createDataFrame([(1, 5, 1), (2, 5, 0)], "query_id long, id long, grade int")
+    with pytest.raises(ValueError, match="2"):
+        metrics.require_labels(q, rel)
+    metrics.require_labels(q.where("query_id = 1"), rel)
+
+
+def test_another_embedder(spark):
+    def by_length(docs, key):
+        return docs.select(F.col(key).alias("id"), F.char_length("text").alias("bucket"), F.lit(1.0).alias("weight"))
+
+    chunks = spark.createDataFrame([(0, "a", None, "xxxx"), (1, "a", None, "yy")], "id long, doc string, page int, text string")
+    q = spark.createDataFrame([(1, "zz")], "query_id long, text string")
+    assert Corpus.build(chunks, embed=by_length).ranking(q, "dense", 1).first()["id"] == 1
