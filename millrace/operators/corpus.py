@@ -139,9 +139,8 @@ class Store:
         return self.corpus().passages(queries, k)
 
     def vectors(self) -> DataFrame:
-        """(id, embedding): the hashed vectors of all chunks, written out."""
-        sparse = dense.hash_vectors(self.all_chunks(), "id").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-        return sparse.select("id", F.transform(F.sequence(F.lit(0), F.lit(dense.EMBED_DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+        """(id, embedding) of all chunks."""
+        return dense.hash_embeddings(self.all_chunks(), "id")
 
     def map(self, queries: DataFrame | None = None, k: int = 5, max_points: int = 1500) -> dict:
         """points (id, x, y), queries (query_id, x, y), hits (query_id, rank, chunk_id), eta, n_total."""
@@ -153,8 +152,7 @@ class Store:
         hits = points_of = None
         if queries is not None:
             hits = self.search(queries, k).select("query_id", "rank", "chunk_id")
-            q = dense.hash_vectors(queries, "query_id").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-            q = q.select(F.col("id").alias("query_id"), F.transform(F.sequence(F.lit(0), F.lit(dense.EMBED_DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("e"))
+            q = dense.hash_embeddings(queries, "query_id").select(F.col("id").alias("query_id"), F.col("embedding").alias("e"))
             x, y = fitted.project(F.col("e"))
             points_of = q.select("query_id", x.alias("x"), y.alias("y"))
         points = fitted.points(vectors, hits.select(F.col("chunk_id").alias("id")) if hits is not None else None, max_points)

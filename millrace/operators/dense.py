@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,20 @@ def unit(v: Column) -> Column:
     return F.transform(d, lambda x: x / norm)
 
 
+def _best(r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best of each column; of equals the smaller ids."""
+    n, m = r.shape
+    if n <= k:
+        return np.nonzero(np.ones_like(r, bool))
+    least = np.partition(r, n - k, axis=0)[n - k]
+    keep = r > least[None, :]
+    room = k - keep.sum(axis=0)
+    order = np.argsort(ids, kind="stable")
+    ties = r[order] == least[None, :]
+    keep[order] |= ties & (np.cumsum(ties, axis=0) <= room[None, :])
+    return np.nonzero(keep)
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     """(query_id, rank, id, cosine): the k nearest of all ``vectors`` (id, embedding) for every query (query_id, embedding).
 
@@ -47,12 +62,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
                     x = part.column(1).flatten().to_numpy().reshape(n, -1).astype(np.float64)
                     x = x / np.maximum(np.sqrt((x * x).sum(axis=1)), EPS)[:, None]
                     s = x @ q.T
-                    r = np.round(s, DIGITS)
-                    if n > k:
-                        least = np.partition(r, n - k, axis=0)[n - k]
-                        keep = np.nonzero(r >= least[None, :])
-                    else:
-                        keep = np.nonzero(np.ones_like(r, bool))
+                    keep = _best(np.round(s, DIGITS), own, k)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[keep[1]]), pa.array(own[keep[0]]), pa.array(s[keep])], names=["query_id", "id", "cosine"])
 
         return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, cosine double")
@@ -83,14 +93,14 @@ def hash_buckets(text: Column, dim: int = EMBED_DIM) -> Column:
     parts = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
     clean = F.transform(parts, lambda w: F.regexp_replace(w, "^[.,?]+|[.,?]+$", ""))
 
-    def bucket(w: Column) -> Column:
-        # Sixteen digits are more than a long holds: the remainder is carried from piece to piece.
-        h, rest = F.md5(w), F.lit(0).cast("long")
+    def bucket(h: Column) -> Column:
+        # The digits are more than a long holds: the remainder is carried from piece to piece.
+        rest = F.lit(0).cast("long")
         for i in range(4):
             rest = (rest * (1 << 32) + F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")) % dim
         return rest.cast("int")
 
-    return F.transform(clean, bucket)
+    return F.transform(F.transform(clean, F.md5), bucket)
 
 
 def hash_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = EMBED_DIM) -> DataFrame:
@@ -100,20 +110,25 @@ def hash_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = EMBED
     return counts.join(norms, "id").select("id", "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 
 
-def sparse_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, id, cosine) of all that share a bucket; both sides (id, bucket, weight)."""
-    q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("q"))
-    return vectors.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("cosine"))
+def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dim: int = EMBED_DIM) -> DataFrame:
+    """The same vectors whole: (id, embedding), zeros for a text without words. One pass, no shuffle."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                n, found = part.num_rows, part.column(1)
+                lens = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+                flat = np.repeat(np.arange(n), lens) * dim + found.flatten().to_numpy()
+                x = np.bincount(flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+                x /= np.maximum(np.sqrt((x * x).sum(axis=1)), EPS)[:, None]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(x.ravel()))], names=["id", "embedding"])
 
-def sparse_search(queries: DataFrame, query_ids: DataFrame, vectors: DataFrame, ids: DataFrame, k: int = DEPTH, scores: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, id, cosine), the k nearest; where fewer share a bucket, the smallest other ids follow with 0.
+    return docs.select(F.col(key).cast("long").alias("id"), hash_buckets(F.col(text), dim).alias("b")).mapInArrow(run, "id long, embedding array<double>")
 
-    query_ids (query_id) and ids (id) name all queries and all rows, with or without words.
-    """
-    best = top_k(sparse_scores(queries, vectors) if scores is None else scores, "cosine", k)
-    # Of the 2k smallest ids, k at most are among the best already.
-    few = best.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = query_ids.join(few, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    pad = short.join(F.broadcast(ids.select("id").orderBy("id").limit(2 * k)), F.lit(True)).join(best, ["query_id", "id"], "left_anti").withColumn("cosine", F.lit(0.0))
-    return top_k(best.select("query_id", "id", "cosine").unionByName(pad), "cosine", k)
+
+def cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, id and more) with the cosine of the two unit vectors: queries (query_id, embedding), vectors (id, embedding)."""
+    q = queries.select("query_id", F.col("embedding").alias("mr_q"))
+    both = pairs.join(q, "query_id").join(vectors.select("id", F.col("embedding").alias("mr_v")), "id")
+    return both.withColumn("cosine", F.aggregate(F.zip_with("mr_q", "mr_v", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)).drop("mr_q", "mr_v")

@@ -15,8 +15,8 @@ from millrace.operators.ranking import fuse, top_k
 
 
 class Embedder(Protocol):
-    """Makes unit vectors of texts: rows (id, bucket, weight) of the components that aren't zero. A model goes
-    here as a function over ``mapInArrow`` or a pandas UDF."""
+    """Makes unit vectors (id, embedding) of texts. A model goes here, as a function over ``mapInArrow`` or a
+    pandas UDF."""
 
     def __call__(self, docs: DataFrame, key: str) -> DataFrame: ...
 
@@ -28,10 +28,10 @@ class Corpus:
     chunks: DataFrame
     lexical: LexicalIndex
     vectors: DataFrame
-    embed: Embedder = dense.hash_vectors
+    embed: Embedder = dense.hash_embeddings
 
     @staticmethod
-    def build(chunks: DataFrame, keep: bool = True, embed: Embedder = dense.hash_vectors) -> Corpus:
+    def build(chunks: DataFrame, keep: bool = True, embed: Embedder = dense.hash_embeddings) -> Corpus:
         """``keep``: hold chunks, postings, lengths and vectors in memory or on local disk once they are made, as
         several branches of every query read them; ``release`` lets them go."""
         held = chunks.persist() if keep else chunks
@@ -45,26 +45,26 @@ class Corpus:
         for df in (self.chunks, self.lexical.postings, self.lexical.lengths, self.vectors):
             df.unpersist()
 
-    def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """Full score tables and the k best by each: lexical, dense."""
-        full_s = self.lexical.scores(queries, "query_id")
-        full_d = dense.sparse_scores(self.embed(queries, "query_id"), self.vectors)
-        best_s = top_k(full_s, "bm25", k)
-        best_d = dense.sparse_search(queries, queries.select("query_id"), self.vectors, self.chunks, k, full_d)
-        return full_s, full_d, best_s, best_d
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        return self.embed(queries, "query_id").withColumnRenamed("id", "query_id")
+
+    def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The full lexical score table, and the k best by words and by vectors."""
+        full = self.lexical.scores(queries, "query_id")
+        return full, top_k(full, "bm25", k), dense.search(self._asked(queries), self.vectors, k)
 
     def ranking(self, queries: DataFrame, mode: str, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(query_id, rank, id) by mode: 'bm25', 'dense' or 'hybrid'."""
         if mode not in ("bm25", "dense", "hybrid"):
             raise ValueError(f"no such mode: {mode}")
-        _, _, best_s, best_d = self._parts(queries, depth if mode == "hybrid" else k)
+        _, best_s, best_d = self._parts(queries, depth if mode == "hybrid" else k)
         if mode != "hybrid":
             return (best_s if mode == "bm25" else best_d).select("query_id", "rank", "id")
         return self._fused(best_s, best_d, k).select("query_id", "rank", "id")
 
     def rankings(self, queries: DataFrame, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(mode, query_id, rank, id) of all modes, from one pair of score tables."""
-        _, _, best_s, best_d = self._parts(queries, max(k, depth))
+        _, best_s, best_d = self._parts(queries, max(k, depth))
         best_s, best_d = best_s.persist(), best_d.persist()
         lists = {"bm25": best_s.where(F.col("rank") <= k), "dense": best_d.where(F.col("rank") <= k), "hybrid": self._fused(best_s.where(F.col("rank") <= depth), best_d.where(F.col("rank") <= depth), k)}
         parts = [r.select(F.lit(mode).alias("mode"), "query_id", "rank", "id") for mode, r in lists.items()]
@@ -79,11 +79,11 @@ class Corpus:
 
         Cosine and BM25 are those of the whole corpus, also for a passage that only one list has.
         """
-        full_s, full_d, best_s, best_d = self._parts(queries, depth)
-        hits = self._fused(best_s, best_d, k)
-        out = hits.join(full_d, ["query_id", "id"], "left").join(full_s, ["query_id", "id"], "left").join(self.chunks, "id")
+        full, best_s, best_d = self._parts(queries, depth)
+        hits = dense.cosines(self._fused(best_s, best_d, k), self._asked(queries), self.vectors)
+        out = hits.join(full, ["query_id", "id"], "left").join(self.chunks, "id")
         return out.select(
             "query_id", "rank", F.col("id").alias("chunk_id"), "doc", "page", "text", "rrf",
-            F.coalesce("cosine", F.lit(0.0)).alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"),
+            F.col("cosine").alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"),
             F.try_element_at("ranks", F.lit(0)).alias("dense_rank"), F.try_element_at("ranks", F.lit(1)).alias("bm25_rank"),
         )

@@ -215,7 +215,7 @@ def hash_embed(spark, sf_dir):
 @_register(f"WITH {o.CHUNKS}, q AS (SELECT item_id AS query_id, text FROM benchmark), {o.DENSE}, {o.ranked('r', 'ds', 'cosine')} SELECT query_id, rank, id AS chunk_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 10")
 def hash_dense_search(spark, sf_dir):
     c, q = _chunks(spark, sf_dir), _asked(spark, sf_dir)
-    s = dense.sparse_search(dense.hash_vectors(q, "query_id"), q.select("query_id"), dense.hash_vectors(c, "id"), c, 10)
+    s = dense.search(dense.hash_embeddings(q, "query_id").withColumnRenamed("id", "query_id"), dense.hash_embeddings(c, "id"), 10)
     return s.select("query_id", *_long("rank"), F.col("id").alias("chunk_id"), F.round("cosine", 6).alias("cosine"))
 
 

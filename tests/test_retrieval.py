@@ -130,10 +130,10 @@ def test_hash_buckets(spark):
     assert got == [int(hashlib.md5(w.strip(".,?").encode()).hexdigest(), 16) % 384 for w in text.lower().split()]
 
 
-def test_sparse_search_pads_with_zeros(spark):
+def test_zero_cosines_follow_by_id(spark):
     c = spark.createDataFrame([(i, "alpha beta" if i == 5 else f"other{i}") for i in range(8)], "id long, text string")
     q = spark.createDataFrame([(1, "alpha"), (2, "")], "query_id long, text string")
-    out = dense.sparse_search(dense.hash_vectors(q, "query_id"), q.select("query_id"), dense.hash_vectors(c, "id"), c, 4).orderBy("query_id", "rank").collect()
+    out = dense.search(dense.hash_embeddings(q, "query_id").withColumnRenamed("id", "query_id"), dense.hash_embeddings(c, "id"), 4).orderBy("query_id", "rank").collect()
     assert [r["id"] for r in out] == [5, 0, 1, 2, 0, 1, 2, 3] and out[0]["cosine"] == pytest.approx(0.5**0.5)
 
 
@@ -257,7 +257,7 @@ def test_labels_are_required(spark):
 
 def test_another_embedder(spark):
     def by_length(docs, key):
-        return docs.select(F.col(key).alias("id"), F.char_length("text").alias("bucket"), F.lit(1.0).alias("weight"))
+        return docs.select(F.col(key).alias("id"), F.array((F.char_length("text") == 2).cast("double"), (F.char_length("text") != 2).cast("double")).alias("embedding"))
 
     chunks = spark.createDataFrame([(0, "a", None, "xxxx"), (1, "a", None, "yy")], "id long, doc string, page int, text string")
     q = spark.createDataFrame([(1, "zz")], "query_id long, text string")
