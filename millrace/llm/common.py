@@ -67,6 +67,17 @@ def _clean() -> None:
     _staged.clear()
 
 
+#: Bytes of an Arrow batch of whole texts, on both sides of the Python worker's pipe.
+BATCH_BYTES = 8 << 20
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches by bytes: a batch of rows may hold any number of them. Sets the session's
+    spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

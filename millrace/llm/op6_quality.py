@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import WORD, stage, table
+from millrace.llm.common import map_texts, stage, table, WORD
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -67,7 +67,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *COUNTS])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 #: A document fails at 50 words or fewer than that, or with more than half its words in repeats.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import shared_dir, stage, table
+from millrace.llm.common import map_texts, shared_dir, stage, table
 
 KEYS = ("source", "lang", "version")
 #: Tokenizer versions of the query: rank files by name.
@@ -53,7 +53,7 @@ def with_token_counts(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
                     c.append(len(e.encode_ordinary(text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *[pa.array(c, pa.int64()) for c in counts]], names=[*[batch.schema.names[i] for i in keep], *names])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in keep], *[T.StructField(n, T.LongType()) for n in names]]))
+    return map_texts(docs, run, T.StructType([*[docs.schema.fields[i] for i in keep], *[T.StructField(n, T.LongType()) for n in names]]))
 
 
 def signed(changes: DataFrame) -> DataFrame:
