@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import stage, table, unstage
+from millrace.llm.common import map_texts, stage, table, unstage
 from millrace.llm.components import components
 from millrace.llm.golay import DATA_BITS, fuzzy_keys
 
@@ -93,7 +93,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "mr_fp", kee
             fp = pa.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], fp], names=[*[batch.schema.names[i] for i in keep], name])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(name, T.LongType())]))
+    return map_texts(docs, run, T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(name, T.LongType())]))
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -189,7 +189,7 @@ def _with_wide(docs: DataFrame) -> DataFrame:
                 f = np.array([wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in part.column(2).cast(pa.large_binary())], np.int64).T.copy()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, f), pa.array(_node(f[0], f[1]))], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return map_texts(docs, run, ", ".join(f"{n} long" for n in names))
 
 
 def _key_batches(batches):
@@ -230,7 +230,7 @@ def _named(known: DataFrame, find, *more: str) -> DataFrame:
     linked = components(find(nodes.select(F.col("mr_fp").alias("fp"), *more)))
     rooted = nodes.join(linked, F.col("mr_fp") == F.col("node"), "left").select("mr_fp", "least", F.coalesce("root", "mr_fp").alias("root"))
     rooted = stage(rooted, "op2-rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "op2-least")
     names = stage(rooted.join(least, "root").select(F.col("mr_fp").alias("mr_node"), "component_id", "root"), "op2-names")
     unstage(nodes, rooted)
     return names

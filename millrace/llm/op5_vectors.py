@@ -164,7 +164,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         named = stage(named.select("label", "embedding", "least", F.col("n").alias("copies"), F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "id").alias("root")), "op5-named")
     else:
         named = nodes.select("label", "embedding", "least", F.col("n").alias("copies"), F.lit(0).cast("long").alias("others"), F.col("id").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("mr_component"))
+    least = stage(named.groupBy("root").agg(F.min("least").alias("mr_component")), "op5-least")
     named = stage(named.join(least, "root").select(F.col("label").alias("mr_l"), F.col("embedding").alias("mr_e"), "mr_component", (F.col("copies") - 1 + F.col("others")).alias("mr_links")), "op5-classes")
     usable_row = F.expr(good)
     out = vectors.join(named, usable_row & (F.col("label") == F.col("mr_l")) & (F.col("embedding") == F.col("mr_e")), "left")
