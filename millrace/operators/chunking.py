@@ -41,12 +41,20 @@ def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap
     return df.select(*[c for c in df.columns if c != word_array], F.inline(windows))
 
 
-def number_chunks(chunks: DataFrame, order: str, cap: int | None = None) -> DataFrame:
+def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
+    """(key, n): the chunks that each text has, without making them."""
+    k = F.least(n_windows(F.size(words(F.col(text))), size, overlap), F.lit(cap))
+    return docs.where(F.col(text).isNotNull()).select(key, k.cast("long").alias("n")).where("n > 0")
+
+
+def number_chunks(chunks: DataFrame, order: str, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Adds chunk_id: 0, 1, ... over documents by ``order`` (a long), then seq. From ``cap`` on they go.
+    counts: (order, n) of the chunks, if they are known without counting.
 
     Totals run over buckets of document numbers and inside each, never over all documents at once.
     """
-    counts = chunks.groupBy(order).agg(F.count("*").alias("n")).withColumn("b", F.expr(f"{order} DIV {BUCKET}"))
+    counts = chunks.groupBy(order).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = counts.withColumn("b", F.expr(f"{order} DIV {BUCKET}"))
     per = counts.groupBy("b").agg(F.sum("n").alias("n"))
     base = per.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -46,7 +46,8 @@ def _long(*names: str) -> list:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered chunks of documents: id, doc, page, text and their place."""
-    numbered = chunking.number_chunks(chunking.chunk_documents(_t(spark, sf_dir, "documents")), "doc_id")
+    docs = _t(spark, sf_dir, "documents")
+    numbered = chunking.number_chunks(chunking.chunk_documents(docs), "doc_id", counts=chunking.count_windows(docs))
     return numbered.select(F.col("chunk_id").alias("id"), "doc_id", F.col("doc_id").cast("string").alias("doc"), "page", "seq", "start_word", "end_word", "text")
 
 
