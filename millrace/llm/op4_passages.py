@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import stage, table, unstage
+from millrace.llm.common import map_texts, stage, table, unstage
 from millrace.llm.components import components
 
 UNIT_WORDS, LONG_SENTENCE, SHINGLE = 8, 48, 5  # a paragraph has at most 8 + 48 words
@@ -127,6 +127,21 @@ def _bitmap(names: DataFrame) -> np.ndarray:
     return out
 
 
+def _maybe(units: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, id): the band keys of units that are in ``mixed`` (key), and a few others, by a bitmap."""
+    seen = units.sparkSession.sparkContext.broadcast(_bitmap(mixed.select(F.col("key").alias("id"))))
+
+    def run(batches):
+        for batch in batches:
+            for b in range(BANDS):
+                keys = batch.column(1 + b).to_numpy()
+                low = keys & ((1 << FILTER_BITS) - 1)
+                at = pa.array(np.nonzero(seen.value[low >> 5] >> (low & 31).astype(np.uint32) & 1)[0])
+                yield pa.RecordBatch.from_arrays([batch.column(1 + b).take(at), batch.column(0).take(at)], names=["key", "id"])
+
+    return units.select("unit", *[f"m{b}" for b in range(BANDS)]).mapInArrow(run, "key long, id long")
+
+
 def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataFrame:
     """(mr_doc, doc_id, seq, unit, words, before, after, text): paragraphs whose names are in ``repeated`` or
     ``near`` (id), and a few others; with CRCs of up to CONTEXT words before and after, and the text if near.
@@ -161,7 +176,7 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataF
                         at = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * 8, arrow)], names=names)
 
-    return docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
 
 
 def _verify(block: dict):
@@ -210,10 +225,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     like the kept ones; it goes if it has PASSAGE_WORDS words.
     """
     spark, docs = docs.sparkSession, _keyed(docs)
-    units = stage(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_unit_batches, "mr_doc long, doc_id long, seq int, unit long, words int, " + ", ".join(f"m{b} long" for b in range(BANDS))).drop("doc_id", "seq", "words"), "op4-units")
+    units = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, "mr_doc long, doc_id long, seq int, unit long, words int, " + ", ".join(f"m{b} long" for b in range(BANDS))).drop("doc_id", "seq", "words"), "op4-units")
     keyed = units.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
     mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "op4-mixed")
-    keys = stage(keyed.join(mixed, "key", "left_semi").select("key", F.col("unit").alias("id")).distinct(), "op4-keys")
+    keys = stage(_maybe(units, mixed).join(mixed, "key", "left_semi").distinct(), "op4-keys")
     twice = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select(F.col("unit").alias("id"))
     at = stage(_occurrences(docs, twice, keys.select("id")), "op4-at")
     unstage(units, mixed)
@@ -270,7 +285,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """
     runs = repeats(docs).withColumnRenamed("mr_doc", "mr_d")
     docs = docs.drop("mr_removed")
-    joined = _keyed(docs).join(runs, F.col("mr_doc") == F.col("mr_d"), "left").drop("mr_doc", "mr_d")
+    # By a merge at every size: the runs grow with the input.
+    joined = _keyed(docs).join(runs.hint("merge"), F.col("mr_doc") == F.col("mr_d"), "left").drop("mr_doc", "mr_d")
     at, names = joined.columns.index("text"), docs.columns
 
     def run(batches):
@@ -289,7 +305,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "mr_removed"])
 
-    out = joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("mr_removed", T.LongType())]))
+    out = map_texts(joined, run, T.StructType([*docs.schema.fields, T.StructField("mr_removed", T.LongType())]))
     return out.withColumn("n_chars", F.when(F.col("mr_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
