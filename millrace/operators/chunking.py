@@ -43,8 +43,9 @@ def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap
 
 def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
     """(key, n): the chunks that each text has, without making them."""
-    k = F.least(n_windows(F.size(words(F.col(text))), size, overlap), F.lit(cap))
-    return docs.where(F.col(text).isNotNull()).select(key, k.cast("long").alias("n")).where("n > 0")
+    # Bound by a lambda, so that the words are found once and not for every mention of their number.
+    k = F.transform(F.array(F.coalesce(F.size(words(F.col(text))), F.lit(0))), lambda n: F.least(n_windows(n, size, overlap), F.lit(cap)))
+    return docs.select(key, k[0].cast("long").alias("n"))
 
 
 def number_chunks(chunks: DataFrame, order: str, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:

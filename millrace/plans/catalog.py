@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.params import DEPTH
+from millrace.functions.tables import load, spread
 from millrace.operators import answers, chunking, dense, metrics, spectral
 from millrace.operators.lexical import LexicalIndex
 from millrace.operators.ranking import fuse, top_k
@@ -37,7 +38,8 @@ def oracle_sql() -> dict:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = load(spark, sf_dir, name)
+    return spread(df.select("doc_id", "text")) if name == "documents" else df
 
 
 def _long(*names: str) -> list:
