@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.tables import load, spread
+
 #: Word separators of every word rule here: the six ASCII blanks. ``bytes.split()`` splits on the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,7 +18,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(load(spark, sf_dir, name))
 
 
 def shared_dir(spark: SparkSession) -> str:
