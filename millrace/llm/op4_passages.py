@@ -120,11 +120,10 @@ def _unit_batches(batches):
 def _bitmap(names: DataFrame) -> np.ndarray:
     """2^FILTER_BITS bits, those of the longs in column id set. The size is fixed, whatever the input."""
     low = f"pmod(id, {1 << FILTER_BITS})"
-    rows = names.groupBy(F.expr(f"CAST({low} DIV 32 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 32 AS int))")).alias("b")).collect()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in rows:
-        out[r[0]] = r[1]
-    return out
+    words = names.groupBy(F.expr(f"CAST({low} DIV 64 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 64 AS int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
 
 
 def _maybe(units: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def _maybe(units: DataFrame, mixed: DataFrame) -> DataFrame:
             for b in range(BANDS):
                 keys = batch.column(1 + b).to_numpy()
                 low = keys & ((1 << FILTER_BITS) - 1)
-                at = pa.array(np.nonzero(seen.value[low >> 5] >> (low & 31).astype(np.uint32) & 1)[0])
+                at = pa.array(np.nonzero(seen.value[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1))[0])
                 yield pa.RecordBatch.from_arrays([batch.column(1 + b).take(at), batch.column(0).take(at)], names=["key", "id"])
 
     return units.select("unit", *[f"m{b}" for b in range(BANDS)]).mapInArrow(run, "key long, id long")
@@ -166,7 +165,7 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataF
                         end = at + len(w)
                         if len(w) >= UNIT_WORDS:
                             name = _name(w)
-                            word, bit = (name & ((1 << FILTER_BITS) - 1)) >> 5, name & 31
+                            word, bit = (name & ((1 << FILTER_BITS) - 1)) >> 6, name & 63
                             is_near = close[word] >> bit & 1
                             if is_near or exact[word] >> bit & 1:
                                 if crcs is None:
