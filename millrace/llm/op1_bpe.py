@@ -21,8 +21,9 @@ from millrace.llm.common import map_texts, table
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 
 #: Characters of text whose new pieces are encoded by one query, and of a text that is split as a stream.
-BLOCK_CHARS, STREAM_CHARS = 1 << 19, 1 << 22
-#: Pieces that a worker remembers; it starts afresh beyond. Documents in a batch that it returns.
+BLOCK_CHARS, STREAM_CHARS = 1 << 20, 1 << 22
+#: Pieces in a generation of those that a worker remembers: what the new one doesn't meet goes with the next.
+#: Documents in a batch that it returns.
 REMEMBERED, ROWS = 200_000, 256
 #: Bytes of a piece that goes through the query, whose rows grow with the square of a piece; the same merges
 #: are made in a longer one with a heap.
@@ -69,17 +70,21 @@ class Codec:
             self.db.register("given", at)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        #: piece -> (ids in decimal, joined by a space; the bytes they decode to)
+        #: piece -> (ids in decimal, joined by a space; the bytes they decode to); and the generation before
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def learn(self, pieces) -> None:
         """Encode the pieces that aren't known yet, and decode their ids."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new, texts = [], []
         for p in dict.fromkeys(pieces):
             if p in self.known:
                 continue
+            if p in self.older:
+                self.known[p] = self.older[p]
+                continue
             b = p.encode()
             if b in self.ranks:
                 self.known[p] = (b"%d" % self.ranks[b], b)
