@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import map_texts, stage, table, unstage
+from millrace.llm.common import map_texts, partitions, stage, table, unstage
 from millrace.llm.components import components
 from millrace.llm.golay import DATA_BITS, fuzzy_keys
 
@@ -19,9 +19,9 @@ SEED, BITS, MOST_FLIPS = 42, 64, 2
 SEGMENTS = (21, 21, 22)
 #: Fingerprints in a bucket that are compared pair by pair; a larger bucket goes another way.
 BUCKET = 32
-#: For near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles: flips of a link in 128 bits
-#: (20 are expected at 0.8, 13 at 0.9), and fingerprints in a block.
-WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 24, 5, 256
+#: Near-duplicates have a Jaccard similarity of NEAR or more of their sets of five-word shingles. Flips of a
+#: candidate in 128 bits (20 are expected at 0.8, with a deviation of 4.5), and fingerprints in a block.
+NEAR, WIDE_FLIPS, WIDE_SHINGLE, WIDE_BLOCK = 0.8, 40, 5, 256
 #: Shingles of a document that its wide keys are tied to, one for each segment of both halves.
 ANCHORS = 2 * len(SEGMENTS)
 _MIXERS = np.random.default_rng(17).integers(1, 1 << 63, ANCHORS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,16 +62,17 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> tuple[int, ...]:
     """A SimHash of 128 bits as two signed longs, then ANCHORS longs: the least of the shingles' hashes under as
-    many mixings. Zeros if there are no words."""
+    many mixings. Shingles count once, however often they occur. Zeros if there are no words."""
     joined, starts, stops = _shingles(text, shingle)
-    digest, n = xxhash.xxh3_128_digest, len(starts)
-    if not n:
+    digest = xxhash.xxh3_128_digest
+    if not starts:
         return (0,) * (2 + ANCHORS)
-    least = np.full(ANCHORS, np.iinfo(np.uint64).max)
+    distinct = list({digest(joined[s:e], SEED) for s, e in zip(starts, stops)})
+    n, least = len(distinct), np.full(ANCHORS, np.iinfo(np.uint64).max)
 
     def digests():
         for i in range(0, n, BLOCK):
-            h = np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])]), np.uint8)
+            h = np.frombuffer(b"".join(distinct[i : i + BLOCK]), np.uint8)
             word = h.view(np.uint64)[::2]
             for k, m in enumerate(_MIXERS):
                 x = (word ^ (word >> np.uint64(31))) * m
@@ -158,24 +159,115 @@ def _wide_batches(batches):
 
 
 def _near(block: dict):
+    """Pairs of WIDE_FLIPS or fewer, as indices."""
     x, y = (block[c].astype(np.int64).view(np.uint64) for c in ("f0", "f1"))
     flips = np.bitwise_count(x[:, None] ^ x[None, :]) + np.bitwise_count(y[:, None] ^ y[None, :])
     a, b = np.nonzero(np.triu(flips <= WIDE_FLIPS, 1))
     if block["mr_i"][0] != block["mr_j"][0]:
         across = block["mr_chunk"][a] != block["mr_chunk"][b]
         a, b = a[across], b[across]
-    tree = forest(len(x), a, b)
+    return a, b
+
+
+def _near_links(block: dict):
+    ids = block["id"]
+    tree = forest(len(ids), *_near(block))
+    if tree:
+        yield pa.RecordBatch.from_arrays([pa.array([int(ids[p]) for p, _ in tree]), pa.array([int(ids[q]) for _, q in tree])], names=["a", "b"])
+
+
+def _near_sets(block: dict):
+    """(key, id, f0, f1): ids that candidates join, under a key made of these ids: most keys of a document lead to
+    the same few others, and are one set then."""
+    ids = block["id"].astype(np.int64)
+    tree = forest(len(ids), *_near(block))
+    members: dict[int, list[int]] = {i: [i] for i in range(len(ids))}
+    home = list(range(len(ids)))
+    for p, q in tree:
+        u, v = home[p], home[q]
+        if len(members[u]) < len(members[v]):
+            u, v = v, u
+        for i in members[v]:
+            home[i] = u
+        members[u] += members.pop(v)
+    for m in members.values():
+        if len(m) > 1:
+            key = xxhash.xxh64_intdigest(np.sort(ids[m]).tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(m), key, np.uint64).view(np.int64)), pa.array(ids[m]), *[pa.array(block[c].astype(np.int64)[m]) for c in ("f0", "f1")]], names=["key", "id", "f0", "f1"]
+            )
+
+
+def jaccard(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of every two of some sets, arrays of distinct hashes: 0 where both are empty."""
+    n, lens = len(sets), np.array(list(map(len, sets)), np.int64)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    more = times[at] > 1
+    column, row = number[at[more]], np.repeat(np.arange(n), lens)[more]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((n, n), np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[row[i:j], column[i:j] - low] = 1
+        both += held @ held.T
+    return both / np.maximum(lens[:, None] + lens[None, :] - both, 1)
+
+
+def _verify(block: dict):
+    ids = block["id"]
+    a, b = _near(block)
+    similar = jaccard([np.frombuffer(x, np.uint64) for x in block["grams"].to_pylist()])
+    ok = similar[a, b] >= NEAR - 1e-12
+    tree = forest(len(ids), a[ok], b[ok])
     if tree:
-        ids = block["id"]
         yield pa.RecordBatch.from_arrays([pa.array([int(ids[p]) for p, _ in tree]), pa.array([int(ids[q]) for _, q in tree])], names=["a", "b"])
 
 
-def wide_links(prints: DataFrame) -> DataFrame:
+def wide_links(prints: DataFrame, grams=None) -> DataFrame:
     """Links (a, b) between the ids of wide fingerprints (columns _WIDE), distinct: no two of more than
     WIDE_FLIPS differing bits; of fewer, enough to join all that share a key. Buckets of any size are compared
-    in blocks."""
+    in blocks.
+
+    With ``grams``, a function from a table of ids (id) to their sets of shingles (id, grams), these are
+    candidates only, and those whose sets have a Jaccard similarity of NEAR or more are links.
+    """
     keys = prints.select(*_WIDE).mapInArrow(_wide_batches, "key long, id long, f0 long, f1 long")
-    return stage(blocks(keys, None, WIDE_BLOCK).mapInArrow(lambda b: stream(b, _near), "a long, b long").distinct(), "op2-links")
+    met = blocks(keys, None, WIDE_BLOCK)
+    if grams is None:
+        return stage(met.mapInArrow(lambda b: stream(b, _near_links), "a long, b long").distinct(), "op2-links")
+    sets = stage(met.mapInArrow(lambda b: stream(b, _near_sets), "key long, id long, f0 long, f1 long").distinct(), "op2-sets")
+    held = stage(grams(sets.select("id").distinct()), "op2-grams")
+    whole = sets.selectExpr("*", "0 AS mr_i", "0 AS mr_j").join(held, "id").repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
+    out = stage(whole.mapInArrow(lambda b: stream(b, _verify), "a long, b long").distinct(), "op2-links")
+    unstage(sets, held)
+    return out
+
+
+def shingle_set(text: bytes | None) -> bytes:
+    """The distinct hashes of a text's five-word shingles, as bytes."""
+    joined, starts, stops = _shingles(text, WIDE_SHINGLE)
+    digest = xxhash.xxh64_intdigest
+    return np.array(sorted({digest(joined[s:e], SEED) for s, e in zip(starts, stops)}), np.uint64).tobytes()
+
+
+def _grams(known: DataFrame, keyed: DataFrame):
+    """For wide_links: the sets of one text for each fingerprint (mr_fp) in ``known``. Equal fingerprints of 128
+    bits are taken for equal sets."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "grams"])
+
+    def of(ids: DataFrame) -> DataFrame:
+        one = known.join(ids, F.col("mr_fp") == F.col("id"), "left_semi").groupBy(F.col("mr_fp").alias("id")).agg(F.min("mr_doc").alias("d"))
+        texts = keyed.select("mr_doc", "text").join(one, F.col("mr_doc") == F.col("d")).select("id", "text")
+        return map_texts(texts, run, "id long, grams binary").dropDuplicates(["id"])
+
+    return of
 
 
 def _with_wide(docs: DataFrame) -> DataFrame:
@@ -249,14 +341,15 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near-duplicates, by five-word shingles and
-    WIDE_FLIPS: that of the smallest doc_id (null last; of equal ids, by a hash of the text).
+    """The rows of ``docs`` without all but one of each group of near-duplicates, that of the
+    smallest doc_id (null last; of equal ids, by a hash of the text). Two are near at a Jaccard similarity of NEAR
+    of their sets of five-word shingles, over the whole texts; a group is what such links join.
 
     Texts without words are one group. Repeated rows are copies like others. An empty table gives an empty one.
     """
     keyed = docs.withColumn("mr_doc", F.xxhash64("doc_id", "text"))
     known = stage(_with_wide(keyed.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text")), "op2-prints")
-    names = _named(known, wide_links, *_WIDE).select("mr_node", "root")
+    names = _named(known, lambda prints: wide_links(prints, _grams(known, keyed)), *_WIDE).select("mr_node", "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mr_doc")
     first = known.join(names, F.col("mr_fp") == F.col("mr_node")).groupBy("root").agg(F.min(order).alias("x"))
     kept = stage(first.select(F.col("x.mr_doc").alias("mr_doc")).distinct(), "op2-kept")
