@@ -1,4 +1,9 @@
-"""Removal of passages that repeat across documents, by MinHash banding of paragraphs (operator 4).
+"""Removal of passages that repeat across documents, by windows of words and MinHash banding of paragraphs (operator 4).
+
+What repeats word by word is found by windows of PASSAGE_WORDS words, whatever the text's form: every stretch of
+so many words holds a shorter window that its own hashes pick. Stretches from one picked window to another are
+compared, and all windows only around those that don't go on alike everywhere, where repeats begin and end. What
+repeats with changes is found by paragraphs.
 
 A paragraph here is a stretch of whole sentences of at least UNIT_WORDS words. It ends at the first sentence
 or line end from there on, or inside a very long sentence at a word that its own hash picks; so the cuts fall
@@ -29,10 +34,15 @@ BANDS, ROWS, THRESHOLD = 3, 2, 0.8
 #: around them: up to CONTEXT words on either side of the paragraphs are compared one by one.
 PASSAGE_WORDS, CONTEXT = 50, 32
 BLOCK, FILTER_BITS = 256, 25
+#: Of STEP windows of WINDOW words in a row, which PASSAGE_WORDS words hold, one at least is picked. The least
+#: paragraphs that have PASSAGE_WORDS words are MOST_UNITS at most.
+WINDOW = 32
+STEP, MOST_UNITS = PASSAGE_WORDS - WINDOW + 1, -(-PASSAGE_WORDS // UNIT_WORDS)
 
 _CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
 _WORD = re.compile(rb"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -69,11 +79,76 @@ def _name(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 4)
 
 
+def _hashes(words, n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+
+
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For _stretch: running totals of word hashes times powers, and the powers' inverses."""
+    powers, inverse = np.full(len(h), _BASE, np.uint64), np.full(len(h) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    powers[:1] = inverse[0] = 1
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * np.cumprod(powers), out=total[1:])
+    return total, np.cumprod(inverse)
+
+
+def _stretch(sums: tuple[np.ndarray, np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One number for the words from first to before last."""
+    total, inverse = sums
+    x = (total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[0]
+    return x ^ (x >> np.uint64(29))
+
+
+def _slide(f, x: np.ndarray, n: int) -> np.ndarray:
+    """f over every n consecutive values; f is a minimum or maximum."""
+    w = 1
+    while 2 * w <= n:
+        x, w = f(x[:-w], x[w:]), 2 * w
+    return f(x[: len(x) - n + w], x[n - w :]) if w < n else x
+
+
+def _picked(sums: tuple[np.ndarray, np.ndarray], stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, id) of the picked windows of WINDOW words; stops: for every word, the end of its document.
+
+    A window is picked if it has the least hash of STEP in a row. That depends on no word outside these, so equal
+    stretches of PASSAGE_WORDS words have an equal picked window, wherever they stand.
+    """
+    at = np.arange(max(0, len(stops) - WINDOW + 1))
+    g = _stretch(sums, at, at + WINDOW)
+    if len(g) < STEP:
+        return at[:0], g[:0]
+    least = _slide(np.minimum, g, STEP)
+    at = at[: len(least)]
+    least[at + PASSAGE_WORDS > stops[: len(least)]] = 0
+    none = np.zeros(STEP - 1, np.uint64)
+    picked = np.nonzero(_slide(np.maximum, np.concatenate([none, least, none]), STEP) == g)[0]
+    # The least of some hashes has few high bits, and 0 stands for none.
+    picked = picked[g[picked] > 0]
+    x = g[picked] * _MULTIPLIERS[1]
+    return picked, x ^ (x >> np.uint64(32))
+
+
+def _reach(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) for picked windows at ``at`` in documents from first to last: where the shortest stretch of
+    PASSAGE_WORDS words begins that ends with this window and starts with a picked one, and where that ends which
+    starts with this and ends with a picked one; -1 if the document has none."""
+    need = PASSAGE_WORDS - WINDOW
+    i = np.searchsorted(at, at - need, "right") - 1
+    j = np.searchsorted(at, at + need)
+    left = np.where(i >= 0, at[i], -1)
+    right = np.where(j < len(at), at[np.minimum(j, len(at) - 1)] + WINDOW, last + 1)
+    return np.where(left >= first, left, -1), np.where(right <= last, right, -1)
+
+
 def _bands(units: list[list[bytes]]) -> np.ndarray:
     """Band keys of each paragraph (UNIT_WORDS words at least), one column a band."""
-    digest = xxhash.xxh64_intdigest
     lens = np.fromiter(map(len, units), np.int64, len(units))
-    h = np.fromiter((digest(w) for u in units for w in u), np.uint64, int(lens.sum()))
+    return _bands_of(_hashes((w for u in units for w in u), int(lens.sum())), lens)
+
+
+def _bands_of(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The same, of the paragraphs' word hashes in a row and their numbers of words."""
     n = len(h) - SHINGLE + 1
     grams = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -83,7 +158,7 @@ def _bands(units: list[list[bytes]]) -> np.ndarray:
     # Shingles that run over a paragraph's end are left out: reduce over (start, stop) pairs.
     edges = np.stack([starts, starts + lens - SHINGLE + 1], axis=1).ravel()
     edges = edges[:-1] if edges[-1] >= n else edges
-    out = np.zeros((len(units), BANDS), np.uint64)
+    out = np.zeros((len(lens), BANDS), np.uint64)
     for i, a in enumerate(_MULTIPLIERS):
         mixed = grams * a
         mixed ^= mixed >> np.uint64(29)
@@ -93,28 +168,35 @@ def _bands(units: list[list[bytes]]) -> np.ndarray:
 
 
 def _unit_batches(batches):
-    """(mr_doc, doc_id, text) -> (mr_doc, doc_id, seq, unit, words, m)."""
+    """(mr_doc, doc_id, text) -> (mr_doc, unit, m): paragraphs with their band keys, and picked windows, of which
+    m0 is null and m1 a hash of the stretches that they end and start, 0 if one is missing."""
+    names = ["mr_doc", "unit", *[f"m{b}" for b in range(BANDS)]]
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            rows, seqs, names, lens, keep = [], [], [], [], []
+            rows, units, keep, words, ends = [], [], [], [], []
             for i, t in enumerate(part.column(2).cast(pa.large_binary())):
-                for seq, (_, _, w) in enumerate(paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []):
+                for _, _, w in paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []:
+                    words += w
                     if len(w) >= UNIT_WORDS:
                         rows.append(i)
-                        seqs.append(seq)
-                        names.append(_name(w))
-                        lens.append(len(w))
-                        keep.append(w)
+                        units.append(_name(w))
+                        keep.append((len(words) - len(w), len(w)))
+                ends.append(len(words))
             if not rows:
                 continue
-            m = _bands(keep).view(np.int64)
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array(seqs, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(lens, pa.int32())]
-                + [pa.array(m[:, b]) for b in range(BANDS)],
-                names=["mr_doc", "doc_id", "seq", "unit", "words", *[f"m{b}" for b in range(BANDS)]],
-            )
+            h = _hashes(words, len(words))
+            starts, lens = np.array(keep, np.int64).T
+            inner = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+            m = _bands_of(h[inner], lens).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)]], names=names)
+            sums, ends = _sums(h), np.array([0, *ends])
+            at, ids = _picked(sums, np.repeat(ends[1:], np.diff(ends)))
+            doc = np.searchsorted(ends[1:], at, "right")
+            left, right = _reach(at, ends[doc], ends[doc + 1])
+            both = np.where((left < 0) | (right < 0), np.uint64(0), _stretch(sums, np.maximum(left, 0), np.maximum(right, 0)))
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int32())), pa.array(ids.view(np.int64)), none, pa.array(both.view(np.int64)), *[none] * (BANDS - 2)], names=names)
 
 
 def _bitmap(names: DataFrame) -> np.ndarray:
@@ -142,14 +224,14 @@ def _maybe(units: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataFrame:
-    """(mr_doc, doc_id, seq, unit, words, before, after, text): paragraphs whose names are in ``repeated`` or
+    """(mr_doc, doc_id, seq, at, unit, words, before, after, text): paragraphs, at the word at,  whose names are in ``repeated`` or
     ``near`` (id), and a few others; with CRCs of up to CONTEXT words before and after, and the text if near.
 
     The documents are cut again, and bitmaps choose what comes out.
     """
     seen = docs.sparkSession.sparkContext.broadcast((_bitmap(repeated), _bitmap(near)))
-    kind = "mr_doc long, doc_id long, seq int, unit long, words int, before array<int>, after array<int>, text string"
-    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
+    kind = "mr_doc long, doc_id long, seq int, at int, unit long, words int, before array<int>, after array<int>, text string"
+    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
     names = [c.split()[0] for c in kind.split(", ")]
 
     def run(batches):
@@ -171,13 +253,89 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataF
                                 if crcs is None:
                                     crcs = [crc32(x) - (1 << 31) for _, _, u in cut for x in u]
                                 text = b" ".join(w).decode("utf-8") if is_near else None
-                                rows.append((doc, doc_id, seq, name - (1 << 64) if name >> 63 else name, len(w), crcs[max(0, at - CONTEXT) : at][::-1], crcs[end : end + CONTEXT], text))
+                                rows.append((doc, doc_id, seq, at, name - (1 << 64) if name >> 63 else name, len(w), crcs[max(0, at - CONTEXT) : at][::-1], crcs[end : end + CONTEXT], text))
                         at = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * 8, arrow)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * 9, arrow)], names=names)
 
     return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
 
 
+def _windows(docs: DataFrame, repeated: DataFrame, ending: DataFrame) -> DataFrame:
+    """(window, mr_doc, doc_id, first, last): stretches that start or end with picked windows in ``repeated`` (id),
+    and all windows of PASSAGE_WORDS words around picked ones in ``ending`` (id); and a few others that bitmaps
+    let through. first and before last are numbers of words in the document."""
+    seen = docs.sparkSession.sparkContext.broadcast((_bitmap(repeated), _bitmap(ending)))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                words, ends = [], [0]
+                for t in part.column(2).cast(pa.large_binary()):
+                    words += t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
+                    ends.append(len(words))
+                h, ends = _hashes(words, len(words)), np.array(ends)
+                sums, doc = _sums(h), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                at, ids = _picked(sums, ends[1:][doc])
+                low = ids & np.uint64((1 << FILTER_BITS) - 1)
+                twice, end = ((b[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) > 0 for b in seen.value)
+                left, right = _reach(at, ends[doc[at]], ends[doc[at] + 1])
+                change = np.zeros(len(h) + 1, np.int32)
+                np.add.at(change, np.maximum(at[end] - STEP + 1, ends[doc[at[end]]]), 1)
+                np.add.at(change, np.minimum(at[end], ends[doc[at[end]] + 1] - PASSAGE_WORDS) + 1, -1)
+                around = np.nonzero(np.cumsum(change) > 0)[0]
+                a, b = twice & (left >= 0), twice & (right >= 0)
+                spans = np.concatenate([left[a], at[b], around]) << 32 | np.concatenate([at[a] + WINDOW, right[b], around + PASSAGE_WORDS])
+                first, last = (spans := np.unique(spans)) >> 32, spans & 0xFFFFFFFF
+                rows = pa.array(doc[first], pa.int32())
+                here = [pa.array((x - ends[doc[first]]).astype(np.int32)) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(_stretch(sums, first, last).view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), *here], names=["window", "mr_doc", "doc_id", "first", "last"])
+
+    return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "window long, mr_doc long, doc_id long, first int, last int")
+
+
+def _chains(classed: DataFrame) -> DataFrame:
+    """(chain, mr_doc, doc_id, at, words, before, after): up to MOST_UNITS adjoining paragraphs, one of them at least
+    in a class with others that aren't equal, named by their classes."""
+    whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "at", "words", "class", "near", "before", "after")).alias("x")).where("exists(x, e -> e.near)")
+    kind = "chain long, mr_doc long, doc_id long, at int, words int, before array<int>, after array<int>"
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part, rows = batch.slice(k, 100), []
+                for doc, doc_id, x in zip(*(c.to_pylist() for c in part.columns)):
+                    units = {e["seq"]: e for e in x}
+                    for seq, e in units.items():
+                        classes, words, near = b"", 0, False
+                        for u in map(units.get, range(seq, seq + MOST_UNITS)):
+                            if u is None:
+                                break
+                            classes, words, near = classes + u["class"].to_bytes(8, "little", signed=True), words + u["words"], near or u["near"]
+                            if near:
+                                rows.append((xxhash.xxh64_intdigest(classes) - (1 << 63), doc, doc_id, e["at"], words, e["before"], u["after"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], names=[c.split()[0] for c in kind.split(", ")])
+
+    return map_texts(whole, run, kind)
+
+
+def _union(batches):
+    """(mr_doc, x: array of (first, last, keeper)) -> (mr_doc, runs): stretches that overlap or adjoin are one."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("keepers", pa.list_(pa.int64()))]))
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            runs: list[dict] = []
+            for e in sorted(x.as_py(), key=lambda e: (e["first"], e["last"])):
+                if not runs or e["first"] > runs[-1]["last"]:
+                    runs.append({"first": e["first"], "last": e["last"], "keepers": {}})
+                runs[-1]["last"] = max(runs[-1]["last"], e["last"])
+                runs[-1]["keepers"][e["keeper"]] = True
+            out.append([r | {"keepers": list(r["keepers"])} for r in runs])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["mr_doc", "runs"])
+
+
 def _verify(block: dict):
     texts = block["text"].to_pylist()
     sets = []
@@ -214,65 +372,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("mr_doc", F.xxhash64("doc_id", "text"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(mr_doc, runs) of the documents from which something goes; runs: array of (first, last, words, left, right,
-    keepers), paragraphs first to last with left and right more words before and after them.
+def _later(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """``rows`` (name, mr_doc, doc_id, more) of names that several documents have, without those of the document
+    with the smallest doc_id (null last), the keeper: a struct of its doc_id, mr_doc and more."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", *more)
+    kept = rows.groupBy(F.col(name).alias("c")).agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("c", "keeper")
+    return rows.join(stage(kept, "op4-kept"), F.col(name) == F.col("c")).where("mr_doc <> keeper.mr_doc")
+
 
-    Paragraphs that are equal, or whose sets of five-word shingles have a Jaccard similarity of THRESHOLD, are
-    one class with all that they lead to. The document with the smallest doc_id (null last) that holds a class
-    keeps it. Elsewhere adjoining paragraphs of such classes are a run, which reaches as far as its ends go on
-    like the kept ones; it goes if it has PASSAGE_WORDS words.
+def repeats(docs: DataFrame) -> DataFrame:
+    """(mr_doc, runs) of the documents from which something goes; runs: array of (first, last, keepers), the words
+    from number first to before number last.
+
+    Every PASSAGE_WORDS words in a row that an earlier document has too go; earlier is that of the smaller doc_id
+    (null last). Further, paragraphs that are equal, or whose sets of five-word shingles have a Jaccard similarity
+    of THRESHOLD, are one class with all that they lead to. Adjoining paragraphs go if paragraphs of the same
+    classes adjoin in an earlier document and they have PASSAGE_WORDS words, with the words beside them that are
+    equal to those beside the earliest.
     """
     spark, docs = docs.sparkSession, _keyed(docs)
-    units = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, "mr_doc long, doc_id long, seq int, unit long, words int, " + ", ".join(f"m{b} long" for b in range(BANDS))).drop("doc_id", "seq", "words"), "op4-units")
+    whole = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, "mr_doc long, unit long, " + ", ".join(f"m{b} long" for b in range(BANDS))), "op4-units")
+    units = whole.where("m0 IS NOT NULL")
     keyed = units.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
     mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "op4-mixed")
     keys = stage(_maybe(units, mixed).join(mixed, "key", "left_semi").distinct(), "op4-keys")
-    twice = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select(F.col("unit").alias("id"))
-    at = stage(_occurrences(docs, twice, keys.select("id")), "op4-at")
-    unstage(units, mixed)
+    twice = lambda x: x.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select(F.col("unit").alias("id"))
+    at = stage(_occurrences(docs, twice(units), keys.select("id")), "op4-at")
+    picked = whole.where("m0 IS NULL").groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("m1").alias("b0"), F.max("m1").alias("b1"))
+    picked = stage(picked.where("d0 <> d1").selectExpr("unit AS id", "b0 <> b1 OR b0 = 0 AS ends"), "op4-picked")
+    unstage(whole, mixed)
+    windows = stage(_windows(docs, picked.select("id"), picked.where("ends").select("id")), "op4-windows")
+    unstage(picked)
     _release(spark)
     texts = at.where("text IS NOT NULL").groupBy(F.col("unit").alias("id")).agg(F.first("text").alias("text"))
     edges = stage(blocks(keys, stage(texts, "op4-texts"), BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
     roots = stage(components(edges), "op4-roots")
     unstage(keys, edges)
-    classed = stage(at.drop("text").join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).drop("node", "root", "unit"), "op4-classed")
+    classed = at.drop("text").join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).withColumn("near", F.col("root").isNotNull())
+    chains = stage(_chains(classed), "op4-chains")
     unstage(at)
     _release(spark)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", "seq", "before", "after")
-    kept = classed.groupBy(F.col("class").alias("c")).agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("c", "keeper")
-    kept = stage(kept, "op4-kept")
     same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
-    going = classed.join(kept, F.col("class") == F.col("c")).where("mr_doc <> keeper.mr_doc").selectExpr(
-        "mr_doc", "seq", "words", f"CAST({same('before', 'keeper.before')} AS int) AS left", f"CAST({same('after', 'keeper.after')} AS int) AS right", "keeper.doc_id AS keeper"
-    ).distinct()
-    listed = going.groupBy("mr_doc").agg(F.array_sort(F.collect_list(F.struct("seq", "words", "left", "right", "keeper"))).alias("x"))
-    run = "named_struct('first', {first}, 'last', e.seq, 'words', {words}, 'left', {left}, 'right', e.right, 'keepers', {keepers})"
-    last = "element_at(acc, -1)"
-    runs = listed.select("mr_doc", F.expr(f"""
-        filter(aggregate(x, CAST(array() AS array<struct<first:int,last:int,words:int,left:int,right:int,keepers:array<bigint>>>), (acc, e) ->
-            CASE WHEN size(acc) > 0 AND {last}.last + 1 = e.seq THEN concat(slice(acc, 1, size(acc) - 1), array({run.format(first=f"{last}.first", words=f"{last}.words + e.words", left=f"{last}.left", keepers=f"array_union({last}.keepers, array(e.keeper))")}))
-            ELSE concat(acc, array({run.format(first="e.seq", words="e.words", left="e.left", keepers="array(e.keeper)")})) END),
-        r -> r.left + r.words + r.right >= {PASSAGE_WORDS})""").alias("runs"))
-    return stage(runs.where("size(runs) > 0"), "op4-runs")
+    near = _later(chains, "chain", "at", "before", "after").selectExpr(
+        "mr_doc", "at", "words", f"CAST({same('before', 'keeper.before')} AS int) AS left", f"CAST({same('after', 'keeper.after')} AS int) AS right", "keeper.doc_id AS keeper"
+    )
+    near = near.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper")
+    going = _later(windows, "window").selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper")
+    listed = going.union(near).groupBy("mr_doc").agg(F.collect_list(F.struct("first", "last", "keeper")).alias("x"))
+    out = stage(map_texts(listed, _union, "mr_doc long, runs array<struct<first:int,last:int,keepers:array<bigint>>>"), "op4-runs")
+    unstage(windows, chains)
+    return out
 
 
 def _spans(text: bytes, runs: list) -> list[tuple[int, int]]:
-    """Bytes of a text that runs cover, with their left and right words."""
-    cut, out = paragraphs(text), []
-    for r in runs:
-        start, end = cut[r["first"]][0], cut[r["last"]][1]
-        if r["left"]:
-            # CONTEXT words lie within as many paragraphs as hold them, each of UNIT_WORDS at least.
-            low = cut[max(0, r["first"] - CONTEXT // UNIT_WORDS - 1)][0]
-            start = [m.start() for m in _WORD.finditer(text, low, start)][-r["left"]]
-        for _, m in zip(range(r["right"]), _WORD.finditer(text, end)):
-            end = m.end()
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+    """Bytes of a text that runs cover."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    return [(words[r["first"]][0], words[r["last"] - 1][1]) for r in runs]
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -315,7 +470,7 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _keyed(docs).drop("text").join(runs, F.col("mr_doc") == F.col("d"), "left")
     return joined.select(
         "doc_id",
-        F.coalesce(F.expr("aggregate(runs, 0L, (n, r) -> n + r.left + r.words + r.right)"), F.lit(0)).cast("long").alias("n_removed_words"),
+        F.coalesce(F.expr("aggregate(runs, 0L, (n, r) -> n + r.last - r.first)"), F.lit(0)).cast("long").alias("n_removed_words"),
         F.coalesce(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
         F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(runs, r -> r.keepers))))"), F.array().cast("array<bigint>")).alias("kept_in"),
     )

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from millrace.llm import op2_simhash
+from millrace.llm.op4_passages import drop_repeats
 
 
 def edited(rng, n, similarity):
@@ -37,3 +40,36 @@ def test_near_dedup_of_a_template(spark, monkeypatch):
     rows = [*enumerate(texts), *((100 + i, texts[i] + " more") for i in range(0, 60, 6))]
     kept = {r["doc_id"] for r in op2_simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(60))
+
+
+def shared_words(rng, n, kind):
+    """n random words: lines of four to seven words, no sentence ends at all, or prose."""
+    out = []
+    while len(out) < n:
+        s = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(4, 8) if kind == "verse" else rng.randrange(8, 21))]
+        out += s if kind == "bare" else [*s[:-1], s[-1] + ("\n" if kind == "verse" else ".")]
+    return out[:n]
+
+
+def joined(words):
+    return " ".join(words).replace("\n ", "\n")
+
+
+@pytest.mark.parametrize("kind", ["verse", "bare", "prose"])
+def test_passages_of_any_form(spark, kind):
+    """51 to 200 words that an earlier document has too go, wherever they were put; 30 stay."""
+    rng = random.Random(14)
+    rows, later, short = [], {}, []
+    for i in range(80):
+        n = (30, 51, 60, 100, 200)[i % 5]
+        shared = shared_words(rng, n, kind)
+        for d in (i, 1000 + i):
+            host = shared_words(rng, rng.randrange(80, 200), kind)
+            at = rng.randrange(len(host))
+            # Words of their own beside the passage.
+            rows.append((d, joined([*host[:at], f"left{d}", *shared, f"right{d}", *host[at:]])))
+        short.append(1000 + i) if n < 50 else later.update({1000 + i: n})
+    out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A paragraph that is nearly equal goes with the words of its own.
+    assert all(n <= out[d] <= n + 12 for d, n in later.items()), [(out[d], n) for d, n in later.items() if out[d] != n]
+    assert not any(out[d] for d in [*short, *range(80)])
