@@ -73,3 +73,19 @@ def test_passages_of_any_form(spark, kind):
     # A paragraph that is nearly equal goes with the words of its own.
     assert all(n <= out[d] <= n + 12 for d, n in later.items()), [(out[d], n) for d, n in later.items() if out[d] != n]
     assert not any(out[d] for d in [*short, *range(80)])
+
+
+def test_passages_with_a_frequent_sentence(spark):
+    """A passage that documents 1000 + i and 2000 + i share is cut though document i, which is the first to have one of its sentences, has no more of it."""
+    rng = random.Random(15)
+    rows, n = [], 60
+    for i in range(n):
+        sentences = [shared_words(rng, 12, "prose") for _ in range(5)]
+        for s in sentences:
+            s[-1] = s[-1].rstrip(".") + "."
+        shared = [w for s in sentences for w in s][:51]
+        rows.append((i, joined(shared_words(rng, 100, "prose") + ["End."] + sentences[1] + shared_words(rng, 100, "prose"))))
+        for d in (1000 + i, 2000 + i):
+            rows.append((d, joined(shared_words(rng, 93, "prose") + [f"left{d}"] + shared + [f"right{d}"] + shared_words(rng, 93, "prose"))))
+    out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[2000 + i] >= 51 for i in range(n)) and not any(out[i] or out[1000 + i] for i in range(n))
