@@ -89,3 +89,31 @@ def test_passages_with_a_frequent_sentence(spark):
             rows.append((d, joined(shared_words(rng, 93, "prose") + [f"left{d}"] + shared + [f"right{d}"] + shared_words(rng, 93, "prose"))))
     out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[2000 + i] >= 51 for i in range(n)) and not any(out[i] or out[1000 + i] for i in range(n))
+
+
+def test_frequent_sentences_in_a_row_stay(spark):
+    """Five sentences in a row, each first seen in another document, are no passage."""
+    rng = random.Random(16)
+    rows, n = [], 40
+    for i in range(n):
+        sentences = [[*shared_words(rng, 10, "bare"), f"end{i}{k}."] for k in range(5)]
+        for k, s in enumerate(sentences):
+            rows.append((10 * i + k, joined(shared_words(rng, 60, "prose") + ["End."] + s + shared_words(rng, 60, "prose"))))
+        rows.append((10_000 + i, joined(["Start."] + [w for s in sentences for w in s] + shared_words(rng, 60, "prose"))))
+    out = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("mr_removed > 0")
+    assert out.count() == 0
+
+
+def test_changed_paragraphs_still_go(spark):
+    """A passage with a word changed in every 40 has no 50 words in a row, but its paragraphs are nearly equal."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(40):
+        shared = [w for _ in range(5) for w in [*shared_words(rng, 39, "bare"), f"end{rng.getrandbits(20)}."]]
+        other = list(shared)
+        for k in range(2, 200, 40):
+            other[k] = "changed"
+        for d, s in ((i, shared), (1000 + i, other)):
+            rows.append((d, joined(shared_words(rng, 60, "prose") + ["End."] + s + shared_words(rng, 60, "prose"))))
+    out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[1000 + i] >= 100 for i in range(40)) >= 36 and not any(out[i] for i in range(40))
