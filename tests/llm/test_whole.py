@@ -6,6 +6,7 @@ import pytest
 
 from millrace.llm import op2_simhash
 from millrace.llm.op4_passages import drop_repeats
+from millrace.llm.op8_html import html_to_text
 
 
 def edited(rng, n, similarity):
@@ -117,3 +118,21 @@ def test_changed_paragraphs_still_go(spark):
             rows.append((d, joined(shared_words(rng, 60, "prose") + ["End."] + s + shared_words(rng, 60, "prose"))))
     out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(out[1000 + i] >= 100 for i in range(40)) >= 36 and not any(out[i] for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+        ("<p>a <svg><title>no</title><text x=1>seen</text></svg> b", "a seen b"),
+        ("<p>a <select><option>one<option selected>two</select> b", "a two b"),
+        ("<p>a <select><option disabled>none<optgroup><option>one</optgroup></select> b", "a one b"),
+        ("<p>a <select multiple><option>one<option>two</select> b", "a one two b"),
+        ("a<xmp><b>&amp;</b></xmp>b", "a\n\n<b>&amp;</b>\n\nb"),
+        ("a<plaintext><b>b</plaintext>", "a\n\n<b>b</plaintext>"),
+        ("a<dialog open>b</dialog>c", "a\nb\nc"),
+        ("a<dialog>b</dialog>c", "ac"),
+    ],
+)
+def test_pages_with_rarer_elements(html, text):
+    assert html_to_text(html) == text
