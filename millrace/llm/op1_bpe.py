@@ -1,10 +1,16 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition (operator 1)."""
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition (operator 1).
+
+Every piece of a text that a worker hasn't met goes through the queries, whatever its kind or length. Long ones are cut
+into windows that overlap. Where two windows have a token in common, the tokens of one before it and those of the other
+from it on are the whole's: if two encodings meet in tokens that stand beside each other in some encoding, no merge
+crosses the place, neither there nor in the whole. Where windows have no token in common, longer ones are encoded, if need
+be the whole piece, so that the result is exact for any text.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from itertools import islice
 
 import duckdb
@@ -25,19 +31,23 @@ BLOCK_CHARS, STREAM_CHARS = 1 << 20, 1 << 22
 #: Pieces in a generation of those that a worker remembers: what the new one doesn't meet goes with the next.
 #: Documents in a batch that it returns.
 REMEMBERED, ROWS = 200_000, 256
-#: Bytes of a piece that goes through the query, whose rows grow with the square of a piece; the same merges
-#: are made in a longer one with a heap.
-LONG_PIECE = 256
-
-#: Rows are tokens: bytes from b to before e of piece w. A round joins neighbours with the merge table and
-#: contracts the leftmost pair of least rank in every piece that has one.
+#: Bytes of a window, and from one window to the next; a shorter piece is one window.
+WINDOW, STEP = 64, 32
+#: Bytes that are encoded by one query, unless one window has more, and rows of all its rounds together: a query makes as
+#: many rounds as that allows, and the next one goes on from its last state.
+QUERY_BYTES, QUERY_ROWS = 1 << 16, 1 << 21
+#: Ids that are decoded as one.
+DECODED = 1 << 12
+
+#: Rows are tokens: bytes from b to before e of window w. A round joins neighbours with the merge table and
+#: contracts the leftmost pair of least rank in every window that has one. n is 0 for a window that can't go on.
 ENCODE = """
 WITH RECURSIVE s(n, w, b, e, tok) AS (
-    SELECT 0, w, b, b + 1, tok FROM seed
+    SELECT 0, w, b, e, tok FROM seed
     UNION ALL
     (WITH pair AS (
-        SELECT x.w, x.b, y.b AS mid, y.e, m.tok, m.tok::BIGINT * 65536 + x.b AS rank
-        FROM s x JOIN s y ON x.w = y.w AND x.e = y.b JOIN merges m ON x.tok = m.l AND y.tok = m.r
+        SELECT x.w, x.b, y.b AS mid, y.e, m.tok, m.tok::BIGINT * 4294967296 + x.b AS rank
+        FROM s x JOIN s y ON x.w = y.w AND x.e = y.b JOIN merges m ON x.tok = m.l AND y.tok = m.r WHERE x.n < $rounds
     ), least AS (
         SELECT w, min(rank) AS rank FROM pair GROUP BY w
     ), pick AS (
@@ -48,11 +58,10 @@ WITH RECURSIVE s(n, w, b, e, tok) AS (
 ), last AS (
     SELECT w, max(n) AS n FROM s GROUP BY w
 )
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY b) AS ids, string_agg(v.hex, '' ORDER BY b) AS hex
-FROM s JOIN last USING (w, n) JOIN vocab v USING (tok) GROUP BY w ORDER BY w
+SELECT CASE WHEN n = $rounds THEN n ELSE 0 END AS n, w, b, e, tok FROM s JOIN last USING (w, n) ORDER BY w, b
 """
 
-DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY b) AS hex FROM seed LEFT JOIN vocab v USING (tok) GROUP BY w ORDER BY w"
+DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY b) AS hex FROM ids LEFT JOIN vocab v USING (tok) GROUP BY w ORDER BY w"
 
 
 class Codec:
@@ -78,81 +87,83 @@ class Codec:
         """Encode the pieces that aren't known yet, and decode their ids."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new, texts = [], []
+        new = []
         for p in dict.fromkeys(pieces):
             if p in self.known:
                 continue
             if p in self.older:
                 self.known[p] = self.older[p]
-                continue
-            b = p.encode()
-            if b in self.ranks:
-                self.known[p] = (b"%d" % self.ranks[b], b)
-            elif len(b) > LONG_PIECE:
-                ids = self._merge_long(b)
-                self.known[p] = (" ".join(map(str, ids)).encode(), self.decode([ids])[0])
             else:
                 new.append(p)
-                texts.append(b)
         if new:
-            tokens = self.byte[np.frombuffer(b"".join(texts), np.uint8)]
-            for w, ids, hexed in self._run(ENCODE, tokens, texts):
-                self.known[new[w]] = (ids.encode(), bytes.fromhex(hexed))
-
-    def _run(self, query: str, tokens: np.ndarray, of: list) -> list[tuple]:
-        """Run a query over the rows of tokens; ``of``: one item for each piece, as long as its tokens."""
-        lens = np.fromiter(map(len, of), np.int64, len(of))
-        starts = np.cumsum(lens) - lens
-        seed = pa.table({
-            "w": np.repeat(np.arange(len(of), dtype=np.int32), lens),
-            "b": (np.arange(len(tokens)) - np.repeat(starts, lens)).astype(np.int32),
-            "tok": tokens.astype(np.int32),
-        })
-        self.db.register("seed", seed)
-        out = self.db.execute(query).fetchall()
-        self.db.unregister("seed")
+            ids = self.encode([p.encode() for p in new])
+            for p, i, d in zip(new, ids, self.decode(ids)):
+                self.known[p] = (" ".join(map(str, i.tolist())).encode(), d)
+
+    def _contract(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(start of each token and the end of the last, tokens) of windows, by ENCODE until nothing contracts."""
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(lens) - lens
+        at = (np.arange(lens.sum()) - np.repeat(first, lens)).astype(np.int32)
+        seed = pa.table({"w": np.repeat(np.arange(len(texts), dtype=np.int32), lens), "b": at, "e": at + np.int32(1), "tok": self.byte[np.frombuffer(b"".join(texts), np.uint8)]})
+        out: list = [None] * len(texts)
+        while seed.num_rows:
+            self.db.register("seed", seed)
+            rounds = max(1, QUERY_ROWS // seed.num_rows)
+            n, w, b, e, tok = (c.to_numpy() for c in self.db.sql(ENCODE, params={"rounds": rounds}).to_arrow_table().columns)
+            self.db.unregister("seed")
+            on = n > 0
+            edges = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1, [len(w)]])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if not on[i]:
+                    out[w[i]] = np.append(b[i:j], e[j - 1]), tok[i:j]
+            seed = pa.table({"w": w[on], "b": b[on], "e": e[on], "tok": tok[on]})
         return out
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
+    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece (of a byte or more)."""
+        spans = [[(0, len(p))] if len(p) <= WINDOW else [(a, min(a + WINDOW, len(p))) for a in range(0, len(p) - STEP, STEP)] for p in pieces]
+        found: list[dict] = [{} for _ in pieces]
+        todo = [(k, s) for k, x in enumerate(spans) for s in x]
+        while todo:
+            at = 0
+            while at < len(todo):
+                to, size = at, 0
+                while to < len(todo) and (to == at or size + todo[to][1][1] - todo[to][1][0] <= QUERY_BYTES):
+                    size += todo[to][1][1] - todo[to][1][0]
+                    to += 1
+                for (k, s), (edges, tok) in zip(todo[at:to], self._contract([pieces[k][a:b] for k, (a, b) in todo[at:to]])):
+                    found[k][s] = edges + s[0], tok
+                at = to
+            changed, todo = {k for k, _ in todo if len(spans[k]) > 1}, []
+            for k in changed:
+                spans[k], fresh = _joined(spans[k], found[k])
+                todo += [(k, s) for s in fresh]
+        return [_stitched(x, f) for x, f in zip(spans, found)]
+
+    def decode(self, sequences: list) -> list[bytes]:
         """The bytes of each sequence of ids, tokens aggregated in order. An id outside the vocabulary raises."""
-        out = [b""] * len(sequences)
-        flat = np.fromiter((i for s in sequences for i in s), np.int64)
+        if not sequences:
+            return []
+        lens = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        flat = np.concatenate([np.asarray(s, np.int64) for s in sequences])
         if len(flat) and not (0 <= flat.min() and flat.max() < len(self.ranks)):
             raise ValueError("an id lies outside the vocabulary")
-        for w, hexed in self._run(DECODE, flat, sequences):
-            out[w] = bytes.fromhex(hexed)
-        return out
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The merges of ENCODE in one piece, with a heap: n log n instead of rounds over all of it."""
-        ranks, n = self.ranks, len(piece)
-        ends, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(b: int) -> None:
-            if b >= 0 and ends[b] < n:
-                e = ends[ends[b]]
-                r = ranks.get(piece[b:e])
-                if r is not None:
-                    heapq.heappush(heap, (r, b, e))
-
-        for b in range(n - 1):
-            offer(b)
-        while heap:
-            _, b, e = heapq.heappop(heap)
-            if gone[b] or ends[b] >= n or ends[ends[b]] != e:
-                continue
-            gone[ends[b]] = 1
-            ends[b] = e
-            if e < n:
-                before[e] = b
-            offer(before[b])
-            offer(b)
-        out, b = [], 0
-        while b < n:
-            out.append(ranks[piece[b : ends[b]]])
-            b = ends[b]
-        return out
+        # Long sequences are put together from stretches of DECODED ids.
+        within = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        stretch = np.cumsum(within % DECODED == 0) - 1
+        parts: list[list[bytes]] = [[] for _ in sequences]
+        owner = np.repeat(np.arange(len(lens)), -(-lens // DECODED)).tolist()
+        at = 0
+        while at < len(flat):
+            # A stretch lies whole in one query.
+            to = len(flat) if len(flat) - at <= QUERY_BYTES else int(np.searchsorted(stretch, max(stretch[at] + 1, stretch[at + QUERY_BYTES])))
+            self.db.register("ids", pa.table({"w": stretch[at:to], "b": within[at:to], "tok": flat[at:to].astype(np.int32)}))
+            for w, hexed in self.db.execute(DECODE).fetchall():
+                parts[owner[w]].append(bytes.fromhex(hexed))
+            self.db.unregister("ids")
+            at = to
+        return [b"".join(p) for p in parts]
 
     def pieces(self, text: str):
         """Lists of the pieces of a text: one list, or of a very long text one for each stretch of it."""
@@ -197,6 +208,48 @@ class Codec:
         return n, h_ids.hexdigest(), h_text.hexdigest(), np.concatenate(got) if got else np.zeros(0, np.int32) if ids else None
 
 
+def _cuts(spans: list, found: dict) -> list[int | None]:
+    """For every two neighbouring windows of a piece, where the first token begins that they have in common and that
+    no cut before it has passed; None if there is none."""
+    out: list[int | None] = []
+    low = 0
+    for s, t in zip(spans, spans[1:]):
+        a, b = found[s][0], found[t][0]
+        ends = dict(zip(b[:-1].tolist(), b[1:].tolist()))
+        k = int(np.searchsorted(a, max(low, t[0])))
+        out.append(next((x for x, y in zip(a[k:-1].tolist(), a[k + 1 :].tolist()) if ends.get(x) == y), None))
+        low = low if out[-1] is None else out[-1]
+    return out
+
+
+def _joined(spans: list, found: dict) -> tuple[list, list]:
+    """The windows of a piece, in which runs of neighbours without a cut are divided anew into windows, and overlaps, of
+    four times the length; and the new ones."""
+    cuts = _cuts(spans, found)
+    out, fresh, k = [], [], 0
+    while k < len(spans):
+        j = k
+        while j < len(cuts) and cuts[j] is None:
+            j += 1
+        if j == k:
+            out.append(spans[k])
+        else:
+            size, end = 4 * max(b - a for a, b in spans[k : j + 1]), spans[j][1]
+            new = [(a, min(a + size, end)) for a in range(spans[k][0], max(spans[k][0] + 1, end - size // 2), size // 2)]
+            out += new
+            fresh += new
+        k = j + 1
+    return out, fresh
+
+
+def _stitched(spans: list, found: dict) -> np.ndarray:
+    """The tokens of a piece from those of its windows."""
+    if len(spans) == 1:
+        return found[spans[0]][1]
+    cuts = [0, *_cuts(spans, found), spans[-1][1]]
+    return np.concatenate([found[s][1][slice(*np.searchsorted(found[s][0], cuts[k : k + 2]))] for k, s in enumerate(spans)])
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -223,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, ids
     table gives an empty one.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
-    docs = docs.drop(*[c for c in added if c != "text"])
+    docs = docs.drop(*added)
     vocabulary, at = _vocabulary(docs.sparkSession, path), docs.columns.index("text")
     keep = [i for i in range(len(docs.columns)) if i != at]
 
