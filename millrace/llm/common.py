@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one is made only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one in local mode, in
+    which all tasks run on this machine; an error on a cluster, whose executors wouldn't see it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -56,6 +62,33 @@ def unstage(*dfs: DataFrame) -> None:
             _staged[:] = [x for x in _staged if x[1] != path]
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Stage what ``make`` returns, and delete all that was staged on the way to it."""
+    before = {p for _, p in _staged}
+    out = stage(make(), label)
+    for spark, path in [x for x in _staged if x[1] not in before and x[1] != out._millrace_path]:
+        _remove(spark, path)
+        _staged.remove((spark, path))
+    return out
+
+
+def shielded(*outputs: str, own: tuple[str, ...] = ()):
+    """For an operator on a table: input columns with the names of its ``outputs`` are replaced, and others pass
+    through unchanged, though they have names that it uses inside: those that begin with mr_, and ``own``."""
+
+    def wrap(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            docs = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
+            hidden = {c: f"kept_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith("mr_") or c.lower() in own}
+            out = f(docs.withColumnsRenamed(hidden), *args, **kwargs)
+            return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+        return run
+
+    return wrap
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
