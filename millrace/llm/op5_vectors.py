@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import stage, table, unstage
+from millrace.llm.common import shielded, stage, table, unstage
 from millrace.llm.components import components
 
 #: Vectors that the rotations are learned from, at most; every vector is indexed.
 SAMPLE = 8192
-#: Chance aimed at that a pair exactly at the threshold meets in a table.
+#: Chance aimed at that a pair exactly at the threshold meets in a table, and the tables that a key can tell apart.
 RECALL, MOST_TABLES = 0.995, 127
 ITERATIONS, BLOCK = 30, 384
 
@@ -44,8 +44,13 @@ def table_shape(rows: int, threshold: float) -> tuple[int, int]:
     """(tables, bits of each). Substrings grow with the logarithm of the rows, as bucket sizes then stay the
     same, and the tables follow from the chance that a pair at the threshold agrees in all bits of one."""
     width = min(24, max(8, round(log2(max(rows, 2))) - 2))
-    agree = (1 - acos(threshold) / pi) ** width
-    return ceil(log(1 - RECALL) / log(1 - agree)), width
+    while (tables := _tables(width, threshold)) > MOST_TABLES and width > 1:
+        width -= 1
+    return min(tables, MOST_TABLES), width
+
+
+def _tables(width: int, threshold: float) -> int:
+    return ceil(log(1 - RECALL) / log(1 - (1 - acos(threshold) / pi) ** width))
 
 
 def chance_found(sample: np.ndarray, turn: np.ndarray, tables: int, width: int, threshold: float, seed: int = 5) -> float:
@@ -61,13 +66,32 @@ def chance_found(sample: np.ndarray, turn: np.ndarray, tables: int, width: int,
 
 
 def fit_index(sample: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, int, int]:
-    """(projection, tables, bits of each): tables are added until the measured chance is RECALL."""
+    """(projection, tables, bits of each): tables are added until the measured chance is RECALL. Where a key has no room
+    for more of them, their bits become fewer: buckets grow then, but recall is held."""
     tables, width = table_shape(rows, threshold)
+    tried = np.tile(sample, (-(-1024 // len(sample)), 1))[:2048]
     while True:
         turn = learn_rotations(sample, tables * width)
-        if tables == MOST_TABLES or chance_found(np.tile(sample, (-(-1024 // len(sample)), 1))[:2048], turn, tables, width, threshold) >= RECALL:
+        if width == 1 or chance_found(tried, turn, tables, width, threshold) >= RECALL:
             return turn, tables, width
-        tables = min(MOST_TABLES, ceil(tables * 1.4))
+        if tables == MOST_TABLES:
+            width -= 1
+            tables = min(MOST_TABLES, _tables(width, threshold))
+        else:
+            tables = min(MOST_TABLES, ceil(tables * 1.4))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Vectors (none of them zero) at length 1, scaled first, so that squares of very large or small components stay finite."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _filled(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """The vectors as rows of ``dim`` components, zeros after the end of shorter ones."""
+    x = np.zeros((len(vectors), dim))
+    x[np.arange(dim)[None, :] < vectors.value_lengths().to_numpy()[:, None]] = vectors.flatten().to_numpy().astype(np.float64)
+    return x
 
 
 def _compare(threshold: float):
@@ -75,8 +99,7 @@ def _compare(threshold: float):
         n = len(block["id"])
         dims = block["mr_dim"]
         flat = block["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64)
-        x = flat.reshape(n, -1)
-        x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x = _units(flat.reshape(n, -1))
         cross = block["mr_i"][0] != block["mr_j"][0]
         a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
         label = np.asarray(block["mr_label"].to_pylist(), object)
@@ -107,6 +130,7 @@ def _compare(threshold: float):
     return work
 
 
+@shielded("n_links", "component_id", "kept")
 def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding, label; more columns stay).
 
@@ -119,7 +143,6 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     table gives an empty one.
     """
     spark = vectors.sparkSession
-    vectors = vectors.drop("n_links", "component_id", "kept")
     good = "label IS NOT NULL AND size(embedding) > 0 AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(embedding, v -> v <> 0)"
     usable = vectors.select("vec_id", "embedding", "label").where(good)
     # Equal vectors of a label: one node with a number of its own, fixed by writing it.
@@ -130,22 +153,14 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     edges = counts = None
     if shape[0] > 1:
         dim = shape[1]
-        rows = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).collect()
-        sample = np.array([[*r[0], *[0.0] * (dim - len(r[0]))] for r in rows], np.float64)
-        sample /= np.sqrt((sample**2).sum(axis=1))[:, None]
+        chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toArrow()["embedding"].combine_chunks()
+        sample = _units(_filled(chosen, dim))
         turn, tables, width = fit_index(sample, shape[0], threshold)
         weights = (1 << np.arange(width)).astype(np.int64)
 
         def code(batches):
             for batch in batches:
-                n = batch.num_rows
-                x = np.zeros((n, dim))
-                lens = batch.column(1).value_lengths().to_numpy()
-                x[np.arange(dim)[None, :] < lens[:, None]] = batch.column(1).flatten().to_numpy().astype(np.float64)
-                # Scaled first, so that squares of very large or small components stay finite.
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.sqrt((x**2).sum(axis=1))[:, None]
-                bits = (x @ turn > 0).reshape(n, tables, width)
+                bits = (_units(_filled(batch.column(1), dim)) @ turn > 0).reshape(batch.num_rows, tables, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((bits @ weights).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "codes"])
 
         coded = stage(nodes.select("id", "embedding").mapInArrow(code, "id long, codes array<int>"), "op5-codes")
