@@ -1,20 +1,21 @@
 """Quality rules with thresholds learned per language and source (operator 6).
 
-Word, symbol, line and repetition counts are taken of every whole text. The ratios made of them go into
+Word, symbol, line and repetition counts are taken of every whole text. The rates made of them go into
 mergeable quantile sketches: counts per logarithmic bucket (relative error SKETCH_ERROR), which add up the
 same in any order, so that partial sums before the shuffle, later batches and single runs all agree. Each
-language and source gets its own threshold from its own sketch, and documents are filtered by a join.
+language and source gets its own limits from the quantiles of its own sketch, drawn towards those of its language
+the less the more documents it has, and documents are filtered by a join. No limit is a fixed number.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts, stage, table, WORD
+from millrace.llm.common import map_texts, shielded, stage, table, WORD
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -72,50 +73,46 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 #: A document fails at 50 words or fewer than that, or with more than half its words in repeats.
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-#: name -> (ratio, quantile below, quantile above, spreads allowed, least allowance, two-sided). A ratio may lie
-#: above its group's median by that many times the distance of the two quantiles, and by the least allowance in
-#: any case: a group of clean texts has no spread in most of these ratios.
+#: name -> (what is counted, out of what, lower and upper quantile, spreads, two-sided). The rate is
+#: (counted + 1) / (out of + 1), so that a text with none still has one, the less the longer it is. A group's limit
+#: is its median times (upper / lower quantile) to the power of the spreads, and for a two-sided rule also its
+#: median divided by that. Where a rule is about too much of something, both quantiles lie in the lower half, which
+#: bad documents don't reach before they are half of a group.
 RULES = {
-    "symbols": ("CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0D END", 0.25, 0.5, 4.0, 0.05, False),
-    "dup_lines": ("CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0D END", 0.25, 0.5, 4.0, 0.5, False),
-    "word_length": ("CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0D END", 0.25, 0.75, 8.0, 2.5, True),
+    "symbols": ("n_symbols", "word_chars", 0.1, 0.5, 2.5, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.1, 0.5, 1.5, False),
+    "word_length": ("word_chars", "n_words", 0.25, 0.75, 6.0, True),
 }
-#: A group with fewer documents than this takes the merged sketch of its language, or else of everything.
-LEAST_GROUP = 100
-
-
-def _value(bucket: Column) -> Column:
-    gamma = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
-    return F.when(bucket == ZERO_BUCKET, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), bucket.cast("double")) * 2 / (gamma + 1))
-
-
-#: Holds the zeros of a sketch.
-ZERO_BUCKET = -(1 << 20)
+#: Documents that a group's quantiles weigh as much as those of its language, and a language's as those of everything:
+#: a group of n has the weight n / (n + PRIOR) in its own limits, at every size.
+PRIOR = 100
+#: A count may differ from what its group's limit makes it by so many standard deviations of a Poisson count.
+NOISE = 3.0
+LOG_GAMMA = float(np.log((1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)))
 
 
 def sketch(counts: DataFrame) -> DataFrame:
-    """Quantile sketches as rows (lang, source, rule, bucket, n). Two tables of such rows merge by summing n."""
-    log_gamma = float(np.log((1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)))
-    ratios = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(r[0]).alias("v")) for k, r in RULES.items()]))
-    rows = counts.select("lang", "source", ratios.alias("x")).select("lang", "source", "x.rule", "x.v")
-    bucket = F.when(F.col("v") > 0, F.ceil(F.ln("v") / log_gamma)).otherwise(ZERO_BUCKET).cast("int")
-    return rows.groupBy("lang", "source", "rule", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    """Quantile sketches of documents that pass the base rules, as rows (lang, source, rule, bucket, n); a bucket is
+    the logarithm of a rate, rounded up. Two tables of such rows merge by summing n."""
+    rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(f"({r[0]} + 1) / ({r[1]} + 1)").alias("v")) for k, r in RULES.items()]))
+    rows = counts.where(f"NOT ({BASE_FAILED})").select("lang", "source", rates.alias("x")).select("lang", "source", "x.rule", "x.v")
+    return rows.groupBy("lang", "source", "rule", F.ceil(F.ln("v") / LOG_GAMMA).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """One row for each value of keys: documents, and lo, mid, hi of each rule."""
+    """One row for each value of keys: documents, and the buckets lo, mid, hi of each rule."""
     from pyspark.sql import Window
 
     merged = sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rule")
     cum = merged.select(*keys, "rule", "bucket", "n", F.sum("n").over(w.orderBy("bucket")).alias("cum"), F.sum("n").over(w).alias("all"))
     at = lambda rule, q: F.min(F.when((F.col("rule") == rule) & (F.col("cum") >= F.col("all") * q), F.col("bucket")))
-    found = [_value(at(rule, q)).alias(f"{rule}_{name}") for rule, r in RULES.items() for name, q in (("lo", r[1]), ("mid", 0.5), ("hi", r[2]))]
+    found = [at(rule, q).cast("double").alias(f"{rule}_{name}") for rule, r in RULES.items() for name, q in (("lo", r[2]), ("mid", 0.5), ("hi", r[3]))]
     return cum.groupBy(*keys).agg(F.max("all").alias("n"), *found)
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """(lang, source, and for each rule the least and the most that is allowed) of every group.
+    """(mr_lang, mr_source, and for each rule the least and the most that is allowed) of every group.
 
     Windows run over the buckets of one sketch, of which there are at most some thousands.
     """
@@ -123,29 +120,36 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     own = _quantiles(sketches, "lang", "source")
     lang = _quantiles(sketches, "lang").select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(c).alias(f"l_{c}") for c in names])
     every = _quantiles(sketches).select(*[F.col(c).alias(f"e_{c}") for c in names])
-    chosen = own.join(lang, F.expr("lang <=> l_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
-    pick = {c: F.when(F.col("n") >= LEAST_GROUP, F.col(c)).when(F.col("l_n") >= LEAST_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")) for c in names}
-    out = chosen.select("lang", "source", *[v.alias(c) for c, v in pick.items()])
-    room = {rule: F.greatest(F.lit(least), F.lit(times) * (F.col(f"{rule}_hi") - F.col(f"{rule}_lo"))) for rule, (_, _, _, times, least, _) in RULES.items()}
+    met = own.join(lang, F.expr("lang <=> l_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
+    blend = lambda n, own, over: (F.col(n) * F.col(own) + PRIOR * over) / (F.col(n) + PRIOR)
+    out = met.select("lang", "source", *[blend("n", c, blend("l_n", f"l_{c}", F.col(f"e_{c}"))).alias(c) for c in names])
+    room = {rule: F.lit(r[4]) * (F.col(f"{rule}_hi") - F.col(f"{rule}_lo")) for rule, r in RULES.items()}
     return out.select(
         F.col("lang").alias("mr_lang"), F.col("source").alias("mr_source"),
-        *[(F.col(f"{rule}_mid") + room[rule]).alias(f"mr_{rule}_max") for rule in RULES],
-        *[(F.col(f"{rule}_mid") - room[rule]).alias(f"mr_{rule}_min") for rule, r in RULES.items() if r[5]],
+        *[F.exp(F.lit(LOG_GAMMA) * (F.col(f"{rule}_mid") + room[rule])).alias(f"mr_{rule}_max") for rule in RULES],
+        *[F.exp(F.lit(LOG_GAMMA) * (F.col(f"{rule}_mid") - room[rule])).alias(f"mr_{rule}_min") for rule, r in RULES.items() if r[5]],
     )
 
 
+def _fine(prefix: str = "mr_") -> str:
+    """The method's verdict, as SQL over the counts and limits."""
+    parts = []
+    for rule, (count, base, _, _, _, two_sided) in RULES.items():
+        most, least = f"{prefix}{rule}_max * {base}", f"{prefix}{rule}_min * {base}"
+        parts.append(f"{count} <= {most} + {NOISE} * sqrt({most})")
+        if two_sided:
+            parts.append(f"{count} >= {least} - {NOISE} * sqrt({least})")
+    return " AND ".join(parts)
+
+
 def _judge(counts: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed and kept by a join with the limits of each row's group."""
-    good = F.lit(True)
-    for rule, r in RULES.items():
-        good = good & (F.expr(r[0]) <= F.col(f"mr_{rule}_max"))
-        if r[5]:
-            good = good & (F.expr(r[0]) >= F.col(f"mr_{rule}_min"))
-    joined = counts.drop("base_failed", "kept").join(limits, F.expr("lang <=> mr_lang AND source <=> mr_source"), "left")
-    judged = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False)))
+    joined = counts.join(limits, F.expr("lang <=> mr_lang AND source <=> mr_source"), "left")
+    judged = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.expr(_fine()), F.lit(False)))
     return judged.drop(*limits.columns)
 
 
+@shielded(*COUNTS, "base_failed", "kept")
 def verdicts(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but text, COUNTS, base_failed and kept; one row for each row.
 
@@ -157,6 +161,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return _judge(counts, stage(thresholds(sketch(counts)), "op6-limits"))
 
 
+@shielded(own=(*COUNTS, "base_failed", "kept"))
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged. Texts are counted twice rather than shuffled or stored."""
     limits = stage(thresholds(sketch(with_counts(docs.select("text", "lang", "source")))), "op6-limits")
@@ -172,20 +177,18 @@ QUERIES = {"op6_quality": op6_quality}
 
 
 def _oracle() -> str:
-    gamma = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
-    ratios = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {r[0].replace('0D', '0.0')} AS v FROM m" for k, r in RULES.items())
-    quantiles = ", ".join(f"min(CASE WHEN rule = '{k}' AND cum >= a * {q} THEN val END) AS {k}_{name}" for k, r in RULES.items() for name, q in (("lo", r[1]), ("mid", 0.5), ("hi", r[2])))
+    rates = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, ({r[0]} + 1) / ({r[1]} + 1) AS v FROM m WHERE NOT ({BASE_FAILED})" for k, r in RULES.items())
+    quantiles = ", ".join(f"min(CASE WHEN rule = '{k}' AND cum >= a * {q}::DOUBLE THEN bucket END)::DOUBLE AS {k}_{name}" for k, r in RULES.items() for name, q in (("lo", r[2]), ("mid", 0.5), ("hi", r[3])))
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f"""{name}_b AS (SELECT {by}rule, bucket, sum(n) AS n FROM k GROUP BY ALL),
-{name}_c AS (SELECT *, CASE WHEN bucket = {ZERO_BUCKET} THEN 0 ELSE pow({gamma!r}, bucket) * 2 / {gamma + 1!r} END AS val, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}rule) AS a FROM {name}_b),
-{name} AS (SELECT {by}max(a) AS n, {quantiles} FROM {name}_c {'GROUP BY ' + keys if keys else ''})"""
+{name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {by}rule ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {by}rule) AS a FROM {name}_b),
+{name} AS (SELECT {by}max(a)::DOUBLE AS n, {quantiles} FROM {name}_c {'GROUP BY ' + keys if keys else ''})"""
 
     names = [f"{rule}_{q}" for rule in RULES for q in ("lo", "mid", "hi")]
-    pick = ", ".join(f"CASE WHEN o.n >= {LEAST_GROUP} THEN o.{c} WHEN l.n >= {LEAST_GROUP} THEN l.{c} ELSE e.{c} END AS {c}" for c in names)
-    room = {rule: f"greatest({r[4]}, {r[3]} * ({rule}_hi - {rule}_lo))" for rule, r in RULES.items()}
-    fine = " AND ".join([f"{r[0].replace('0D', '0.0')} <= {rule}_mid + {room[rule]}" + (f" AND {r[0].replace('0D', '0.0')} >= {rule}_mid - {room[rule]}" if r[5] else "") for rule, r in RULES.items()])
+    blended = ", ".join(f"(o.n * o.{c} + {PRIOR} * ((l.n * l.{c} + {PRIOR} * e.{c}) / (l.n + {PRIOR}))) / (o.n + {PRIOR}) AS {c}" for c in names)
+    limits = ", ".join(f"exp({LOG_GAMMA!r}::DOUBLE * ({rule}_mid {sign} {r[4]}::DOUBLE * ({rule}_hi - {rule}_lo))) AS {rule}_{end}" for rule, r in RULES.items() for sign, end in (("+", "max"), ("-", "min")))
     return f"""
 WITH w AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
@@ -200,12 +203,14 @@ WITH w AS (
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
     FROM w JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
 ), k AS (
-    SELECT lang, source, rule, CASE WHEN v > 0 THEN ceil(ln(v) / {float(np.log(gamma))!r})::INT ELSE {ZERO_BUCKET} END AS bucket, count(*) AS n FROM ({ratios}) GROUP BY ALL
-), {level('o', 'lang, source')}, {level('l', 'lang')}, {level('e', '')}, t AS (
-    SELECT o.lang, o.source, {pick} FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e
+    SELECT lang, source, rule, ceil(ln(v) / {LOG_GAMMA!r}::DOUBLE)::INT AS bucket, count(*) AS n FROM ({rates}) GROUP BY ALL
+), {level('o', 'lang, source')}, {level('l', 'lang')}, {level('e', '')}, b AS (
+    SELECT o.lang, o.source, {blended} FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e
+), t AS (
+    SELECT lang, source, {limits} FROM b
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-    ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce({fine}, false) AS kept
+    ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce({_fine('t.')}, false) AS kept
 FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
 """
 
