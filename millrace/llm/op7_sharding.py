@@ -3,28 +3,30 @@
 Every document gets a key: 60 bits of the MD5 of its text, then its id. Equal texts are therefore
 neighbours. Splitters are found without sorting: the exact bytes in each bucket of a key histogram are
 counted over all partitions, only the buckets in which a splitter must lie are divided further, and this
-goes on until each splitter is exact to the tolerance. Then the rows are exchanged once, straight to
-their final range. The driver sees at most ``ranges * FAN`` histogram rows in a round, whatever the input.
+goes on until each splitter is exact to its tolerance. Then the rows are exchanged once, straight to
+their final range. The driver sees the buckets in which a splitter lies, and the parts of those that are divided:
+the shards' own and the few that hold more than an eighth of a range.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash60, partitions, stage, table, unstage
+from millrace.llm.common import hash60, partitions, shielded, stage, table, unstage
 
-#: Bits of the key in the first histogram, and bits added to a refined bucket in each later round.
-FIRST_BITS, NEXT_BITS, HASH_BITS = 12, 8, 60
-#: Bytes that a final range should hold at most, and the most ranges the driver plans for.
-RANGE_BYTES, MOST_RANGES = 256 << 20, 4096
+#: Least bits of the key in the first histogram, and bits beyond those that the ranges need; bits added to a refined
+#: bucket in each later round; low bits of a bucket's number that one window adds up.
+FIRST_BITS, MORE_BITS, NEXT_BITS, HASH_BITS, WINDOW_BITS = 12, 5, 8, 60, 11
+#: Bytes that a final range should hold at most.
+RANGE_BYTES = 1 << 30
 #: Counts as the id of a document without one.
 NO_ID = -(1 << 63)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class Splitter:
     """The first key of the range to the right."""
 
@@ -32,36 +34,52 @@ class Splitter:
     id: int
 
 
-def find_splitters(keys: DataFrame, ranges: int, tolerance: int = 0) -> list[Splitter]:
+def _histogram(keys: DataFrame, bits: int, ranges: int, total: int, stats: list) -> list:
+    """The buckets of the first ``bits`` of the key in which a splitter may lie, with ``below``, the bytes before them.
+
+    The bytes are added up over runs of buckets and inside each; few buckets are collected.
+    """
+    hist = keys.groupBy(F.shiftright("h", HASH_BITS - bits).alias("prefix")).agg(*stats).withColumn("run", F.shiftright("prefix", WINDOW_BITS))
+    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = hist.groupBy("run").agg(F.sum("bytes").alias("bytes")).select("run", before(Window.orderBy("run")).alias("base"))
+    placed = hist.withColumn("in", before(Window.partitionBy("run").orderBy("prefix"))).join(F.broadcast(runs), "run").withColumn("below", F.col("base") + F.col("in"))
+    step = total / ranges
+    some = F.floor((F.col("below") + F.col("bytes") + 1) / step) >= F.ceil((F.col("below") - 1) / step)
+    return placed.where(some).select("prefix", "below", "bytes", "h0", "h1", "id0", "id1").collect()
+
+
+def find_splitters(keys: DataFrame, ranges: int, tolerance: int = 0, per: int = 1) -> list[Splitter]:
     """Splitters that deal the bytes of ``keys`` (h, id, size) into ``ranges`` near-equal parts.
 
     With tolerance 0 each lies where the document that straddles the target ends or begins, whichever side
-    holds its middle: the result is the same for every partitioning of the input. Rows with the same text
-    and id stay together. An empty table has no splitters.
+    holds its middle: the result is the same for every partitioning of the input. That goes for every ``per``-th
+    splitter; the others may be off by an eighth of a range. Rows with the same text and id stay together. An empty
+    table has no splitters.
     """
     spark = keys.sparkSession
     total = keys.agg(F.sum("size")).first()[0]
     if not total or ranges < 2:
         return []
     stats = [F.sum("size").alias("bytes"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("id").alias("id0"), F.max("id").alias("id1")]
+    targets = [-(-total * j // ranges) for j in range(1, ranges)]  # rounded up
+    room = {t: max(tolerance, total // (8 * ranges)) for t in targets} | dict.fromkeys(targets[per - 1 :: per], tolerance)
     found: dict[int, Splitter] = {}
     by_hash: dict[int, tuple[int, list[int]]] = {}  # hash prefix -> bytes before it, targets inside
     by_id: list[tuple[int, int, int, int, list[int]]] = []  # hash, ids from and to, bytes before, targets
 
-    def settle(buckets: list, below: int, targets: list[int], edge) -> None:
-        """Put each target at an edge of its bucket, or keep the bucket for the next round. ``edge`` gives
-        the first key of a bucket's prefix."""
-        buckets, at = sorted(buckets, key=lambda b: b["prefix"]), 0
+    def settle(buckets: list, targets: list[int], edge) -> None:
+        """Put each target at an edge of its bucket (prefix, below and more), or keep the bucket for the next round.
+        ``edge`` gives the first key of a bucket's prefix."""
+        at = 0
         for t in targets:
-            while at + 1 < len(buckets) and below + buckets[at]["bytes"] <= t:
-                below += buckets[at]["bytes"]
+            while at + 1 < len(buckets) and buckets[at + 1]["below"] <= t:
                 at += 1
             b = buckets[at]
-            after = 2 * below + b["bytes"] < 2 * t
+            below, after = b["below"], 2 * b["below"] + b["bytes"] < 2 * t
             one_hash = b["h0"] == b["h1"]
             if one_hash and b["id0"] == b["id1"]:
                 found[t] = Splitter(b["h0"], b["id0"] + after)
-            elif b["bytes"] <= tolerance:
+            elif b["bytes"] <= room[t]:
                 found[t] = edge(b["prefix"] + after)
             elif one_hash:
                 if not by_id or by_id[-1][:3] != (b["h0"], b["id0"], b["id1"]):
@@ -70,9 +88,15 @@ def find_splitters(keys: DataFrame, ranges: int, tolerance: int = 0) -> list[Spl
             else:
                 by_hash.setdefault(b["prefix"], (below, []))[1].append(t)
 
-    bits = FIRST_BITS
-    targets = [-(-total * j // ranges) for j in range(1, ranges)]  # rounded up
-    settle(keys.groupBy(F.shiftright("h", HASH_BITS - bits).alias("prefix")).agg(*stats).collect(), 0, targets, lambda p: Splitter(p << (HASH_BITS - FIRST_BITS), NO_ID))
+    def summed(buckets: list, below: int) -> list[dict]:
+        out = []
+        for b in sorted(buckets, key=lambda b: b["prefix"]):
+            out.append(b.asDict() | {"below": below})
+            below += b["bytes"]
+        return out
+
+    bits = first = min(HASH_BITS, max(FIRST_BITS, ranges.bit_length() + MORE_BITS))
+    settle(sorted(_histogram(keys, bits, ranges, total, stats), key=lambda b: b["prefix"]), targets, lambda p: Splitter(p << (HASH_BITS - first), NO_ID))
     while by_hash:
         waiting, by_hash = by_hash, {}
         active = F.broadcast(spark.createDataFrame([(p,) for p in waiting], "parent long"))
@@ -82,7 +106,7 @@ def find_splitters(keys: DataFrame, ranges: int, tolerance: int = 0) -> list[Spl
         for r in rows.groupBy("parent", F.shiftright("h", HASH_BITS - bits).alias("prefix")).agg(*stats).collect():
             parts.setdefault(r["parent"], []).append(r)
         for p, (below, todo) in waiting.items():
-            settle(parts[p], below, todo, lambda q, b=bits: Splitter(q << (HASH_BITS - b), NO_ID))
+            settle(summed(parts[p], below), todo, lambda q, b=bits: Splitter(q << (HASH_BITS - b), NO_ID))
     while by_id:
         waiting, by_id = by_id, []
         shifts = [next(s for s in range(64) if (hi >> s) - (lo >> s) < 1 << NEXT_BITS) for _, lo, hi, _, _ in waiting]
@@ -94,14 +118,22 @@ def find_splitters(keys: DataFrame, ranges: int, tolerance: int = 0) -> list[Spl
         for r in rows.groupBy("k", F.expr("shiftright(id, s)").alias("prefix")).agg(*stats).collect():
             parts.setdefault(r["k"], []).append(r)
         for k, (h, _, _, below, todo) in enumerate(waiting):
-            settle(parts[k], below, todo, lambda q, h=h, s=shifts[k]: Splitter(h, q << s))
-    return [found[t] for t in targets]
+            settle(summed(parts[k], below), todo, lambda q, h=h, s=shifts[k]: Splitter(h, q << s))
+    # A splitter that may be off stays between the exact ones beside it.
+    out, low = [], None
+    for j, t in enumerate(targets):
+        high = found[targets[(j // per + 1) * per - 1]] if (j // per + 1) * per - 1 < len(targets) else None
+        s = found[t]
+        s = min(s, high) if high else s
+        low = max(s, low) if low else s
+        out.append(low)
+    return out
 
 
 def _ranged(df: DataFrame, splitters: list[Splitter]) -> DataFrame:
     """Add the column ``mr_range``: how many splitters are at or below the row's key.
 
-    The splitters (MOST_RANGES at most) are joined by the first bits of the key, so that a row is compared
+    The splitters are joined by the first bits of the key, so that a row is compared
     with those of its own bucket only.
     """
     by: dict[int, list] = {}
@@ -120,6 +152,7 @@ def _ranged(df: DataFrame, splitters: list[Splitter]) -> DataFrame:
     )
 
 
+@shielded("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 def shard(docs: DataFrame, n_shards: int = 40, tolerance: int = 0) -> DataFrame:
     """Deal ``docs`` (doc_id, text and any more columns) into shards of near-equal bytes.
 
@@ -140,8 +173,8 @@ def shard(docs: DataFrame, n_shards: int = 40, tolerance: int = 0) -> DataFrame:
     keys = stage(keyed.select(F.col("mr_h").alias("h"), F.col("mr_id").alias("id"), "size"), "op7-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     # Every shard is an equal number of ranges, so that more tasks than shards can work.
-    per = max(1, min(MOST_RANGES // n_shards, max(-(-total // (n_shards * RANGE_BYTES)), -(-partitions(spark) // n_shards))))
-    splitters = find_splitters(keys, n_shards * per, tolerance)
+    per = max(1, -(-total // (n_shards * RANGE_BYTES)), -(-partitions(spark) // n_shards))
+    splitters = find_splitters(keys, n_shards * per, tolerance, per)
     counts = {r[0]: r[1] for r in _ranged(keys.selectExpr("h AS mr_h", "id AS mr_id"), splitters).groupBy("mr_range").count().collect()}
     unstage(keys)
     starts, before = [], 0
