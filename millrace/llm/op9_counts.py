@@ -8,13 +8,15 @@ import uuid
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_texts, shared_dir, stage, table
+from millrace.llm.common import map_texts, shared_dir, stage, table, unstage
 
 KEYS = ("source", "lang", "version")
+KIND = "source string, lang string, version string, n_docs long, n_tokens long"
 #: Tokenizer versions of the query: rank files by name.
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 #: Bytes that a token is taken for before it is counted.
@@ -74,36 +76,61 @@ def signed(changes: DataFrame) -> DataFrame:
 class Ledger:
     """Committed deltas in a folder, one batch each, and totals that are their sum.
 
-    A batch is written beside the others and then renamed to its id in one step: it counts wholly or not at
-    all, a batch that is committed again changes nothing, and batches may arrive in any order.
+    A batch's rows are written to a folder of their own. It is committed by one step after that: a small file named after
+    the batch, which says where its rows are, gets its place by a rename that fails if the file is there. So a batch
+    counts wholly or not at all, a batch that is committed again changes nothing, whoever comes first, and batches may
+    arrive in any order. A base, made by ``fold``, is committed in the same way and lists the batches in it.
+
+    What is read goes by one listing of these files. Totals are read when their plan runs: if a fold has removed the
+    rows meanwhile, it fails, and asking for totals again helps.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._at = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(self._conf)
         self._fs.mkdirs(self._at(self.path))
 
-    def _names(self, prefix: str) -> list[str]:
-        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))) if n.startswith(prefix))
-
-    def _put(self, df: DataFrame, name: str) -> bool:
-        if self._fs.exists(self._at(f"{self.path}/{name}")):
-            return False
-        tmp = f"{self.path}/_new-{uuid.uuid4().hex}"
-        df.write.parquet(tmp)
-        # Renaming into an existing folder would nest: a batch committed meanwhile by another driver stays as it is.
-        if self._fs.exists(self._at(f"{self.path}/{name}")) or not self._fs.rename(self._at(tmp), self._at(f"{self.path}/{name}")):
-            self._fs.delete(self._at(tmp), True)
+    def _listed(self) -> tuple[str | None, list[str]]:
+        """The latest base, and the batches beside it, by one listing."""
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(self.path)))
+        bases = [n for n in names if n.startswith("base-")]
+        return bases[-1] if bases else None, [n.removeprefix("batch-") for n in names if n.startswith("batch-")]
+
+    def _rows_of(self, name: str) -> str:
+        """The folder that a commit file names."""
+        stream = self._fs.open(self._at(f"{self.path}/{name}"))
+        try:
+            return f"{self.path}/{bytes(stream.readAllBytes()).decode()}"
+        finally:
+            stream.close()
+
+    def _put(self, folder: str, name: str) -> bool:
+        """Commit a folder of rows by the file ``name``; False, and the folder goes, if there is one."""
+        fs = self._jvm.org.apache.hadoop.fs
+        note, at = self._at(f"{self.path}/_note-{uuid.uuid4().hex}"), self._at(f"{self.path}/{name}")
+        out = self._fs.create(note, False)
+        out.writeBytes(folder)
+        out.close()
+        how = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            fs.FileContext.getFileContext(note.toUri(), self._conf).rename(self._fs.makeQualified(note), self._fs.makeQualified(at), how)
+            return self._rows_of(name).endswith(folder)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            self._fs.delete(note, False)
+            self._fs.delete(self._at(f"{self.path}/{folder}"), True)
             return False
-        return True
+
+    def _folded(self, base: str | None) -> list[str]:
+        return [r[0] for r in self.spark.read.parquet(f"{self._rows_of(base)}/batches").collect()] if base else []
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        base = self._names("base-")
-        folded = [r[0] for r in self.spark.read.parquet(f"{self.path}/{base[-1]}/batches").collect()] if base else []
-        return sorted({*folded, *[n.removeprefix("batch-") for n in self._names("batch-")]})
+        base, names = self._listed()
+        return sorted({*self._folded(base), *names})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes as one batch. False, and nothing done, if there is a batch of this id."""
@@ -111,40 +138,46 @@ class Ledger:
             raise ValueError("a batch id has letters, digits, - and _")
         if batch in self.batches():
             return False
-        return self._put(signed(changes), f"batch-{batch}")
-
-    def _rows(self) -> DataFrame | None:
-        base, names = self._names("base-"), self._names("batch-")
-        parts = []
-        if base:
-            folded = {r[0] for r in self.spark.read.parquet(f"{self.path}/{base[-1]}/batches").collect()}
-            names = [n for n in names if n.removeprefix("batch-") not in folded]
-            parts.append(f"{self.path}/{base[-1]}/totals")
-        parts += [f"{self.path}/{n}" for n in names]
-        return self.spark.read.parquet(*parts) if parts else None
+        folder = f"rows-{uuid.uuid4().hex}"
+        signed(changes).write.parquet(f"{self.path}/{folder}")
+        # If the same batch was committed and folded meanwhile, its id is in the base's list, and this file doesn't count.
+        return self._put(folder, f"batch-{batch}")
+
+    def _sum(self, base: str | None, names: list[str]) -> DataFrame:
+        parts = ([f"{self._rows_of(base)}/totals"] if base else []) + [self._rows_of(f"batch-{n}") for n in names]
+        if not parts:
+            return self.spark.createDataFrame([], KIND)
+        rows = self.spark.read.schema(KIND).parquet(*parts)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) of all batches; keys of which nothing is left are absent."""
-        rows = self._rows()
-        if rows is None:
-            return self.spark.createDataFrame([], "source string, lang string, version string, n_docs long, n_tokens long")
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        base, names = self._listed()
+        inside = set(self._folded(base))
+        return self._sum(base, [n for n in names if n not in inside])
+
+    def fold(self) -> bool:
+        """Sum the batches that are committed now into a new base, so that totals read one table. Batches may be
+        committed meanwhile: they aren't in the base's list, and count beside it. False if another fold came first."""
+        base, names = self._listed()
+        inside = set(self._folded(base))
+        names = [n for n in names if n not in inside]
+        if not names:
+            return True
+        folder = f"rows-{uuid.uuid4().hex}"
+        self._sum(base, names).write.parquet(f"{self.path}/{folder}/totals")
+        self.spark.createDataFrame([(i,) for i in sorted({*inside, *names})], "batch string").write.parquet(f"{self.path}/{folder}/batches")
+        if not self._put(folder, f"base-{int(base.split('-')[1]) + 1 if base else 0:09d}"):
+            return False
+        gone = [f"batch-{n}" for n in names] + ([base] if base else [])
+        for name, rows in [(n, self._rows_of(n)) for n in gone]:
+            self._fs.delete(self._at(f"{self.path}/{name}"), False)
+            self._fs.delete(self._at(rows), True)
+        return True
 
-    def fold(self) -> None:
-        """Sum the committed batches into a new base, so that totals read one table. Batches may go on meanwhile."""
-        ids, base = self.batches(), self._names("base-")
-        if not ids:
-            return
-        name = f"base-{int(base[-1].split('-')[1]) + 1 if base else 0:09d}"
-        tmp = f"{self.path}/_new-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{tmp}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").write.parquet(f"{tmp}/batches")
-        self._fs.rename(self._at(tmp), self._at(f"{self.path}/{name}"))
-        for n in self._names("batch-"):
-            if n.removeprefix("batch-") in set(ids):
-                self._fs.delete(self._at(f"{self.path}/{n}"), True)
-        for n in base:
-            self._fs.delete(self._at(f"{self.path}/{n}"), True)
+    def remove(self) -> None:
+        """Delete the folder with all that is in it."""
+        self._fs.delete(self._at(self.path), True)
 
 
 def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +199,10 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = extra.select("source", "lang", "n_rows", each.alias("v")).selectExpr("'delete' AS op", "source", "lang", "v.version AS version", "v.n AS n_tokens", "0L AS old_tokens", "n_rows")
     ledger.commit("2-copies", gone)
     ledger.commit("2-copies", gone)
-    return ledger.totals()
+    unstage(facts, groups, first)
+    totals = stage(ledger.totals(), "op9-totals")
+    ledger.remove()
+    return totals
 
 
 QUERIES = {"op9_counts": op9_counts}
