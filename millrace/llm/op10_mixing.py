@@ -1,33 +1,62 @@
-"""Mixing sources to target weights by Poisson replication (operator 10)."""
+"""Mixing sources to target weights by Poisson replication (operator 10).
+
+The distribution of each source's copies is tabled once, and every document looks its own hash up in its source's
+table: the least k whose cumulative chance is above it.
+"""
 
 from __future__ import annotations
 
+from math import ceil, lgamma, log, sqrt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash60, partitions, stage, table
+from millrace.llm.common import hash60, partitions, shielded, stage, table
 
 #: Bytes that a partition of the shuffled output should hold at most.
 PART_BYTES = 128 << 20
-
-
-def poisson_count(u: Column, rate: Column) -> Column:
-    """The least k with u < P(X <= k) for X ~ Poisson(rate); u in [0, 1).
-
-    The distribution is tabled to rate + 12 sqrt(rate) + 30, beyond which less than 2^-53 is left, in
-    logarithms, so that a large rate doesn't underflow.
-    """
-    most = F.ceil(rate + F.lit(12) * F.sqrt(rate) + 30).cast("int")
-    logs = F.aggregate(
-        F.sequence(F.lit(1), most),
-        F.struct(F.exp(-rate).alias("c"), (-rate).alias("l"), F.array(F.exp(-rate)).alias("cdf")),
-        lambda s, k: F.struct(
-            (s["c"] + F.exp(s["l"] + F.ln(rate / k))).alias("c"),
-            (s["l"] + F.ln(rate / k)).alias("l"),
-            F.concat(s["cdf"], F.array(s["c"] + F.exp(s["l"] + F.ln(rate / k)))).alias("cdf"),
-        ),
+#: Copies of a document that one task makes.
+COPIES = 256
+
+
+def poisson_table(rate: float) -> tuple[int, np.ndarray]:
+    """(least, cdf): P(X <= least + i) for X ~ Poisson(rate), from 40 deviations below the rate, where a double has no
+    smaller chance, to 12 above it, beyond which less than 2^-53 is left: about 52 sqrt(rate) values. Chances are made in
+    logarithms, so that a large rate doesn't underflow."""
+    least, most = max(0, int(rate - 40 * sqrt(rate))), ceil(rate + 12 * sqrt(rate) + 30)
+    k = np.arange(least + 1, most + 1)
+    logs = np.concatenate([[least * log(rate) - rate - lgamma(least + 1)], np.log(rate / k)]).cumsum()
+    cdf = np.exp(logs).cumsum()
+    return least, cdf / cdf[-1]
+
+
+def with_tables(rates: DataFrame) -> DataFrame:
+    """``rates`` (rate above 0, and more columns) with mr_least and mr_cdf."""
+    at = rates.columns.index("rate")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                least, cdf = poisson_table(row.column(at)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([least], pa.int64()), pa.array([cdf], pa.list_(pa.float64()))], names=[*row.schema.names, "mr_least", "mr_cdf"])
+
+    return rates.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rates.schema.fields) + ", mr_least bigint, mr_cdf array<double>")
+
+
+def poisson_count(u: Column, least: str = "mr_least", cdf: str = "mr_cdf") -> Column:
+    """The least k with u < P(X <= k); u in [0, 1). A search by halves in the table."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cdf) + 1)).cast("int"))
+    span = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("lo"), F.size(cdf).alias("hi"), u.alias("u")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(
+            F.get(cdf, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= s["u"], F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"), s["u"].alias("u"))
+        ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"), s["u"].alias("u")))),
     )
-    return F.size(F.filter(logs["cdf"], lambda c: c <= u))
+    return F.col(least) + span["lo"]
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None) -> DataFrame:
@@ -49,6 +78,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
     return sizes.select("source", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("weight") / weight * budget / F.col("n_bytes")).otherwise(0.0).alias("rate"))
 
 
+@shielded("copy_no", "n_copies", "shuffle_key")
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: int = 42) -> DataFrame:
     """Repeat each document a Poisson-distributed number of times, so that sources reach their target
     weights on average, and put the copies into a global random order.
@@ -58,17 +88,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     other in the order of the key. The number of copies depends on seed, doc_id and the source's rate only:
     repeated rows get the same. A null doc_id counts as an id of its own; a null source is a source; a null
     text has no bytes. An empty table gives an empty one.
+
+    A document of very many copies is dealt out to other tasks, COPIES at a time, before they are made.
     """
     spark = docs.sparkSession
-    rates = source_rates(docs, weights, budget)
+    rates = source_rates(docs, weights, budget).where("rate > 0").select(F.col("source").alias("mr_source"), "n_bytes", "rate")
+    tabled = stage(with_tables(rates), "op10-rates")
+    facts = tabled.agg(F.sum(F.col("n_bytes") * F.col("rate")), F.max(F.col("mr_least") + F.size("mr_cdf"))).first()
+    n = max(partitions(spark), int((facts[0] or 0) // PART_BYTES) + 1)
     u = hash60(str(seed), "copies", F.col("doc_id")) / float(1 << 60)
-    # Counts are a few per source: tabled there, looked up by each document.
-    tabled = stage(rates.where("rate > 0").select(F.col("source").alias("mr_source"), "n_bytes", F.col("rate").alias("mr_rate")), "op10-rates")
-    total = tabled.agg(F.sum(F.col("n_bytes") * F.col("mr_rate"))).first()[0] or 0
-    n = max(partitions(spark), int(total // PART_BYTES) + 1)
-    copies = docs.join(tabled.drop("n_bytes"), F.expr("source <=> mr_source")).withColumn("n_copies", poisson_count(u, F.col("mr_rate")))
-    copies = copies.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    copies = copies.withColumn("shuffle_key", hash60(str(seed), "order", F.col("doc_id"), F.col("copy_no"))).drop("mr_source", "mr_rate")
+    counted = docs.join(tabled.select("mr_source", "mr_least", "mr_cdf"), F.expr("source <=> mr_source")).withColumn("n_copies", poisson_count(u)).drop("mr_source", "mr_least", "mr_cdf")
+    counted = counted.where("n_copies > 0")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))
+    if (facts[1] or 0) <= COPIES:
+        copies = counted.withColumn("copy_no", every)
+    else:
+        parts = counted.where(f"n_copies > {COPIES}").withColumn("mr_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_copies - 1) DIV {COPIES}"))))
+        dealt = parts.repartition(n, "doc_id", "mr_part")
+        some = F.explode(F.sequence(F.col("mr_part") * COPIES, F.least(F.col("n_copies"), (F.col("mr_part") + 1) * COPIES) - 1))
+        copies = counted.where(f"n_copies <= {COPIES}").withColumn("copy_no", every).unionByName(dealt.withColumn("copy_no", some).drop("mr_part"))
+    copies = copies.withColumns({"n_copies": F.col("n_copies").cast("int"), "copy_no": F.col("copy_no").cast("int")})
+    copies = copies.withColumn("shuffle_key", hash60(str(seed), "order", F.col("doc_id"), F.col("copy_no")))
     # The key is uniform: equal slices of its range are equal partitions, and no sampling is needed.
     slice_ = (F.shiftright("shuffle_key", 30) * n).cast("long")
     return copies.repartitionById(n, F.shiftright(slice_, 30).cast("int")).sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
