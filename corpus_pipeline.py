@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import WORD, stage
+from millrace.llm.common import WORD, settled, unstage
 from millrace.llm.op1_bpe import encode
 from millrace.llm.op2_simhash import near_dedup
 from millrace.llm.op4_passages import drop_repeats
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, settled(lambda f=function, d=docs: f(spark, d, sf_dir), f"pipeline-{name}")
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

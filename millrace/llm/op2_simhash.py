@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import map_texts, partitions, stage, table, unstage
+from millrace.llm.common import map_texts, partitions, shielded, stage, table, unstage
 from millrace.llm.components import components
 from millrace.llm.golay import DATA_BITS, fuzzy_keys
 
@@ -328,18 +328,20 @@ def _named(known: DataFrame, find, *more: str) -> DataFrame:
     return names
 
 
+@shielded("mr_fp", "component_id")
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The columns of ``docs`` but text, with mr_fp (the fingerprint, a long) and component_id, which replaces
-    a column of that name.
+    """The columns of ``docs`` but text, with mr_fp (the fingerprint, a long) and component_id, which replace
+    columns of these names.
 
     docs: doc_id, text and any more columns. component_id is the smallest doc_id reachable by links, over
     null ids none; it is null where a component has null ids only. Null, empty and blank texts have
     fingerprint 0. Repeated rows and equal texts share a component. An empty table gives an empty one.
     """
-    known = stage(with_fingerprint(docs.drop("component_id"), shingle, keep_text=False), "op2-prints")
+    known = stage(with_fingerprint(docs, shingle, keep_text=False), "op2-prints")
     return known.join(_named(known, links).drop("root"), F.col("mr_fp") == F.col("mr_node")).drop("mr_node")
 
 
+@shielded()
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near-duplicates, that of the
     smallest doc_id (null last; of equal ids, by a hash of the text). Two are near at a Jaccard similarity of NEAR

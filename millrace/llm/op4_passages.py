@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import blocks, forest, stream
-from millrace.llm.common import map_texts, stage, table, unstage
+from millrace.llm.common import map_texts, shielded, stage, table, unstage
 from millrace.llm.components import components
 
 UNIT_WORDS, LONG_SENTENCE, SHINGLE = 8, 48, 5  # a paragraph has at most 8 + 48 words
@@ -430,6 +430,7 @@ def _spans(text: bytes, runs: list) -> list[tuple[int, int]]:
     return [(words[r["first"]][0], words[r["last"] - 1][1]) for r in runs]
 
 
+@shielded("mr_removed")
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from text, and mr_removed: the words that went; n_chars, if there
     is one, is counted anew. A document of which nothing is left has the empty text.
@@ -438,7 +439,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     are one document and stay alike. An empty table gives an empty one.
     """
     runs = repeats(docs).withColumnRenamed("mr_doc", "mr_d")
-    docs = docs.drop("mr_removed")
     # By a merge at every size: the runs grow with the input.
     joined = _keyed(docs).join(runs.hint("merge"), F.col("mr_doc") == F.col("mr_d"), "left").drop("mr_doc", "mr_d")
     at, names = joined.columns.index("text"), docs.columns
