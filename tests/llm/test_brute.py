@@ -1,6 +1,7 @@
 """Every operator against a plain version without Spark, or against planted cases."""
 
 import base64
+import decimal
 import hashlib
 import math
 import random
@@ -14,7 +15,7 @@ import xxhash
 
 import __spark_entry__
 import corpus_pipeline
-from millrace.llm import op1_bpe, op2_simhash, op4_passages, op5_vectors, op6_quality, op10_mixing
+from millrace.llm import op1_bpe, op2_simhash, op3_preferences, op4_passages, op5_vectors, op6_quality, op10_mixing
 from millrace.llm.components import components
 from millrace.llm.golay import fuzzy_keys
 from millrace.llm.op3_preferences import pair_conversations
@@ -67,10 +68,56 @@ def test_bpe_of_odd_texts():
         codec = op1_bpe.Codec(f.read())
     for t, (n, _, decoded, ids) in zip(texts, codec.texts(texts, True)):
         assert list(ids) == enc.encode_ordinary(t) and n == len(ids) and decoded == hashlib.sha256(t.encode()).hexdigest()
-    # A piece takes the same merges in the query and with the heap.
-    for t in texts[:3]:
-        piece = t[:200].encode()
-        assert codec._merge_long(piece) == enc._encode_single_piece(piece)
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return op1_bpe.Codec(f.read())
+
+
+def unspaced(kind):
+    rng = random.Random(20)
+    if kind == "chinese":
+        return "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1_000_000))
+    if kind == "runs of chinese":
+        return " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20)) for _ in range(50_000))
+    if kind == "thai":
+        return "".join(chr(rng.randrange(0x0E01, 0x0E3A)) for _ in range(1_000_000))
+    if kind == "base64":
+        return base64.b64encode(rng.randbytes(750_000)).decode()
+    if kind == "one word":
+        return "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
+    if kind == "long words":
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(200)) for _ in range(5_000))
+    return "-" * 20_000 + "ÃÂ" * 3000 + "a" * 3001 + "abc" * 3000 + "=-" * 3001
+
+
+@pytest.mark.parametrize("kind", ["chinese", "runs of chinese", "thai", "base64", "one word", "long words", "repeats"])
+def test_bpe_of_unspaced_texts(codec, kind):
+    text = unspaced(kind)
+    ((n, _, decoded, ids),) = codec.texts([text], True)
+    assert np.array_equal(ids, np.array(encoding("byte_bpe_50k").encode_ordinary(text))) and n == len(ids)
+    assert decoded == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_bpe_windows_of_any_length(codec, monkeypatch):
+    """Cuts at every phase: windows so short that they often have no token in common."""
+    monkeypatch.setattr(op1_bpe, "WINDOW", 8)
+    monkeypatch.setattr(op1_bpe, "STEP", 4)
+    monkeypatch.setattr(op1_bpe, "QUERY_BYTES", 64)
+    monkeypatch.setattr(op1_bpe, "QUERY_ROWS", 256)
+    rng, enc = random.Random(21), encoding("byte_bpe_50k")
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 120))).encode() for letters in ("a", "ab", "-=", "etaoin", "日本語", " ", "abcdefghij") for _ in range(12)]
+    for p, ids in zip(pieces, codec.encode(pieces)):
+        assert ids.tolist() == enc._encode_single_piece(p)
+    assert codec.decode(codec.encode(pieces)) == pieces
+
+
+def test_every_token_is_reached_by_merges(codec):
+    """As the library takes a piece that is a token as it is."""
+    tokens = list(codec.ranks)
+    assert [i.tolist() for i in codec.encode(tokens)] == [[codec.ranks[t]] for t in tokens]
 
 
 def test_simhash_query(spark, sf):
@@ -192,41 +239,82 @@ def test_near_dedup_finds_copies_and_leaves_others(spark):
     assert len([i for i in kept if 1000 <= i < 2000]) <= 0.1 * near
 
 
-def test_pairs_of_conversations(spark, sf):
-    turns = load(spark, sf, "conversations")
-    convs = defaultdict(list)
-    for t in turns:
-        convs[t["conv_id"]].append(t)
+def paired(convs):
+    """{chosen: (rejected, borrowed, rejected turns)} of conversations {id: [(role, text)]}."""
     by = defaultdict(list)
-    for c, ts in sorted(convs.items()):
-        ts.sort(key=lambda t: t["turn"])
-        by[(ts[0]["role"], ts[0]["text"])].append(c)
-    expected = set()
+    for c in sorted(convs):
+        by[convs[c][0]].append(c)
+    out, alone = {}, []
     for ids in by.values():
         for k in range(0, len(ids), 2):
-            pair = sorted(ids[k : k + 2], key=lambda c: (-len(convs[c]), -sum(len(t["text"]) for t in convs[c]), c))
-            expected.add((pair[0], pair[1] if len(pair) > 1 else None))
-    out = query(spark, sf, "op3_preferences")
-    assert {(r["chosen_id"], r["rejected_id"]) for r in out} == expected and len(out) == len(expected)
-    render = lambda ts: "".join(f"<|{t['role']}|>\n{t['text']}\n<|end|>\n" for t in ts)
+            pair = sorted(ids[k : k + 2], key=lambda c: (-len(convs[c]), -sum(len(t) for _, t in convs[c]), c))
+            out[pair[0]] = (pair[1], False, convs[pair[1]]) if len(pair) > 1 else (None, False, [])
+            alone += [pair[0]] if len(pair) == 1 else []
+    last = {c: max((k for k, (r, _) in enumerate(convs[c]) if r == "assistant"), default=None) for c in alone}
+    alone = sorted(c for c in alone if last[c] is not None)
+    for k, c in enumerate(alone if len(alone) > 1 else []):
+        d = alone[(k + 1) % len(alone)]
+        out[c] = (d, True, [*convs[c][: last[c]], convs[d][last[d]], *convs[c][last[c] + 1 :]])
+    return out
+
+
+def check_preferences(convs, out):
+    expected = paired(convs)
+    assert {r["chosen_id"]: (r["rejected_id"], r["borrowed"]) for r in out} == {c: x[:2] for c, x in expected.items()} and len(out) == len(expected)
+    render = lambda ts: "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in ts)
     for r in out:
-        a, b = convs[r["chosen_id"]], convs.get(r["rejected_id"], [])
+        a, b = convs[r["chosen_id"]], expected[r["chosen_id"]][2]
         n = 0
-        while n < min(len(a), len(b)) and (a[n]["role"], a[n]["text"]) == (b[n]["role"], b[n]["text"]):
+        while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
         assert r["n_shared"] == n and r["prompt"] == render(a[:n])
         for ts, side in ((a, "chosen"), (b, "rejected")):
             text = r[f"{side}_completion"]
             assert text == render(ts[n:])
             spans = [tuple(map(int, s.split("-"))) for s in r[f"{side}_mask"].split(",") if s]
-            assert [text[x:y] for x, y in spans] == [f"{t['text']}\n<|end|>\n" for t in ts[n:] if t["role"] == "assistant"]
+            assert [text[x:y] for x, y in spans] == [f"{t}\n<|end|>\n" for role, t in ts[n:] if role == "assistant"]
+
+
+def test_preferences_of_the_table(spark, sf):
+    turns = load(spark, sf, "conversations")
+    convs = defaultdict(list)
+    for t in sorted(turns, key=lambda t: (t["conv_id"], t["turn"])):
+        convs[t["conv_id"]].append((t["role"], t["text"]))
+    out = query(spark, sf, "op3_preferences")
+    check_preferences(convs, out)
+    whole = [r for r in out if r["rejected_id"] is not None and r["prompt"] and r["chosen_mask"] and r["rejected_mask"] and r["chosen_completion"] != r["rejected_completion"]]
+    assert len(whole) > 0.8 * len(out)
+
+
+def test_preferences_with_nulls_against_sql(spark, tmp_path):
+    """Null roles, texts, turns and ids, repeated rows, shared openings and copies: as brute force, and as the SQL."""
+    import duckdb
+
+    rng, rows = random.Random(22), []
+    for c in range(60):
+        opening = rng.choice([("user", "q"), (None, "q"), ("q", None), ("user", None), (None, None), ("system", f"s{c}"), ("user", f"u{c}")])
+        rows.append((c - 20, 0, *opening))
+        for t in range(1, rng.randrange(1, 6)):
+            rows.append((c - 20, rng.choice([t, t, None]), rng.choice(["user", "assistant", "assistant", None]), rng.choice([f"x{c}{t}", "same", "", None])))
+    rows += rows[::5] + [(None, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    out = [r.asDict() for r in op3_preferences.op3_preferences(spark, str(tmp_path)).collect()]
+    convs = defaultdict(list)
+    for c, _, role, text in sorted({(c, (t is None, t or 0), r or "user", x or "") for c, t, r, x in rows if c is not None}):
+        convs[c].append((role, text))
+    check_preferences(convs, out)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(op3_preferences.ORACLE["op3_preferences"])
+    assert sorted(map(str, (dict(zip(rel.columns, r)) for r in rel.fetchall()))) == sorted(map(str, out))
 
 
 def test_pairs_in_a_crowd(spark):
     rows = [(i * 37 % 3001, t, r, f"{r}{t}" if t == 0 else f"{i}") for i in range(900) for t, r in ((0, "user"), (1, "assistant"))]
     out = pair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     ids = sorted({r[0] for r in rows})
-    assert {frozenset((r["chosen_id"], r["rejected_id"])) for r in out} == {frozenset(ids[k : k + 2]) for k in range(0, 900, 2)}
+    assert {frozenset((r["chosen_id"], r["rejected_id"])) for r in out} == {frozenset(ids[k : k + 2]) for k in range(0, 900, 2)} and not any(r["borrowed"] for r in out)
 
 
 def planted_passages(rng, n=120):
@@ -346,14 +434,40 @@ def test_sketches_merge(spark, sf):
     merged = {tuple(r) for r in parts.groupBy("lang", "source", "rule", "bucket").sum("n").collect()}
     assert whole == merged
     # Quantiles are within the relative error of the exact ones.
-    rows = counts.where("n_words > 0").selectExpr("lang", "word_chars / n_words AS v").collect()
     by = defaultdict(list)
-    for r in rows:
+    for r in counts.where(f"NOT ({op6_quality.BASE_FAILED})").selectExpr("lang", "(word_chars + 1) / (n_words + 1) AS v").collect():
         by[r["lang"]].append(r["v"])
-    sk = op6_quality.sketch(counts.where("n_words > 0"))
-    for r in op6_quality._quantiles(sk, "lang").collect():
+    for r in op6_quality._quantiles(op6_quality.sketch(counts), "lang").collect():
         exact = sorted(by[r["lang"]])[math.ceil(len(by[r["lang"]]) * 0.5) - 1]
-        assert abs(r["word_length_mid"] - exact) <= 1.01 * op6_quality.SKETCH_ERROR * exact
+        assert exact <= math.exp(op6_quality.LOG_GAMMA * r["word_length_mid"]) <= exact * (1 + 2.1 * op6_quality.SKETCH_ERROR)
+
+
+def group(source, n, seed, length, symbols, chars, lines):
+    """Counts of n documents of a source."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = round(length * math.exp(rng.gauss(0, 0.5))) + 50
+        rows.append((f"{source}{i}", "en", source, words, round(words * chars * math.exp(rng.gauss(0, 0.03))), round(words * symbols * rng.random()), round(lines * rng.random()), 0, round(lines * (1 + rng.random())) + 1))
+    return rows
+
+
+def test_limits_are_the_groups_own(spark):
+    """Every rule's limits differ between groups with different quantiles, and move with their size without a jump."""
+    kind = "doc_id string, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    rows = group("a", 2000, 1, 300, 0, 5, 4) + group("b", 2000, 2, 300, 0.3, 8, 40)
+    limits = {r["mr_source"]: r.asDict() for r in op6_quality.thresholds(op6_quality.sketch(spark.createDataFrame(rows, kind))).collect()}
+    for column in ("mr_symbols_max", "mr_dup_lines_max", "mr_word_length_max", "mr_word_length_min"):
+        assert abs(math.log(limits["a"][column] / limits["b"][column])) > 0.2, column
+    # The same documents are fine where they are usual, and not where they aren't.
+    symbols = spark.createDataFrame([(f"x{s}", "en", s, 300, 300 * chars, 80, 0, 0, 10) for s, chars in (("a", 5), ("b", 8))], kind)
+    judged = op6_quality._judge(symbols, op6_quality.thresholds(op6_quality.sketch(spark.createDataFrame(rows, kind)))).collect()
+    assert {r["doc_id"]: r["kept"] for r in judged} == {"xa": False, "xb": True}
+    at = []
+    for n in (0, 50, 99, 100, 101, 400, 3000):
+        few = group("a", 2000, 1, 300, 0, 5, 4) + group("c", n, 3, 300, 0.3, 8, 40)
+        found = {r["mr_source"]: r["mr_word_length_max"] for r in op6_quality.thresholds(op6_quality.sketch(spark.createDataFrame(few, kind))).collect()}
+        at.append(found.get("c", found["a"]))
+    assert abs(math.log(at[3] / at[2])) < 0.01 and abs(math.log(at[4] / at[3])) < 0.01 and at[1] < at[3] < at[5] < at[6]
 
 
 def test_shards_are_even(spark, sf):
@@ -376,7 +490,8 @@ def test_rendering():
         "end", "", "  a", "   b", "", "© x zpic",
     ])
     assert html_to_text("<p>a</div>b</p>c") == "a b\n\nc" or html_to_text("<p>a</div>b</p>c") == "ab\n\nc"
-    assert html_to_text("<select><option>x</select>a<textarea> t </textarea>") == "a t"
+    # The option that a select shows is text of the page.
+    assert html_to_text("<select><option>x</select>a<textarea> t </textarea>") == "x a t"
     assert html_to_text("1 < 2 && 3 > 2") == "1 < 2 && 3 > 2"
 
 
@@ -431,16 +546,38 @@ def test_poisson(spark):
     rows = [(r, u) for r in rates for u in (0.0, 1e-9, 0.1, 0.5, 0.9, 0.999, 1 - 2**-50)]
     from pyspark.sql import functions as F
 
-    out = spark.createDataFrame(rows, "rate double, u double").select("rate", "u", op10_mixing.poisson_count(F.col("u"), F.col("rate")).alias("k")).collect()
+    out = op10_mixing.with_tables(spark.createDataFrame(rows, "rate double, u double")).select("rate", "u", op10_mixing.poisson_count(F.col("u")).alias("k")).collect()
+    assert len(out) == len(rows)
+    decimal.getcontext().prec = 60
     for r in out:
-        cdf = k = 0
-        while (cdf := cdf + math.exp(k * math.log(r["rate"]) - r["rate"] - math.lgamma(k + 1))) <= r["u"]:
+        # With 60 digits; chances that no double holds count as none.
+        rate, k = decimal.Decimal(r["rate"]), 0
+        cdf = p = (-rate).exp()
+        while cdf <= decimal.Decimal(r["u"]) or float(cdf) == 0:
             k += 1
-            if k > r["rate"] + 12 * r["rate"] ** 0.5 + 40:
-                break
+            p *= rate / k
+            cdf += p
         assert abs(r["k"] - k) <= (1 if r["u"] > 1 - 1e-9 else 0), r
 
 
+def test_poisson_of_high_rates():
+    """Mean and deviation, and no more values than a few deviations need."""
+    for rate in (1e4, 1e6, 1e9):
+        least, cdf = op10_mixing.poisson_table(rate)
+        pmf, k = np.diff(cdf, prepend=0), least + np.arange(len(cdf)) - rate
+        assert abs((pmf * k).sum()) < 0.01 * rate**0.5 and abs((pmf * k * k).sum() / rate - 1) < 0.01 and len(cdf) < 53 * rate**0.5 + 100
+
+
+def test_mixture_of_a_small_source(spark):
+    """A source of few bytes is repeated thousands of times, each document as often as its table says."""
+    rows = [(i, "x" * 100, "big") for i in range(20_000)] + [(30_000 + i, "y" * 50, "small") for i in range(4)]
+    out = op10_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = out.where("source = 'small'").groupBy("doc_id").agg({"copy_no": "max", "*": "count", "n_copies": "max", "text": "max"}).collect()
+    assert len(got) == 4 and all(r["count(1)"] == r["max(n_copies)"] == r["max(copy_no)"] + 1 and abs(r["max(n_copies)"] / 5000 - 1) < 0.1 and r["max(text)"] == "y" * 50 for r in got)
+    keys = [r[0] for r in out.select("shuffle_key").collect()]
+    assert keys == sorted(keys)
+
+
 def test_mixture_meets_its_weights(spark):
     rows = [(i, "x" * 100, "big" if i % 10 else "small") for i in range(20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

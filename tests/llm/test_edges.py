@@ -24,7 +24,7 @@ ROWS = [
     (None, None, None, None, None), (7, "日本語 Ünïcode 😀 \x00 end", "xx", "c", 20), (7, "another text with the same id", "xx", "c", 20), (-8, "one two three four five", "en", "a", 23),
 ]
 #: Names that operators give to what they add.
-CLASH = ["size", "shard", "slot", "law", "grown_shard", "text_crc32", "copy_no", "n_copies", "shuffle_key", "n_words", "kept", "base_failed", "component_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n", "key", "a", "b", "id", "root", "unit", "words", "seq", "node"]
+CLASH = ["size", "shard", "slot", "law", "grown_shard", "text_crc32", "copy_no", "n_copies", "shuffle_key", "n_words", "kept", "base_failed", "component_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n", "key", "a", "b", "id", "root", "unit", "words", "seq", "node", "mr_fp", "mr_doc", "MR_D", "mr_rate", "mr_h", "mr_lang", "mr_removed", "rate", "n_lines"]
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +97,7 @@ def test_null_ids_only(spark):
 def test_passages(request, which):
     df = request.getfixturevalue(which)
     out = drop_repeats(df)
-    assert out.columns == [*df.columns, "mr_removed"]
+    assert out.columns == [*[c for c in df.columns if c != "mr_removed"], "mr_removed"]
     rows = out.collect()
     assert len(rows) == len(ROWS)
     by = {}
@@ -194,7 +194,7 @@ def test_ledger(spark, tmp_path):
     assert led.commit("b1", first) and not led.commit("b1", first)
     assert led.commit("b2", spark.createDataFrame([("revise", "a", "en", "1", 7, 10), ("delete", None, None, None, 5, None)], kind))
     assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 2, 7)]
-    led.fold()
+    assert led.fold()
     assert led.batches() == ["b1", "b2"] and not led.commit("b2", first)
     assert led.commit("b3", spark.createDataFrame([], kind))
     assert led.commit("b4", spark.createDataFrame([("insert", "a", "en", "1", 3, None)], kind))
@@ -206,6 +206,45 @@ def test_ledger(spark, tmp_path):
         led.commit("../x", first)
 
 
+def test_ledger_while_it_folds(spark, tmp_path):
+    """A batch that is committed inside a fold, before and after its rows are summed, counts once; so does one whose second commit
+    comes between the looks and the file of the first; the loser of two folds changes nothing."""
+    kind = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
+    add = lambda n: spark.createDataFrame([("insert", "a", "en", "1", n, None)], kind)
+    path = str(tmp_path / "ledger")
+    led = Ledger(spark, path)
+    led.commit("b1", add(5))
+
+    class Interrupted(Ledger):
+        def _sum(self, base, names):
+            led.commit("b2", add(10))
+            out = super()._sum(base, names)
+            led.commit("b3", add(20))
+            return out
+
+        def _put(self, folder, name):
+            if name == "batch-b4":
+                assert led.commit("b4", add(40))
+            return super()._put(folder, name)
+
+    other = Interrupted(spark, path)
+    assert other.fold()
+    assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 3, 35)] and led.batches() == ["b1", "b2", "b3"]
+    assert not other.commit("b4", add(40))
+    assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 4, 75)]
+
+    class Raced(Ledger):
+        def _put(self, folder, name):
+            assert led.fold()
+            return super()._put(folder, name)
+
+    assert not Raced(spark, path).fold()
+    assert led.fold() and led.batches() == ["b1", "b2", "b3", "b4"]
+    assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 4, 75)]
+    led.remove()
+    assert not (tmp_path / "ledger").exists()
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_mixing(request, which):
     df = request.getfixturevalue(which)
@@ -236,3 +275,8 @@ def test_preferences(spark):
     pairs = pair_conversations(turns).collect()
     assert sorted((c for r in pairs for c in (r["chosen_id"], r["rejected_id"]) if c is not None)) == [1, 2, 3]
     assert pair_conversations(turns.limit(0)).count() == 0
+    clash = turns.selectExpr("*", *[f"'x' AS {c}" for c in ("turns", "opening", "at", "pair", "other", "borrowed", "mr_c")])
+    assert sorted(map(str, pair_conversations(clash).collect())) == sorted(map(str, pairs))
+    named = spark.createDataFrame([([u, a], [u, b], "x", "y", 7)], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, MR_C string, mr_p string, n_shared int")
+    (r,) = format_preferences(named).collect()
+    assert (r["MR_C"], r["mr_p"], r["n_shared"]) == ("x", "y", 1)

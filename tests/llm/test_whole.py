@@ -1,6 +1,7 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+import time
 
 import pytest
 
@@ -132,7 +133,107 @@ def test_changed_paragraphs_still_go(spark):
         ("a<plaintext><b>b</plaintext>", "a\n\n<b>b</plaintext>"),
         ("a<dialog open>b</dialog>c", "a\nb\nc"),
         ("a<dialog>b</dialog>c", "ac"),
+        ('<table><tr><td colspan="²">a<td>b</table>', "a  b"),
+        ('<ol start="--5"><li>a</ol>', "1. a"),
+        ('<ol start=" 7x"><li>a<li value=9>b<li>c</ol>', "7. a\n9. b\n10. c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\n   d  e"),
+        ("<table><tr><td colspan=2>a long cell over two<td>z<tr><td>1<td>2<td>3</table>", "a long cell over two  z\n1  2                  3"),
+        ("<table><tr><td colspan=100000>a<td>z<tr><td>1<td>2</table>", "a     z\n1  2"),
+        ("<table><tr><td>a<td rowspan=2>two<br>lines<td>c<tr><td>d<td>e</table>", "a  two    c\n   lines\nd         e"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>x", "yes\n\nx"),
+        ("<table><tr style='visibility:collapse'><td>no<td style='visibility:visible'>a<tr><td>b<td>c</table>", "   a\nb  c"),
+        ("<p style='display:none'>no <b style='display:block'>no</b></p><p style='x-display:none'>x", "x"),
+        ("<map>in map<area></map>", "in map"),
+        ("<head>text", "text"),
+        ("<head><title>no</title><body>text", "text"),
+        ("<textarea><b>x</textarea>y", "<b>xy"),
+        ("<input value=v><input type=password value=no>", "v"),
+        ('<a title="x>y">z</a>', "z"),
+        ("a<!-->b<!--no--!>c<!-- no > -->d<!no>e<?no>f</ no>g</>h", "abcdefgh"),
+        ("1 < 2 <3 a<", "1 < 2 <3 a<"),
+        ("a <b", "a"),
     ],
 )
 def test_pages_with_rarer_elements(html, text):
     assert html_to_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, '<div "' * 170_000, '<a b="' * 170_000, "<" * 1_000_000, "</b" * 300_000, "</b>" * 250_000, "<p>" * 300_000, "<!--" * 250_000, "&" * 1_000_000,
+        "<script>" * 120_000, "<a " + " " * 1_000_000, "<a" + " a= " * 250_000, "<a style='" + "display : " * 100_000, "<div>" * 200_000, "<ul><li>" * 120_000, "<h1>" * 250_000,
+    ],
+    ids=lambda p: p[:8].strip(),
+)
+def test_pages_of_a_megabyte_take_a_moment(page):
+    start = time.process_time()
+    html_to_text(page + "x")
+    assert time.process_time() - start < 5  # most take a tenth of a second
+
+
+def test_tables_that_are_nearly_all_blanks():
+    """Every word stays, though nothing is aligned."""
+    text = html_to_text("<table>" + "".join(f"<tr><td rowspan=60000>x{i}" for i in range(3000)))
+    assert text.split() == [f"x{i}" for i in range(3000)] and len(text) < 100_000
+
+
+def cells_apart(rows):
+    """A renderer of its own: the lines of a table of plain cells (text, columns, rows), drawn on a grid."""
+    grid, spans, y = {}, [], 0
+    for row in rows:
+        x = 0
+        for text, wide, high in row:
+            while (y, x) in grid:
+                x += 1
+            grid |= {(y + j, x + i): None for j in range(high) for i in range(wide)}
+            grid[y, x] = text
+            spans.append((x, wide, text))
+            x += wide
+        y += 1
+    n = max(x for _, x in grid) + 1
+    width = [0] * n
+    for x, wide, text in sorted(spans, key=lambda s: s[1]):
+        used = [w for w in width[x : x + wide] if w]
+        # Columns in which nothing begins are none.
+        last = max(c for c in range(x, x + wide) if c == x or any(s[0] == c for s in spans))
+        have = sum(used) + 2 * max(0, len(used) - 1)
+        if have < len(text):
+            width[last] += max(1, len(text) - have - 2) if used and not width[last] else len(text) - have
+    at = [sum(w + 2 for w in width[:x] if w) for x in range(n)]
+    out = []
+    for j in range(y):
+        line = ""
+        for x in range(n):
+            if grid.get((j, x)):
+                line = line.ljust(at[x]) + grid[j, x]
+        if line:
+            out.append(line)
+    return "\n".join(out)
+
+
+def test_tables_against_a_grid():
+    rng = random.Random(18)
+    for _ in range(300):
+        rows = [[("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        # A row's cells are at its end free places; rows whose cells would overlap those from above differ by design.
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in r) for r in rows)
+        if overlaps(rows):
+            continue
+        assert html_to_text(html) == cells_apart(rows), html
+
+
+def overlaps(rows):
+    taken = set()
+    for y, row in enumerate(rows):
+        x = 0
+        for _, wide, high in row:
+            while (y, x) in taken:
+                x += 1
+            cells = {(y + j, x + i) for j in range(high) for i in range(wide)}
+            if cells & taken:
+                return True
+            taken |= cells
+            x += wide
+    return False
