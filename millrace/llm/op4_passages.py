@@ -1,19 +1,24 @@
 """Removal of passages that repeat across documents, by windows of words and MinHash banding of paragraphs (operator 4).
 
 What repeats word by word is found by windows of PASSAGE_WORDS words, whatever the text's form: every stretch of
-so many words holds a shorter window that its own hashes pick. Stretches from one picked window to another are
-compared, and all windows only around those that don't go on alike everywhere, where repeats begin and end. What
-repeats with changes is found by paragraphs.
+so many words holds a shorter window that its own hashes pick. The documents that have a picked window are
+classed by the words around it, up to the next picked windows. Of a class all go but the first, with these words;
+only firsts of several classes are compared window by window, where repeats begin and end. What repeats with
+changes is found by paragraphs.
 
 A paragraph here is a stretch of whole sentences of at least UNIT_WORDS words. It ends at the first sentence
 or line end from there on, or inside a very long sentence at a word that its own hash picks; so the cuts fall
 into step again soon after a passage begins, wherever in a document's own paragraph it was put.
+
+Whole texts are cut once. What has to be looked up in them later is chosen by bitmaps of documents and of what is wanted
+in them, which let a few others through; joins make it exact.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from bisect import bisect_right
 from zlib import crc32
 
 import numpy as np
@@ -33,11 +38,18 @@ BANDS, ROWS, THRESHOLD = 3, 2, 0.8
 #: Words that a repeated passage has to have. Its first and last sentences may have grown together with the text
 #: around them: up to CONTEXT words on either side of the paragraphs are compared one by one.
 PASSAGE_WORDS, CONTEXT = 50, 32
-BLOCK, FILTER_BITS = 256, 25
+BLOCK = 256
+#: A bitmap has 16 bits for each of its members, and 2^LEAST_BITS to 2^MOST_BITS (32 MB) in all: with many more
+#: members it lets more through to the joins.
+LEAST_BITS, MOST_BITS = 16, 28
 #: Of STEP windows of WINDOW words in a row, which PASSAGE_WORDS words hold, one at least is picked. The least
 #: paragraphs that have PASSAGE_WORDS words are MOST_UNITS at most.
 WINDOW = 32
 STEP, MOST_UNITS = PASSAGE_WORDS - WINDOW + 1, -(-PASSAGE_WORDS // UNIT_WORDS)
+#: Words up to which a chain of paragraphs needs more than four words on one side; see _chains.
+SURELY, MARGIN = PASSAGE_WORDS - 9, 6
+#: Makes one number of a place in a document and a number of words.
+PLACE = 2654435761
 
 _CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
 _WORD = re.compile(rb"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*")
@@ -129,16 +141,17 @@ def _picked(sums: tuple[np.ndarray, np.ndarray], stops: np.ndarray) -> tuple[np.
     return picked, x ^ (x >> np.uint64(32))
 
 
-def _reach(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(left, right) for picked windows at ``at`` in documents from first to last: where the shortest stretch of
-    PASSAGE_WORDS words begins that ends with this window and starts with a picked one, and where that ends which
-    starts with this and ends with a picked one; -1 if the document has none."""
+def _around(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, class) of picked windows at ``at`` in documents from first to last. left is where the shortest
+    stretch of PASSAGE_WORDS words begins that ends with this window and starts with a picked one, right where that ends
+    which starts with this and ends with a picked one; the document's ends if it has none. The class is a number for all
+    words between."""
     need = PASSAGE_WORDS - WINDOW
     i = np.searchsorted(at, at - need, "right") - 1
     j = np.searchsorted(at, at + need)
-    left = np.where(i >= 0, at[i], -1)
-    right = np.where(j < len(at), at[np.minimum(j, len(at) - 1)] + WINDOW, last + 1)
-    return np.where(left >= first, left, -1), np.where(right <= last, right, -1)
+    left = np.maximum(np.where(i >= 0, at[i], -1), first)
+    right = np.minimum(np.where(j < len(at), at[np.minimum(j, len(at) - 1)] + WINDOW, np.iinfo(np.int64).max), last)
+    return left, right, _stretch(sums, left, right) ^ ((at - left).astype(np.uint64) * _MULTIPLIERS[2])
 
 
 def _bands(units: list[list[bytes]]) -> np.ndarray:
@@ -167,10 +180,22 @@ def _bands_of(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return (out & ~np.uint64(3)) | np.arange(BANDS, dtype=np.uint64)
 
 
+_UNITS = "mr_doc long, doc_id long, unit long, " + ", ".join(f"m{b} long" for b in range(BANDS)) + ", first int, last int"
+
+
+def _words(part: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, and before which of them each text begins, and the last one ends."""
+    words, ends = [], [0]
+    for t in part.column(column).cast(pa.large_binary()):
+        words += t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
+        ends.append(len(words))
+    return words, np.array(ends)
+
+
 def _unit_batches(batches):
-    """(mr_doc, doc_id, text) -> (mr_doc, unit, m): paragraphs with their band keys, and picked windows, of which
-    m0 is null and m1 a hash of the stretches that they end and start, 0 if one is missing."""
-    names = ["mr_doc", "unit", *[f"m{b}" for b in range(BANDS)]]
+    """(mr_doc, doc_id, text) -> _UNITS: paragraphs with their band keys, and picked windows, of which m0 is null, m1 their
+    class, and first and last the words that it is about."""
+    names = [c.split()[0] for c in _UNITS.split(", ")]
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
@@ -189,124 +214,175 @@ def _unit_batches(batches):
             starts, lens = np.array(keep, np.int64).T
             inner = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
             m = _bands_of(h[inner], lens).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)]], names=names)
+            none, short = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), none, pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)], short, short], names=names)
             sums, ends = _sums(h), np.array([0, *ends])
             at, ids = _picked(sums, np.repeat(ends[1:], np.diff(ends)))
             doc = np.searchsorted(ends[1:], at, "right")
-            left, right = _reach(at, ends[doc], ends[doc + 1])
-            both = np.where((left < 0) | (right < 0), np.uint64(0), _stretch(sums, np.maximum(left, 0), np.maximum(right, 0)))
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int32())), pa.array(ids.view(np.int64)), none, pa.array(both.view(np.int64)), *[none] * (BANDS - 2)], names=names)
-
-
-def _bitmap(names: DataFrame) -> np.ndarray:
-    """2^FILTER_BITS bits, those of the longs in column id set. The size is fixed, whatever the input."""
-    low = f"pmod(id, {1 << FILTER_BITS})"
-    words = names.groupBy(F.expr(f"CAST({low} DIV 64 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 64 AS int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+            left, right, cls = _around(sums, at, ends[doc], ends[doc + 1])
+            none, which = pa.nulls(len(ids), pa.int64()), pa.array(doc, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(which), part.column(1).take(which), pa.array(ids.view(np.int64)), none, pa.array(cls.view(np.int64)), *[none] * (BANDS - 2), *[pa.array((x - ends[doc]).astype(np.int32)) for x in (left, right)]],
+                names=names,
+            )
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of which those of the longs in column id are set."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
+    low = f"pmod(id, {1 << bits})"
+    words = ids.groupBy(F.expr(f"CAST({low} DIV 64 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 64 AS int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(np.uint64)
 
 
-def _maybe(units: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(key, id): the band keys of units that are in ``mixed`` (key), and a few others, by a bitmap."""
-    seen = units.sparkSession.sparkContext.broadcast(_bitmap(mixed.select(F.col("key").alias("id"))))
+def _in(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of some ids may be in a bitmap."""
+    low = ids.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def _chosen(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column``, a long without nulls, is in ``ids`` (id), and a few others."""
+    seen, at = rows.sparkSession.sparkContext.broadcast(_bitmap(ids)), rows.columns.index(column)
 
     def run(batches):
         for batch in batches:
-            for b in range(BANDS):
-                keys = batch.column(1 + b).to_numpy()
-                low = keys & ((1 << FILTER_BITS) - 1)
-                at = pa.array(np.nonzero(seen.value[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1))[0])
-                yield pa.RecordBatch.from_arrays([batch.column(1 + b).take(at), batch.column(0).take(at)], names=["key", "id"])
-
-    return units.select("unit", *[f"m{b}" for b in range(BANDS)]).mapInArrow(run, "key long, id long")
+            yield batch.filter(pa.array(_in(seen.value, batch.column(at).to_numpy())))
 
+    return rows.mapInArrow(run, rows.schema)
 
-def _occurrences(docs: DataFrame, repeated: DataFrame, near: DataFrame) -> DataFrame:
-    """(mr_doc, doc_id, seq, at, unit, words, before, after, text): paragraphs, at the word at,  whose names are in ``repeated`` or
-    ``near`` (id), and a few others; with CRCs of up to CONTEXT words before and after, and the text if near.
 
-    The documents are cut again, and bitmaps choose what comes out.
-    """
-    seen = docs.sparkSession.sparkContext.broadcast((_bitmap(repeated), _bitmap(near)))
-    kind = "mr_doc long, doc_id long, seq int, at int, unit long, words int, before array<int>, after array<int>, text string"
-    arrow = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
-    names = [c.split()[0] for c in kind.split(", ")]
+def _parts(docs: DataFrame, wanted: DataFrame, run, kind: str) -> DataFrame:
+    """``run(part, pairs)`` over parts (mr_doc, doc_id, text) of the documents that ``wanted`` (mr_doc, id) is about, and
+    a few others; pairs is a bitmap of mr_doc XOR id."""
+    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(wanted.select(F.col("mr_doc").alias("id")).distinct()), _bitmap(wanted.select(F.expr("mr_doc ^ id").alias("id")))))
 
-    def run(batches):
-        exact, close = seen.value
+    def each(batches):
+        members, pairs = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                rows = []
-                for doc, doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary())):
-                    crcs, at = None, 0
-                    cut = paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []
-                    for seq, (_, _, w) in enumerate(cut):
-                        end = at + len(w)
-                        if len(w) >= UNIT_WORDS:
-                            name = _name(w)
-                            word, bit = (name & ((1 << FILTER_BITS) - 1)) >> 6, name & 63
-                            is_near = close[word] >> bit & 1
-                            if is_near or exact[word] >> bit & 1:
-                                if crcs is None:
-                                    crcs = [crc32(x) - (1 << 31) for _, _, u in cut for x in u]
-                                text = b" ".join(w).decode("utf-8") if is_near else None
-                                rows.append((doc, doc_id, seq, at, name - (1 << 64) if name >> 63 else name, len(w), crcs[max(0, at - CONTEXT) : at][::-1], crcs[end : end + CONTEXT], text))
-                        at = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * 9, arrow)], names=names)
-
-    return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
-
-
-def _windows(docs: DataFrame, repeated: DataFrame, ending: DataFrame) -> DataFrame:
-    """(window, mr_doc, doc_id, first, last): stretches that start or end with picked windows in ``repeated`` (id),
-    and all windows of PASSAGE_WORDS words around picked ones in ``ending`` (id); and a few others that bitmaps
-    let through. first and before last are numbers of words in the document."""
-    seen = docs.sparkSession.sparkContext.broadcast((_bitmap(repeated), _bitmap(ending)))
+            some = batch.filter(pa.array(_in(members, batch.column(0).to_numpy())))
+            for k in range(0, some.num_rows, 500):
+                yield from run(some.slice(k, 500), pairs)
+
+    return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), each, kind)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): the words of paragraphs, of ``wanted`` (mr_doc, id) and a few others."""
+
+    def run(part, pairs):
+        ids, texts = [], []
+        for doc, t in zip(part.column(0).to_numpy().view(np.uint64), part.column(2).cast(pa.large_binary())):
+            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes()) if len(w) >= UNIT_WORDS] if t.is_valid else []
+            names = np.array([_name(w) for w in cut], np.uint64)
+            for i in np.nonzero(_in(pairs, names ^ doc))[0].tolist():
+                ids.append(names[i])
+                texts.append(b" ".join(cut[i]).decode("utf-8"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return _parts(docs, wanted, run, "id long, text string")
+
+
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(window, mr_doc, doc_id, first, last): all windows of PASSAGE_WORDS words that hold picked windows in ``wanted``
+    (mr_doc, id), and a few others. first and before last are numbers of words in the document."""
+
+    def run(part, pairs):
+        words, ends = _words(part, 2)
+        h = _hashes(words, len(words))
+        sums, doc = _sums(h), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at, ids = _picked(sums, ends[1:][doc])
+        at = at[_in(pairs, ids ^ part.column(0).to_numpy().view(np.uint64)[doc[at]])]
+        change = np.zeros(len(h) + 1, np.int32)
+        np.add.at(change, np.maximum(at - STEP + 1, ends[doc[at]]), 1)
+        np.add.at(change, np.minimum(at, ends[doc[at] + 1] - PASSAGE_WORDS) + 1, -1)
+        first = np.nonzero(np.cumsum(change) > 0)[0]
+        which = pa.array(doc[first], pa.int32())
+        here = (first - ends[doc[first]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_stretch(sums, first, first + PASSAGE_WORDS).view(np.int64)), part.column(0).take(which), part.column(1).take(which), pa.array(here), pa.array(here + np.int32(PASSAGE_WORDS))],
+            names=["window", "mr_doc", "doc_id", "first", "last"],
+        )
+
+    return _parts(docs, wanted, run, "window long, mr_doc long, doc_id long, first int, last int")
+
+
+def _arrays(rows: list[tuple], kind: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * len(kind), kind)], names=names)
+
+
+def _probe(words: list[bytes]) -> int | None:
+    return xxhash.xxh64_intdigest(b" ".join(words), 5) - (1 << 63) if words else None
+
+
+def _occurrences(docs: DataFrame, near: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(mr_doc, doc_id, seq, at, unit, words, b1, b4, a1, a4): paragraphs, at the word at, of documents that have some of
+    ``near`` (mr_doc, id), so close to one of these that a chain may hold both, and whose names are in ``repeated`` (id);
+    with hashes of one and four words before and after."""
+    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+    kind = "mr_doc long, doc_id long, seq int, at int, unit long, words int, b1 long, b4 long, a1 long, a4 long"
+    arrow = [pa.int32() if c.endswith(" int") else pa.int64() for c in kind.split(", ")]
+
+    def run(part, pairs):
+        rows = []
+        for doc, doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary())):
+            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes())] if t.is_valid else []
+            names = np.array([_name(w) if len(w) >= UNIT_WORDS else 0 for w in cut], np.uint64)
+            long = np.fromiter(map(len, cut), np.int64, len(cut)) >= UNIT_WORDS
+            close = np.zeros(len(cut) + 1, np.int32)
+            at = np.nonzero(long & _in(pairs, names ^ np.uint64(doc & (1 << 64) - 1)))[0]
+            np.add.at(close, np.maximum(at - MOST_UNITS + 1, 0), 1)
+            np.add.at(close, np.minimum(at + MOST_UNITS, len(cut)), -1)
+            some = np.nonzero((np.cumsum(close)[:-1] > 0) & long & _in(seen.value, names))[0].tolist()
+            if not some:
+                continue
+            words = [x for u in cut for x in u]
+            starts = np.cumsum([0, *map(len, cut)]).tolist()
+            for i in some:
+                a, b = starts[i], starts[i + 1]
+                probes = _probe(words[max(0, a - 1) : a]), _probe(words[max(0, a - 4) : a]), _probe(words[b : b + 1]), _probe(words[b : b + 4])
+                rows.append((doc, doc_id, i, a, int(names[i].view(np.int64)), b - a, *probes))
+        yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
 
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                words, ends = [], [0]
-                for t in part.column(2).cast(pa.large_binary()):
-                    words += t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
-                    ends.append(len(words))
-                h, ends = _hashes(words, len(words)), np.array(ends)
-                sums, doc = _sums(h), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                at, ids = _picked(sums, ends[1:][doc])
-                low = ids & np.uint64((1 << FILTER_BITS) - 1)
-                twice, end = ((b[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) > 0 for b in seen.value)
-                left, right = _reach(at, ends[doc[at]], ends[doc[at] + 1])
-                change = np.zeros(len(h) + 1, np.int32)
-                np.add.at(change, np.maximum(at[end] - STEP + 1, ends[doc[at[end]]]), 1)
-                np.add.at(change, np.minimum(at[end], ends[doc[at[end]] + 1] - PASSAGE_WORDS) + 1, -1)
-                around = np.nonzero(np.cumsum(change) > 0)[0]
-                a, b = twice & (left >= 0), twice & (right >= 0)
-                spans = np.concatenate([left[a], at[b], around]) << 32 | np.concatenate([at[a] + WINDOW, right[b], around + PASSAGE_WORDS])
-                first, last = (spans := np.unique(spans)) >> 32, spans & 0xFFFFFFFF
-                rows = pa.array(doc[first], pa.int32())
-                here = [pa.array((x - ends[doc[first]]).astype(np.int32)) for x in (first, last)]
-                yield pa.RecordBatch.from_arrays([pa.array(_stretch(sums, first, last).view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), *here], names=["window", "mr_doc", "doc_id", "first", "last"])
-
-    return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "window long, mr_doc long, doc_id long, first int, last int")
-
-
-def _chains(classed: DataFrame) -> DataFrame:
-    """(chain, mr_doc, doc_id, at, words, before, after): up to MOST_UNITS adjoining paragraphs, one of them at least
-    in a class with others that aren't equal, named by their classes."""
-    whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "at", "words", "class", "near", "before", "after")).alias("x")).where("exists(x, e -> e.near)")
-    kind = "chain long, mr_doc long, doc_id long, at int, words int, before array<int>, after array<int>"
-    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return _parts(docs, near, run, kind)
+
+
+def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
+    """(chain, mr_doc, doc_id, at, words, goes): up to MOST_UNITS adjoining paragraphs, one of them at least in a class with
+    others that aren't equal, named by their classes; goes: whether they lie wholly in what ``gone`` (mr_doc, runs) says.
+
+    A chain that is long enough has one such name. One that needs words beside it that are equal has names that tell
+    those on one side too, by a necessary condition: of SURELY words or less four on the longer side, of more words one.
+    Chains of the same classes needn't have the same number of words; so names overlap by MARGIN words.
+    """
+    members = F.struct("seq", "at", "words", "class", "near", "b1", "b4", "a1", "a4")
+    whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(members).alias("x")).where("exists(x, e -> e.near)")
+    whole = whole.join(gone.selectExpr("mr_doc", "transform(runs, r -> struct(r.first, r.last)) AS runs"), "mr_doc", "left")
+    kind = "chain long, mr_doc long, doc_id long, at int, words int, goes boolean"
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def named(classes: bytes, words: int, first: dict, last: dict):
+        if words >= PASSAGE_WORDS - MARGIN:
+            yield classes
+        if words >= PASSAGE_WORDS + MARGIN:
+            return
+        for side, end in ((b"<", first["b4"]), (b">", last["a4"])):
+            if end is not None:
+                yield classes + side + b"4" + end.to_bytes(8, "little", signed=True)
+        if words > SURELY - MARGIN:
+            for side, end in ((b"<", first["b1"]), (b">", last["a1"])):
+                if end is not None:
+                    yield classes + side + b"1" + end.to_bytes(8, "little", signed=True)
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 part, rows = batch.slice(k, 100), []
-                for doc, doc_id, x in zip(*(c.to_pylist() for c in part.columns)):
+                for doc, doc_id, x, runs in zip(*(c.to_pylist() for c in part.columns)):
                     units = {e["seq"]: e for e in x}
+                    firsts, lasts = [r["first"] for r in runs or []], [r["last"] for r in runs or []]
                     for seq, e in units.items():
                         classes, words, near = b"", 0, False
                         for u in map(units.get, range(seq, seq + MOST_UNITS)):
@@ -314,12 +390,36 @@ def _chains(classed: DataFrame) -> DataFrame:
                                 break
                             classes, words, near = classes + u["class"].to_bytes(8, "little", signed=True), words + u["words"], near or u["near"]
                             if near:
-                                rows.append((xxhash.xxh64_intdigest(classes) - (1 << 63), doc, doc_id, e["at"], words, e["before"], u["after"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], names=[c.split()[0] for c in kind.split(", ")])
+                                r = bisect_right(firsts, e["at"]) - 1
+                                goes = r >= 0 and e["at"] + words <= lasts[r]
+                                rows += [(xxhash.xxh64_intdigest(n) - (1 << 63), doc, doc_id, e["at"], words, goes) for n in named(classes, words, e, u)]
+                yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
 
     return map_texts(whole, run, kind)
 
 
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mr_doc, at, words, before, after): of ``wanted`` (mr_doc, at, words) and a few others, CRCs of up to CONTEXT words
+    before and after."""
+    kind = "mr_doc long, at int, words int, before array<int>, after array<int>"
+    arrow = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(part, pairs):
+        rows = []
+        for doc, t in zip(part.column(0).to_pylist(), part.column(2).cast(pa.large_binary())):
+            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes())]
+            words = [x for u in cut for x in u]
+            starts = np.cumsum([0, *map(len, cut)])
+            for k in range(1, MOST_UNITS + 1):
+                at, n = starts[:-k], starts[k:] - starts[:-k]
+                for i in np.nonzero(_in(pairs, (at * PLACE + n).view(np.uint64) ^ np.uint64(doc & (1 << 64) - 1)))[0].tolist():
+                    a, b = int(at[i]), int(at[i] + n[i])
+                    rows.append((doc, a, b - a, [crc32(x) - (1 << 31) for x in words[max(0, a - CONTEXT) : a][::-1]], [crc32(x) - (1 << 31) for x in words[b : b + CONTEXT]]))
+        yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
+
+    return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), run, kind)
+
+
 def _union(batches):
     """(mr_doc, x: array of (first, last, keeper)) -> (mr_doc, runs): stretches that overlap or adjoin are one."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("keepers", pa.list_(pa.int64()))]))
@@ -336,6 +436,12 @@ def _union(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["mr_doc", "runs"])
 
 
+def _runs(stretches: DataFrame) -> DataFrame:
+    """(mr_doc, runs) of stretches (mr_doc, first, last, keeper)."""
+    listed = stretches.groupBy("mr_doc").agg(F.collect_list(F.struct("first", "last", "keeper")).alias("x"))
+    return map_texts(listed, _union, "mr_doc long, runs array<struct<first:int,last:int,keepers:array<bigint>>>")
+
+
 def _verify(block: dict):
     texts = block["text"].to_pylist()
     sets = []
@@ -388,39 +494,62 @@ def repeats(docs: DataFrame) -> DataFrame:
     (null last). Further, paragraphs that are equal, or whose sets of five-word shingles have a Jaccard similarity
     of THRESHOLD, are one class with all that they lead to. Adjoining paragraphs go if paragraphs of the same
     classes adjoin in an earlier document and they have PASSAGE_WORDS words, with the words beside them that are
-    equal to those beside the earliest.
+    equal there: in the earliest document that has such paragraphs and, where that matters, the nearest words on the
+    same side. Paragraphs that go word by word anyway need nothing more.
     """
     spark, docs = docs.sparkSession, _keyed(docs)
-    whole = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, "mr_doc long, unit long, " + ", ".join(f"m{b} long" for b in range(BANDS))), "op4-units")
-    units = whole.where("m0 IS NOT NULL")
-    keyed = units.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
-    mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "op4-mixed")
-    keys = stage(_maybe(units, mixed).join(mixed, "key", "left_semi").distinct(), "op4-keys")
-    twice = lambda x: x.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select(F.col("unit").alias("id"))
-    at = stage(_occurrences(docs, twice(units), keys.select("id")), "op4-at")
-    picked = whole.where("m0 IS NULL").groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("m1").alias("b0"), F.max("m1").alias("b1"))
-    picked = stage(picked.where("d0 <> d1").selectExpr("unit AS id", "b0 <> b1 OR b0 = 0 AS ends"), "op4-picked")
-    unstage(whole, mixed)
-    windows = stage(_windows(docs, picked.select("id"), picked.where("ends").select("id")), "op4-windows")
-    unstage(picked)
+    whole = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, _UNITS), "op4-units")
+    # Word by word: the classes of picked windows that several documents have.
+    picks = whole.where("m0 IS NULL").selectExpr("unit AS pick", "m1 AS class", "mr_doc", "doc_id", "first", "last")
+    twice = picks.groupBy(F.col("pick").alias("id")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("id")
+    held = stage(_chosen(picks, "pick", stage(twice, "op4-picked")), "op4-held")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc")
+    classes = held.groupBy("pick", "class").agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"))
+    classes = stage(classes.selectExpr("pick AS p", "class AS c", "keeper", "d0 <> d1 AS several"), "op4-classes")
+    alike = held.join(classes.where("several").drop("several"), F.expr("pick = p AND class = c")).where("mr_doc <> keeper.mr_doc")
+    alike = stage(alike.selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper"), "op4-alike")
+    ends = classes.groupBy(F.col("p").alias("id")).agg(F.min("keeper.mr_doc").alias("d0"), F.max("keeper.mr_doc").alias("d1")).where("d0 <> d1").select("id")
+    firsts = stage(classes.join(ends, F.col("p") == F.col("id"), "left_semi").selectExpr("keeper.mr_doc AS mr_doc", "p AS id"), "op4-firsts")
+    windows = stage(_windows(docs, firsts), "op4-windows")
+    unstage(held, classes, firsts)
     _release(spark)
-    texts = at.where("text IS NOT NULL").groupBy(F.col("unit").alias("id")).agg(F.first("text").alias("text"))
-    edges = stage(blocks(keys, stage(texts, "op4-texts"), BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
+    same_words = alike.union(_later(windows, "window").selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper"))
+    gone = stage(_runs(same_words), "op4-gone")
+    unstage(alike, windows)
+    # With changes: paragraphs, each once, that share a band with another one.
+    units = whole.where("m0 IS NOT NULL").select("mr_doc", "unit", *[f"m{b}" for b in range(BANDS)])
+    names = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
+    names = stage(names, "op4-names")
+    keyed = names.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
+    mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select(F.col("key").alias("id")), "op4-mixed")
+    keys = _chosen(keyed, "key", mixed).join(mixed, F.col("key") == F.col("id"), "left_semi")
+    keys = stage(keys.select("key", F.col("unit").alias("id")), "op4-keys")
+    wanted = stage(names.join(keys.select("id").distinct(), F.col("unit") == F.col("id"), "left_semi").selectExpr("d0 AS mr_doc", "unit AS id"), "op4-wanted")
+    texts = stage(_texts(docs, wanted).groupBy("id").agg(F.first("text").alias("text")), "op4-texts")
+    edges = stage(blocks(keys, texts, BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
     roots = stage(components(edges), "op4-roots")
-    unstage(keys, edges)
-    classed = at.drop("text").join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).withColumn("near", F.col("root").isNotNull())
-    chains = stage(_chains(classed), "op4-chains")
-    unstage(at)
+    unstage(mixed, keys, wanted, texts, edges)
+    near = stage(_chosen(units.select("mr_doc", "unit"), "unit", roots.select(F.col("node").alias("id"))).withColumnRenamed("unit", "id"), "op4-near")
+    repeated = names.where("d0 <> d1").select(F.col("unit").alias("id")).union(roots.select("node"))
+    at = stage(_occurrences(docs, near, repeated), "op4-at")
+    unstage(whole, names, near)
+    classed = at.join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).withColumn("near", F.col("root").isNotNull())
+    chains = stage(_chains(classed, gone), "op4-chains")
+    unstage(at, roots)
     _release(spark)
     same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
-    near = _later(chains, "chain", "at", "before", "after").selectExpr(
-        "mr_doc", "at", "words", f"CAST({same('before', 'keeper.before')} AS int) AS left", f"CAST({same('after', 'keeper.after')} AS int) AS right", "keeper.doc_id AS keeper"
+    pairs = _later(chains, "chain", "at", "words").where("NOT goes").select("mr_doc", "at", "words", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), F.col("keeper.words").alias("k_words"))
+    pairs = stage(pairs.distinct(), "op4-near-pairs")
+    wanted = stage(pairs.select("mr_doc", "at", "words").union(pairs.select("k_doc", "k_at", "k_words")).distinct(), "op4-places")
+    contexts = stage(_contexts(docs, wanted).join(wanted, ["mr_doc", "at", "words"], "left_semi").distinct(), "op4-contexts")
+    other = contexts.selectExpr("mr_doc AS k_doc", "at AS k_at", "words AS k_words", "before AS k_before", "after AS k_after")
+    near = pairs.join(contexts, ["mr_doc", "at", "words"]).join(other, ["k_doc", "k_at", "k_words"]).selectExpr(
+        "mr_doc", "at", "words", f"CAST({same('before', 'k_before')} AS int) AS left", f"CAST({same('after', 'k_after')} AS int) AS right", "keeper"
     )
     near = near.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper")
-    going = _later(windows, "window").selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper")
-    listed = going.union(near).groupBy("mr_doc").agg(F.collect_list(F.struct("first", "last", "keeper")).alias("x"))
-    out = stage(map_texts(listed, _union, "mr_doc long, runs array<struct<first:int,last:int,keepers:array<bigint>>>"), "op4-runs")
-    unstage(windows, chains)
+    before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
+    out = stage(_runs(before.union(near)), "op4-runs")
+    unstage(gone, chains, pairs, wanted, contexts)
     return out
 
 
