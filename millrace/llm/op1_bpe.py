@@ -61,7 +61,7 @@ WITH RECURSIVE s(n, w, b, e, tok) AS (
 SELECT CASE WHEN n = $rounds THEN n ELSE 0 END AS n, w, b, e, tok FROM s JOIN last USING (w, n) ORDER BY w, b
 """
 
-DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY b) AS hex FROM ids LEFT JOIN vocab v USING (tok) GROUP BY w ORDER BY w"
+DECODE = "SELECT unhex(string_agg(v.hex, '' ORDER BY b)) AS text FROM ids LEFT JOIN vocab v USING (tok) GROUP BY w ORDER BY w"
 
 
 class Codec:
@@ -70,6 +70,7 @@ class Codec:
     def __init__(self, ranks_file: bytes, pattern: str = PATTERN):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_file.splitlines()) if t}
         self.split = regex.compile(pattern)
+        self.name = [b"%d" % i for i in range(len(self.ranks))]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         ranks = self.ranks
@@ -96,74 +97,103 @@ class Codec:
             else:
                 new.append(p)
         if new:
-            ids = self.encode([p.encode() for p in new])
-            for p, i, d in zip(new, ids, self.decode(ids)):
-                self.known[p] = (" ".join(map(str, i.tolist())).encode(), d)
-
-    def _contract(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(start of each token and the end of the last, tokens) of windows, by ENCODE until nothing contracts."""
+            flat, ends = self._encode([p.encode() for p in new])
+            texts = self._decode(flat, np.diff(ends))
+            name, ids, low = self.name, flat.tolist(), 0
+            for p, high, text in zip(new, ends[1:].tolist(), texts):
+                self.known[p] = b" ".join([name[i] for i in ids[low:high]]), text
+                low = high
+
+    def _contract(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(w, b, e, tok) of the tokens of windows, in order, by ENCODE until nothing contracts."""
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(lens) - lens
         at = (np.arange(lens.sum()) - np.repeat(first, lens)).astype(np.int32)
         seed = pa.table({"w": np.repeat(np.arange(len(texts), dtype=np.int32), lens), "b": at, "e": at + np.int32(1), "tok": self.byte[np.frombuffer(b"".join(texts), np.uint8)]})
-        out: list = [None] * len(texts)
+        done = []
         while seed.num_rows:
             self.db.register("seed", seed)
             rounds = max(1, QUERY_ROWS // seed.num_rows)
-            n, w, b, e, tok = (c.to_numpy() for c in self.db.sql(ENCODE, params={"rounds": rounds}).to_arrow_table().columns)
+            n, *columns = (c.to_numpy() for c in self.db.sql(ENCODE, params={"rounds": rounds}).to_arrow_table().columns)
             self.db.unregister("seed")
-            on = n > 0
-            edges = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1, [len(w)]])
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if not on[i]:
-                    out[w[i]] = np.append(b[i:j], e[j - 1]), tok[i:j]
-            seed = pa.table({"w": w[on], "b": b[on], "e": e[on], "tok": tok[on]})
-        return out
+            done.append([c[n == 0] for c in columns])
+            seed = pa.table(dict(zip(("w", "b", "e", "tok"), (c[n > 0] for c in columns))))
+        if len(done) == 1:
+            return tuple(done[0])
+        columns = [np.concatenate(c) for c in zip(*done)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
+
+    def _in_blocks(self, texts: list[bytes]):
+        """(number of the first, how many, what _contract gives) for blocks of QUERY_BYTES of windows."""
+        at, ends = 0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_BYTES, "right")))
+            yield at, to - at, self._contract(texts[at:to])
+            at = to
 
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece (of a byte or more)."""
-        spans = [[(0, len(p))] if len(p) <= WINDOW else [(a, min(a + WINDOW, len(p))) for a in range(0, len(p) - STEP, STEP)] for p in pieces]
+        flat, ends = self._encode(pieces)
+        return np.split(flat, ends[1:-1]) if pieces else []
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and where those of each begin and the last ones end."""
+        short = [k for k, p in enumerate(pieces) if len(p) <= WINDOW]
+        parts, counts = [], np.zeros(len(pieces), np.int64)
+        for at, n, (w, _, _, tok) in self._in_blocks([pieces[k] for k in short]):
+            parts.append(tok)
+            counts[short[at : at + n]] = np.bincount(w, minlength=n)
+        if len(short) < len(pieces):
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            alone = dict(zip(short, np.split(flat, np.cumsum(counts[short])[:-1])))
+            long = [k for k in range(len(pieces)) if len(pieces[k]) > WINDOW]
+            for k, tok in zip(long, self._encode_long([pieces[k] for k in long])):
+                alone[k], counts[k] = tok, len(tok)
+            parts = [alone[k] for k in range(len(pieces))]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode_long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        spans = [[(a, min(a + WINDOW, len(p))) for a in range(0, len(p) - STEP, STEP)] for p in pieces]
         found: list[dict] = [{} for _ in pieces]
         todo = [(k, s) for k, x in enumerate(spans) for s in x]
         while todo:
-            at = 0
-            while at < len(todo):
-                to, size = at, 0
-                while to < len(todo) and (to == at or size + todo[to][1][1] - todo[to][1][0] <= QUERY_BYTES):
-                    size += todo[to][1][1] - todo[to][1][0]
-                    to += 1
-                for (k, s), (edges, tok) in zip(todo[at:to], self._contract([pieces[k][a:b] for k, (a, b) in todo[at:to]])):
-                    found[k][s] = edges + s[0], tok
-                at = to
-            changed, todo = {k for k, _ in todo if len(spans[k]) > 1}, []
+            for at, n, (w, b, e, tok) in self._in_blocks([pieces[k][a:b] for k, (a, b) in todo]):
+                edges = np.searchsorted(w, np.arange(n + 1)).tolist()
+                for (k, s), i, j in zip(todo[at : at + n], edges, edges[1:]):
+                    found[k][s] = np.append(b[i:j], e[j - 1]) + s[0], tok[i:j]
+            changed, todo = {k for k, _ in todo}, []
             for k in changed:
                 spans[k], fresh = _joined(spans[k], found[k])
                 todo += [(k, s) for s in fresh]
         return [_stitched(x, f) for x, f in zip(spans, found)]
 
     def decode(self, sequences: list) -> list[bytes]:
-        """The bytes of each sequence of ids, tokens aggregated in order. An id outside the vocabulary raises."""
+        """The bytes of each sequence of ids. An id outside the vocabulary raises."""
         if not sequences:
             return []
-        lens = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        flat = np.concatenate([np.asarray(s, np.int64) for s in sequences])
+        return self._decode(np.concatenate([np.asarray(s, np.int64) for s in sequences]), np.fromiter(map(len, sequences), np.int64, len(sequences)))
+
+    def _decode(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids, given in a row with their lengths: tokens aggregated in order."""
         if len(flat) and not (0 <= flat.min() and flat.max() < len(self.ranks)):
             raise ValueError("an id lies outside the vocabulary")
         # Long sequences are put together from stretches of DECODED ids.
         within = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         stretch = np.cumsum(within % DECODED == 0) - 1
-        parts: list[list[bytes]] = [[] for _ in sequences]
-        owner = np.repeat(np.arange(len(lens)), -(-lens // DECODED)).tolist()
+        found: list[bytes] = []
         at = 0
         while at < len(flat):
             # A stretch lies whole in one query.
             to = len(flat) if len(flat) - at <= QUERY_BYTES else int(np.searchsorted(stretch, max(stretch[at] + 1, stretch[at + QUERY_BYTES])))
             self.db.register("ids", pa.table({"w": stretch[at:to], "b": within[at:to], "tok": flat[at:to].astype(np.int32)}))
-            for w, hexed in self.db.execute(DECODE).fetchall():
-                parts[owner[w]].append(bytes.fromhex(hexed))
+            found += self.db.sql(DECODE).to_arrow_table().column("text").to_pylist()
             self.db.unregister("ids")
             at = to
-        return [b"".join(p) for p in parts]
+        if ((lens > 0) & (lens <= DECODED)).all():
+            return found
+        ends = np.cumsum(-(-lens // DECODED)).tolist()
+        return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends)]
 
     def pieces(self, text: str):
         """Lists of the pieces of a text: one list, or of a very long text one for each stretch of it."""
