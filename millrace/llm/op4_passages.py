@@ -180,7 +180,21 @@ def _bands_of(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return (out & ~np.uint64(3)) | np.arange(BANDS, dtype=np.uint64)
 
 
-_UNITS = "mr_doc long, doc_id long, unit long, " + ", ".join(f"m{b} long" for b in range(BANDS)) + ", first int, last int"
+_UNITS = "mr_doc long, doc_id long, unit long, " + ", ".join(f"m{b} long" for b in range(BANDS)) + ", first int, last int, seq int, b1 int, b4 int, a1 int, a4 int"
+
+
+def _probes(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
+    """b1, b4, a1, a4: hashes of the one and the four words before and after stretches, in documents from first to last;
+    null where there are fewer."""
+    four = h.copy()
+    for k in range(1, 4):
+        four[: len(h) - k] += h[k:] * _POWERS[k]
+    out = []
+    for x, n, at in ((h, 1, starts - 1), (four, 4, starts - 4), (h, 1, stops), (four, 4, stops)):
+        inside = (at >= first) & (at + n <= last)
+        v = x[np.clip(at, 0, len(h) - 1)] * _MULTIPLIERS[3]
+        out.append(pa.array((v >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~inside))
+    return out
 
 
 def _words(part: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray]:
@@ -193,48 +207,58 @@ def _words(part: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray]:
 
 
 def _unit_batches(batches):
-    """(mr_doc, doc_id, text) -> _UNITS: paragraphs with their band keys, and picked windows, of which m0 is null, m1 their
-    class, and first and last the words that it is about."""
+    """(mr_doc, doc_id, text) -> _UNITS: paragraphs, the words from first to before last, with their band keys and _probes;
+    and picked windows, of which m0 is null, m1 their class, and first and last the words that it is about."""
     names = [c.split()[0] for c in _UNITS.split(", ")]
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            rows, units, keep, words, ends = [], [], [], [], []
+            rows, units, keep, words, ends = [], [], [], [], [0]
             for i, t in enumerate(part.column(2).cast(pa.large_binary())):
-                for _, _, w in paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []:
+                for seq, (_, _, w) in enumerate(paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []):
                     words += w
                     if len(w) >= UNIT_WORDS:
                         rows.append(i)
                         units.append(_name(w))
-                        keep.append((len(words) - len(w), len(w)))
+                        keep.append((len(words) - len(w), len(w), seq))
                 ends.append(len(words))
             if not rows:
                 continue
-            h = _hashes(words, len(words))
-            starts, lens = np.array(keep, np.int64).T
+            h, ends = _hashes(words, len(words)), np.array(ends)
+            starts, lens, seq = np.array(keep, np.int64).T
             inner = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
             m = _bands_of(h[inner], lens).view(np.int64)
-            none, short = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), none, pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)], short, short], names=names)
-            sums, ends = _sums(h), np.array([0, *ends])
+            doc = np.array(rows)
+            which, first, last = pa.array(doc, pa.int32()), ends[doc], ends[doc + 1]
+            here = [pa.array(x.astype(np.int32)) for x in (starts - first, starts + lens - first, seq)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(which), part.column(1).take(which), pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)], *here, *_probes(h, starts, starts + lens, first, last)],
+                names=names,
+            )
+            sums = _sums(h)
             at, ids = _picked(sums, np.repeat(ends[1:], np.diff(ends)))
             doc = np.searchsorted(ends[1:], at, "right")
             left, right, cls = _around(sums, at, ends[doc], ends[doc + 1])
-            none, which = pa.nulls(len(ids), pa.int64()), pa.array(doc, pa.int32())
+            none, short, which = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int32()), pa.array(doc, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(which), part.column(1).take(which), pa.array(ids.view(np.int64)), none, pa.array(cls.view(np.int64)), *[none] * (BANDS - 2), *[pa.array((x - ends[doc]).astype(np.int32)) for x in (left, right)]],
+                [part.column(0).take(which), part.column(1).take(which), pa.array(ids.view(np.int64)), none, pa.array(cls.view(np.int64)), *[none] * (BANDS - 2), *[pa.array((x - ends[doc]).astype(np.int32)) for x in (left, right)], *[short] * 5],
                 names=names,
             )
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of which those of the longs in column id are set."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
-    low = f"pmod(id, {1 << bits})"
-    words = ids.groupBy(F.expr(f"CAST({low} DIV 64 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 64 AS int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
+def _bitmaps(ids: DataFrame, members: int) -> list[np.ndarray]:
+    """For each column of ``ids``, longs, bits of which those of its values are set. members: about how many there are."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * members).bit_length()))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("id")) for k, c in enumerate(ids.columns)])).alias("x")
+    low = f"pmod(x.id, {1 << bits})"
+    words = ids.select(each).groupBy("x.k", F.expr(f"CAST({low} DIV 64 AS int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({low} % 64 AS int))")).alias("b")).toArrow()
+    which, at, values = (words[c].to_numpy() for c in ("k", "w", "b"))
+    out = []
+    for k in range(len(ids.columns)):
+        bitmap = np.zeros(1 << (bits - 6), np.int64)
+        bitmap[at[which == k]] = values[which == k]
+        out.append(bitmap.view(np.uint64))
+    return out
 
 
 def _in(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -243,9 +267,9 @@ def _in(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
 
 
-def _chosen(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``column``, a long without nulls, is in ``ids`` (id), and a few others."""
-    seen, at = rows.sparkSession.sparkContext.broadcast(_bitmap(ids)), rows.columns.index(column)
+def _chosen(rows: DataFrame, column: str, ids: DataFrame, members: int) -> DataFrame:
+    """The rows whose ``column``, a long without nulls, is in ``ids`` (id, about as many as members), and a few others."""
+    seen, at = rows.sparkSession.sparkContext.broadcast(_bitmaps(ids, members)[0]), rows.columns.index(column)
 
     def run(batches):
         for batch in batches:
@@ -254,10 +278,10 @@ def _chosen(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _parts(docs: DataFrame, wanted: DataFrame, run, kind: str) -> DataFrame:
+def _parts(docs: DataFrame, wanted: DataFrame, members: int, run, kind: str) -> DataFrame:
     """``run(part, pairs)`` over parts (mr_doc, doc_id, text) of the documents that ``wanted`` (mr_doc, id) is about, and
     a few others; pairs is a bitmap of mr_doc XOR id."""
-    shared = docs.sparkSession.sparkContext.broadcast((_bitmap(wanted.select(F.col("mr_doc").alias("id")).distinct()), _bitmap(wanted.select(F.expr("mr_doc ^ id").alias("id")))))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmaps(wanted.selectExpr("mr_doc", "mr_doc ^ id AS pair"), members))
 
     def each(batches):
         members, pairs = shared.value
@@ -269,7 +293,7 @@ def _parts(docs: DataFrame, wanted: DataFrame, run, kind: str) -> DataFrame:
     return map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), each, kind)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     """(id, text): the words of paragraphs, of ``wanted`` (mr_doc, id) and a few others."""
 
     def run(part, pairs):
@@ -282,10 +306,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 texts.append(b" ".join(cut[i]).decode("utf-8"))
         yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return _parts(docs, wanted, run, "id long, text string")
+    return _parts(docs, wanted, members, run, "id long, text string")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _windows(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     """(window, mr_doc, doc_id, first, last): all windows of PASSAGE_WORDS words that hold picked windows in ``wanted``
     (mr_doc, id), and a few others. first and before last are numbers of words in the document."""
 
@@ -306,58 +330,22 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             names=["window", "mr_doc", "doc_id", "first", "last"],
         )
 
-    return _parts(docs, wanted, run, "window long, mr_doc long, doc_id long, first int, last int")
+    return _parts(docs, wanted, members, run, "window long, mr_doc long, doc_id long, first int, last int")
 
 
 def _arrays(rows: list[tuple], kind: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * len(kind), kind)], names=names)
 
 
-def _probe(words: list[bytes]) -> int | None:
-    return xxhash.xxh64_intdigest(b" ".join(words), 5) - (1 << 63) if words else None
-
-
-def _occurrences(docs: DataFrame, near: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(mr_doc, doc_id, seq, at, unit, words, b1, b4, a1, a4): paragraphs, at the word at, of documents that have some of
-    ``near`` (mr_doc, id), so close to one of these that a chain may hold both, and whose names are in ``repeated`` (id);
-    with hashes of one and four words before and after."""
-    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
-    kind = "mr_doc long, doc_id long, seq int, at int, unit long, words int, b1 long, b4 long, a1 long, a4 long"
-    arrow = [pa.int32() if c.endswith(" int") else pa.int64() for c in kind.split(", ")]
-
-    def run(part, pairs):
-        rows = []
-        for doc, doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary())):
-            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes())] if t.is_valid else []
-            names = np.array([_name(w) if len(w) >= UNIT_WORDS else 0 for w in cut], np.uint64)
-            long = np.fromiter(map(len, cut), np.int64, len(cut)) >= UNIT_WORDS
-            close = np.zeros(len(cut) + 1, np.int32)
-            at = np.nonzero(long & _in(pairs, names ^ np.uint64(doc & (1 << 64) - 1)))[0]
-            np.add.at(close, np.maximum(at - MOST_UNITS + 1, 0), 1)
-            np.add.at(close, np.minimum(at + MOST_UNITS, len(cut)), -1)
-            some = np.nonzero((np.cumsum(close)[:-1] > 0) & long & _in(seen.value, names))[0].tolist()
-            if not some:
-                continue
-            words = [x for u in cut for x in u]
-            starts = np.cumsum([0, *map(len, cut)]).tolist()
-            for i in some:
-                a, b = starts[i], starts[i + 1]
-                probes = _probe(words[max(0, a - 1) : a]), _probe(words[max(0, a - 4) : a]), _probe(words[b : b + 1]), _probe(words[b : b + 4])
-                rows.append((doc, doc_id, i, a, int(names[i].view(np.int64)), b - a, *probes))
-        yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
-
-    return _parts(docs, near, run, kind)
-
-
 def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
-    """(chain, mr_doc, doc_id, at, words, goes): up to MOST_UNITS adjoining paragraphs, one of them at least in a class with
+    """Of paragraphs (_UNITS, class, near) (chain, mr_doc, doc_id, at, words, goes): up to MOST_UNITS adjoining paragraphs, one of them at least in a class with
     others that aren't equal, named by their classes; goes: whether they lie wholly in what ``gone`` (mr_doc, runs) says.
 
     A chain that is long enough has one such name. One that needs words beside it that are equal has names that tell
     those on one side too, by a necessary condition: of SURELY words or less four on the longer side, of more words one.
     Chains of the same classes needn't have the same number of words; so names overlap by MARGIN words.
     """
-    members = F.struct("seq", "at", "words", "class", "near", "b1", "b4", "a1", "a4")
+    members = F.struct("seq", F.col("first").alias("at"), F.expr("last - first").alias("words"), "class", "near", "b1", "b4", "a1", "a4")
     whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(members).alias("x")).where("exists(x, e -> e.near)")
     whole = whole.join(gone.selectExpr("mr_doc", "transform(runs, r -> struct(r.first, r.last)) AS runs"), "mr_doc", "left")
     kind = "chain long, mr_doc long, doc_id long, at int, words int, goes boolean"
@@ -370,11 +358,11 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
             return
         for side, end in ((b"<", first["b4"]), (b">", last["a4"])):
             if end is not None:
-                yield classes + side + b"4" + end.to_bytes(8, "little", signed=True)
+                yield classes + side + b"4" + end.to_bytes(4, "little", signed=True)
         if words > SURELY - MARGIN:
             for side, end in ((b"<", first["b1"]), (b">", last["a1"])):
                 if end is not None:
-                    yield classes + side + b"1" + end.to_bytes(8, "little", signed=True)
+                    yield classes + side + b"1" + end.to_bytes(4, "little", signed=True)
 
     def run(batches):
         for batch in batches:
@@ -398,7 +386,7 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
     return map_texts(whole, run, kind)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     """(mr_doc, at, words, before, after): of ``wanted`` (mr_doc, at, words) and a few others, CRCs of up to CONTEXT words
     before and after."""
     kind = "mr_doc long, at int, words int, before array<int>, after array<int>"
@@ -417,7 +405,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((doc, a, b - a, [crc32(x) - (1 << 31) for x in words[max(0, a - CONTEXT) : a][::-1]], [crc32(x) - (1 << 31) for x in words[b : b + CONTEXT]]))
         yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
 
-    return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), run, kind)
+    return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), members, run, kind)
 
 
 def _union(batches):
@@ -443,22 +431,25 @@ def _runs(stretches: DataFrame) -> DataFrame:
 
 
 def _verify(block: dict):
-    texts = block["text"].to_pylist()
     sets = []
-    for t in texts:
+    for t in block["text"].to_pylist():
         w = t.split(" ")
         sets.append({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})
-    where: dict[tuple, list[int]] = {}
-    for i, s in enumerate(sets):
-        for g in s:
-            where.setdefault(g, []).append(i)
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    both = np.zeros((n, n), np.int32)
-    for at in where.values():
-        if len(at) > 1:
-            both[np.ix_(at, at)] += 1
-    a, b = np.nonzero(np.triu(both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both), 1))
+    if n <= 12:
+        found = [(i, j) for i in range(n) for j in range(i + 1, n) if (both := len(sets[i] & sets[j])) >= THRESHOLD * (len(sets[i]) + len(sets[j]) - both)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+    else:
+        where: dict[tuple, list[int]] = {}
+        for i, s in enumerate(sets):
+            for g in s:
+                where.setdefault(g, []).append(i)
+        sizes = np.array([len(s) for s in sets])
+        both = np.zeros((n, n), np.int32)
+        for at in where.values():
+            if len(at) > 1:
+                both[np.ix_(at, at)] += 1
+        a, b = np.nonzero(np.triu(both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both), 1))
     if block["mr_i"][0] != block["mr_j"][0]:
         across = block["mr_chunk"][a] != block["mr_chunk"][b]
         a, b = a[across], b[across]
@@ -499,49 +490,50 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark, docs = docs.sparkSession, _keyed(docs)
     whole = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, _UNITS), "op4-units")
+    n_units, n_picks = whole.agg(F.count("m0"), F.count_if(F.col("m0").isNull())).first()
     # Word by word: the classes of picked windows that several documents have.
     picks = whole.where("m0 IS NULL").selectExpr("unit AS pick", "m1 AS class", "mr_doc", "doc_id", "first", "last")
     twice = picks.groupBy(F.col("pick").alias("id")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("id")
-    held = stage(_chosen(picks, "pick", stage(twice, "op4-picked")), "op4-held")
+    held = stage(_chosen(picks, "pick", twice, n_picks // 8), "op4-held")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc")
     classes = held.groupBy("pick", "class").agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"))
     classes = stage(classes.selectExpr("pick AS p", "class AS c", "keeper", "d0 <> d1 AS several"), "op4-classes")
     alike = held.join(classes.where("several").drop("several"), F.expr("pick = p AND class = c")).where("mr_doc <> keeper.mr_doc")
-    alike = stage(alike.selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper"), "op4-alike")
+    alike = alike.selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper")
     ends = classes.groupBy(F.col("p").alias("id")).agg(F.min("keeper.mr_doc").alias("d0"), F.max("keeper.mr_doc").alias("d1")).where("d0 <> d1").select("id")
-    firsts = stage(classes.join(ends, F.col("p") == F.col("id"), "left_semi").selectExpr("keeper.mr_doc AS mr_doc", "p AS id"), "op4-firsts")
-    windows = stage(_windows(docs, firsts), "op4-windows")
-    unstage(held, classes, firsts)
-    _release(spark)
+    firsts = classes.join(ends, F.col("p") == F.col("id"), "left_semi").selectExpr("keeper.mr_doc AS mr_doc", "p AS id")
+    windows = stage(_windows(docs, firsts, n_picks // 8), "op4-windows")
     same_words = alike.union(_later(windows, "window").selectExpr("mr_doc", "first", "last", "keeper.doc_id AS keeper"))
     gone = stage(_runs(same_words), "op4-gone")
-    unstage(alike, windows)
+    unstage(held, classes, windows)
+    _release(spark)
     # With changes: paragraphs, each once, that share a band with another one.
-    units = whole.where("m0 IS NOT NULL").select("mr_doc", "unit", *[f"m{b}" for b in range(BANDS)])
+    units = whole.where("m0 IS NOT NULL")
     names = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
     names = stage(names, "op4-names")
     keyed = names.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
     mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select(F.col("key").alias("id")), "op4-mixed")
-    keys = _chosen(keyed, "key", mixed).join(mixed, F.col("key") == F.col("id"), "left_semi")
+    keys = _chosen(keyed, "key", mixed, n_units // 8).join(mixed, F.col("key") == F.col("id"), "left_semi")
     keys = stage(keys.select("key", F.col("unit").alias("id")), "op4-keys")
-    wanted = stage(names.join(keys.select("id").distinct(), F.col("unit") == F.col("id"), "left_semi").selectExpr("d0 AS mr_doc", "unit AS id"), "op4-wanted")
-    texts = stage(_texts(docs, wanted).groupBy("id").agg(F.first("text").alias("text")), "op4-texts")
-    edges = stage(blocks(keys, texts, BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long"), "op4-edges")
+    wanted = names.join(keys.select("id").distinct(), F.col("unit") == F.col("id"), "left_semi").selectExpr("d0 AS mr_doc", "unit AS id")
+    texts = _texts(docs, wanted, n_units // 8).groupBy("id").agg(F.first("text").alias("text"))
+    edges = blocks(keys, texts, BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long")
     roots = stage(components(edges), "op4-roots")
-    unstage(mixed, keys, wanted, texts, edges)
-    near = stage(_chosen(units.select("mr_doc", "unit"), "unit", roots.select(F.col("node").alias("id"))).withColumnRenamed("unit", "id"), "op4-near")
+    unstage(mixed, keys)
+    _release(spark)
+    # Of documents with such paragraphs, those that others have too.
+    near = _chosen(units.select("mr_doc", "unit"), "unit", roots.select(F.col("node").alias("id")), n_units // 8).select(F.col("mr_doc").alias("id"))
     repeated = names.where("d0 <> d1").select(F.col("unit").alias("id")).union(roots.select("node"))
-    at = stage(_occurrences(docs, near, repeated), "op4-at")
-    unstage(whole, names, near)
+    at = _chosen(_chosen(units.drop(*[f"m{b}" for b in range(BANDS)]), "mr_doc", near, n_picks // 8), "unit", repeated, n_units // 2)
     classed = at.join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).withColumn("near", F.col("root").isNotNull())
     chains = stage(_chains(classed, gone), "op4-chains")
-    unstage(at, roots)
+    unstage(whole, names, roots)
     _release(spark)
     same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
     pairs = _later(chains, "chain", "at", "words").where("NOT goes").select("mr_doc", "at", "words", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), F.col("keeper.words").alias("k_words"))
     pairs = stage(pairs.distinct(), "op4-near-pairs")
-    wanted = stage(pairs.select("mr_doc", "at", "words").union(pairs.select("k_doc", "k_at", "k_words")).distinct(), "op4-places")
-    contexts = stage(_contexts(docs, wanted).join(wanted, ["mr_doc", "at", "words"], "left_semi").distinct(), "op4-contexts")
+    wanted = pairs.select("mr_doc", "at", "words").union(pairs.select("k_doc", "k_at", "k_words")).distinct()
+    contexts = stage(_contexts(docs, wanted, n_units // 8).join(wanted, ["mr_doc", "at", "words"], "left_semi").distinct(), "op4-contexts")
     other = contexts.selectExpr("mr_doc AS k_doc", "at AS k_at", "words AS k_words", "before AS k_before", "after AS k_after")
     near = pairs.join(contexts, ["mr_doc", "at", "words"]).join(other, ["k_doc", "k_at", "k_words"]).selectExpr(
         "mr_doc", "at", "words", f"CAST({same('before', 'k_before')} AS int) AS left", f"CAST({same('after', 'k_after')} AS int) AS right", "keeper"
@@ -549,7 +541,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = near.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper")
     before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
     out = stage(_runs(before.union(near)), "op4-runs")
-    unstage(gone, chains, pairs, wanted, contexts)
+    unstage(gone, chains, pairs, contexts)
     return out
 
 
