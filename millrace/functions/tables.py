@@ -1,9 +1,12 @@
-"""Reading the tables of a folder."""
+"""Reading the tables of a folder, and mapping over texts in batches of bounded size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of whole texts, on both sides of the Python worker's pipe.
+BATCH_BYTES = 8 << 20
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -14,3 +17,10 @@ def spread(df: DataFrame) -> DataFrame:
     whose rows cost much to work on. A large table is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches by bytes: a batch of rows may hold any number of them. Sets the session's
+    spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)

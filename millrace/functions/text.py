@@ -5,8 +5,12 @@ The patterns spell out Unicode classes, because engines disagree on ``\\w`` and
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.functions.params import STOPWORDS
 
@@ -17,8 +21,6 @@ TERM = r"[\p{L}\p{N}_]+"
 HIDDEN_MARKUP = (
     r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<![^>]*>|</?[a-z][^>]*>"
 )
-#: Decoded in this order: an ampersand last, so that nothing is decoded twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\xa0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
 def words(text: Column) -> Column:
@@ -36,9 +38,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
 
 
-def html_words(html: Column) -> Column:
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Named and numeric references as the characters that they stand for, each decoded once."""
+    return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+
+def html_words(page: Column) -> Column:
     """Words of the visible strings of a page; every tag and comment is a word boundary."""
-    text = F.regexp_replace(html, HIDDEN_MARKUP, " ")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return words(text)
+    return words(unescape(F.regexp_replace(page, HIDDEN_MARKUP, " ")))

@@ -55,8 +55,10 @@ def citations(answer: Column, n_passages: Column) -> tuple[Column, Column]:
     return F.filter(cited, lambda x: (x >= 1) & (x <= n_passages)), F.filter(cited, lambda x: (x < 1) | (x > n_passages))
 
 
-def prompts(pairs: DataFrame) -> DataFrame:
-    """(query_id, prompt): the numbered passages and the question, for a model."""
+def prompts(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, prompt): the numbered passages and the question, for a model. ``most``: passages of a rank up to that;
+    a caller who asks for the passages of a search has no more than it returns."""
+    pairs = pairs if most is None else pairs.where(F.col("rank") <= most)
     item = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("passage")).alias("t"))
     g = pairs.groupBy("query_id", "question").agg(F.array_sort(F.collect_list(item)).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["t"]), "\n\n")
@@ -66,9 +68,11 @@ def prompts(pairs: DataFrame) -> DataFrame:
 def settle(answers: DataFrame, extracts: DataFrame) -> DataFrame:
     """A model's answers where they hold, else the extract and why.
 
-    answers: query_id, n_passages, status (HTTP, null if none came), answer, model. Nothing is called here: the
-    answers come from whatever function the caller maps over ``prompts``.
+    answers: query_id, n_passages, status (HTTP, null if none came), answer, model, and optionally finish, the model's
+    own word for why it ended: anything but null and 'stop' is a refusal. Nothing is called here: the answers
+    come from whatever function the caller maps over ``prompts``.
     """
+    refused = ~F.lower("a.finish").isin("stop", "") if "finish" in answers.columns else F.lit(False)
     valid, invalid = citations(F.col("a.answer"), F.col("a.n_passages"))
     why = (
         F.when(F.coalesce("a.n_passages", F.lit(0)) == 0, "no passages retrieved")
@@ -76,6 +80,7 @@ def settle(answers: DataFrame, extracts: DataFrame) -> DataFrame:
         .when(F.col("a.status").isin(401, 403), "model key refused")
         .when(F.col("a.status") == 429, "model rate limit")
         .when(F.col("a.status") >= 400, F.concat(F.lit("model error "), F.col("a.status").cast("string")))
+        .when(F.coalesce(refused, F.lit(False)), "model declined")
         .when(F.coalesce(F.trim("a.answer"), F.lit("")) == "", "model answer empty")
         .when((F.size(invalid) > 0) | ((F.col("a.answer") != NOT_FOUND) & (F.size(valid) == 0)), "answer failed citation check")
     )

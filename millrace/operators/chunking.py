@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS, MAX_CHUNKS
+from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS
+from millrace.functions.tables import map_texts
 from millrace.functions.text import words
 
 #: Documents whose running totals are summed in one task.
@@ -17,16 +20,16 @@ def n_windows(n: Column, size: int, overlap: int) -> Column:
     return F.when(n <= 0, 0).when(n <= size, 1).otherwise(F.ceil((n - overlap) / (size - overlap))).cast("int")
 
 
-def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS, paged: bool = False) -> DataFrame:
+def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None, paged: bool = False) -> DataFrame:
     """One row for each window of the words in column ``word_array``, which the other columns repeat.
 
     Adds seq, start_word, end_word, text, and page: that of the window's first word, if the array holds
-    (word, page), else null. At most ``cap`` windows of a row; a row without words has none.
+    (word, page), else null. At most ``cap`` windows of a row, if it is given; a row without words has none.
     """
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be from 0 to less than size")
+    _check(size, overlap)
     stride, w = size - overlap, F.col(word_array)
-    k = F.least(n_windows(F.size(w), size, overlap), F.lit(cap))
+    k = n_windows(F.size(w), size, overlap)
+    k = k if cap is None else F.least(k, F.lit(cap))
 
     def window(c: Column) -> Column:
         part = F.slice(w, c * stride + 1, F.lit(size))
@@ -41,36 +44,87 @@ def chunk_words(df: DataFrame, word_array: str, size: int = CHUNK_WORDS, overlap
     return df.select(*[c for c in df.columns if c != word_array], F.inline(windows))
 
 
-def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
-    """(key, n): the chunks that each text has, without making them."""
-    # Bound by a lambda, so that the words are found once and not for every mention of their number.
-    k = F.transform(F.array(F.coalesce(F.size(words(F.col(text))), F.lit(0))), lambda n: F.least(n_windows(n, size, overlap), F.lit(cap)))
-    return docs.select(key, k[0].cast("long").alias("n"))
+def _check(size: int, overlap: int) -> None:
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be from 0 to less than size")
+
+
+def _count(n: int, size: int, overlap: int, cap: int | None) -> int:
+    k = 0 if n <= 0 else 1 if n <= size else -((overlap - n) // (size - overlap))
+    return k if cap is None else min(k, cap)
+
+
+def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None) -> DataFrame:
+    """(key, n): the chunks that each text has, without making them. ``str.split`` knows the same blanks as ``words``."""
+    _check(size, overlap)
+
+    def run(batches):
+        for batch in batches:
+            n = [_count(len(t.split()), size, overlap, cap) if t else 0 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n"])
+
+    return map_texts(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long")
 
 
 def number_chunks(chunks: DataFrame, order: str, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Adds chunk_id: 0, 1, ... over documents by ``order`` (a long), then seq. From ``cap`` on they go.
     counts: (order, n) of the chunks, if they are known without counting.
+    """
+    counts = chunks.groupBy(order).agg(F.count("*").alias("n")) if counts is None else counts
+    first = first_chunks(counts, order)
+    out = chunks.join(first, order).withColumn("chunk_id", F.col("first_chunk") + F.col("seq")).drop("first_chunk")
+    return out if cap is None else out.where(F.col("chunk_id") < cap)
+
+
+def first_chunks(counts: DataFrame, order: str) -> DataFrame:
+    """(order, first_chunk): the number of the first chunk of each document, from counts (order, n).
 
     Totals run over buckets of document numbers and inside each, never over all documents at once.
     """
-    counts = chunks.groupBy(order).agg(F.count("*").alias("n")) if counts is None else counts
     counts = counts.withColumn("b", F.expr(f"{order} DIV {BUCKET}"))
     per = counts.groupBy("b").agg(F.sum("n").alias("n"))
     base = per.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(base, "b")
-    first = first.select(order, (F.col("base") + F.col("before")).alias("first_chunk"))
-    out = chunks.join(first, order).withColumn("chunk_id", F.col("first_chunk") + F.col("seq")).drop("first_chunk")
-    return out if cap is None else out.where(F.col("chunk_id") < cap)
+    return first.select(order, (F.col("base") + F.col("before")).alias("first_chunk"))
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
-    """Chunks of plain texts."""
-    return chunk_words(docs.select(key, words(F.col(text)).alias("w")), "w", size, overlap, cap)
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None, numbered: bool = False) -> DataFrame:
+    """Chunks of plain texts: (key, seq, start_word, end_word, page: null, text).
 
-
-def chunk_pages(pages: DataFrame, key: str, page: str, text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
+    ``numbered``: also chunk_id, 0, 1, ... over documents by their key (a long, none twice), then seq. Documents meet the
+    numbers of their first chunks before they are cut, so that chunks aren't shuffled. One pass in Arrow batches:
+    finding words by a pattern costs several times as much.
+    """
+    _check(size, overlap)
+    kind = f"`{key}` {docs.schema[key].dataType.simpleString()}, seq int, start_word int, end_word int, page int, text string"
+    rows = docs.select(key, F.col(text).alias("mr_text"))
+    if numbered:
+        rows = rows.join(first_chunks(count_windows(docs, key, text, size, overlap, cap), key), key).select(key, "mr_text", "first_chunk")
+        kind += ", chunk_id long"
+
+    def run(batches):
+        for batch in batches:
+            at, seq, start, end, texts = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                w = t.split() if t else []
+                for k in range(_count(len(w), size, overlap, cap)):
+                    a = k * (size - overlap)
+                    at.append(i)
+                    seq.append(k)
+                    start.append(a)
+                    end.append(min(a + size, len(w)))
+                    texts.append(" ".join(w[a : a + size]))
+            here, number = pa.array(at, pa.int32()), pa.array(seq, pa.int32())
+            columns = [batch.column(0).take(here), number, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.nulls(len(at), pa.int32()), pa.array(texts, pa.string())]
+            if numbered:
+                columns.append(pc.add(batch.column(2).take(here), number.cast(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "seq", "start_word", "end_word", "page", "text", "chunk_id"][: len(columns)])
+
+    return map_texts(rows, run, kind)
+
+
+def chunk_pages(pages: DataFrame, key: str, page: str, text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None) -> DataFrame:
     """Chunks of documents given page by page; windows run over page ends."""
     listed = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).cast("int").alias("page"), words(F.col(text)).alias("w")))).alias("p"))
     flat = F.flatten(F.transform("p", lambda p: F.transform(p["w"], lambda w: F.struct(w.alias("word"), p["page"].alias("page")))))

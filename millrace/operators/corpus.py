@@ -1,4 +1,9 @@
-"""A corpus on disk: immutable snapshots, a pointer to the current one, and the operations on them."""
+"""A corpus on disk: parts that are written once, snapshots that say what is in them, and the operations on both.
+
+A part holds what one call of ``ingest`` added: chunks, postings and vectors, by document number and place, and the
+sum of products of its vectors. Nothing of it is made again later. A snapshot is a table of documents, each with its part
+and the number of its first chunk, and the names of the sums; deleting writes a new one.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +14,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS, MAX_CHUNKS
-from millrace.functions.text import words
-from millrace.operators import dense
-from millrace.operators.chunking import chunk_words, number_chunks
+from millrace.functions.staging import settled, stage, unstage
+from millrace.functions.text import terms, words
+from millrace.operators import dense, spectral
+from millrace.operators.chunking import chunk_words, first_chunks
 from millrace.operators.lexical import LexicalIndex
 from millrace.operators.search import Corpus
 from millrace.operators.spectral import SpectralMap
 
-DOCS = "doc_no long, name string, sha256 string, bytes long, first_chunk long, n_chunks long"
+DOCS = "doc_no long, name string, sha256 string, bytes long, first_chunk long, n_chunks long, part string"
 CHUNKS = "id long, doc_no long, sha256 string, doc string, seq int, start_word int, end_word int, page int, text string"
+PART_CHUNKS = "part string, doc_no long, seq int, start_word int, end_word int, page int, text string, dl int"
+POSTINGS, VECTORS, GRAM = "part string, term string, doc_no long, seq int, dl int, tf long", "part string, doc_no long, seq int, embedding array<double>", "i int, j int, g double"
+#: Makes one number of a document's and a place in it.
+PLACES = 1 << 31
 
 
 class UnknownDocument(KeyError):
@@ -47,12 +57,12 @@ class Store:
         found = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("v-"))
         return f"{self.path}/{found[-1]}" if found else None
 
-    def _swap(self, docs: DataFrame, chunks: DataFrame) -> None:
+    def _swap(self, docs: DataFrame, sums: list[str]) -> None:
         """Write a snapshot aside and give it the next number in one rename."""
         now = self.current()
         tmp = f"{self.path}/_new-{uuid.uuid4().hex}"
-        chunks.write.parquet(f"{tmp}/chunks")
         docs.write.parquet(f"{tmp}/docs")
+        self.spark.createDataFrame([(s,) for s in sums], "name string").write.parquet(f"{tmp}/sums")
         fs, at = self._hadoop(tmp)
         number = int(now.rpartition("-")[2]) + 1 if now else 0
         if not fs.rename(at, self._hadoop(f"{self.path}/v-{number:09d}")[1]):
@@ -62,42 +72,79 @@ class Store:
         now = self.current()
         return self.spark.read.schema(DOCS).parquet(f"{now}/docs") if now else self.spark.createDataFrame([], DOCS)
 
-    def all_chunks(self) -> DataFrame:
+    def _sums(self) -> list[str]:
         now = self.current()
-        return self.spark.read.schema(CHUNKS).parquet(f"{now}/chunks") if now else self.spark.createDataFrame([], CHUNKS)
+        return sorted(r[0] for r in self.spark.read.parquet(f"{now}/sums").collect()) if now else []
+
+    def _kept(self, kind: str, schema: str) -> DataFrame:
+        """A table of all parts, of the documents and chunks that are still in; id is the chunk's number now."""
+        docs = self.docs().where("n_chunks > 0").select("doc_no", "name", "sha256", "first_chunk", "n_chunks", "part")
+        parts = [r[0] for r in docs.select("part").distinct().collect()]
+        if not parts:
+            rows = self.spark.createDataFrame([], schema)
+        else:
+            rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/parts/{p}/{kind}" for p in sorted(parts)])
+        # A deleted document's number may be another one's in a later part.
+        return rows.join(docs, ["part", "doc_no"]).where("seq < n_chunks").withColumn("id", F.col("first_chunk") + F.col("seq"))
+
+    def all_chunks(self) -> DataFrame:
+        return self._kept("chunks", PART_CHUNKS).select("id", "doc_no", "sha256", F.col("name").alias("doc"), "seq", "start_word", "end_word", "page", "text")
+
+    def lexical(self) -> LexicalIndex:
+        """The kept index: nothing is tokenised."""
+        return LexicalIndex.of(self._kept("postings", POSTINGS).select("term", "id", "dl", "tf"), self._kept("chunks", PART_CHUNKS).select("id", "dl"))
+
+    def _numbered(self, names: DataFrame) -> DataFrame:
+        """``names`` (name, sha256) with k: 0, 1, ... in their order. They are sorted over all partitions, and each counts on
+        from those before it."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = names.repartitionByRange(n, "name", "sha256").sortWithinPartitions("name", "sha256")
+        placed = stage(sorted_.select("name", "sha256", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")), "names")
+        before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        return placed.join(before, "p").select("name", "sha256", (F.col("base") + F.col("row")).alias("k"))
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Add gated, extracted files (name, sha256, length, status, error, pages) in the order of name and digest.
 
         Returns (name, sha256, status, error, n_chunks): 409 for a digest that is known or came before, 422 and
         so on as gated. Chunks beyond the cap of the whole corpus aren't kept. A document without words is kept
-        with none.
+        with none. Writes one part and a new snapshot; what was there before is neither read nor written anew, but for
+        the table of documents.
         """
-        known = self.docs()
+        known, files = self.docs(), stage(files, "files")
         base = known.agg(F.coalesce(F.max("doc_no"), F.lit(-1)), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
-        ok = files.where("status = 200")
-        first = ok.groupBy("sha256").agg(F.min("name").alias("name"))
-        fresh = ok.join(first, ["sha256", "name"]).dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
-        numbered = fresh.select("name", "sha256", "length", "pages")
-        numbered = numbered.withColumn("k", F.row_number().over(Window.orderBy("name", "sha256")) - 1)
-        numbered = numbered.withColumn("doc_no", F.col("k") + base[0] + 1).cache()
+        ok = files.where("status = 200").select("name", "sha256", "length", "pages")
+        first = ok.groupBy("sha256").agg(F.min("name").alias("name")).join(known.select("sha256"), "sha256", "left_anti")
+        numbers = stage(self._numbered(first).select("name", "sha256", (F.col("k") + base[0] + 1).alias("doc_no")), "numbers")
+        fresh = ok.join(numbers, ["name", "sha256"]).dropDuplicates(["doc_no"])
+        part, at = uuid.uuid4().hex, lambda kind: f"{self.path}/parts/{part}/{kind}"
         flat = F.flatten(F.transform("pages", lambda p: F.transform(words(p["text"]), lambda w: F.struct(w.alias("word"), p["page"].alias("page")))))
-        cut = chunk_words(numbered.select("doc_no", "sha256", F.col("name").alias("doc"), flat.alias("w")), "w", self.size, self.overlap, self.cap, paged=True)
-        cut = number_chunks(cut, "doc_no").withColumn("id", F.col("chunk_id") + base[1]).where(F.col("id") < self.cap).drop("chunk_id")
-        chunks = self.all_chunks().unionByName(cut.select(*self.all_chunks().columns))
-        counts = cut.groupBy("doc_no").agg(F.count("*").alias("n"), F.min("id").alias("f"))
-        new = numbered.select("doc_no", "name", "sha256", F.col("length").alias("bytes")).join(counts, "doc_no", "left")
-        new = new.select("doc_no", "name", "sha256", "bytes", F.col("f").alias("first_chunk"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
-        self._swap(known.unionByName(new), chunks)
+        cut = stage(chunk_words(fresh.select("doc_no", "length", flat.alias("w")), "w", self.size, self.overlap, self.cap, paged=True), "cut")
+        counts = cut.groupBy("doc_no").agg(F.count("*").alias("n"))
+        places = first_chunks(counts, "doc_no").join(counts, "doc_no").select("doc_no", (F.col("first_chunk") + base[1]).alias("first_chunk"), F.greatest(F.lit(0), F.least("n", self.cap - base[1] - F.col("first_chunk"))).alias("n_chunks"))
+        places = stage(places, "places")
+        kept = cut.join(places, "doc_no").where("seq < n_chunks").withColumn("t", terms(F.col("text")))
+        kept = stage(kept.select("doc_no", "seq", "start_word", "end_word", "page", "text", F.size("t").alias("dl"), "t"), "kept")
+        mine = F.lit(part).alias("part")
+        kept.select(mine, *[c for c in kept.columns if c != "t"]).write.parquet(at("chunks"))
+        posted = kept.select("doc_no", "seq", "dl", F.explode("t").alias("term")).groupBy("term", "doc_no", "seq", "dl").agg(F.count("*").alias("tf"))
+        posted.repartitionByRange("term").sortWithinPartitions("term", "doc_no", "seq").select(mine, "term", "doc_no", "seq", "dl", "tf").write.parquet(at("postings"))
+        made = dense.hash_embeddings(kept.select((F.col("doc_no") * PLACES + F.col("seq")).alias("id"), "text"), "id")
+        made.select(mine, F.expr(f"id DIV {PLACES}").alias("doc_no"), F.expr(f"CAST(id % {PLACES} AS int)").alias("seq"), "embedding").write.parquet(at("vectors"))
+        spectral.gram(self.spark.read.schema(VECTORS).parquet(at("vectors"))).write.parquet(f"{self.path}/sums/{part}")
+        lengths = fresh.select("doc_no", F.col("length").alias("bytes"))
+        new = numbers.join(lengths, "doc_no").join(places, "doc_no", "left")
+        new = new.select("doc_no", "name", "sha256", "bytes", F.when(F.col("n_chunks") > 0, F.col("first_chunk")).alias("first_chunk"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(part).alias("part"))
+        self._swap(known.unionByName(new), [*self._sums(), part])
+        unstage(numbers, cut, places, kept)
         added = self.docs().where(F.col("doc_no") > base[0]).select("sha256", F.col("name").alias("mr_name"), "n_chunks")
         out = files.select("name", "sha256", "status", "error").join(added, "sha256", "left")
-        mine = F.col("mr_name") == F.col("name")
-        result = out.select(
-            "name", "sha256", F.when((F.col("status") == 200) & ~F.coalesce(mine, F.lit(False)), 409).otherwise(F.col("status")).alias("status"),
-            F.when((F.col("status") == 200) & ~F.coalesce(mine, F.lit(False)), "already indexed").otherwise(F.col("error")).alias("error"),
-            F.when(mine & (F.col("status") == 200), F.col("n_chunks")).alias("n_chunks"),
+        here = F.col("mr_name") == F.col("name")
+        again = (F.col("status") == 200) & ~F.coalesce(here, F.lit(False))
+        return out.select(
+            "name", "sha256", F.when(again, 409).otherwise(F.col("status")).alias("status"), F.when(again, "already indexed").otherwise(F.col("error")).alias("error"),
+            F.when(here & (F.col("status") == 200), F.col("n_chunks")).alias("n_chunks"),
         )
-        return result
 
     def delete(self, sha256: str) -> str:
         """Remove a document; the others keep their order and their chunks are numbered anew. Its name."""
@@ -105,22 +152,38 @@ class Store:
         gone = docs.where(F.col("sha256") == sha256).first()
         if gone is None:
             raise UnknownDocument(sha256)
-        left = self.all_chunks().where(F.col("sha256") != sha256).drop("id")
-        chunks = number_chunks(left, "doc_no").withColumnRenamed("chunk_id", "id")
-        first = chunks.groupBy("doc_no").agg(F.min("id").alias("f"))
-        kept = docs.where(F.col("sha256") != sha256).drop("first_chunk").join(first, "doc_no", "left").withColumnRenamed("f", "first_chunk")
-        self._swap(kept.select(*docs.columns), chunks.select(*self.all_chunks().columns))
+        sums = self._sums()
+        if gone["n_chunks"]:
+            name = uuid.uuid4().hex
+            vectors = self._kept("vectors", VECTORS).where(F.col("sha256") == sha256)
+            spectral.gram(vectors).withColumn("g", -F.col("g")).write.parquet(f"{self.path}/sums/{name}")
+            sums.append(name)
+        left = docs.where(F.col("sha256") != sha256)
+        first = first_chunks(left.where("n_chunks > 0").select("doc_no", F.col("n_chunks").alias("n")), "doc_no")
+        kept = left.drop("first_chunk").join(first, "doc_no", "left")
+        self._swap(stage(kept.select(*docs.columns), "docs"), sums)
         return gone["name"]
 
     def reset(self) -> None:
         """An empty snapshot."""
-        self._swap(self.spark.createDataFrame([], DOCS), self.spark.createDataFrame([], CHUNKS))
+        self._swap(self.spark.createDataFrame([], DOCS), [])
+
+    def clean(self) -> None:
+        """Delete old snapshots, and parts and sums that the current one doesn't name. Nothing may read or write meanwhile."""
+        now, fs = self.current(), self._hadoop(self.path)[0]
+        named = {"parts": {r[0] for r in self.docs().select("part").distinct().collect()}, "sums": set(self._sums())}
+        for folder in ("", "parts", "sums"):
+            at = self._hadoop(f"{self.path}/{folder}" if folder else self.path)[1]
+            for s in fs.listStatus(at) if fs.exists(at) else []:
+                name = s.getPath().getName()
+                if name not in named[folder] if folder else name.startswith(("v-", "_new-")) and not now.endswith(name):
+                    fs.delete(s.getPath(), True)
 
     def chunk(self, id: int):
         return self.all_chunks().where(F.col("id") == id).first()
 
     def health(self) -> dict:
-        return {"ok": True, "chunks": self.all_chunks().count()}
+        return {"ok": True, "chunks": self.docs().agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]}
 
     def page(self, offset: int, limit: int) -> DataFrame:
         """Chunks offset to offset + limit, in order; limit from 1 to 100."""
@@ -129,26 +192,33 @@ class Store:
         return self.all_chunks().where(F.col("id").between(offset, offset + limit - 1)).orderBy("id")
 
     def corpus(self) -> Corpus:
-        return Corpus.build(self.all_chunks())
+        """The chunks with their kept index and vectors."""
+        return Corpus(self.all_chunks().select("id", "doc", "page", "text"), self.lexical(), self.vectors())
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Passages of each query (query_id, text); k from 1 to 20. Queries of no or over 2000 characters have none."""
         if not 1 <= k <= 20:
             raise ValueError("k from 1 to 20")
         queries = queries.where(F.char_length("text").between(1, 2000))
-        return self.corpus().passages(queries, k)
+        return settled(lambda: self.corpus().passages(queries, k), "passages")
 
     def vectors(self) -> DataFrame:
-        """(id, embedding) of all chunks."""
-        return dense.hash_embeddings(self.all_chunks(), "id")
+        """(id, embedding) of all chunks, as they were added."""
+        return self._kept("vectors", VECTORS).select("id", "embedding")
+
+    def fitted(self) -> SpectralMap | None:
+        """The map of all chunks, from the sums of the parts; None without chunks. No vector is read."""
+        n = self.health()["chunks"]
+        if not n:
+            return None
+        rows = self.spark.read.schema(GRAM).parquet(*[f"{self.path}/sums/{s}" for s in self._sums()])
+        return SpectralMap.of_gram(spectral.matrix(rows.groupBy("i", "j").agg(F.sum("g").alias("g"))), n)
 
     def map(self, queries: DataFrame | None = None, k: int = 5, max_points: int = 1500) -> dict:
         """points (id, x, y), queries (query_id, x, y), hits (query_id, rank, chunk_id), eta, n_total."""
-        vectors = self.vectors()
-        n = vectors.count()
-        if not n:
+        vectors, fitted = self.vectors(), self.fitted()
+        if fitted is None:
             return {"points": vectors.selectExpr("id", "0D AS x", "0D AS y").limit(0), "queries": None, "hits": None, "eta": 0.0, "n_total": 0}
-        fitted = SpectralMap.fit(vectors)
         hits = points_of = None
         if queries is not None:
             hits = self.search(queries, k).select("query_id", "rank", "chunk_id")
@@ -156,11 +226,17 @@ class Store:
             x, y = fitted.project(F.col("e"))
             points_of = q.select("query_id", x.alias("x"), y.alias("y"))
         points = fitted.points(vectors, hits.select(F.col("chunk_id").alias("id")) if hits is not None else None, max_points)
-        return {"points": points, "queries": points_of, "hits": hits, "eta": fitted.eta, "n_total": n}
+        return {"points": points, "queries": points_of, "hits": hits, "eta": fitted.eta, "n_total": fitted.n_rows}
 
-    def stats(self) -> DataFrame:
-        """One row: n_docs, n_chunks, vocab_size, avgdl, max_chunks, capped."""
-        s = LexicalIndex.build(self.all_chunks(), "id").summary().select(F.col("n_docs").alias("n_chunks"), "vocab_size", F.round("avgdl", 2).alias("avgdl"))
+    def stats(self, last_report: DataFrame | None = None) -> DataFrame:
+        """One row: n_docs, n_chunks, vocab_size, avgdl, index_bytes, vector_bytes, eta, max_chunks, capped, and report, the
+        rows of ``last_report`` (of metrics.report) as JSON, null without one."""
+        index, fitted = self.lexical(), self.fitted()
+        s = index.summary().select(F.col("n_docs").alias("n_chunks"), "vocab_size", F.round("avgdl", 2).alias("avgdl"))
         d = self.docs().agg(F.count("*").alias("n_docs"))
-        return d.join(s, F.lit(True)).withColumn("max_chunks", F.lit(self.cap)).withColumn("capped", F.col("n_chunks") >= self.cap)
-
+        v = self.vectors().agg(F.coalesce(F.sum(F.size("embedding") * F.lit(4).cast("long")), F.lit(0)).alias("vector_bytes"))
+        out = d.join(s, F.lit(True)).join(index.size_bytes(), F.lit(True)).join(v, F.lit(True)).withColumn("eta", F.lit(fitted.eta if fitted else 0.0))
+        out = out.withColumn("max_chunks", F.lit(self.cap)).withColumn("capped", F.col("n_chunks") >= self.cap)
+        if last_report is None:
+            return out.withColumn("report", F.lit(None).cast("string"))
+        return out.join(last_report.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*last_report.columns)))).alias("report")), F.lit(True))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.params import DEPTH, EMBED_DIM, EPS
+from millrace.functions.staging import stage
+from millrace.functions.tables import map_texts
 from millrace.functions.text import SPACE
 from millrace.operators.ranking import DIGITS, top_k
 
 #: Queries that are scored together, and rows of vectors scored at a time.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Bytes of queries that are broadcast, and buckets of words that a worker remembers.
+BROADCAST_BYTES, REMEMBERED = 64 << 20, 500_000
 
 
 def unit(v: Column) -> Column:
@@ -39,44 +42,57 @@ def _best(r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(keep)
 
 
+def _chunked(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, data, n): vectors (id: long, embedding) in chunks of up to ``size``, each as the bytes of its ids and its
+    matrix in double."""
+
+    def run(batches):
+        def chunk(ids, parts):
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(parts)], pa.binary()), pa.array([sum(map(len, ids)) // 8], pa.int32())], names=["ids", "data", "n"])
+
+        ids, parts, n = [], [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - n)
+                at, n = at + part.num_rows, n + part.num_rows
+                ids.append(part.column(0).to_numpy().astype(np.int64).tobytes())
+                parts.append(part.column(1).flatten().to_numpy().astype(np.float64).tobytes())
+                if n == size:
+                    yield chunk(ids, parts)
+                    ids, parts, n = [], [], 0
+        if n:
+            yield chunk(ids, parts)
+
+    return map_texts(rows.select(F.col(rows.columns[0]).cast("long"), rows.columns[1]), run, "ids binary, data binary, n int")
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = DEPTH) -> DataFrame:
     """(query_id, rank, id, cosine): the k nearest of all ``vectors`` (id, embedding) for every query (query_id, embedding).
 
-    The stated queries go to the vectors in blocks of QUERY_BLOCK; each batch of vectors is one product and
-    keeps its own k best, which one more selection merges.
+    Both sides are cut into blocks, and every two blocks are one product, of which the k best of each query go on to one
+    more selection. The blocks of the queries are broadcast if they are known to be few; the driver sees their number only.
     """
-    given = queries.select("query_id", unit(F.col("embedding")).alias("e"))
-    parts = None
-    pending: list = []
-
-    def block(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        q = np.array([r[1] for r in rows])
-
-        def run(batches: "Callable"):
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(at, ROW_BLOCK)
-                    n = part.num_rows
-                    own = part.column(0).to_numpy()
-                    x = part.column(1).flatten().to_numpy().reshape(n, -1).astype(np.float64)
-                    x = x / np.maximum(np.sqrt((x * x).sum(axis=1)), EPS)[:, None]
-                    s = x @ q.T
-                    keep = _best(np.round(s, DIGITS), own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep[1]]), pa.array(own[keep[0]]), pa.array(s[keep])], names=["query_id", "id", "cosine"])
-
-        return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, cosine double")
-
-    for row in given.toLocalIterator():
-        pending.append(row)
-        if len(pending) == QUERY_BLOCK:
-            parts = block(pending) if parts is None else parts.unionByName(block(pending))
-            pending = []
-    if pending or parts is None:
-        if not pending:
-            return top_k(vectors.sparkSession.createDataFrame([], "query_id long, id long, cosine double"), "cosine", k)
-        parts = block(pending) if parts is None else parts.unionByName(block(pending))
-    return top_k(parts, "cosine", k)
+    blocks = stage(_chunked(queries.select("query_id", "embedding"), QUERY_BLOCK), "queries").withColumnsRenamed({"ids": "q_ids", "data": "q_data", "n": "m"})
+    size = blocks.agg(F.sum(F.length("q_data"))).first()[0] or 0
+
+    def unit_rows(data: bytes, n: int) -> np.ndarray:
+        x = np.frombuffer(data, np.float64).reshape(n, -1)
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1)), EPS)[:, None]
+
+    def run(batches):
+        for batch in batches:
+            last = None
+            for ids, data, n, q_ids, q_data, m in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is None or last[0] != ids:
+                    last = ids, unit_rows(data, n)
+                own, asked = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = last[1] @ unit_rows(q_data, m).T
+                keep = _best(np.round(s, DIGITS), own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[keep[1]]), pa.array(own[keep[0]]), pa.array(s[keep])], names=["query_id", "id", "cosine"])
+
+    met = _chunked(vectors.select("id", "embedding"), ROW_BLOCK).crossJoin(F.broadcast(blocks) if size <= BROADCAST_BYTES else blocks)
+    return top_k(map_texts(met, run, "query_id long, id long, cosine double"), "cosine", k)
 
 
 def append_vectors(vectors: DataFrame, path: str, dim: int = EMBED_DIM) -> None:
@@ -110,6 +126,19 @@ def hash_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = EMBED
     return counts.join(norms, "id").select("id", "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 
 
+_buckets: dict[tuple[str, int], int] = {}
+
+
+def _bucket(word: str, dim: int) -> int:
+    """The bucket of a word as ``hash_buckets`` has it. Words repeat: their buckets are remembered."""
+    got = _buckets.get((word, dim))
+    if got is None:
+        if len(_buckets) > REMEMBERED:
+            _buckets.clear()
+        got = _buckets[word, dim] = int(hashlib.md5(word.strip(".,?").encode()).hexdigest(), 16) % dim
+    return got
+
+
 def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dim: int = EMBED_DIM) -> DataFrame:
     """The same vectors whole: (id, embedding), zeros for a text without words. One pass, no shuffle."""
 
@@ -117,14 +146,15 @@ def hash_embeddings(docs: DataFrame, key: str, text: str = "text", dim: int = EM
         for batch in batches:
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
-                n, found = part.num_rows, part.column(1)
-                lens = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
-                flat = np.repeat(np.arange(n), lens) * dim + found.flatten().to_numpy()
+                n = part.num_rows
+                found = [(t or "").split() for t in part.column(1).to_pylist()]
+                lens = np.fromiter(map(len, found), np.int64, n)
+                flat = np.repeat(np.arange(n), lens) * dim + np.fromiter((_bucket(w, dim) for f in found for w in f), np.int64, lens.sum())
                 x = np.bincount(flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
                 x /= np.maximum(np.sqrt((x * x).sum(axis=1)), EPS)[:, None]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(x.ravel()))], names=["id", "embedding"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), hash_buckets(F.col(text), dim).alias("b")).mapInArrow(run, "id long, embedding array<double>")
+    return map_texts(docs.select(F.col(key).cast("long").alias("id"), F.lower(text).alias("t")), run, "id long, embedding array<double>")
 
 
 def cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

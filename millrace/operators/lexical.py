@@ -8,25 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.params import BM25_B, BM25_K1
+from millrace.functions.staging import stage, unstage
 from millrace.functions.text import terms
 from millrace.operators.ranking import top_k
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (term, id, tf), lengths (id, dl: every document, also empty ones) and stats (one row: n, total)."""
+    """postings (term, id, dl, tf; dl: all terms of the document), lengths (id, dl: every document, also empty ones) and
+    stats (one row: n, total)."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
 
     @staticmethod
-    def build(docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
-        found = docs.select(F.col(key).alias("id"), terms(F.col(text)).alias("t"))
-        lengths = found.select("id", F.size("t").alias("dl"))
-        postings = found.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    def of(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
         return LexicalIndex(postings, lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
 
+    @staticmethod
+    def build(docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
+        """Terms are found once and staged: postings, lengths and statistics are read from there. ``release`` deletes them."""
+        found = stage(docs.select(F.col(key).alias("id"), terms(F.col(text)).alias("t")), "terms")
+        dl = F.size("t").alias("dl")
+        postings = found.select("id", dl, F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        out = LexicalIndex.of(postings, found.select("id", dl))
+        object.__setattr__(out, "_found", found)
+        return out
+
+    def release(self) -> None:
+        """Delete what ``build`` staged, once no plan reads it any more."""
+        if hasattr(self, "_found"):
+            unstage(self._found)
+
     def save(self, path: str) -> None:
         """Write the index, postings in the order of terms, so that a term's are read from few row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -34,8 +48,7 @@ class LexicalIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        lengths = spark.read.parquet(f"{path}/lengths")
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))
+        return LexicalIndex.of(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
     def size_bytes(self) -> DataFrame:
         """One row: the bytes of the terms and of 12 for each posting and 12 for each document."""
@@ -72,7 +85,7 @@ class LexicalIndex:
             "query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
             F.coalesce(F.try_divide(F.nullif("total", F.lit(0)).cast("double"), F.col("n")), F.lit(1.0)).alias("avgdl"),
         )
-        hits = wanted.join(weight, "term").join(self.lengths, "id")
+        hits = wanted.join(weight, "term")
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         return hits.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 

@@ -5,14 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.staging import stage
+from millrace.functions.text import words
 
-def build_qrels(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+
+def containing(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, id, p): the texts (id, t) that contain a phrase (query_id, p, not empty), as it stands.
+
+    Whatever contains a phrase has the phrase's inner words as words of its own. So phrases and texts meet on one of
+    these, the one that the fewest texts have, and are then compared. Phrases of less than three words have no inner one;
+    if there are some, they are looked for in every text.
+    """
+    asked = phrases.select("query_id", "p", words(F.col("p")).alias("w")).where("length(p) > 0")
+    asked = asked.select("query_id", "p", F.when(F.size("w") > 2, F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
+    inner = asked.select("query_id", "p", F.explode("w").alias("word"))
+    held = texts.select("id", F.explode(F.array_distinct(words(F.col("t")))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    held = stage(held, "held")
+    rare = inner.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rare = rare.groupBy("query_id", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
+    found = rare.join(held, "word").select("query_id", "p", "id").join(texts.select("id", "t"), "id").where(F.contains("t", "p")).select("query_id", "id", "p")
+    short = asked.where("w IS NULL").select("query_id", "p")
+    if not short.isEmpty():
+        found = found.unionByName(texts.join(short, F.contains("t", "p")).select("query_id", "id", "p"))
+    return found
+
+
+def build_qrels(phrases: DataFrame, texts: DataFrame, body: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, id, grade) from phrases (query_id, phrase, grade) and texts (id, text): the best grade of the
-    phrases that a text contains, without regard to case. Every phrase is looked for in every text: the stated
-    phrases go to the texts."""
-    p = phrases.select("query_id", "grade", F.lower("phrase").alias("p")).where("length(p) > 0")
-    t = texts.select("id", F.lower("text").alias("t"))
-    return t.join(F.broadcast(p), F.contains("t", "p")).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
+    phrases that a text contains, without regard to case. ``body``: only ids from the first to before the last number."""
+    p = phrases.select("query_id", "grade", F.lower("phrase").alias("p"))
+    t = texts if body is None else texts.where(F.col("id").between(body[0], body[1] - 1))
+    found = containing(p.select("query_id", "p").distinct(), t.select("id", F.lower("text").alias("t")))
+    return found.join(p, ["query_id", "p"]).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
 
 
 def require_labels(queries: DataFrame, qrels: DataFrame) -> None:
@@ -45,8 +69,10 @@ def per_query(queries: DataFrame, ranking: DataFrame, qrels: DataFrame, k: int =
 
 
 def report(per_mode: DataFrame) -> DataFrame:
-    """(mode, n_queries, n_missed, mrr, ndcg) from per_query rows with a mode."""
+    """(mode, n_queries, n_missed, mrr, ndcg) from per_query rows with a mode; with median_ms if they have ms, the time
+    that a caller took for a query."""
+    timed = [F.percentile("ms", 0.5).alias("median_ms")] if "ms" in per_mode.columns else []
     return per_mode.groupBy("mode").agg(
         F.count("*").alias("n_queries"), F.count_if(F.col("first_rank").isNull()).alias("n_missed"),
-        F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"), F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg"),
+        F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"), F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg"), *timed,
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.params import DEPTH
+from millrace.functions.staging import stage, unstage
 from millrace.operators import dense
 from millrace.operators.lexical import LexicalIndex
 from millrace.operators.ranking import fuse, top_k
@@ -31,41 +32,36 @@ class Corpus:
     embed: Embedder = dense.hash_embeddings
 
     @staticmethod
-    def build(chunks: DataFrame, keep: bool = True, embed: Embedder = dense.hash_embeddings) -> Corpus:
-        """``keep``: hold chunks, postings, lengths and vectors in memory or on local disk once they are made, as
-        several branches of every query read them; ``release`` lets them go."""
-        held = chunks.persist() if keep else chunks
-        lexical, vectors = LexicalIndex.build(held, "id"), embed(held, "id")
-        if keep:
-            lexical = LexicalIndex(lexical.postings.persist(), lexical.lengths.persist(), lexical.stats)
-            vectors = vectors.persist()
-        return Corpus(held, lexical, vectors, embed)
+    def build(chunks: DataFrame, embed: Embedder = dense.hash_embeddings) -> Corpus:
+        """Chunks, terms and vectors are staged, as several branches of every query read them; ``release`` deletes them."""
+        held = stage(chunks, "chunks")
+        return Corpus(held, LexicalIndex.build(held, "id"), stage(embed(held, "id"), "vectors"), embed)
 
     def release(self) -> None:
-        for df in (self.chunks, self.lexical.postings, self.lexical.lengths, self.vectors):
-            df.unpersist()
+        self.lexical.release()
+        unstage(self.chunks, self.vectors)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        return self.embed(queries, "query_id").withColumnRenamed("id", "query_id")
+        return stage(self.embed(queries, "query_id").withColumnRenamed("id", "query_id"), "asked")
 
-    def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The full lexical score table, and the k best by words and by vectors."""
-        full = self.lexical.scores(queries, "query_id")
-        return full, top_k(full, "bm25", k), dense.search(self._asked(queries), self.vectors, k)
+    def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The full lexical score table, the k best by words and by vectors, and the queries' vectors."""
+        full, asked = self.lexical.scores(queries, "query_id"), self._asked(queries)
+        return full, top_k(full, "bm25", k), dense.search(asked, self.vectors, k), asked
 
     def ranking(self, queries: DataFrame, mode: str, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(query_id, rank, id) by mode: 'bm25', 'dense' or 'hybrid'."""
         if mode not in ("bm25", "dense", "hybrid"):
             raise ValueError(f"no such mode: {mode}")
-        _, best_s, best_d = self._parts(queries, depth if mode == "hybrid" else k)
+        _, best_s, best_d, _ = self._parts(queries, depth if mode == "hybrid" else k)
         if mode != "hybrid":
             return (best_s if mode == "bm25" else best_d).select("query_id", "rank", "id")
         return self._fused(best_s, best_d, k).select("query_id", "rank", "id")
 
     def rankings(self, queries: DataFrame, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(mode, query_id, rank, id) of all modes, from one pair of score tables."""
-        _, best_s, best_d = self._parts(queries, max(k, depth))
-        best_s, best_d = best_s.persist(), best_d.persist()
+        _, best_s, best_d, _ = self._parts(queries, max(k, depth))
+        best_s, best_d = stage(best_s, "by-words"), stage(best_d, "by-vectors")
         lists = {"bm25": best_s.where(F.col("rank") <= k), "dense": best_d.where(F.col("rank") <= k), "hybrid": self._fused(best_s.where(F.col("rank") <= depth), best_d.where(F.col("rank") <= depth), k)}
         parts = [r.select(F.lit(mode).alias("mode"), "query_id", "rank", "id") for mode, r in lists.items()]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -79,8 +75,9 @@ class Corpus:
 
         Cosine and BM25 are those of the whole corpus, also for a passage that only one list has.
         """
-        full, best_s, best_d = self._parts(queries, depth)
-        hits = dense.cosines(self._fused(best_s, best_d, k), self._asked(queries), self.vectors)
+        full, best_s, best_d, asked = self._parts(queries, depth)
+        full = stage(full, "scores")
+        hits = dense.cosines(self._fused(top_k(full, "bm25", depth), best_d, k), asked, self.vectors)
         out = hits.join(full, ["query_id", "id"], "left").join(self.chunks, "id")
         return out.select(
             "query_id", "rank", F.col("id").alias("chunk_id"), "doc", "page", "text", "rrf",

@@ -29,6 +29,15 @@ def gram(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(column).mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
+def matrix(g: DataFrame) -> np.ndarray:
+    """The d x d values of a Gram matrix (i, j, g), of which there is one at least."""
+    t = g.toArrow()
+    i, j = t["i"].to_numpy(), t["j"].to_numpy()
+    out = np.zeros((int(i.max()) + 1,) * 2)
+    out[i, j] = t["g"].to_numpy()
+    return out
+
+
 @dataclass(frozen=True)
 class SpectralMap:
     """Two axes (their largest component positive), all singular values, and the share of the two in the total."""
@@ -43,12 +52,7 @@ class SpectralMap:
         n = vectors.count()
         if not n:
             raise ValueError("no rows to fit")
-        rows = gram(vectors, column).collect()  # d x d values
-        d = max(r["i"] for r in rows) + 1
-        g = np.zeros((d, d))
-        for r in rows:
-            g[r["i"], r["j"]] = r["g"]
-        return SpectralMap.of_gram(g, n)
+        return SpectralMap.of_gram(matrix(gram(vectors, column)), n)
 
     @staticmethod
     def of_gram(g: np.ndarray, n: int) -> SpectralMap:
@@ -61,7 +65,7 @@ class SpectralMap:
             v = vectors[:, k]
             axes[:, k] = v * np.sign(v[np.abs(v).argmax()])
         total = values.sum()
-        return SpectralMap(axes, np.sqrt(values), float(values[:2].sum() / total) if total else 1.0, n)
+        return SpectralMap(axes, np.sqrt(values), float(values[:2].sum() / total) if total else 0.0, n)
 
     def project(self, v: Column) -> tuple[Column, Column]:
         """(x, y) of a vector column."""

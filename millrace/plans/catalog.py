@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.params import DEPTH
+from millrace.functions.staging import stage
 from millrace.functions.tables import load, spread
 from millrace.operators import answers, chunking, dense, metrics, spectral
 from millrace.operators.lexical import LexicalIndex
@@ -48,8 +49,7 @@ def _long(*names: str) -> list:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered chunks of documents: id, doc, page, text and their place."""
-    docs = _t(spark, sf_dir, "documents")
-    numbered = chunking.number_chunks(chunking.chunk_documents(docs), "doc_id", counts=chunking.count_windows(docs))
+    numbered = chunking.chunk_documents(_t(spark, sf_dir, "documents"), numbered=True)
     return numbered.select(F.col("chunk_id").alias("id"), "doc_id", F.col("doc_id").cast("string").alias("doc"), "page", "seq", "start_word", "end_word", "text")
 
 
@@ -96,7 +96,7 @@ def chunk_conversations(spark, sf_dir):
 @_register(f"WITH {o.CHUNKS} SELECT id AS chunk_id, doc_id, text FROM chunks WHERE id < 500")
 def corpus_cap(spark, sf_dir):
     """The corpus stops growing at a number of chunks."""
-    return chunking.number_chunks(chunking.chunk_documents(_t(spark, sf_dir, "documents")), "doc_id", cap=500).select("chunk_id", "doc_id", "text")
+    return chunking.chunk_documents(_t(spark, sf_dir, "documents"), numbered=True).where("chunk_id < 500").select("chunk_id", "doc_id", "text")
 
 
 @_register(f"WITH {o.CHUNKS} SELECT id AS chunk_id, doc_id, text FROM chunks WHERE id BETWEEN 20 AND 29")
@@ -111,28 +111,31 @@ def delete_document(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
     gone = docs.orderBy("doc_id").limit(1).select("sha256")
     left = docs.join(F.broadcast(gone), "sha256", "left_anti")
-    return chunking.number_chunks(chunking.chunk_documents(left), "doc_id").select("chunk_id", "doc_id", F.col("seq").cast("long").alias("seq"))
+    return chunking.chunk_documents(left, numbered=True).select("chunk_id", "doc_id", F.col("seq").cast("long").alias("seq"))
 
 
 # Gates
 
 
-_FILES = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'a.b/doc' || doc_id || '.TXT' WHEN 1 THEN 'doc' || doc_id || '.pdf' WHEN 2 THEN 'doc' || doc_id || '.exe' ELSE 'doc' || doc_id || '.docx' END AS name, text FROM documents
-    UNION ALL SELECT page_id, 'page' || page_id || '.html', html FROM pages"""
+_FILES = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'a.b/doc' || doc_id || '.TXT' WHEN 1 THEN 'doc' || doc_id || '.pdf' WHEN 2 THEN 'doc' || doc_id || '.exe' ELSE 'doc' || doc_id || '.docx' END AS name,
+    CASE doc_id % 8 WHEN 1 THEN '%PDF-1.7 ' WHEN 3 THEN 'PK' || chr(3) || chr(4) WHEN 5 THEN 'no %PDF-' ELSE '' END || text AS text, CASE WHEN doc_id % 16 = 0 THEN 5001 END AS declared FROM documents
+    UNION ALL SELECT page_id, 'page' || page_id || '.html', html, NULL FROM pages"""
 
 
 @_register(f"""WITH f AS ({_FILES}), g AS (SELECT *, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS ext FROM f)
 SELECT id, name, ext, strlen(text)::BIGINT AS length, sha256(text) AS sha256,
-    (CASE WHEN ext NOT IN ('.txt', '.pdf', '.docx', '.html') THEN 415 WHEN strlen(text) > 5000 THEN 413 WHEN strlen(text) = 0 THEN 422
-        WHEN ext = '.pdf' AND text NOT LIKE '%PDF-%' THEN 415 WHEN ext = '.docx' THEN 415 ELSE 200 END)::BIGINT AS status FROM g""")
+    (CASE WHEN ext NOT IN ('.txt', '.pdf', '.docx', '.html') THEN 415 WHEN declared > 5000 THEN 413 WHEN strlen(text) > 5000 THEN 413 WHEN strlen(text) = 0 THEN 422
+        WHEN ext = '.pdf' AND NOT starts_with(text, '%PDF-') THEN 415 WHEN ext = '.docx' AND NOT starts_with(text, 'PK' || chr(3) || chr(4)) THEN 415 ELSE 200 END)::BIGINT AS status FROM g""")
 def gate_files(spark, sf_dir):
-    """Texts under names of several kinds, with a small size limit."""
+    """Texts under names of several kinds, half of the PDF and zip ones with their first bytes, with a small size limit."""
     docs, pages = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pages")
     n = F.col("doc_id").cast("string")
-    kind = F.col("doc_id") % 4
+    kind, first = F.col("doc_id") % 4, F.col("doc_id") % 8
     name = F.when(kind == 0, F.concat(F.lit("a.b/doc"), n, F.lit(".TXT"))).when(kind == 1, F.concat(F.lit("doc"), n, F.lit(".pdf"))).when(kind == 2, F.concat(F.lit("doc"), n, F.lit(".exe"))).otherwise(F.concat(F.lit("doc"), n, F.lit(".docx")))
-    files = docs.select(F.col("doc_id").alias("id"), name.alias("name"), F.encode("text", "utf-8").alias("content")).unionByName(
-        pages.select(F.col("page_id").alias("id"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("content")))
+    head = F.when(first == 1, "%PDF-1.7 ").when(first == 3, "PK\x03\x04").when(first == 5, "no %PDF-").otherwise("")
+    declared = F.when(F.col("doc_id") % 16 == 0, 5001).cast("long")
+    files = docs.select(F.col("doc_id").alias("id"), name.alias("name"), F.encode(F.concat(head, "text"), "utf-8").alias("content"), declared.alias("declared_size")).unionByName(
+        pages.select(F.col("page_id").alias("id"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("content"), F.lit(None).cast("long").alias("declared_size")))
     return gates.gate(files, limit=5000).select("id", "name", "ext", "length", "sha256", F.col("status").cast("long").alias("status"))
 
 
@@ -197,12 +200,12 @@ def dense_normalize(spark, sf_dir):
 
 
 def _near(spark, sf_dir) -> DataFrame:
-    """The DEPTH nearest vectors of the first 20."""
+    """The DEPTH nearest of all vectors for each whose id is divisible by 20."""
     v = _t(spark, sf_dir, "embeddings")
-    return dense.search(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("id"), "embedding"), DEPTH)
+    return dense.search(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("id"), "embedding"), DEPTH)
 
 
-_NEAR = f"v AS {o.UNIT}, s AS (SELECT a.id AS query_id, a.label AS query_label, b.id, b.label, list_dot_product(a.e, b.e) AS cosine FROM v a, v b WHERE a.id < 20), {o.ranked('r', 's', 'cosine')}"
+_NEAR = f"v AS {o.UNIT}, s AS (SELECT a.id AS query_id, a.label AS query_label, b.id, b.label, list_dot_product(a.e, b.e) AS cosine FROM v a, v b WHERE a.id % 20 = 0), {o.ranked('r', 's', 'cosine')}"
 
 
 @_register(f"WITH {_NEAR} SELECT query_id, rank, id AS vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 50")
@@ -249,7 +252,9 @@ def hybrid_search(spark, sf_dir):
     return p.select("query_id", *_long("rank"), "chunk_id", F.round("rrf", 9).alias("rrf"), *_long("dense_rank", "bm25_rank"))
 
 
-_PASSAGES = f"WITH {o.HYBRID}, p AS (SELECT fr.query_id, fr.rank, fr.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, cosine AS dense, coalesce(bm25, 0) AS bm25, dense_rank, bm25_rank FROM fr JOIN chunks USING (id) JOIN ds USING (query_id, id) LEFT JOIN bm USING (query_id, id) WHERE rank <= 5)"
+_PASSAGES = f"""WITH {o.HYBRID}, hits AS MATERIALIZED (SELECT * FROM fr WHERE rank <= 5),
+p AS (SELECT h.query_id, h.rank, h.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, cosine AS dense, coalesce(bm25, 0) AS bm25, dense_rank, bm25_rank
+    FROM hits h JOIN chunks ON h.id = chunks.id JOIN ds ON ds.query_id = h.query_id AND ds.id = h.id LEFT JOIN bm ON bm.query_id = h.query_id AND bm.id = h.id)"""
 
 
 @_register(f"{_PASSAGES} SELECT query_id, rank, chunk_id, doc, NULL::INT AS page, text, round(rrf, 9) AS rrf, round(dense, 6) AS dense, round(bm25, 6) AS bm25, dense_rank, bm25_rank FROM p")
@@ -301,13 +306,13 @@ _GRADED = f"""{_NEAR}, rel AS (SELECT query_id, id, 1 AS grade, row_number() OVE
 ideal AS (SELECT query_id, sum(1 / log2(i + 1)) AS ideal FROM rel WHERE i <= 10 GROUP BY query_id),
 hit AS (SELECT query_id, min(rank) AS first_rank, sum(1 / log2(rank + 1)) AS dcg FROM r WHERE rank <= 10 AND label = query_label GROUP BY query_id),
 pq AS (SELECT v.id AS query_id, first_rank, coalesce(1 / first_rank, 0) AS rr, coalesce(dcg, 0) AS dcg, coalesce(coalesce(dcg, 0) / ideal, 0) AS ndcg
-    FROM v LEFT JOIN hit ON v.id = hit.query_id LEFT JOIN ideal ON v.id = ideal.query_id WHERE v.id < 20)"""
+    FROM v LEFT JOIN hit ON v.id = hit.query_id LEFT JOIN ideal ON v.id = ideal.query_id WHERE v.id % 20 = 0)"""
 
 
 def _graded(spark, sf_dir) -> DataFrame:
     v = _t(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    qrels = v.join(F.broadcast(asked), F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("grade"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    qrels = v.join(asked, F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("grade"))
     return metrics.per_query(asked, _near(spark, sf_dir), qrels)
 
 
@@ -341,7 +346,7 @@ def eval_report(spark, sf_dir):
     # One evaluation of all modes: a query of a mode is a query of its own.
     names = F.explode(F.array(*[F.lit(m) for m in ("bm25", "dense", "hybrid")])).alias("mode")
     own = F.struct("mode", "query_id").alias("query_id")
-    labels = qrels.select("*", names).select(own, "id", "grade").persist()
+    labels = stage(qrels.select("*", names).select(own, "id", "grade"), "labels")
     out = metrics.per_query(labels.select("query_id").distinct(), _modes(spark, sf_dir).select(own, "rank", "id"), labels)
     m = metrics.report(out.withColumn("mode", F.col("query_id.mode")))
     return m.select("mode", "n_queries", *_long("n_missed"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
@@ -361,10 +366,11 @@ bs AS (SELECT p.query_id, p.doc_id, p.rank, coalesce(score, 0) AS score, coalesc
 
 def _pairs(spark, sf_dir) -> DataFrame:
     """Benchmark items and the documents that hold them word for word, as questions and passages."""
-    asked = _asked(spark, sf_dir).select("query_id", F.col("text").alias("question"))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("passage"))
-    held = docs.join(F.broadcast(asked), F.contains("passage", "question"))
-    return held.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    asked = _asked(spark, sf_dir)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    held = metrics.containing(asked.select("query_id", F.col("text").alias("p")), docs)
+    placed = held.select("query_id", F.col("p").alias("question"), F.col("id"), F.row_number().over(Window.partitionBy("query_id").orderBy("id")).alias("rank"))
+    return placed.join(docs, "id").select("query_id", F.col("id").alias("doc_id"), "question", F.col("t").alias("passage"), "rank")
 
 
 @_register(f"WITH {_BEST} SELECT query_id, doc_id, round(score, 6) AS score, sentence FROM bs")

@@ -16,7 +16,7 @@ c0 AS (SELECT *, unnest(range(k))::INT AS seq FROM k)"""
 
 CHUNKS = f"""w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents),
 {windows('w')},
-chunks AS (SELECT row_number() OVER (ORDER BY doc_id, seq) - 1 AS id, doc_id, seq, seq * 120 AS start_word, least(seq * 120 + 150, len(w))::INT AS end_word,
+chunks AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, seq) - 1 AS id, doc_id, seq, seq * 120 AS start_word, least(seq * 120 + 150, len(w))::INT AS end_word,
     array_to_string(w[seq * 120 + 1 : seq * 120 + 150], ' ') AS text FROM c0)"""
 
 
@@ -33,7 +33,7 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 QUERIES = f"""q AS (SELECT item_id AS query_id, text FROM benchmark),
 qt AS (SELECT DISTINCT query_id, unnest({tokens('text')}) AS term FROM q)"""
 
-BM25 = """bm AS (SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))) AS bm25
+BM25 = """bm AS MATERIALIZED (SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))) AS bm25
     FROM qt JOIN df USING (term) JOIN post USING (term) JOIN dl USING (id), st GROUP BY ALL)"""
 
 
@@ -53,8 +53,8 @@ def hashed(name: str, source: str, key: str) -> str:
 
 DENSE = f"""{hashed('cv', 'chunks', 'id')},
 {hashed('qv', 'q', 'query_id')},
-cs AS (SELECT qv.id AS query_id, cv.id AS id, sum(qv.weight * cv.weight) AS cosine FROM qv JOIN cv USING (bucket) GROUP BY ALL),
-ds AS (SELECT query_id, chunks.id, coalesce(cosine, 0) AS cosine FROM q CROSS JOIN chunks LEFT JOIN cs USING (query_id, id))"""
+cs AS MATERIALIZED (SELECT qv.id AS query_id, cv.id AS id, sum(qv.weight * cv.weight) AS cosine FROM qv JOIN cv USING (bucket) GROUP BY ALL),
+ds AS MATERIALIZED (SELECT query_id, chunks.id, coalesce(cosine, 0) AS cosine FROM q CROSS JOIN chunks LEFT JOIN cs USING (query_id, id))"""
 
 
 def fused(depth: int = 50) -> str:

@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.params import IMAGE_EXT, TEXT_EXT
+from millrace.functions.params import IMAGE_EXT, MAX_UPLOAD_BYTES, TEXT_EXT
+from millrace.functions.tables import map_texts
 
 PAGES = "array<struct<page:int,text:string>>"
 #: A PDF with fewer characters than this is taken for a scan.
 SCAN_CHARS = 40
 OCR_DPI = 200
+#: Bytes that a container may unpack to.
+MOST_UNPACKED = 2 * MAX_UPLOAD_BYTES
 
 
 class Unreadable(Exception):
@@ -53,14 +56,28 @@ def decode(content: bytes) -> str:
 
 def _open(content: bytes) -> zipfile.ZipFile:
     try:
-        return zipfile.ZipFile(io.BytesIO(content))
+        z = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise Unreadable("broken container") from e
+    if any(i.flag_bits & 1 for i in z.infolist()):
+        raise Unreadable("encrypted container")
+    if sum(i.file_size for i in z.infolist()) > MOST_UNPACKED:
+        raise Unreadable("container unpacks to more than is accepted")
+    return z
+
+
+def _read(z: zipfile.ZipFile, name: str) -> bytes:
+    """One part, whatever size its header says."""
+    with z.open(name) as f:
+        data = f.read(MOST_UNPACKED + 1)
+    if len(data) > MOST_UNPACKED:
+        raise Unreadable("container unpacks to more than is accepted")
+    return data
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
     try:
-        return ElementTree.fromstring(z.read(name))
+        return ElementTree.fromstring(_read(z, name))
     except (KeyError, ElementTree.ParseError) as e:
         raise Unreadable(f"no readable {name}") from e
 
@@ -118,7 +135,7 @@ def xlsx(content: bytes) -> list[tuple[int | None, str]]:
             value = next((v.text for v in c if _local(v) == "v"), None)
             kind = c.get("t")
             if kind == "s" and value is not None:
-                text = shared[int(value)] if int(value) < len(shared) else ""
+                text = shared[int(value)] if value.strip().isdecimal() and int(value) < len(shared) else ""
             elif kind == "inlineStr":
                 text = _runs(c)
             else:
@@ -150,7 +167,7 @@ def epub(content: bytes) -> list[tuple[int | None, str]]:
         if _local(item) == "item" and item.get("media-type") in ("application/xhtml+xml", "text/html"):
             name = f"{base}/{item.get('href')}" if base else item.get("href")
             if name in z.namelist():
-                parts.append(html(z.read(name))[0][1])
+                parts.append(html(_read(z, name))[0][1])
     return [(None, "\n".join(parts))]
 
 
@@ -238,7 +255,7 @@ EXTRACTORS = {
 def extract(files: DataFrame) -> DataFrame:
     """Gated files (ext, content, status, error and more) with pages, array of (page, text), in place of content.
 
-    Content that can't be read turns status 200 into 422 with its reason; other rows have null pages.
+    Content that can't be read, whatever its reader raises, turns status 200 into 422 with its reason; other rows have null pages.
     """
     from pyspark.sql import types as T
 
@@ -258,10 +275,12 @@ def extract(files: DataFrame) -> DataFrame:
                         found = [{"page": p, "text": t.replace("\0", "").encode("utf-8", "replace").decode()} for p, t in EXTRACTORS[ext](content)]
                     except Unreadable as e:
                         status[i], error[i] = 422, str(e)
+                    except Exception as e:  # whatever a damaged file makes a reader raise is the file's own fault
+                        found, status[i], error[i] = None, 422, f"unreadable: {type(e).__name__}"
                 pages.append(found)
             columns = [batch.column(names.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(status, pa.int32()), pa.array(error, pa.string()), pa.array(pages, kind)], names=[*keep, "status", "error", "pages"])
 
     fields = [files.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("status", T.IntegerType()), T.StructField("error", T.StringType()), T.StructField("pages", T._parse_datatype_string(PAGES))])
-    return files.mapInArrow(run, schema)
+    return map_texts(files, run, schema)

@@ -5,7 +5,10 @@ import zipfile
 
 import pytest
 
+from millrace.operators import dense
 from millrace.operators.corpus import Store, UnknownDocument
+from millrace.operators.lexical import LexicalIndex
+from millrace.operators.spectral import SpectralMap
 from millrace.sources.extract import extract, read_files
 from millrace.sources.gates import first_of_digest, gate
 from millrace.streaming.ingest import ingest_stream, stream_files
@@ -71,6 +74,35 @@ def test_extractors(spark):
     assert out["bad.docx"]["status"] == out["bad.pdf"]["status"] == 422 and out["bad.docx"]["error"]
 
 
+def damaged(data, at, value=0xFF):
+    return data[:at] + bytes([data[at] ^ value]) + data[at + 1 :]
+
+
+def test_damaged_files_get_a_status(spark):
+    """Whatever a reader raises is the file's own row; the others are read."""
+    body = b"<w:document"
+    encrypted = bytearray(DOCX)
+    encrypted[6] |= 1
+    encrypted[DOCX.rindex(b"PK\x01\x02") + 8] |= 1
+    shared = package(xl__sharedStrings_xml='<sst xmlns="urn:x"><si><t>s</t></si></sst>', xl__worksheets__sheet1_xml='<worksheet xmlns="urn:x"><c t="s"><v>x</v></c><c t="s"><v>-1</v></c><c t="s"><v>9</v></c><c><v>7</v></c></worksheet>')
+    rows = [
+        ("crc.docx", damaged(DOCX, DOCX.index(body) + 3, 1)), ("encrypted.docx", bytes(encrypted)), ("cut.docx", DOCX[: len(DOCX) // 2]), ("odd.xlsx", shared), ("none.epub", package(a_xml="x")),
+        ("xml.odt", package(content_xml="<a><b></a>")), ("good.docx", DOCX), ("bad.rtf", b"no rtf"), ("deep.odt", package(content_xml="<p>" * 3000 + "</p>" * 3000)),
+    ]
+    out = {r["name"]: r for r in extract(gate(spark.createDataFrame([(n, None, c) for n, c in rows], FILES))).collect()}
+    assert {n for n, r in out.items() if r["status"] == 200} >= {"good.docx", "odd.xlsx"} and out["odd.xlsx"]["pages"][0]["text"] == "7"
+    for n in ("crc.docx", "encrypted.docx", "cut.docx", "none.epub", "xml.odt", "bad.rtf"):
+        assert out[n]["status"] == 422 and out[n]["error"] and out[n]["pages"] is None, n
+
+
+def test_containers_that_unpack_to_too_much(spark, monkeypatch):
+    from millrace.sources import extract as module
+
+    monkeypatch.setattr(module, "MOST_UNPACKED", 100)
+    with pytest.raises(module.Unreadable, match="more than is accepted"):
+        module.docx(package(word__document_xml="<a>" + " " * 1000 + "</a>"))
+
+
 def add(spark, store, *files):
     return {r["name"]: r for r in store.ingest(extract(gate(spark.createDataFrame([(n, None, t.encode()) for n, t in files], FILES)))).collect()}
 
@@ -98,7 +130,23 @@ def test_store(spark, tmp_path):
     assert [(r["id"], r["doc"]) for r in store.page(0, 9).collect()] == [(0, "a.txt"), (1, "y.txt")]
     with pytest.raises(UnknownDocument):
         store.delete(gone)
+    # The last document's number is used again, while its part still holds another one.
+    last = store.docs().orderBy("doc_no", ascending=False).first()
+    assert store.delete(last["sha256"]) == "y.txt"
+    add(spark, store, ("z.txt", "zebras cross the road"))
+    assert [(r["id"], r["doc"]) for r in store.page(0, 9).collect()] == [(0, "a.txt"), (1, "z.txt")]
+    assert store.search(spark.createDataFrame([(1, "zebras"), (2, "trains")], "query_id long, text string")).where("bm25 > 0").select("query_id", "doc").collect() == [(1, "z.txt")]
+    kept = store.fitted()
+    anew = SpectralMap.fit(dense.hash_embeddings(store.all_chunks(), "id"))
+    assert kept.n_rows == anew.n_rows == 2 and kept.eta == pytest.approx(anew.eta) and abs(kept.axes) == pytest.approx(abs(anew.axes), abs=1e-9)
+    s = store.stats().first()
+    whole = LexicalIndex.build(store.all_chunks(), "id")
+    assert (s["n_chunks"], s["vocab_size"], s["index_bytes"]) == (2, whole.summary().first()["vocab_size"], whole.size_bytes().first()[0]) and s["vector_bytes"] == 2 * 384 * 4 and s["report"] is None
+    store.clean()
+    assert [r["doc"] for r in store.page(0, 9).collect()] == ["a.txt", "z.txt"] and len(list((tmp_path / "corpus").glob("v-*"))) == 1
     store.reset()
+    store.clean()
+    assert not list((tmp_path / "corpus" / "parts").iterdir())
     assert store.docs().count() == 0 and store.all_chunks().count() == 0 and store.map()["n_total"] == 0
 
 
@@ -112,6 +160,26 @@ def test_cap_and_failed_batch(spark, tmp_path):
     assert store.current() == before
 
 
+def test_nothing_is_indexed_twice(spark, tmp_path, monkeypatch):
+    """A search reads the kept terms and vectors; an ingest leaves earlier parts as they are."""
+    from millrace.operators import corpus
+
+    store = Store(spark, str(tmp_path / "corpus"))
+    add(spark, store, ("a.txt", "frogs live in ponds"))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "corpus" / "parts").rglob("*.parquet")}
+    add(spark, store, ("b.txt", "trains run on rails"))
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+
+    def never(*_, **__):
+        raise AssertionError("the corpus is tokenised again")
+
+    monkeypatch.setattr(corpus, "terms", never)
+    monkeypatch.setattr(corpus, "chunk_words", never)
+    monkeypatch.setattr(LexicalIndex, "build", never)
+    q = spark.createDataFrame([(1, "frogs"), (2, "trains rails")], "query_id long, text string")
+    assert {(r["query_id"], r["doc"]) for r in store.search(q, 1).collect()} == {(1, "a.txt"), (2, "b.txt")}
+
+
 def test_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

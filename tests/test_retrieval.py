@@ -69,6 +69,8 @@ def test_words_and_terms(spark):
     assert r["k"] == ["x86_64", "build", "fresh", "water", "np", "argpartition", "été", "½"]
     page = "<title>T</title><p>a<b>b</b><!-- c --><SCRIPT>x</SCRIPT>&amp;lt; d</p>"
     assert spark.createDataFrame([(page,)], "t string").select(html_words(F.col("t"))).first()[0] == ["T", "a", "b", "&lt;", "d"]
+    page = "&Eacute;t&eacute; &#8364;&#x41;&hellip;&nbsp;x &unknown; &amp;amp;"
+    assert spark.createDataFrame([(page,), (None,)], "t string").select(html_words(F.col("t")).alias("w")).where("w IS NOT NULL").first()[0] == ["Été", "€A…", "x", "&unknown;", "&amp;"]
 
 
 @pytest.fixture(scope="module")
@@ -122,12 +124,34 @@ def test_dense_search_against_full_sort(spark):
     assert dense.search(a, v.limit(3), 50).count() == 12
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    """Blocks of both sides, broadcast or not."""
+    rng = np.random.default_rng(1)
+    x, q = rng.standard_normal((230, 8)), rng.standard_normal((37, 8))
+    x[100] = x[200] = q[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<float>").repartition(3)
+    a = spark.createDataFrame([(1000 + i, r.tolist()) for i, r in enumerate(q)], "query_id long, embedding array<double>").repartition(2)
+    s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(dense, "ROW_BLOCK", 40)
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(dense, "BROADCAST_BYTES", most)
+        got = {}
+        for r in dense.search(a, v, 7).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == {1000 + i: np.argsort(-np.round(s[i], 6), kind="stable")[:7].tolist() for i in range(37)}
+
+
 def test_hash_buckets(spark):
     import hashlib
 
     text = "Frogs live, in ponds. (and) wet   grass? ..."
     got = spark.createDataFrame([(text,)], "t string").select(dense.hash_buckets(F.col("t"))).first()[0]
     assert got == [int(hashlib.md5(w.strip(".,?").encode()).hexdigest(), 16) % 384 for w in text.lower().split()]
+    whole = spark.createDataFrame([(1, text)], "id long, text string")
+    counts = np.bincount(got, minlength=384)
+    assert np.allclose(dense.hash_embeddings(whole, "id").first()["embedding"], counts / np.linalg.norm(counts))
+    assert {r["bucket"]: pytest.approx(r["weight"]) for r in dense.hash_vectors(whole, "id").collect()} == {int(b): counts[b] / np.linalg.norm(counts) for b in set(got)}
 
 
 def test_zero_cosines_follow_by_id(spark):
@@ -149,6 +173,12 @@ def test_passages_and_modes(spark):
     q2 = spark.createDataFrame([(1, "steel frogs")], "query_id long, text string")
     cut = corpus.passages(q2, 3, depth=1).collect()
     assert all(r["bm25"] > 0 for r in cut if r["chunk_id"] in (0, 1))
+    # A passage with a score by words but no rank: the list by vectors has it, the one by words is cut before it.
+    near = [(0, "a", None, "alpha alpha beta beta"), (1, "a", None, "alpha gamma"), (2, "b", None, "delta")]
+    like = F.contains("text", F.lit("gamma")) | (F.col("text") == "alpha beta")
+    other = Corpus.build(spark.createDataFrame(near, "id long, doc string, page int, text string"), embed=lambda docs, key: docs.select(F.col(key).alias("id"), F.array(like.cast("double"), F.lit(0.1)).alias("embedding")))
+    rows = {r["chunk_id"]: r for r in other.passages(spark.createDataFrame([(1, "alpha beta")], "query_id long, text string"), 3, depth=1).collect()}
+    assert set(rows) == {0, 1} and rows[1]["bm25"] > 0 and (rows[1]["bm25_rank"], rows[1]["dense_rank"], rows[0]["bm25_rank"], rows[0]["dense_rank"]) == (None, 1, 1, None)
     assert [r["id"] for r in corpus.ranking(q, "bm25").collect()] == [1]
     assert corpus.ranking(q, "dense", 2).count() == 2
     with pytest.raises(ValueError):
@@ -163,6 +193,7 @@ def test_metrics_by_hand(spark):
     assert {r["query_id"]: r["rr"] for r in out.collect()} == {1: 1.0, 2: 0.5, 3: 0.25, 4: 0.0}
     r = metrics.report(out.withColumn("mode", F.lit("m"))).first()
     assert (r["mrr"], r["n_queries"], r["n_missed"]) == (0.4375, 4, 1)
+    assert metrics.report(out.withColumns({"mode": F.lit("m"), "ms": F.col("query_id") * 1.0})).first()["median_ms"] == 2.5
     one = spark.createDataFrame([(1,)], "query_id long")
     grades = spark.createDataFrame([(1, 10, 3), (1, 20, 2)], "query_id long, id long, grade int")
     swapped = metrics.per_query(one, spark.createDataFrame([(1, 1, 20), (1, 2, 10)], "query_id long, rank int, id long"), grades).first()["ndcg"]
@@ -176,6 +207,19 @@ def test_qrels_take_the_best_grade(spark):
     assert sorted(map(tuple, metrics.build_qrels(phrases, texts).collect())) == [(1, 0, 2), (1, 1, 1)]
 
 
+def test_phrases_in_texts_against_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "bb", "ab", "ba.", "c\xa0d", "É"])
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 30))) for _ in range(120)] + [None]
+    phrases = [" ".join(word() for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["", " ", "b b", None]
+    p = spark.createDataFrame(list(enumerate(phrases)), "query_id long, p string")
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r["query_id"], r["id"]) for r in metrics.containing(p, t).collect()}
+    assert got == {(i, j) for i, x in enumerate(phrases) if x for j, y in enumerate(texts) if y and x in y}
+    body = metrics.build_qrels(p.select("query_id", F.col("p").alias("phrase"), F.lit(1).alias("grade")), t.select("id", F.col("t").alias("text")), body=(10, 20)).collect()
+    assert {(r["query_id"], r["id"]) for r in body} == {(i, j) for i, x in enumerate(phrases) if x for j in range(10, 20) if x.lower() in texts[j].lower()}
+
+
 def test_map_against_svd(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 24)) @ np.diag([5, 3] + [1] * 22)
@@ -199,6 +243,7 @@ def test_map_of_one_row(spark, tmp_path):
     assert np.allclose(spectral.SpectralMap.load(spark, str(tmp_path / "m")).axes, m.axes)
     with pytest.raises(ValueError):
         spectral.SpectralMap.fit(v.limit(0))
+    assert spectral.SpectralMap.of_gram(np.zeros((3, 3)), 2).eta == 0.0
 
 
 def test_answers(spark):
@@ -226,6 +271,9 @@ def test_citations_and_fallbacks(spark):
     reasons = {i: out[i]["reason"] for i in (2, 3, 4, 5, 6, 7, 9, 10)}
     assert reasons == {2: "answer failed citation check", 3: "answer failed citation check", 4: "model rate limit", 5: "model not reached", 6: "no passages retrieved", 7: "model answer empty", 9: "model key refused", 10: "model error 503"}
     assert all(out[i]["answer"] == "- e [1]" for i in reasons)
+    ends = spark.createDataFrame([(1, 3, 200, "Good [2].", "m", "STOP"), (2, 3, 200, "Good [2].", "m", None), (3, 3, 200, "Good [2].", "m", "SAFETY"), (4, 3, 200, None, "m", "blocked")], kind + ", finish string")
+    out = {r["query_id"]: (r["mode"], r["reason"]) for r in answers.settle(ends, extracts).collect()}
+    assert out == {1: ("model", ""), 2: ("model", ""), 3: ("extractive", "model declined"), 4: ("extractive", "model declined")}
 
 
 def test_index_on_disk_and_in_parts(spark, tiny, tmp_path):
