@@ -2,76 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.tables import load, spread
+from millrace.functions.staging import settled, shared_dir, stage, unstage  # noqa: F401
+from millrace.functions.tables import load, map_texts, spread  # noqa: F401
 
 #: Word separators of every word rule here: the six ASCII blanks. ``bytes.split()`` splits on the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_staged: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(load(spark, sf_dir, name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one in local mode, in
-    which all tasks run on this machine; an error on a cluster, whose executors wouldn't see it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts lineage in a way that a lost executor doesn't undo. The folder goes when the driver ends, or
-    by ``unstage`` once nothing reads it any more.
-    """
-    spark = df.sparkSession
-    if not _staged:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def unstage(*dfs: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in dfs:
-        path = getattr(df, "_millrace_path", None)
-        if path:
-            _remove(df.sparkSession, path)
-            _staged[:] = [x for x in _staged if x[1] != path]
-
-
-def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """Stage what ``make`` returns, and delete all that was staged on the way to it."""
-    before = {p for _, p in _staged}
-    out = stage(make(), label)
-    for spark, path in [x for x in _staged if x[1] not in before and x[1] != out._millrace_path]:
-        _remove(spark, path)
-        _staged.remove((spark, path))
-    return out
-
-
 def shielded(*outputs: str, own: tuple[str, ...] = ()):
     """For an operator on a table: input columns with the names of its ``outputs`` are replaced, and others pass
     through unchanged, though they have names that it uses inside: those that begin with mr_, and ``own``."""
@@ -89,30 +35,6 @@ def shielded(*outputs: str, own: tuple[str, ...] = ()):
     return wrap
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clean() -> None:
-    for spark, path in _staged:
-        if spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-    _staged.clear()
-
-
-#: Bytes of an Arrow batch of whole texts, on both sides of the Python worker's pipe.
-BATCH_BYTES = 8 << 20
-
-
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` in batches by bytes: a batch of rows may hold any number of them. Sets the session's
-    spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -260,6 +260,24 @@ def test_mixing_empty(none):
     assert mix(none).count() == 0 and mix(none, {"a": 1}).count() == 0
 
 
+@pytest.mark.parametrize("which", ["docs", "clashing", "none"])
+def test_pipeline(spark, request, tmp_path, which):
+    """The whole pipeline on nulls, long and repeated texts, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    df = request.getfixturevalue(which)
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    if which != "none":
+        more = spark.createDataFrame([(100, good, "en", "a", 1), (101, good, None, None, None), (None, "other " + good, "en", None, 1), (102, good.replace("word1", "x"), "en", "a", 1)], DOCS)
+        df = df.unionByName(more, allowMissingColumns=True)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if which == "none":
+        assert out == []
+    else:
+        assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in out)
+
+
 def test_preferences(spark):
     kind = "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
     u, a, b = ("user", "q"), ("assistant", "yes"), ("assistant", "no")

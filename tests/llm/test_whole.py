@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from millrace.llm import op2_simhash
+from millrace.llm import op2_simhash, op4_passages
 from millrace.llm.op4_passages import drop_repeats
 from millrace.llm.op8_html import html_to_text
 
@@ -237,3 +237,81 @@ def overlaps(rows):
             taken |= cells
             x += wide
     return False
+
+
+def repeated_words(rows, n=50):
+    """{document: numbers of its words that lie in n words in a row which an earlier document has too}, by brute force."""
+    first, out = {}, {}
+    texts = {i: (t or "").encode().lower().split() for i, t in rows}
+    for i in sorted(texts):
+        w = texts[i]
+        for k in range(len(w) - n + 1):
+            first.setdefault(tuple(w[k : k + n]), i)
+    for i, w in texts.items():
+        gone = set()
+        for k in range(len(w) - n + 1):
+            if first[tuple(w[k : k + n])] < i:
+                gone |= set(range(k, k + n))
+        out[i] = gone
+    return out
+
+
+def covered(runs):
+    return {k for r in runs or [] for k in range(r["first"], r["last"])}
+
+
+def with_changed_paragraphs(rows):
+    """Documents with a paragraph that is nearly equal, but not equal, to one of another document or their own."""
+    grams, holders, where = {}, {}, {}
+    for i, t in rows:
+        for _, _, w in op4_passages.paragraphs((t or "").encode()):
+            if len(w) >= op4_passages.UNIT_WORDS:
+                grams[tuple(w)] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+                holders.setdefault(tuple(w), set()).add(i)
+    for u, g in grams.items():
+        for x in g:
+            where.setdefault(x, []).append(u)
+    out = set()
+    for u, g in grams.items():
+        for v in {v for x in g for v in where[x]} - {u}:
+            if len(g & grams[v]) >= 0.8 * len(g | grams[v]):
+                out |= holders[u] | holders[v]
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    """Shared stretches of 20 to 300 words in every mixture, copies and self-repeats: what goes is exactly that."""
+    rng = random.Random(19)
+    pool = [shared_words(rng, rng.randrange(20, 300), "bare") for _ in range(30)]
+    rows = []
+    for i in range(150):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            part = rng.choice(pool)
+            a = rng.randrange(len(part))
+            w += shared_words(rng, rng.randrange(0, 60), "bare") + (part if rng.random() < 0.5 else part[a : a + rng.randrange(1, 120)])
+        rows.append((i, joined(w)))
+        if i % 10 == 0:
+            rows.append((1000 + i, joined(w)))
+        if i % 25 == 0:
+            rows += [(2000 + i + k, joined([*w[: len(w) // 2], f"edit{k}", *w[len(w) // 2 :]])) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {r["d"]: r["doc_id"] for r in op4_passages._keyed(df).selectExpr("mr_doc AS d", "doc_id").collect()}
+    got = {ids[r["mr_doc"]]: covered(r["runs"]) for r in op4_passages.repeats(df).collect()}
+    expected = {i: x for i, x in repeated_words(rows).items() if x}
+    # Nearly equal paragraphs may take more with them, in documents that have some; never less goes.
+    assert all(x <= got.get(i, set()) for i, x in expected.items())
+    more = {i for i, x in got.items() if x - expected.get(i, set())}
+    assert more <= with_changed_paragraphs(rows) and len(more) < 0.2 * len(rows)
+
+
+def test_passages_of_the_table_against_brute_force(spark, sf):
+    """The query: all of 50 words in a row that an earlier document has, and its holder; more only beside changed paragraphs."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    expected = repeated_words(rows)
+    out = {r["doc_id"]: r for r in op4_passages.op4_passages(spark, sf).collect()}
+    assert set(out) == {i for i, _ in rows}
+    assert all(out[i]["n_removed_words"] >= len(x) for i, x in expected.items())
+    more = {i for i, x in expected.items() if out[i]["n_removed_words"] > len(x)}
+    assert more <= with_changed_paragraphs(rows) and len(more) < 0.05 * len(rows)
+    assert all(d < i for i, r in out.items() for d in r["kept_in"])
