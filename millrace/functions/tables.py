@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch of whole texts, on both sides of the Python worker's pipe.
@@ -21,6 +24,23 @@ def spread(df: DataFrame) -> DataFrame:
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` in batches by bytes: a batch of rows may hold any number of them. Sets the session's
-    spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs."""
+    spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs. A worker gives back the memory that
+    is free after its task, as it stays for the next one, which may be of another kind."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def give_back() -> None:
+    """Free memory that the allocators of this process hold, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass

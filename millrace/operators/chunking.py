@@ -54,16 +54,21 @@ def _count(n: int, size: int, overlap: int, cap: int | None) -> int:
     return k if cap is None else min(k, cap)
 
 
-def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None) -> DataFrame:
-    """(key, n): the chunks that each text has, without making them. ``str.split`` knows the same blanks as ``words``."""
-    _check(size, overlap)
+def count_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words): the words of each text, 0 for a null one. ``str.split`` knows the same blanks as ``words``."""
 
     def run(batches):
         for batch in batches:
-            n = [_count(len(t.split()), size, overlap, cap) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.split()) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())], names=[key, "n_words"])
+
+    return map_texts(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long")
 
-    return map_texts(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long")
+
+def count_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None) -> DataFrame:
+    """(key, n): the chunks that each text has, without making them."""
+    _check(size, overlap)
+    n = n_windows(F.col("n_words"), size, overlap)
+    return count_words(docs, key, text).select(key, (n if cap is None else F.least(n, F.lit(cap))).cast("long").alias("n"))
 
 
 def number_chunks(chunks: DataFrame, order: str, cap: int | None = None, counts: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.staging import stage
+from millrace.functions.tables import map_texts
 from millrace.functions.text import words
 
 
+def _words_of(texts: DataFrame) -> DataFrame:
+    """(id, word): the distinct words of each text (id, t), in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            found = [list(set(t.split())) if t else [] for t in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([w for f in found for w in f], pa.string())], names=["id", "word"])
+
+    return map_texts(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, word string")
+
+
 def containing(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, id, p): the texts (id, t) that contain a phrase (query_id, p, not empty), as it stands.
 
@@ -19,7 +34,7 @@ def containing(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     asked = phrases.select("query_id", "p", words(F.col("p")).alias("w")).where("length(p) > 0")
     asked = asked.select("query_id", "p", F.when(F.size("w") > 2, F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
     inner = asked.select("query_id", "p", F.explode("w").alias("word"))
-    held = texts.select("id", F.explode(F.array_distinct(words(F.col("t")))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    held = _words_of(texts.select("id", "t")).join(inner.select("word").distinct(), "word", "left_semi")
     held = stage(held, "held")
     rare = inner.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
     rare = rare.groupBy("query_id", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))

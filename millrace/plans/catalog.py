@@ -62,7 +62,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"SELECT doc_id, len(regexp_extract_all(text, '{o.WORD}'))::BIGINT AS n_words FROM documents")
 def word_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(tx.words(F.col("text"))).cast("long").alias("n_words"))
+    return chunking.count_words(_t(spark, sf_dir, "documents"))
 
 
 @_register(f"WITH {o.CHUNKS} SELECT doc_id, seq::BIGINT AS seq, id AS chunk_id, start_word::BIGINT AS start_word, end_word::BIGINT AS end_word, text FROM chunks")
