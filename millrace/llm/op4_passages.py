@@ -275,7 +275,7 @@ def _chosen(rows: DataFrame, column: str, ids: DataFrame, members: int) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(_in(seen.value, batch.column(at).to_numpy())))
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_texts(rows, run, rows.schema)
 
 
 def _parts(docs: DataFrame, wanted: DataFrame, members: int, run, kind: str) -> DataFrame:
