@@ -36,8 +36,9 @@ UNIT_WORDS, LONG_SENTENCE, SHINGLE = 8, 48, 5  # a paragraph has at most 8 + 48
 #: Bands of rows: two paragraphs at the threshold of 0.8 meet with a chance of 0.95, at 0.9 with 0.99.
 BANDS, ROWS, THRESHOLD = 3, 2, 0.8
 #: Words that a repeated passage has to have. Its first and last sentences may have grown together with the text
-#: around them: up to CONTEXT words on either side of the paragraphs are compared one by one.
-PASSAGE_WORDS, CONTEXT = 50, 32
+#: around them: up to CONTEXT words on either side of the paragraphs, as many as a paragraph has at most, are compared
+#: one by one.
+PASSAGE_WORDS, CONTEXT = 50, UNIT_WORDS + LONG_SENTENCE
 BLOCK = 256
 #: A bitmap has 16 bits for each of its members, and 2^LEAST_BITS to 2^MOST_BITS (32 MB) in all: with many more
 #: members it lets more through to the joins.
@@ -267,13 +268,17 @@ def _in(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
 
 
-def _chosen(rows: DataFrame, column: str, ids: DataFrame, members: int) -> DataFrame:
-    """The rows whose ``column``, a long without nulls, is in ``ids`` (id, about as many as members), and a few others."""
-    seen, at = rows.sparkSession.sparkContext.broadcast(_bitmaps(ids, members)[0]), rows.columns.index(column)
+def _chosen(rows: DataFrame, *by: tuple[str, DataFrame, int]) -> DataFrame:
+    """The rows whose columns, longs without nulls, are in tables of ids, and a few others: ``by`` has the column, the
+    table (id) and about how many there are. One pass, as each that follows another at once takes a worker of its own."""
+    seen = rows.sparkSession.sparkContext.broadcast([_bitmaps(ids, members)[0] for _, ids, members in by])
+    at = [rows.columns.index(c) for c, _, _ in by]
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in(seen.value, batch.column(at).to_numpy())))
+            for k, bitmap in zip(at, seen.value):
+                batch = batch.filter(pa.array(_in(bitmap, batch.column(k).to_numpy())))
+            yield batch
 
     return map_texts(rows, run, rows.schema)
 
@@ -494,7 +499,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Word by word: the classes of picked windows that several documents have.
     picks = whole.where("m0 IS NULL").selectExpr("unit AS pick", "m1 AS class", "mr_doc", "doc_id", "first", "last")
     twice = picks.groupBy(F.col("pick").alias("id")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1")).where("d0 <> d1").select("id")
-    held = stage(_chosen(picks, "pick", twice, n_picks // 8), "op4-held")
+    held = stage(_chosen(picks, ("pick", twice, n_picks // 8)), "op4-held")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc")
     classes = held.groupBy("pick", "class").agg(F.min(order).alias("keeper"), F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"))
     classes = stage(classes.selectExpr("pick AS p", "class AS c", "keeper", "d0 <> d1 AS several"), "op4-classes")
@@ -513,7 +518,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     names = stage(names, "op4-names")
     keyed = names.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
     mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select(F.col("key").alias("id")), "op4-mixed")
-    keys = _chosen(keyed, "key", mixed, n_units // 8).join(mixed, F.col("key") == F.col("id"), "left_semi")
+    keys = _chosen(keyed, ("key", mixed, n_units // 8)).join(mixed, F.col("key") == F.col("id"), "left_semi")
     keys = stage(keys.select("key", F.col("unit").alias("id")), "op4-keys")
     wanted = names.join(keys.select("id").distinct(), F.col("unit") == F.col("id"), "left_semi").selectExpr("d0 AS mr_doc", "unit AS id")
     texts = _texts(docs, wanted, n_units // 8).groupBy("id").agg(F.first("text").alias("text"))
@@ -522,9 +527,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     unstage(mixed, keys)
     _release(spark)
     # Of documents with such paragraphs, those that others have too.
-    near = _chosen(units.select("mr_doc", "unit"), "unit", roots.select(F.col("node").alias("id")), n_units // 8).select(F.col("mr_doc").alias("id"))
+    near = _chosen(units.select("mr_doc", "unit"), ("unit", roots.select(F.col("node").alias("id")), n_units // 8)).select(F.col("mr_doc").alias("id"))
     repeated = names.where("d0 <> d1").select(F.col("unit").alias("id")).union(roots.select("node"))
-    at = _chosen(_chosen(units.drop(*[f"m{b}" for b in range(BANDS)]), "mr_doc", near, n_picks // 8), "unit", repeated, n_units // 2)
+    at = _chosen(units.drop(*[f"m{b}" for b in range(BANDS)]), ("mr_doc", near, n_picks // 8), ("unit", repeated, n_units // 2))
     classed = at.join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).withColumn("near", F.col("root").isNotNull())
     chains = stage(_chains(classed, gone), "op4-chains")
     unstage(whole, names, roots)
