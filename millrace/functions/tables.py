@@ -22,13 +22,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def map_texts(df: DataFrame, run, schema) -> DataFrame:
+def map_texts(df: DataFrame, run, schema, owner: str | None = None) -> DataFrame:
     """``df.mapInArrow`` in batches by bytes: a batch of rows may hold any number of them. Sets the session's
     spark.sql.execution.arrow.maxBytesPerBatch, which is read when the plan runs. A worker gives back the memory that
-    is free after its task, as it stays for the next one, which may be of another kind."""
+    is free after its task, and lets go what tasks of another ``owner`` hold, as it stays for the next one, which may be of
+    another kind."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def trimmed(batches):
+        let_go(owner)
         try:
             yield from run(batches)
         finally:
@@ -37,6 +39,21 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(trimmed, schema)
 
 
+#: owner -> what lets go of the tables that its tasks keep in this worker.
+_held: dict = {}
+
+
+def hold(owner: str, release) -> None:
+    """Note that tasks of an owner keep something in this worker, which ``release`` lets go."""
+    _held[owner] = release
+
+
+def let_go(owner: str | None) -> None:
+    """Release what tasks of other owners keep in this worker."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+
+
 def give_back() -> None:
     """Free memory that the allocators of this process hold, to the system."""
     pa.default_memory_pool().release_unused()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.tables import hold
 from millrace.llm.common import map_texts, table
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
@@ -284,10 +285,11 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(ranks_file: bytes, pattern: str = PATTERN) -> Codec:
-    """One codec for a vocabulary and process; Spark's workers serve many tasks."""
+    """One codec for a vocabulary and process; Spark's workers serve many tasks. It goes when the worker does other work."""
     key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
     if key not in _codecs:
         _codecs[key] = Codec(ranks_file, pattern)
+        hold("bpe", _codecs.clear)
     return _codecs[key]
 
 
@@ -323,7 +325,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, ids
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *new], names=[*[part.schema.names[k] for k in keep], *added])
 
     types = [T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * ids
-    return map_texts(docs, run, T.StructType([*[docs.schema.fields[k] for k in keep], *[T.StructField(c, t) for c, t in zip(added, types)]]))
+    return map_texts(docs, run, T.StructType([*[docs.schema.fields[k] for k in keep], *[T.StructField(c, t) for c, t in zip(added, types)]]), "bpe")
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str = PATTERN) -> DataFrame:
@@ -342,7 +344,7 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str = PATTERN) -
                 out = [None if g is None else d for g, d in zip(given, c.decode([g or [] for g in given]))]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(out, pa.binary())], names=[*[batch.schema.names[i] for i in keep], "decoded"])
 
-    return map_texts(tokens, run, T.StructType([*[tokens.schema.fields[k] for k in keep], T.StructField("decoded", T.BinaryType())]))
+    return map_texts(tokens, run, T.StructType([*[tokens.schema.fields[k] for k in keep], T.StructField("decoded", T.BinaryType())]), "bpe")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -230,6 +232,42 @@ def pdf(content: bytes) -> list[tuple[int | None, str]]:
     return out
 
 
+def sound_image(content: bytes) -> bool:
+    """Whether an image holds together as far as its container says: parts in place and whole, checksums, and what a PNG
+    packs. Pixels of other kinds aren't decoded."""
+    n = len(content)
+    if content.startswith(b"\x89PNG\r\n\x1a\n"):
+        at, packed, kinds = 8, zlib.decompressobj(), []
+        while at + 12 <= n:
+            size, kind = struct.unpack(">I4s", content[at : at + 8])
+            if at + 12 + size > n or zlib.crc32(content[at + 4 : at + 8 + size]) != struct.unpack(">I", content[at + 8 + size : at + 12 + size])[0]:
+                return False
+            if kind == b"IDAT":
+                try:
+                    for k in range(at + 8, at + 8 + size, 1 << 16):
+                        packed.decompress(content[k : min(k + (1 << 16), at + 8 + size)], 1 << 26)
+                except zlib.error:
+                    return False
+            kinds.append(kind)
+            at += 12 + size
+        return kinds[:1] == [b"IHDR"] and b"IDAT" in kinds and kinds[-1:] == [b"IEND"]
+    if content.startswith(b"\xff\xd8"):
+        at = 2
+        while at + 4 <= n and content[at] == 0xFF:
+            if content[at + 1] == 0xDA:
+                return content.rfind(b"\xff\xd9") > at
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+        return False
+    if content[:6] in (b"GIF87a", b"GIF89a"):
+        return n > 13 and content.rstrip(b"\0").endswith(b";")
+    if content.startswith(b"BM"):
+        return n >= 26 and int.from_bytes(content[2:6], "little") <= n and 14 < int.from_bytes(content[10:14], "little") < n
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        at = int.from_bytes(content[4:8], "little" if content[:1] == b"I" else "big")
+        return 8 <= at < n - 2
+    return content[:4] == b"RIFF" and content[8:12] == b"WEBP" and int.from_bytes(content[4:8], "little") + 8 <= n
+
+
 def image(content: bytes) -> list[tuple[int | None, str]]:
     try:
         import pytesseract
@@ -255,7 +293,8 @@ EXTRACTORS = {
 def extract(files: DataFrame) -> DataFrame:
     """Gated files (ext, content, status, error and more) with pages, array of (page, text), in place of content.
 
-    Content that can't be read, whatever its reader raises, turns status 200 into 422 with its reason; other rows have null pages.
+    Content that can't be read, whatever its reader raises, turns status 200 into 422 with its reason, and an image that
+    doesn't hold together into 415; other rows have null pages.
     """
     from pyspark.sql import types as T
 
@@ -272,6 +311,10 @@ def extract(files: DataFrame) -> DataFrame:
                 if status[i] == 200:
                     try:
                         content = batch.column(at["content"])[i].as_py()
+                        if ext in IMAGE_EXT and not sound_image(content):
+                            status[i], error[i] = 415, "not a whole image"
+                            pages.append(None)
+                            continue
                         found = [{"page": p, "text": t.replace("\0", "").encode("utf-8", "replace").decode()} for p, t in EXTRACTORS[ext](content)]
                     except Unreadable as e:
                         status[i], error[i] = 422, str(e)

@@ -1,7 +1,9 @@
 """Gates, extractors, the corpus store and the stream into it."""
 
 import io
+import struct
 import zipfile
+import zlib
 
 import pytest
 
@@ -95,6 +97,24 @@ def test_damaged_files_get_a_status(spark):
         assert out[n]["status"] == 422 and out[n]["error"] and out[n]["pages"] is None, n
 
 
+def png(pixels=b"\0\0", crc=0):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data) ^ crc)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+
+
+def test_images_that_do_not_hold_together(spark):
+    from millrace.sources.extract import sound_image
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02xyz\xff\xd9"
+    gif, bmp = b"GIF89a" + b"\1\0\1\0\0\0\0" + b",rest;", b"BM" + struct.pack("<IHHI", 58, 0, 0, 54) + b"\0" * 44
+    tiff, webp = b"II*\0\x08\0\0\0" + b"\0" * 8, b"RIFF" + struct.pack("<I", 8) + b"WEBPVP8 "
+    whole = [png(), jpeg, gif, bmp, tiff, webp]
+    assert all(map(sound_image, whole))
+    assert not any(sound_image(x[: len(x) // 2]) for x in whole) and not sound_image(png(crc=1)) and not sound_image(png().replace(zlib.compress(b"\0\0"), b"damaged!"[: len(zlib.compress(b"\0\0"))]))
+    out = {r["name"]: r["status"] for r in extract(gate(spark.createDataFrame([("a.png", None, png()), ("b.png", None, png(crc=1))], FILES))).collect()}
+    assert out["b.png"] == 415 and out["a.png"] in (200, 422)  # 422 where no OCR is installed
+
+
 def test_containers_that_unpack_to_too_much(spark, monkeypatch):
     from millrace.sources import extract as module
 
