@@ -13,6 +13,7 @@ Words are of the 26 small letters of ASCII and U+00C0 to U+00FF, so a code point
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -119,9 +120,6 @@ class Trie:
             numbered += size
         return [np.concatenate(columns[name]) for name, _ in self.FIELDS]
 
-    def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.letters, self.starts, self.counts, self.lengths)) + sum(getattr(self, name).nbytes for name, _ in self.FIELDS)
-
     def child(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The child of each node by a letter, -1 where there is none."""
         small = letter < 0xC0
@@ -238,14 +236,14 @@ class Neighbours:
 
 
 def shards(words: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
-    """(shard, words, counts): words (word, n) in their order, ``most`` at most in a shard; the words of one, joined by line ends."""
+    """(shard, trie): words (word, n) in their order, ``most`` at most in a shard, each made into a trie where its words lie."""
     n = max(1, -(-words.count() // most))
 
     def run(batches):
         held: list[tuple[str, int]] = []
 
         def out(part):
-            return pa.RecordBatch.from_pydict({"words": pa.array(["\n".join(w for w, _ in part)], pa.string()), "counts": pa.array([np.array([c for _, c in part], np.int64).tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"trie": pa.array([pickle.dumps(Trie.of(*map(list, zip(*part))), pickle.HIGHEST_PROTOCOL)], pa.binary())})
 
         for batch in batches:
             held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -256,14 +254,14 @@ def shards(words: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
             yield out(held)
 
     sorted_ = words.select("word", "n").repartitionByRange(n, "word").sortWithinPartitions("word")
-    made = map_texts(sorted_, run, "words string, counts binary")
+    made = map_texts(sorted_, run, "trie binary")
     return stage(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
 def groups(made: DataFrame, most: int = BROADCAST_BYTES) -> list[list[int]]:
-    """The shards' numbers, in groups of ``most`` bytes at most as tries, or of one shard. Only the sizes come to the driver."""
+    """The shards' numbers, in groups of ``most`` bytes at most, or of one shard. Only the sizes come to the driver."""
     out, room = [], 0
-    for r in made.select("shard", (F.length("words") * 25 + F.length("counts") * 3).alias("size")).orderBy("shard").toLocalIterator():
+    for r in made.select("shard", F.length("trie").alias("size")).orderBy("shard").toLocalIterator():
         if not out or r["size"] > room:
             out.append([])
             room = most
@@ -299,7 +297,7 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, broadcast_bytes
     spark, made, parts = words.sparkSession, shards(words, shard_words), []
     for group in groups(made, broadcast_bytes):
         rows = made.where(F.col("shard").isin(group)).orderBy("shard").collect()
-        tries = spark.sparkContext.broadcast([Trie.of(r["words"].split("\n"), np.frombuffer(r["counts"], np.int64).tolist()) for r in rows])
+        tries = spark.sparkContext.broadcast([pickle.loads(r["trie"]) for r in rows])
         parts.append(stage(meet(words, tries), "near"))
         tries.destroy()
     if not parts:
