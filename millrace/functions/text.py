@@ -6,6 +6,7 @@ The patterns spell out Unicode classes, because engines disagree on ``\\w`` and
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +35,14 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
+TERM_RUN, _STOP = re.compile(r"\w+"), frozenset(STOPWORDS)
+
+
+def term_list(text: str) -> list[str]:
+    """The same terms of one text, for work in batches; where the JVM's tables of letters are older than Python's, Python's hold."""
+    return [t for t in map(str.lower, TERM_RUN.findall(text)) if t not in _STOP]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
 

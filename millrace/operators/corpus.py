@@ -1,8 +1,10 @@
 """A corpus on disk: parts that are written once, snapshots that say what is in them, and the operations on both.
 
-A part holds what one call of ``ingest`` added: chunks, postings and vectors, by document number and place, and the
-sum of products of its vectors. Nothing of it is made again later. A snapshot is a table of documents, each with its part
-and the number of its first chunk, and the names of the sums; deleting writes a new one.
+A part holds what one call of ``ingest`` added: chunks, postings in blocks and vectors, by document number and place, and
+the statuses of the files that came. Beside the parts stand what adds up over them: sums of products of vectors, and counts of
+the chunks that have a term. A snapshot is a table of documents, each with its part and the number of its first chunk, and a
+manifest: which sums and counts hold, how many rows each part has, what made the vectors, and the last batch of each
+stream. Nothing of a part is made again later; deleting a document writes a snapshot and negative counts and sums.
 """
 
 from __future__ import annotations
@@ -10,22 +12,30 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS, MAX_CHUNKS
+from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS, EMBED_DIM, MAX_CHUNKS
 from millrace.functions.staging import settled, stage, unstage
-from millrace.functions.text import terms, words
+from millrace.functions.text import words
 from millrace.operators import dense, spectral
+from millrace.operators.blocks import BLOCK, BLOCKS, TERMS, BlockIndex, make_blocks, write_sorted
 from millrace.operators.chunking import chunk_words, first_chunks
-from millrace.operators.lexical import LexicalIndex
-from millrace.operators.search import Corpus
+from millrace.operators.lexical import exploded, term_counts
+from millrace.operators.search import Corpus, Embedder
 from millrace.operators.spectral import SpectralMap
 
-DOCS = "doc_no long, name string, sha256 string, bytes long, first_chunk long, n_chunks long, part string"
-CHUNKS = "id long, doc_no long, sha256 string, doc string, seq int, start_word int, end_word int, page int, text string"
+DOCS = "doc_no long, name string, sha256 string, bytes long, first_chunk long, n_chunks long, n_terms long, part string"
 PART_CHUNKS = "part string, doc_no long, seq int, start_word int, end_word int, page int, text string, dl int"
-POSTINGS, VECTORS, GRAM = "part string, term string, doc_no long, seq int, dl int, tf long", "part string, doc_no long, seq int, embedding array<double>", "i int, j int, g double"
+VECTORS, GRAM = "part string, doc_no long, seq int, embedding array<double>", "i int, j int, g double"
+STATUSES = "name string, sha256 string, status int, error string, n_chunks long"
+#: kind: 'sum' and 'terms' (name), 'part' (name, rows of chunks, postings), 'embedder' (name, dimension), 'batch' (stream, number, and
+#: the part as note), 'docs' (rows, chunks).
+MANIFEST = "kind string, name string, a long, b long, note string"
+#: What Spark says of a file that is missing or can't be read.
+DAMAGE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "FileNotFoundException", "is not a Parquet file")
 #: Makes one number of a document's and a place in it.
 PLACES = 1 << 31
 
@@ -37,62 +47,92 @@ class UnknownDocument(KeyError):
 @dataclass
 class Store:
     """Documents and chunks in a folder of snapshots. Readers see one snapshot whole; a writer that fails
-    leaves the pointer where it was."""
+    leaves the pointer where it was. ``embed`` makes the vectors, ``dim`` components each, and ``embedder`` is its name
+    and version: vectors of two names are never kept together."""
 
     spark: SparkSession
     path: str
     cap: int = MAX_CHUNKS
     size: int = CHUNK_WORDS
     overlap: int = CHUNK_OVERLAP
+    embed: Embedder = dense.hash_embeddings
+    embedder: str = "hashed-words-1"
+    dim: int = EMBED_DIM
 
     def _hadoop(self, p: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _snapshots(self) -> list[str]:
+        """The folders of all snapshots, oldest first."""
+        fs, at = self._hadoop(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [f"{self.path}/{n}" for n in sorted(names) if n.startswith("v-")]
+
     def current(self) -> str | None:
         """The folder of the current snapshot: that with the highest number."""
-        fs, at = self._hadoop(self.path)
-        if not fs.exists(at):
-            return None
-        found = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("v-"))
-        return f"{self.path}/{found[-1]}" if found else None
+        return next(reversed(self._snapshots()), None)
 
-    def _swap(self, docs: DataFrame, sums: list[str]) -> None:
+    def _swap(self, docs: DataFrame, manifest: list[tuple]) -> None:
         """Write a snapshot aside and give it the next number in one rename."""
-        now = self.current()
-        tmp = f"{self.path}/_new-{uuid.uuid4().hex}"
+        now, name = self.current(), f"_new-{uuid.uuid4().hex}"
+        tmp = f"{self.path}/{name}"
         docs.write.parquet(f"{tmp}/docs")
-        self.spark.createDataFrame([(s,) for s in sums], "name string").write.parquet(f"{tmp}/sums")
+        n = self.spark.read.schema(DOCS).parquet(f"{tmp}/docs").agg(F.count("*"), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
+        rows = [*[r for r in manifest if r[0] != "docs"], ("docs", "", n[0], n[1], None)]
+        self.spark.createDataFrame(rows, MANIFEST).write.parquet(f"{tmp}/manifest")
         fs, at = self._hadoop(tmp)
-        number = int(now.rpartition("-")[2]) + 1 if now else 0
-        if not fs.rename(at, self._hadoop(f"{self.path}/v-{number:09d}")[1]):
+        target = self._hadoop(f"{self.path}/v-{int(now.rpartition('-')[2]) + 1 if now else 0:09d}")[1]
+        if fs.exists(target) or not fs.rename(at, target):
+            raise OSError("another writer was first")
+        inside = self._hadoop(f"{target.toString()}/{name}")[1]
+        if fs.exists(inside):  # some file systems move a folder into another one of the name
+            fs.delete(inside, True)
             raise OSError("another writer was first")
 
     def docs(self) -> DataFrame:
         now = self.current()
         return self.spark.read.schema(DOCS).parquet(f"{now}/docs") if now else self.spark.createDataFrame([], DOCS)
 
-    def _sums(self) -> list[str]:
-        now = self.current()
-        return sorted(r[0] for r in self.spark.read.parquet(f"{now}/sums").collect()) if now else []
+    def _manifest(self, at: str | None = None) -> list[Row]:
+        """The rows of a snapshot's manifest, that of the current one by default: one for each part, sum and stream."""
+        at = at or self.current()
+        return self.spark.read.schema(MANIFEST).parquet(f"{at}/manifest").collect() if at else []
 
-    def _kept(self, kind: str, schema: str) -> DataFrame:
-        """A table of all parts, of the documents and chunks that are still in; id is the chunk's number now."""
-        docs = self.docs().where("n_chunks > 0").select("doc_no", "name", "sha256", "first_chunk", "n_chunks", "part")
-        parts = [r[0] for r in docs.select("part").distinct().collect()]
-        if not parts:
-            rows = self.spark.createDataFrame([], schema)
-        else:
-            rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/parts/{p}/{kind}" for p in sorted(parts)])
+    def _named(self, kind: str) -> list[str]:
+        return sorted(r["name"] for r in self._manifest() if r["kind"] == kind)
+
+    def _in(self) -> DataFrame:
+        """The documents that have chunks."""
+        return self.docs().where("n_chunks > 0").select("doc_no", "name", "sha256", "first_chunk", "n_chunks", "part")
+
+    def _rows(self, kind: str, schema: str) -> DataFrame:
+        """A table of all parts, as they were written."""
+        parts = sorted(r[0] for r in self._in().select("part").distinct().collect())
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/parts/{p}/{kind}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+
+    def _numbered_now(self, rows: DataFrame) -> DataFrame:
+        """The rows (part, doc_no, seq) of documents and chunks that are still in; id is the chunk's number now."""
         # A deleted document's number may be another one's in a later part.
-        return rows.join(docs, ["part", "doc_no"]).where("seq < n_chunks").withColumn("id", F.col("first_chunk") + F.col("seq"))
+        return rows.join(self._in(), ["part", "doc_no"]).where("seq < n_chunks").withColumn("id", F.col("first_chunk") + F.col("seq"))
+
+    def _kept(self, kind: str, schema: str) -> DataFrame:
+        return self._numbered_now(self._rows(kind, schema))
 
     def all_chunks(self) -> DataFrame:
         return self._kept("chunks", PART_CHUNKS).select("id", "doc_no", "sha256", F.col("name").alias("doc"), "seq", "start_word", "end_word", "page", "text")
 
-    def lexical(self) -> LexicalIndex:
-        """The kept index: nothing is tokenised."""
-        return LexicalIndex.of(self._kept("postings", POSTINGS).select("term", "id", "dl", "tf"), self._kept("chunks", PART_CHUNKS).select("id", "dl"))
+    def lexical(self) -> BlockIndex:
+        """The kept index: nothing is tokenised, and counts and lengths are sums of what every part and deletion has left."""
+        names = self._named("terms")
+        counts = self.spark.read.schema(TERMS).parquet(*[f"{self.path}/terms/{n}" for n in names]) if names else self.spark.createDataFrame([], TERMS)
+        stats = self.docs().agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("total"))
+
+        def live(rows: DataFrame) -> DataFrame:
+            placed = rows.withColumns({"doc_no": F.expr(f"id DIV {PLACES}"), "seq": F.expr(f"id % {PLACES}")})
+            return self._numbered_now(placed.drop("id")).select(*rows.drop("part").columns)
+
+        return BlockIndex(self._rows("blocks", f"part string, {BLOCKS}"), counts, stats, live)
 
     def _numbered(self, names: DataFrame) -> DataFrame:
         """``names`` (name, sha256) with k: 0, 1, ... in their order. They are sorted over all partitions, and each counts on
@@ -103,14 +143,23 @@ class Store:
         before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
         return placed.join(before, "p").select("name", "sha256", (F.col("base") + F.col("row")).alias("k"))
 
-    def ingest(self, files: DataFrame) -> DataFrame:
+    def ingest(self, files: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Add gated, extracted files (name, sha256, length, status, error, pages) in the order of name and digest.
 
         Returns (name, sha256, status, error, n_chunks): 409 for a digest that is known or came before, 422 and
         so on as gated. Chunks beyond the cap of the whole corpus aren't kept. A document without words is kept
         with none. Writes one part and a new snapshot; what was there before is neither read nor written anew, but for
-        the table of documents.
+        the table of documents. ``batch``: the name of a stream and a number in it, which is kept in the snapshot: a batch
+        that the store has, whole, adds nothing and has the statuses that it had.
         """
+        manifest = [tuple(r) for r in self._manifest()]
+        for kind, name, number, dim, note in manifest:
+            if kind == "embedder" and (name, number) != (self.embedder, self.dim):
+                raise ValueError(f"the vectors kept here are of {name} with {number} components")
+            if batch and (kind, name) == ("batch", batch[0]) and batch[1] <= number:
+                if batch[1] < number:
+                    raise ValueError(f"batch {batch[1]} of {name} comes after batch {number}")
+                return self.spark.read.schema(STATUSES).parquet(f"{self.path}/parts/{note}/statuses")
         known, files = self.docs(), stage(files, "files")
         base = known.agg(F.coalesce(F.max("doc_no"), F.lit(-1)), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
         ok = files.where("status = 200").select("name", "sha256", "length", "pages")
@@ -123,21 +172,38 @@ class Store:
         counts = cut.groupBy("doc_no").agg(F.count("*").alias("n"))
         places = first_chunks(counts, "doc_no").join(counts, "doc_no").select("doc_no", (F.col("first_chunk") + base[1]).alias("first_chunk"), F.greatest(F.lit(0), F.least("n", self.cap - base[1] - F.col("first_chunk"))).alias("n_chunks"))
         places = stage(places, "places")
-        kept = cut.join(places, "doc_no").where("seq < n_chunks").withColumn("t", terms(F.col("text")))
-        kept = stage(kept.select("doc_no", "seq", "start_word", "end_word", "page", "text", F.size("t").alias("dl"), "t"), "kept")
+        kept = stage(cut.join(places, "doc_no").where("seq < n_chunks").select("doc_no", "seq", "start_word", "end_word", "page", "text", (F.col("first_chunk") + F.col("seq")).alias("at")), "kept")
+        counted = stage(term_counts(kept.select("doc_no", "seq", "at", "text")), "counted")
         mine = F.lit(part).alias("part")
-        kept.select(mine, *[c for c in kept.columns if c != "t"]).write.parquet(at("chunks"))
-        posted = kept.select("doc_no", "seq", "dl", F.explode("t").alias("term")).groupBy("term", "doc_no", "seq", "dl").agg(F.count("*").alias("tf"))
-        posted.repartitionByRange("term").sortWithinPartitions("term", "doc_no", "seq").select(mine, "term", "doc_no", "seq", "dl", "tf").write.parquet(at("postings"))
-        made = dense.hash_embeddings(kept.select((F.col("doc_no") * PLACES + F.col("seq")).alias("id"), "text"), "id")
-        made.select(mine, F.expr(f"id DIV {PLACES}").alias("doc_no"), F.expr(f"CAST(id % {PLACES} AS int)").alias("seq"), "embedding").write.parquet(at("vectors"))
-        spectral.gram(self.spark.read.schema(VECTORS).parquet(at("vectors"))).write.parquet(f"{self.path}/sums/{part}")
+        kept.drop("at").join(counted.select("doc_no", "seq", "dl"), ["doc_no", "seq"]).select(mine, *PART_CHUNKS.replace(" string", "").replace(" long", "").replace(" int", "").split(", ")[1:]).write.parquet(at("chunks"))
+        posted = exploded(counted).select(mine, "term", F.expr(f"at DIV {BLOCK}").alias("block"), (F.col("doc_no") * PLACES + F.col("seq")).alias("id"), "dl", "tf")
+        write_sorted(make_blocks(posted, "part"), at("blocks"), "term", "block")
+        write_sorted(exploded(counted).groupBy("term").agg(F.count("*").alias("df")), f"{self.path}/terms/{part}", "term")
+        made = self.embed(kept.select((F.col("doc_no") * PLACES + F.col("seq")).alias("id"), "text"), "id")
+        made.select(mine, F.expr(f"id DIV {PLACES}").alias("doc_no"), F.expr(f"CAST(id % {PLACES} AS int)").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding")).write.parquet(at("vectors"))
+        vectors = self.spark.read.schema(VECTORS).parquet(at("vectors"))
+        size = counted.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        fits = vectors.agg(F.count("*"), F.count_if(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dim)).first()
+        if fits[0] != size[0] or fits[1]:
+            raise ValueError(f"{self.embedder} has to make a vector of {self.dim} components for every chunk")
+        spectral.gram(vectors).write.parquet(f"{self.path}/sums/{part}")
         lengths = fresh.select("doc_no", F.col("length").alias("bytes"))
-        new = numbers.join(lengths, "doc_no").join(places, "doc_no", "left")
-        new = new.select("doc_no", "name", "sha256", "bytes", F.when(F.col("n_chunks") > 0, F.col("first_chunk")).alias("first_chunk"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(part).alias("part"))
-        self._swap(known.unionByName(new), [*self._sums(), part])
-        unstage(numbers, cut, places, kept)
-        added = self.docs().where(F.col("doc_no") > base[0]).select("sha256", F.col("name").alias("mr_name"), "n_chunks")
+        new = numbers.join(lengths, "doc_no").join(places, "doc_no", "left").join(counted.groupBy("doc_no").agg(F.sum("dl").alias("n_terms")), "doc_no", "left")
+        new = new.select(
+            "doc_no", "name", "sha256", "bytes", F.when(F.col("n_chunks") > 0, F.col("first_chunk")).alias("first_chunk"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+            F.coalesce("n_terms", F.lit(0)).alias("n_terms"), mine)
+        new = stage(new, "new")
+        self._statuses(files, new).write.parquet(at("statuses"))
+        manifest = [r for r in manifest if r[0] != "embedder" and not (batch and r[:2] == ("batch", batch[0]))]
+        manifest += [("sum", part, None, None, None), ("terms", part, None, None, None), ("part", part, size[0], size[1], None), ("embedder", self.embedder, self.dim, None, None)]
+        manifest += [("batch", batch[0], batch[1], None, part)] if batch else []
+        self._swap(known.unionByName(new), manifest)
+        unstage(files, numbers, cut, places, kept, counted, new)
+        return self.spark.read.schema(STATUSES).parquet(at("statuses"))
+
+    def _statuses(self, files: DataFrame, new: DataFrame) -> DataFrame:
+        """What became of each file: new has the documents that it made."""
+        added = new.select("sha256", F.col("name").alias("mr_name"), F.col("n_chunks").cast("long").alias("n_chunks"))
         out = files.select("name", "sha256", "status", "error").join(added, "sha256", "left")
         here = F.col("mr_name") == F.col("name")
         again = (F.col("status") == 200) & ~F.coalesce(here, F.lit(False))
@@ -152,27 +218,71 @@ class Store:
         gone = docs.where(F.col("sha256") == sha256).first()
         if gone is None:
             raise UnknownDocument(sha256)
-        sums = self._sums()
+        manifest = [tuple(r) for r in self._manifest()]
         if gone["n_chunks"]:
-            name = uuid.uuid4().hex
-            vectors = self._kept("vectors", VECTORS).where(F.col("sha256") == sha256)
+            name, mine = uuid.uuid4().hex, F.col("sha256") == sha256
+            vectors = self._kept("vectors", VECTORS).where(mine)
             spectral.gram(vectors).withColumn("g", -F.col("g")).write.parquet(f"{self.path}/sums/{name}")
-            sums.append(name)
+            counted = exploded(term_counts(self.all_chunks().where(mine).select("id", "text"))).groupBy("term").agg((-F.count("*")).alias("df"))
+            write_sorted(counted, f"{self.path}/terms/{name}", "term")
+            manifest += [("sum", name, None, None, None), ("terms", name, None, None, None)]
         left = docs.where(F.col("sha256") != sha256)
         first = first_chunks(left.where("n_chunks > 0").select("doc_no", F.col("n_chunks").alias("n")), "doc_no")
-        kept = left.drop("first_chunk").join(first, "doc_no", "left")
-        self._swap(stage(kept.select(*docs.columns), "docs"), sums)
+        kept = stage(left.drop("first_chunk").join(first, "doc_no", "left").select(*docs.columns), "docs")
+        self._swap(kept, manifest)
+        unstage(kept)
         return gone["name"]
 
     def reset(self) -> None:
-        """An empty snapshot."""
-        self._swap(self.spark.createDataFrame([], DOCS), [])
+        """An empty snapshot. Streams go on from where they are; another embedder may be used from now on."""
+        self._swap(self.spark.createDataFrame([], DOCS), [tuple(r) for r in self._manifest() if r["kind"] == "batch"])
+
+    def sound(self, snapshot: str) -> bool:
+        """Whether all that a snapshot names is there and can be read: its documents, and of each part every chunk, posting and
+        vector, and all sums and counts."""
+        try:
+            manifest = self._manifest(snapshot)
+            n = self.spark.read.schema(DOCS).parquet(f"{snapshot}/docs").agg(F.count("*"), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
+            if [(r["a"], r["b"]) for r in manifest if r["kind"] == "docs"] != [tuple(n)]:
+                return False
+            want = {r["name"]: (r["a"], r["a"], r["b"]) for r in manifest if r["kind"] == "part" and r["a"]}
+            tables = [(kind, [f"{self.path}/{folder}/{r['name']}" for r in manifest if r["kind"] == kind], schema) for kind, folder, schema in (("sum", "sums", GRAM), ("terms", "terms", TERMS))]
+            for _, paths, schema in tables:
+                if paths:
+                    self.spark.read.schema(schema).parquet(*paths).agg(F.count("*"), F.sum(F.hash("*").cast("long"))).first()
+            got: dict[str, list[int]] = {p: [] for p in want}
+            for kind, schema, size in (("chunks", PART_CHUNKS, F.lit(1)), ("vectors", VECTORS, F.lit(1)), ("blocks", f"part string, {BLOCKS}", F.col("n"))):
+                if want:
+                    rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/parts/{p}/{kind}" for p in sorted(want)])
+                    # The hash makes every column be read.
+                    for r in rows.groupBy("part").agg(F.sum(size).alias("n"), F.sum(F.hash("*").cast("long"))).collect():
+                        got[r["part"]].append(r["n"])
+            return {p: tuple(x) for p, x in got.items()} == want
+        except (PySparkException, Py4JJavaError) as e:
+            if any(sign in str(e) for sign in DAMAGE):
+                return False
+            raise  # whatever else went wrong says nothing about the files
+
+    def recover(self) -> str | None:
+        """Take the newest snapshot that is sound. If that isn't the current one it is written anew as the current one; without
+        a sound one the corpus is empty. Returns the snapshot that was taken."""
+        found = self._snapshots()
+        good = next((v for v in reversed(found) if self.sound(v)), None)
+        if good is None:
+            if found:
+                self._swap(self.spark.createDataFrame([], DOCS), [])
+        elif good != found[-1]:
+            docs = stage(self.spark.read.schema(DOCS).parquet(f"{good}/docs"), "docs")
+            self._swap(docs, [tuple(r) for r in self._manifest(good)])
+            unstage(docs)
+        return good
 
     def clean(self) -> None:
-        """Delete old snapshots, and parts and sums that the current one doesn't name. Nothing may read or write meanwhile."""
-        now, fs = self.current(), self._hadoop(self.path)[0]
-        named = {"parts": {r[0] for r in self.docs().select("part").distinct().collect()}, "sums": set(self._sums())}
-        for folder in ("", "parts", "sums"):
+        """Delete old snapshots, and what the current one doesn't name. Nothing may read or write meanwhile."""
+        now, fs, manifest = self.current(), self._hadoop(self.path)[0], self._manifest()
+        parts = {r[0] for r in self.docs().select("part").distinct().collect()} | {r["note"] for r in manifest if r["kind"] == "batch"}
+        named = {"parts": parts} | {folder: {r["name"] for r in manifest if r["kind"] == kind} for folder, kind in (("sums", "sum"), ("terms", "terms"))}
+        for folder in ("", *named):
             at = self._hadoop(f"{self.path}/{folder}" if folder else self.path)[1]
             for s in fs.listStatus(at) if fs.exists(at) else []:
                 name = s.getPath().getName()
@@ -193,7 +303,7 @@ class Store:
 
     def corpus(self) -> Corpus:
         """The chunks with their kept index and vectors."""
-        return Corpus(self.all_chunks().select("id", "doc", "page", "text"), self.lexical(), self.vectors())
+        return Corpus(self.all_chunks().select("id", "doc", "page", "text"), self.lexical(), self.vectors(), self.embed)
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Passages of each query (query_id, text); k from 1 to 20. Queries of no or over 2000 characters have none."""
@@ -211,7 +321,7 @@ class Store:
         n = self.health()["chunks"]
         if not n:
             return None
-        rows = self.spark.read.schema(GRAM).parquet(*[f"{self.path}/sums/{s}" for s in self._sums()])
+        rows = self.spark.read.schema(GRAM).parquet(*[f"{self.path}/sums/{s}" for s in self._named("sum")])
         return SpectralMap.of_gram(spectral.matrix(rows.groupBy("i", "j").agg(F.sum("g").alias("g"))), n)
 
     def map(self, queries: DataFrame | None = None, k: int = 5, max_points: int = 1500) -> dict:
@@ -222,7 +332,7 @@ class Store:
         hits = points_of = None
         if queries is not None:
             hits = self.search(queries, k).select("query_id", "rank", "chunk_id")
-            q = dense.hash_embeddings(queries, "query_id").select(F.col("id").alias("query_id"), F.col("embedding").alias("e"))
+            q = self.embed(queries, "query_id").select(F.col("id").alias("query_id"), F.col("embedding").alias("e"))
             x, y = fitted.project(F.col("e"))
             points_of = q.select("query_id", x.alias("x"), y.alias("y"))
         points = fitted.points(vectors, hits.select(F.col("chunk_id").alias("id")) if hits is not None else None, max_points)
@@ -234,7 +344,7 @@ class Store:
         index, fitted = self.lexical(), self.fitted()
         s = index.summary().select(F.col("n_docs").alias("n_chunks"), "vocab_size", F.round("avgdl", 2).alias("avgdl"))
         d = self.docs().agg(F.count("*").alias("n_docs"))
-        v = self.vectors().agg(F.coalesce(F.sum(F.size("embedding") * F.lit(4).cast("long")), F.lit(0)).alias("vector_bytes"))
+        v = self.docs().agg((F.coalesce(F.sum("n_chunks"), F.lit(0)) * self.dim * 4).alias("vector_bytes"))
         out = d.join(s, F.lit(True)).join(index.size_bytes(), F.lit(True)).join(v, F.lit(True)).withColumn("eta", F.lit(fitted.eta if fitted else 0.0))
         out = out.withColumn("max_chunks", F.lit(self.cap)).withColumn("capped", F.col("n_chunks") >= self.cap)
         if last_report is None:

@@ -2,17 +2,72 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.params import BM25_B, BM25_K1
 from millrace.functions.staging import stage, unstage
-from millrace.functions.text import terms
+from millrace.functions.tables import map_texts
+from millrace.functions.text import term_list
 from millrace.operators.ranking import top_k
 
 
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the text but with dl, the number of its index terms, and its different terms with their counts: terms,
+    tfs. One pass in Arrow batches, no shuffle: a text lies in one row. A null text counts as an empty one."""
+    keep = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        for batch in batches:
+            found = [Counter(term_list(t)) if t else {} for t in batch.column(len(keep)).to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in found], dtype=np.int64)]), pa.int32())
+            names = pa.array([t for c in found for t in c], pa.string())
+            counts = pa.array([n for c in found for n in c.values()], pa.int64())
+            lengths = pa.array([sum(c.values()) for c in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lengths, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, counts)], names=[*keep, "dl", "terms", "tfs"])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return map_texts(docs.select(*keep, text), run, ", ".join([*kinds, "dl int", "terms array<string>", "tfs array<bigint>"]))
+
+
+def exploded(counted: DataFrame) -> DataFrame:
+    """A row for each term of each text of ``term_counts``: its columns with term and tf."""
+    keep = [c for c in counted.columns if c not in ("terms", "tfs")]
+    return counted.select(*keep, F.inline(F.arrays_zip("terms", "tfs"))).withColumnsRenamed({"terms": "term", "tfs": "tf"})
+
+
+def asked_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(query_id, term): the distinct terms of each query."""
+    return exploded(term_counts(queries.select(F.col(key).alias("query_id"), F.col(text).alias("text")))).select("query_id", "term")
+
+
+def part_score(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """What a term adds to a text's score. It grows with tf and falls with dl."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def weighted(asked: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, term, idf, avgdl) of the asked terms that some text has: asked (query_id, term), df (term, df), stats (one
+    row: n, total). avgdl is 1 where all texts are empty."""
+    return asked.join(df, "term").join(F.broadcast(stats), F.lit(True)).select(
+        "query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
+        F.coalesce(F.try_divide(F.nullif("total", F.lit(0)).cast("double"), F.col("n")), F.lit(1.0)).alias("avgdl"),
+    )
+
+
+def score_texts(weights: DataFrame, pairs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """``pairs`` (query_id, id, text) with bm25: the score of each text for its query by ``weights``, 0 without a common term.
+    The texts are counted anew; for a search's hits, of which there are few."""
+    found = exploded(term_counts(pairs.select("query_id", "id", "text"))).join(weights, ["query_id", "term"])
+    scores = found.groupBy("query_id", "id").agg(F.sum(part_score(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("bm25"))
+    return pairs.join(scores, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """postings (term, id, dl, tf; dl: all terms of the document), lengths (id, dl: every document, also empty ones) and
@@ -28,11 +83,9 @@ class LexicalIndex:
 
     @staticmethod
     def build(docs: DataFrame, key: str, text: str = "text") -> LexicalIndex:
-        """Terms are found once and staged: postings, lengths and statistics are read from there. ``release`` deletes them."""
-        found = stage(docs.select(F.col(key).alias("id"), terms(F.col(text)).alias("t")), "terms")
-        dl = F.size("t").alias("dl")
-        postings = found.select("id", dl, F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-        out = LexicalIndex.of(postings, found.select("id", dl))
+        """Terms are counted once and staged: postings, lengths and statistics are read from there. ``release`` deletes them."""
+        found = stage(term_counts(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "terms")
+        out = LexicalIndex.of(exploded(found).select("term", "id", "dl", "tf"), found.select("id", "dl"))
         object.__setattr__(out, "_found", found)
         return out
 
@@ -72,22 +125,28 @@ class LexicalIndex:
         avgdl = F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("n")), F.lit(0.0))
         return self.stats.join(vocab, F.lit(True)).select(F.col("n").alias("n_docs"), "vocab_size", avgdl.alias("avgdl"))
 
+    def _wanted(self, asked: DataFrame) -> DataFrame:
+        """The postings of the asked terms: query terms come first, and a term of very many documents is split by the skew join."""
+        return self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+
+    def _scored(self, wanted: DataFrame, weights: DataFrame, k1: float, b: float) -> DataFrame:
+        part = part_score(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+        return wanted.join(weights, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+
     def scores(self, queries: DataFrame, key: str, text: str = "text", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-        """(query_id, id, bm25) of all documents that share a term with a query; the rest score 0.
-
-        Query terms come first: only their postings are read into the joins. A term of very many documents is
-        split by the skew join.
-        """
-        asked = queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-        wanted = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        weight = asked.join(df, "term").join(F.broadcast(self.stats), F.lit(True)).select(
-            "query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
-            F.coalesce(F.try_divide(F.nullif("total", F.lit(0)).cast("double"), F.col("n")), F.lit(1.0)).alias("avgdl"),
-        )
-        hits = wanted.join(weight, "term")
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        return hits.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+        """(query_id, id, bm25) of all documents that share a term with a query; the rest score 0."""
+        asked = asked_terms(queries, key, text)
+        wanted = self._wanted(asked)
+        weights = weighted(asked, wanted.groupBy("term").agg(F.count("*").alias("df")), self.stats)
+        return self._scored(wanted, weights, k1, b)
+
+    def best(self, queries: DataFrame, key: str, text: str = "text", k: int = 10) -> tuple[DataFrame, DataFrame]:
+        """What ``search`` returns, and the weights of the queries' terms, staged, by which ``score_texts`` scores more texts.
+        The postings of the queries' terms are read once."""
+        asked = asked_terms(queries, key, text)
+        wanted = stage(self._wanted(asked), "wanted")
+        weights = stage(weighted(asked, wanted.groupBy("term").agg(F.count("*").alias("df")), self.stats), "weights")
+        return top_k(self._scored(wanted, weights, BM25_K1, BM25_B), "bm25", k), weights
 
     def search(self, queries: DataFrame, key: str, text: str = "text", k: int = 10) -> DataFrame:
         """(query_id, rank, id, bm25), the k best that score above 0."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions.params import DEPTH
 from millrace.functions.staging import stage, unstage
 from millrace.operators import dense
-from millrace.operators.lexical import LexicalIndex
-from millrace.operators.ranking import fuse, top_k
+from millrace.operators.lexical import LexicalIndex, score_texts
+from millrace.operators.ranking import fuse
 
 
 class Embedder(Protocol):
@@ -45,22 +45,22 @@ class Corpus:
         return stage(self.embed(queries, "query_id").withColumnRenamed("id", "query_id"), "asked")
 
     def _parts(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """The full lexical score table, the k best by words and by vectors, and the queries' vectors."""
-        full, asked = self.lexical.scores(queries, "query_id"), self._asked(queries)
-        return full, top_k(full, "bm25", k), dense.search(asked, self.vectors, k), asked
+        """The k best by words, the weights of the queries' terms, the k best by vectors, and the queries' vectors."""
+        asked = self._asked(queries)
+        return *self.lexical.best(queries, "query_id", k=k), dense.search(asked, self.vectors, k), asked
 
     def ranking(self, queries: DataFrame, mode: str, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(query_id, rank, id) by mode: 'bm25', 'dense' or 'hybrid'."""
         if mode not in ("bm25", "dense", "hybrid"):
             raise ValueError(f"no such mode: {mode}")
-        _, best_s, best_d, _ = self._parts(queries, depth if mode == "hybrid" else k)
+        best_s, _, best_d, _ = self._parts(queries, depth if mode == "hybrid" else k)
         if mode != "hybrid":
             return (best_s if mode == "bm25" else best_d).select("query_id", "rank", "id")
         return self._fused(best_s, best_d, k).select("query_id", "rank", "id")
 
     def rankings(self, queries: DataFrame, k: int = 10, depth: int = DEPTH) -> DataFrame:
         """(mode, query_id, rank, id) of all modes, from one pair of score tables."""
-        _, best_s, best_d, _ = self._parts(queries, max(k, depth))
+        best_s, _, best_d, _ = self._parts(queries, max(k, depth))
         best_s, best_d = stage(best_s, "by-words"), stage(best_d, "by-vectors")
         lists = {"bm25": best_s.where(F.col("rank") <= k), "dense": best_d.where(F.col("rank") <= k), "hybrid": self._fused(best_s.where(F.col("rank") <= depth), best_d.where(F.col("rank") <= depth), k)}
         parts = [r.select(F.lit(mode).alias("mode"), "query_id", "rank", "id") for mode, r in lists.items()]
@@ -75,12 +75,11 @@ class Corpus:
 
         Cosine and BM25 are those of the whole corpus, also for a passage that only one list has.
         """
-        full, best_s, best_d, asked = self._parts(queries, depth)
-        full = stage(full, "scores")
-        hits = dense.cosines(self._fused(top_k(full, "bm25", depth), best_d, k), asked, self.vectors)
-        out = hits.join(full, ["query_id", "id"], "left").join(self.chunks, "id")
+        best_s, weights, best_d, asked = self._parts(queries, depth)
+        # Few rows: their texts, vectors and words are looked up for them alone.
+        hits = stage(self._fused(best_s, best_d, k), "hits")
+        out = score_texts(weights, dense.cosines(hits, asked, self.vectors).join(self.chunks, "id"))
         return out.select(
-            "query_id", "rank", F.col("id").alias("chunk_id"), "doc", "page", "text", "rrf",
-            F.col("cosine").alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"),
+            "query_id", "rank", F.col("id").alias("chunk_id"), "doc", "page", "text", "rrf", F.col("cosine").alias("dense"), "bm25",
             F.try_element_at("ranks", F.lit(0)).alias("dense_rank"), F.try_element_at("ranks", F.lit(1)).alias("bm25_rank"),
         )

@@ -253,8 +253,9 @@ def hybrid_search(spark, sf_dir):
 
 
 _PASSAGES = f"""WITH {o.HYBRID}, hits AS MATERIALIZED (SELECT * FROM fr WHERE rank <= 5),
-p AS (SELECT h.query_id, h.rank, h.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, cosine AS dense, coalesce(bm25, 0) AS bm25, dense_rank, bm25_rank
-    FROM hits h JOIN chunks ON h.id = chunks.id JOIN ds ON ds.query_id = h.query_id AND ds.id = h.id LEFT JOIN bm ON bm.query_id = h.query_id AND bm.id = h.id)"""
+near AS MATERIALIZED (SELECT hits.*, cosine AS dense FROM hits JOIN ds ON ds.query_id = hits.query_id AND ds.id = hits.id),
+both AS MATERIALIZED (SELECT near.*, coalesce(bm25, 0) AS bm25 FROM near LEFT JOIN bm ON bm.query_id = near.query_id AND bm.id = near.id),
+p AS (SELECT query_id, rank, both.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, dense, bm25, dense_rank, bm25_rank FROM both JOIN chunks ON both.id = chunks.id)"""
 
 
 @_register(f"{_PASSAGES} SELECT query_id, rank, chunk_id, doc, NULL::INT AS page, text, round(rrf, 9) AS rrf, round(dense, 6) AS dense, round(bm25, 6) AS bm25, dense_rank, bm25_rank FROM p")

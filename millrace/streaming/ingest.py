@@ -19,11 +19,13 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ingest_stream(files: DataFrame, store: Store, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Gate, extract and add every batch of files. A batch that comes again after a failure finds its digests
-    known and adds nothing twice."""
+    """Gate, extract and add every batch of files. The store keeps the stream's id and the number of its last batch in the
+    snapshot that the batch made, so a batch that comes again after a failure is known as a whole and adds nothing."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        store.ingest(extract(gate(batch)))
+    def add(batch: DataFrame, number: int) -> None:
+        # The id stays with the checkpoint, over restarts.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        store.ingest(extract(gate(batch)), (stream, number))
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

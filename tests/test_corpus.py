@@ -193,7 +193,7 @@ def test_nothing_is_indexed_twice(spark, tmp_path, monkeypatch):
     def never(*_, **__):
         raise AssertionError("the corpus is tokenised again")
 
-    monkeypatch.setattr(corpus, "terms", never)
+    monkeypatch.setattr(corpus, "term_counts", never)
     monkeypatch.setattr(corpus, "chunk_words", never)
     monkeypatch.setattr(LexicalIndex, "build", never)
     q = spark.createDataFrame([(1, "frogs"), (2, "trains rails")], "query_id long, text string")
