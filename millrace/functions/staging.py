@@ -32,16 +32,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     by ``unstage`` once nothing reads it any more.
     """
     spark = df.sparkSession
-    if not _staged:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = reserve(spark, label)
     df.write.parquet(path)
-    _staged.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def reserve(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes as staged tables do."""
+    if not _staged:
+        atexit.register(_clean)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in dfs:
@@ -54,13 +60,25 @@ def unstage(*dfs: DataFrame) -> None:
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """Stage what ``make`` returns, and delete all that was staged on the way to it."""
     before = {p for _, p in _staged}
-    out = stage(make(), label)
+    return _settle(stage(make(), label), before)
+
+
+def _settle(out: DataFrame, before: set[str]) -> DataFrame:
     for spark, path in [x for x in _staged if x[1] not in before and x[1] != out._millrace_path]:
         _remove(spark, path)
         _staged.remove((spark, path))
     return out
 
 
+def tidy(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns; staged, if it has staged anything on the way, which is then deleted."""
+    before = {p for _, p in _staged}
+    made = make()
+    if not {p for _, p in _staged} - before:
+        return made
+    return _settle(stage(made, label), before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -12,6 +12,10 @@ from millrace.functions.tables import map_texts
 from millrace.functions.text import words
 
 
+#: Bytes of phrases in one automaton.
+AUTOMATON_BYTES = 16 << 20
+
+
 def _words_of(texts: DataFrame) -> DataFrame:
     """(id, word): the distinct words of each text (id, t), in Arrow batches."""
 
@@ -24,25 +28,62 @@ def _words_of(texts: DataFrame) -> DataFrame:
     return map_texts(texts, run, f"id {texts.schema['id'].dataType.simpleString()}, word string")
 
 
-def containing(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+def containing(phrases: DataFrame, texts: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
     """(query_id, id, p): the texts (id, t) that contain a phrase (query_id, p, not empty), as it stands.
 
-    Whatever contains a phrase has the phrase's inner words as words of its own. So phrases and texts meet on one of
-    these, the one that the fewest texts have, and are then compared. Phrases of less than three words have no inner one;
-    if there are some, they are looked for in every text.
+    Phrases of up to ``most`` bytes together make one automaton, by which a task passes over each text once. Of more,
+    those of three words or more meet the texts on a word, and the others make several automata, one pass each.
     """
-    asked = phrases.select("query_id", "p", words(F.col("p")).alias("w")).where("length(p) > 0")
-    asked = asked.select("query_id", "p", F.when(F.size("w") > 2, F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("w"))
-    inner = asked.select("query_id", "p", F.explode("w").alias("word"))
-    held = _words_of(texts.select("id", "t")).join(inner.select("word").distinct(), "word", "left_semi")
-    held = stage(held, "held")
+    asked = stage(phrases.where("length(p) > 0").select("query_id", "p"), "phrases")
+    different = asked.select("p").distinct()
+    size = different.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0))).first()[0]
+    if size <= most:
+        return _by_automaton(asked, texts)
+    short = asked.where(F.size(words(F.col("p"))) < 3)
+    found = _by_inner_word(asked.where(F.size(words(F.col("p"))) >= 3), texts)
+    total = short.select("p").distinct().agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0))).first()[0]
+    slices = -(-total // most)
+    for i in range(slices):
+        found = found.unionByName(_by_automaton(short.where(F.pmod(F.xxhash64("p"), F.lit(slices)) == i), texts))
+    return found
+
+
+def _by_automaton(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """``containing`` for phrases (query_id, p) of a size that was checked: they go to all tasks."""
+    listed = sorted(r[0] for r in phrases.select("p").distinct().collect())
+    shared = phrases.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for n, p in enumerate(shared.value):
+            machine.add_word(p, n)
+        if not shared.value:
+            return
+        machine.make_automaton()
+        for batch in batches:
+            at, which = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = {n for _, n in machine.iter(t)} if t else ()
+                at += [i] * len(found)
+                which += [shared.value[n] for n in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(which, pa.string())], names=["id", "p"])
+
+    held = map_texts(texts.select("id", "t"), run, f"id {texts.schema['id'].dataType.simpleString()}, p string")
+    return held.join(F.broadcast(phrases), "p").select("query_id", "id", "p")
+
+
+def _by_inner_word(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``containing`` for any number of phrases (query_id, p) of three words or more. Whatever contains a phrase has the phrase's
+    inner words as words of its own. So phrases and texts meet on one of these, the one that the fewest texts have, and
+    are then compared."""
+    asked = asked.select("query_id", "p", words(F.col("p")).alias("w"))
+    inner = asked.select("query_id", "p", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    held = stage(_words_of(texts.select("id", "t")).join(inner.select("word").distinct(), "word", "left_semi"), "held")
     rare = inner.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
     rare = rare.groupBy("query_id", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
-    found = rare.join(held, "word").select("query_id", "p", "id").join(texts.select("id", "t"), "id").where(F.contains("t", "p")).select("query_id", "id", "p")
-    short = asked.where("w IS NULL").select("query_id", "p")
-    if not short.isEmpty():
-        found = found.unionByName(texts.join(short, F.contains("t", "p")).select("query_id", "id", "p"))
-    return found
+    return rare.join(held, "word").select("query_id", "p", "id").join(texts.select("id", "t"), "id").where(F.contains("t", "p")).select("query_id", "id", "p")
 
 
 def build_qrels(phrases: DataFrame, texts: DataFrame, body: tuple[int, int] | None = None) -> DataFrame:
@@ -65,17 +106,25 @@ def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 
 
-def per_query(queries: DataFrame, ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+def ideals(counts: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, ideal): the gain of the best order of a query's labels up to rank k, from how many there are: counts
+    (query_id, grade, n). No more than k rows of a grade are made."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "i")
+    rows = counts.where("n > 0").select("query_id", "grade", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k)).cast("long"))).alias("i"))
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("r"))).alias("ideal"))
+
+
+def per_query(queries: DataFrame, ranking: DataFrame, qrels: DataFrame, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, first_rank, rr, dcg, ndcg) for every query: ranking (query_id, rank, id), qrels (query_id, id, grade).
 
-    A query without a relevant hit up to rank k has null, 0, 0, 0; the ideal is made of all its labels.
+    A query without a relevant hit up to rank k has null, 0, 0, 0; the ideal is made of all its labels. counts: (query_id,
+    grade, n), how many labels there are, if they are known; qrels then need to have the ranking's only.
     """
     found = ranking.where(F.col("rank") <= k).join(qrels, ["query_id", "id"]).groupBy("query_id").agg(
         F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first_rank"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg")
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")
-    ideal = qrels.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("r"))).alias("ideal"))
-    out = queries.select("query_id").join(found, "query_id", "left").join(ideal, "query_id", "left")
+    counts = qrels.groupBy("query_id", "grade").agg(F.count("*").alias("n")) if counts is None else counts
+    out = queries.select("query_id").join(found, "query_id", "left").join(ideals(counts, k), "query_id", "left")
     dcg = F.coalesce("dcg", F.lit(0.0))
     return out.select(
         "query_id", "first_rank", F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("rr"), dcg.alias("dcg"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.params import DEPTH
 from millrace.functions.staging import stage, unstage
-from millrace.operators import dense
+from millrace.operators import dense, metrics
+from millrace.operators.blocks import BlockIndex
 from millrace.operators.lexical import LexicalIndex, score_texts
 from millrace.operators.ranking import fuse
 
@@ -27,7 +30,7 @@ class Corpus:
     """Chunks (id, doc, page, text) with their lexical index and vectors."""
 
     chunks: DataFrame
-    lexical: LexicalIndex
+    lexical: LexicalIndex | BlockIndex
     vectors: DataFrame
     embed: Embedder = dense.hash_embeddings
 
@@ -38,7 +41,8 @@ class Corpus:
         return Corpus(held, LexicalIndex.build(held, "id"), stage(embed(held, "id"), "vectors"), embed)
 
     def release(self) -> None:
-        self.lexical.release()
+        if isinstance(self.lexical, LexicalIndex):
+            self.lexical.release()
         unstage(self.chunks, self.vectors)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
@@ -66,6 +70,17 @@ class Corpus:
         parts = [r.select(F.lit(mode).alias("mode"), "query_id", "rank", "id") for mode, r in lists.items()]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+    def evaluate(self, queries: DataFrame, qrels: DataFrame, modes: tuple[str, ...] = ("dense", "bm25", "hybrid"), k: int = 10) -> DataFrame:
+        """(mode, query_id, first_rank, rr, dcg, ndcg, ms) of every query in every mode, for ``metrics.report``. Each mode is run and
+        timed by itself; ms is its share of the batch's time, the same for all queries of a mode."""
+        n, out = queries.count(), []
+        for mode in modes:
+            began = time.perf_counter()
+            ranked = stage(self.ranking(queries, mode, k), f"by-{mode}")
+            ms = 1000 * (time.perf_counter() - began) / max(1, n)
+            out.append(metrics.per_query(queries, ranked, qrels, k).select(F.lit(mode).alias("mode"), "*", F.lit(ms).alias("ms")))
+        return reduce(DataFrame.unionByName, out)
+
     def _fused(self, best_s: DataFrame, best_d: DataFrame, k: int) -> DataFrame:
         lists = [r.select("query_id", F.lit(i).alias("list_id"), "rank", "id") for i, r in ((0, best_d), (1, best_s))]
         return fuse(lists[0].unionByName(lists[1]), top=k)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.params import DEPTH
-from millrace.functions.staging import stage
+from millrace.functions.staging import reserve, stage, tidy
 from millrace.functions.tables import load, spread
 from millrace.operators import answers, chunking, dense, metrics, spectral
+from millrace.operators.blocks import BlockIndex
 from millrace.operators.lexical import LexicalIndex
+from millrace.operators.nearest import NearestIndex
 from millrace.operators.ranking import fuse, top_k
 from millrace.operators.search import Corpus
 from millrace.plans import oracle as o
@@ -22,7 +26,8 @@ _oracle: dict[str, str] = {}
 
 def _register(sql: str | None = None):
     def add(f):
-        _queries[f.__name__] = f
+        # What a query stages on its way goes once its answer is staged.
+        _queries[f.__name__] = wraps(f)(lambda spark, sf_dir: tidy(lambda: f(spark, sf_dir), f.__name__))
         if sql:
             _oracle[f.__name__] = sql
         return f
@@ -185,12 +190,24 @@ def bm25_scores(spark, sf_dir):
     return s.select("query_id", F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
 
 
-@_register(f"WITH {o.CHUNKS}, {o.LEXICAL}, {o.QUERIES}, {o.BM25}, {o.ranked('r', 'bm', 'bm25')} SELECT query_id, rank, id AS chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10")
+_BM25_SEARCH = f"WITH {o.CHUNKS}, {o.LEXICAL}, {o.QUERIES}, {o.BM25}, {o.ranked('r', 'bm', 'bm25')} SELECT query_id, rank, id AS chunk_id, round(bm25, 6) AS bm25 FROM r WHERE rank <= 10"
+
+
+@_register(_BM25_SEARCH)
 def bm25_search(spark, sf_dir):
     s = _index(spark, sf_dir).search(_asked(spark, sf_dir), "query_id", k=10)
     return s.select("query_id", *_long("rank"), F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
 
 
+@_register(_BM25_SEARCH)
+def bm25_block_search(spark, sf_dir):
+    """The same rows from an index that is written and read again, in blocks of which some are passed over."""
+    path = reserve(spark, "blocks")
+    BlockIndex.write(_index(spark, sf_dir), path)
+    s = BlockIndex.open(spark, path).search(_asked(spark, sf_dir), "query_id", k=10)
+    return s.select("query_id", *_long("rank"), F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
 # Dense
 
 
@@ -208,11 +225,23 @@ def _near(spark, sf_dir) -> DataFrame:
 _NEAR = f"v AS {o.UNIT}, s AS (SELECT a.id AS query_id, a.label AS query_label, b.id, b.label, list_dot_product(a.e, b.e) AS cosine FROM v a, v b WHERE a.id % 20 = 0), {o.ranked('r', 's', 'cosine')}"
 
 
-@_register(f"WITH {_NEAR} SELECT query_id, rank, id AS vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 50")
+_DENSE_SEARCH = f"WITH {_NEAR} SELECT query_id, rank, id AS vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 50"
+
+
+@_register(_DENSE_SEARCH)
 def dense_search(spark, sf_dir):
     return _near(spark, sf_dir).select("query_id", *_long("rank"), F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
+@_register(_DENSE_SEARCH)
+def dense_block_search(spark, sf_dir):
+    """The same rows from blocks of neighbouring vectors, of which those too far away are passed over."""
+    v, path = _t(spark, sf_dir, "embeddings"), reserve(spark, "nearest")
+    NearestIndex.write(v.select(F.col("vec_id").alias("id"), "embedding"), path)
+    near = NearestIndex.open(spark, path).search(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), DEPTH)
+    return near.select("query_id", *_long("rank"), F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 @_register(f"WITH {o.hashed('h', 'documents', 'doc_id')} SELECT id AS doc_id, bucket::BIGINT AS bucket, round(weight, 9) AS weight FROM h")
 def hash_embed(spark, sf_dir):
     return dense.hash_vectors(_t(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), *_long("bucket"), F.round("weight", 9).alias("weight"))
@@ -254,8 +283,8 @@ def hybrid_search(spark, sf_dir):
 
 _PASSAGES = f"""WITH {o.HYBRID}, hits AS MATERIALIZED (SELECT * FROM fr WHERE rank <= 5),
 near AS MATERIALIZED (SELECT hits.*, cosine AS dense FROM hits JOIN ds ON ds.query_id = hits.query_id AND ds.id = hits.id),
-both AS MATERIALIZED (SELECT near.*, coalesce(bm25, 0) AS bm25 FROM near LEFT JOIN bm ON bm.query_id = near.query_id AND bm.id = near.id),
-p AS (SELECT query_id, rank, both.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, dense, bm25, dense_rank, bm25_rank FROM both JOIN chunks ON both.id = chunks.id)"""
+scored AS MATERIALIZED (SELECT near.*, coalesce(bm25, 0) AS bm25 FROM near LEFT JOIN bm ON bm.query_id = near.query_id AND bm.id = near.id),
+p AS (SELECT query_id, rank, scored.id AS chunk_id, doc_id::VARCHAR AS doc, chunks.text, rrf, dense, bm25, dense_rank, bm25_rank FROM scored JOIN chunks ON scored.id = chunks.id)"""
 
 
 @_register(f"{_PASSAGES} SELECT query_id, rank, chunk_id, doc, NULL::INT AS page, text, round(rrf, 9) AS rrf, round(dense, 6) AS dense, round(bm25, 6) AS bm25, dense_rank, bm25_rank FROM p")
@@ -311,10 +340,13 @@ pq AS (SELECT v.id AS query_id, first_rank, coalesce(1 / first_rank, 0) AS rr, c
 
 
 def _graded(spark, sf_dir) -> DataFrame:
+    """Vectors of the same label are relevant. Only the hits are compared with the labels; how many more there are is counted."""
     v = _t(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    qrels = v.join(asked, F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("grade"))
-    return metrics.per_query(asked, _near(spark, sf_dir), qrels)
+    near = stage(_near(spark, sf_dir).where("rank <= 10"), "near")
+    met = near.join(v.select(F.col("vec_id").alias("id"), "label"), "id").join(asked, "query_id").where("label = l")
+    counts = asked.join(v.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n")), "l").select("query_id", F.lit(1).alias("grade"), "n")
+    return metrics.per_query(asked, near, met.select("query_id", "id", F.lit(1).alias("grade")), counts=counts)
 
 
 @_register(f"WITH {_GRADED} SELECT query_id, first_rank, round(rr, 6) AS rr FROM pq")

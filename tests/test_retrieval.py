@@ -185,6 +185,27 @@ def test_passages_and_modes(spark):
         corpus.ranking(q, "other")
 
 
+def test_evaluation_times_its_own_queries(spark):
+    chunks = spark.createDataFrame([(0, "a", None, "frogs live in ponds"), (1, "a", None, "trains run on rails")], "id long, doc string, page int, text string")
+    q = spark.createDataFrame([(1, "frogs"), (2, "rails")], "query_id long, text string")
+    rel = spark.createDataFrame([(1, 0, 2), (2, 1, 1)], "query_id long, id long, grade int")
+    rows = metrics.report(Corpus.build(chunks).evaluate(q, rel)).collect()
+    assert {r["mode"]: (r["n_queries"], r["mrr"], r["ndcg"]) for r in rows} == {m: (2, 1.0, 1.0) for m in ("dense", "bm25", "hybrid")} and all(r["median_ms"] > 0 for r in rows)
+
+
+def test_ideals_of_counts(spark):
+    """The same as of the labels themselves, also beyond the rank."""
+    rng = random.Random(1)
+    labels = [(q, i, rng.randrange(0, 3)) for q in range(20) for i in range(rng.randrange(0, 40))]
+    by = {}
+    for q, _, g in labels:
+        by.setdefault(q, []).append(g)
+    counts = spark.createDataFrame(labels, "query_id long, id long, grade int").groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+    got = {r["query_id"]: r["ideal"] for r in metrics.ideals(counts, 7).collect()}
+    want = {q: sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(sorted(x, reverse=True)[:7])) for q, x in by.items()}
+    assert got == {q: pytest.approx(x) for q, x in want.items()}
+
+
 def test_metrics_by_hand(spark):
     queries = spark.createDataFrame([(i,) for i in range(1, 5)], "query_id long")
     ranking = spark.createDataFrame([(q, r, 100 * q + r) for q in range(1, 5) for r in range(1, 11)], "query_id long, rank int, id long")
@@ -216,6 +237,7 @@ def test_phrases_in_texts_against_all_pairs(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = {(r["query_id"], r["id"]) for r in metrics.containing(p, t).collect()}
     assert got == {(i, j) for i, x in enumerate(phrases) if x for j, y in enumerate(texts) if y and x in y}
+    assert got == {(r["query_id"], r["id"]) for r in metrics.containing(p, t, most=60).collect()}
     body = metrics.build_qrels(p.select("query_id", F.col("p").alias("phrase"), F.lit(1).alias("grade")), t.select("id", F.col("t").alias("text")), body=(10, 20)).collect()
     assert {(r["query_id"], r["id"]) for r in body} == {(i, j) for i, x in enumerate(phrases) if x for j in range(10, 20) if x.lower() in texts[j].lower()}
 
