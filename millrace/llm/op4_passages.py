@@ -343,7 +343,7 @@ def _arrays(rows: list[tuple], kind: list[pa.DataType], names: list[str]) -> pa.
 
 
 def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
-    """Of paragraphs (_UNITS, class, near) (chain, mr_doc, doc_id, at, words, goes): up to MOST_UNITS adjoining paragraphs, one of them at least in a class with
+    """Of paragraphs (_UNITS, class, near) (chain, classes, mr_doc, doc_id, at, words, goes): up to MOST_UNITS adjoining paragraphs, one of them at least in a class with
     others that aren't equal, named by their classes; goes: whether they lie wholly in what ``gone`` (mr_doc, runs) says.
 
     A chain that is long enough has one such name. One that needs words beside it that are equal has names that tell
@@ -353,8 +353,8 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
     members = F.struct("seq", F.col("first").alias("at"), F.expr("last - first").alias("words"), "class", "near", "b1", "b4", "a1", "a4")
     whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(members).alias("x")).where("exists(x, e -> e.near)")
     whole = whole.join(gone.selectExpr("mr_doc", "transform(runs, r -> struct(r.first, r.last)) AS runs"), "mr_doc", "left")
-    kind = "chain long, mr_doc long, doc_id long, at int, words int, goes boolean"
-    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    kind = "chain long, classes long, mr_doc long, doc_id long, at int, words int, goes boolean"
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
     def named(classes: bytes, words: int, first: dict, last: dict):
         if words >= PASSAGE_WORDS - MARGIN:
@@ -385,17 +385,24 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
                             if near:
                                 r = bisect_right(firsts, e["at"]) - 1
                                 goes = r >= 0 and e["at"] + words <= lasts[r]
-                                rows += [(xxhash.xxh64_intdigest(n) - (1 << 63), doc, doc_id, e["at"], words, goes) for n in named(classes, words, e, u)]
+                                own = xxhash.xxh64_intdigest(classes) - (1 << 63)
+                                rows += [(xxhash.xxh64_intdigest(n) - (1 << 63), own, doc, doc_id, e["at"], words, goes) for n in named(classes, words, e, u)]
                 yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
 
     return map_texts(whole, run, kind)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
-    """(mr_doc, at, words, before, after): of ``wanted`` (mr_doc, at, words) and a few others, CRCs of up to CONTEXT words
-    before and after."""
-    kind = "mr_doc long, at int, words int, before array<int>, after array<int>"
-    arrow = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """(mr_doc, at, words, before, after, lefts, rights): of ``wanted`` (mr_doc, at, words) and a few others, CRCs of up to CONTEXT words
+    before and after; lefts and rights have a hash of none, one, two and so on of these words together."""
+    kind = "mr_doc long, at int, words int, before array<int>, after array<int>, lefts array<bigint>, rights array<bigint>"
+    arrow = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def growing(words: list[int]) -> list[int]:
+        out = [0]
+        for w in words[: PASSAGE_WORDS - UNIT_WORDS]:
+            out.append(((out[-1] ^ w) * PLACE + 1) % (1 << 61))
+        return out
 
     def run(part, pairs):
         rows = []
@@ -407,7 +414,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
                 at, n = starts[:-k], starts[k:] - starts[:-k]
                 for i in np.nonzero(_in(pairs, (at * PLACE + n).view(np.uint64) ^ np.uint64(doc & (1 << 64) - 1)))[0].tolist():
                     a, b = int(at[i]), int(at[i] + n[i])
-                    rows.append((doc, a, b - a, [crc32(x) - (1 << 31) for x in words[max(0, a - CONTEXT) : a][::-1]], [crc32(x) - (1 << 31) for x in words[b : b + CONTEXT]]))
+                    left, right = [crc32(x) - (1 << 31) for x in words[max(0, a - CONTEXT) : a][::-1]], [crc32(x) - (1 << 31) for x in words[b : b + CONTEXT]]
+                    rows.append((doc, a, b - a, left, right, growing(left), growing(right)))
         yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
 
     return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), members, run, kind)
@@ -482,6 +490,26 @@ def _later(rows: DataFrame, name: str, *more: str) -> DataFrame:
     return rows.join(stage(kept, "op4-kept"), F.col(name) == F.col("c")).where("mr_doc <> keeper.mr_doc")
 
 
+def _partners(met: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(mr_doc, at, words, keeper, k_doc, k_at, k_words): for chains (met: classes, mr_doc, doc_id, at, words, goes) that don't go yet, the
+    earliest documents that have the same classes and beside them equal words that make PASSAGE_WORDS together.
+
+    A chain that lacks n words has them as l on its left and n - l on its right, for some l. Each of these n + 1 ways is a
+    key, so that every stretch of PASSAGE_WORDS words around a chain meets the earliest of all documents that have it,
+    however many have the chain.
+    """
+    lack = F.greatest(F.lit(0), PASSAGE_WORDS - F.col("words"))
+    lacking = met.where("NOT goes").groupBy("classes").agg(F.collect_set(lack).alias("lacks"))
+    here = met.join(lacking, "classes").join(contexts.select("mr_doc", "at", "words", "lefts", "rights"), ["mr_doc", "at", "words"])
+    ways = here.select("*", F.explode("lacks").alias("n"), lack.alias("own")).select("*", F.explode(F.expr("sequence(0, n)")).alias("l"))
+    ways = ways.where("l < size(lefts) AND n - l < size(rights)").select(
+        F.xxhash64("classes", "n", "l", F.expr("lefts[l]"), F.expr("rights[n - l]")).alias("way"), "mr_doc", "doc_id", "at", "words", F.expr("n = own AND NOT goes").alias("asks")
+    )
+    ways = stage(ways, "op4-ways")
+    pairs = _later(ways, "way", "at", "words").where("asks")
+    return pairs.select("mr_doc", "at", "words", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), F.col("keeper.words").alias("k_words")).distinct()
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(mr_doc, runs) of the documents from which something goes; runs: array of (first, last, keepers), the words
     from number first to before number last.
@@ -490,8 +518,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     (null last). Further, paragraphs that are equal, or whose sets of five-word shingles have a Jaccard similarity
     of THRESHOLD, are one class with all that they lead to. Adjoining paragraphs go if paragraphs of the same
     classes adjoin in an earlier document and they have PASSAGE_WORDS words, with the words beside them that are
-    equal there: in the earliest document that has such paragraphs and, where that matters, the nearest words on the
-    same side. Paragraphs that go word by word anyway need nothing more.
+    equal there, whichever of the earlier documents that is. Paragraphs that go word by word anyway need nothing more.
     """
     spark, docs = docs.sparkSession, _keyed(docs)
     whole = stage(map_texts(docs.select("mr_doc", F.col("doc_id").cast("long").alias("doc_id"), "text"), _unit_batches, _UNITS), "op4-units")
@@ -535,10 +562,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     unstage(whole, names, roots)
     _release(spark)
     same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
-    pairs = _later(chains, "chain", "at", "words").where("NOT goes").select("mr_doc", "at", "words", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), F.col("keeper.words").alias("k_words"))
-    pairs = stage(pairs.distinct(), "op4-near-pairs")
-    wanted = pairs.select("mr_doc", "at", "words").union(pairs.select("k_doc", "k_at", "k_words")).distinct()
-    contexts = stage(_contexts(docs, wanted, n_units // 8).join(wanted, ["mr_doc", "at", "words"], "left_semi").distinct(), "op4-contexts")
+    # Chains that several documents have, under a name that tells some of the words beside them, meet by classes.
+    several = chains.groupBy(F.col("chain").alias("c")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("goes").alias("all")).where("d0 <> d1 AND NOT all").select("c")
+    met = stage(chains.join(several, F.col("chain") == F.col("c"), "left_semi").drop("chain").distinct(), "op4-met")
+    wanted = met.select("mr_doc", "at", "words").distinct()
+    contexts = stage(_contexts(docs, wanted, n_units // 8).join(wanted, ["mr_doc", "at", "words"], "left_semi").dropDuplicates(["mr_doc", "at", "words"]), "op4-contexts")
+    pairs = stage(_partners(met, contexts), "op4-near-pairs")
     other = contexts.selectExpr("mr_doc AS k_doc", "at AS k_at", "words AS k_words", "before AS k_before", "after AS k_after")
     near = pairs.join(contexts, ["mr_doc", "at", "words"]).join(other, ["k_doc", "k_at", "k_words"]).selectExpr(
         "mr_doc", "at", "words", f"CAST({same('before', 'k_before')} AS int) AS left", f"CAST({same('after', 'k_after')} AS int) AS right", "keeper"
@@ -546,7 +575,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = near.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper")
     before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
     out = stage(_runs(before.union(near)), "op4-runs")
-    unstage(gone, chains, pairs, contexts)
+    unstage(gone, chains, met, pairs, contexts)
     return out
 
 

@@ -121,6 +121,29 @@ def test_changed_paragraphs_still_go(spark):
     assert sum(out[1000 + i] >= 100 for i in range(40)) >= 36 and not any(out[i] for i in range(40))
 
 
+@pytest.mark.parametrize("decoys", ["none", "one side", "both sides", "many"])
+def test_changed_passages_meet_every_earlier_holder(spark, decoys):
+    """Nearly equal paragraphs of 40 words with equal words beside them go if any earlier document has enough of these, whoever
+    has the paragraphs and some of the words before it."""
+    rng = random.Random(18)
+    rows, n = [], 40
+    for i in range(n):
+        own = [*shared_words(rng, 39, "bare"), f"end{rng.getrandbits(20)}."]
+        left, right = ["Ahead", *shared_words(rng, 6, "bare"), "stop."], shared_words(rng, 14, "bare")
+        # (id, words of the left side, words of the right side) that a document shares with the later one
+        holders = [(1000 + i, 0, 14)] if decoys in ("none", "one side") else [(1000 + i, 6, 6)]
+        holders += {"none": [], "one side": [(i, 0, 4)], "both sides": [(i, 8, 1), (500 + i, 1, 8)], "many": [(i + 40 * k, 2 + k % 3, 2 + k % 4) for k in range(10)]}[decoys]
+        for d, a, b in [(5000 + i, 8, 14), *holders]:
+            p = list(own)
+            if d != 5000 + i:
+                p[1] = f"changed{d if d < 1000 else ''}"
+            # The sentence before has words of its own enough, so that the paragraph begins at the same word.
+            before = [*shared_words(rng, 60, "prose"), "End.", *shared_words(rng, 8, "bare"), *(left[8 - a :] or [f"stop{d}."])]
+            rows.append((d, joined([*before, *p, *right[:b], f"own{d}", *shared_words(rng, 60, "prose")])))
+    out = {r["doc_id"]: r["mr_removed"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[5000 + i] >= 50 for i in range(n)) >= 38 and not any(x for d, x in out.items() if d < 5000), sorted(out.items())[-n:]
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
