@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from functools import cache
 from itertools import islice
 
 import duckdb
@@ -18,6 +20,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,12 +68,36 @@ SELECT CASE WHEN n = $rounds THEN n ELSE 0 END AS n, w, b, e, tok FROM s JOIN la
 DECODE = "SELECT unhex(string_agg(v.hex, '' ORDER BY b)) AS text FROM ids LEFT JOIN vocab v USING (tok) GROUP BY w ORDER BY w"
 
 
+def _ranges(chars: set[str]) -> str:
+    """Characters as the inside of a set of a pattern."""
+    at = sorted(map(ord, chars))
+    first = [x for x, y in zip(at, [None, *at]) if y is None or x != y + 1]
+    last = [x for x, y in zip(at, [*at[1:], None]) if y is None or y != x + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
+@cache
+def _as_library(pattern: str) -> tuple[re.Pattern | None, regex.Pattern]:
+    """(what finds a character that the pattern's classes hold in this process's tables of characters but not in the
+    library's, or the other way round; the pattern with the library's classes). The library is asked for every code point."""
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    ranks, odd = {bytes([i]): i for i in range(256)}, set()
+    for name in (r"\p{L}", r"\p{N}"):
+        theirs = set(bytes(tiktoken.Encoding("classes", pat_str=name, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)).decode())
+        ours = set(regex.findall(name, every))
+        if theirs != ours:
+            more, less = _ranges(theirs - ours), _ranges(ours - theirs)
+            pattern = pattern.replace(name, "[" + (f"[{name}{more}]" if more else name) + (f"--[{less}]" if less else "") + "]")
+            odd |= theirs ^ ours
+    return (re.compile(f"[{_ranges(odd)}]") if odd else None), regex.compile(pattern, regex.V1)
+
+
 class Codec:
     """A vocabulary in a DuckDB database of this process, and the pieces met so far."""
 
     def __init__(self, ranks_file: bytes, pattern: str = PATTERN):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_file.splitlines()) if t}
-        self.split = regex.compile(pattern)
+        self.plain, (self.odd, self.exact) = regex.compile(pattern), _as_library(pattern)
         self.name = [b"%d" % i for i in range(len(self.ranks))]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -196,12 +223,16 @@ class Codec:
         ends = np.cumsum(-(-lens // DECODED)).tolist()
         return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends)]
 
+    def split(self, text: str) -> regex.Pattern:
+        """The pattern for a text: the plain one is faster, and the same where no character is in doubt."""
+        return self.exact if not text.isascii() and self.odd and self.odd.search(text) else self.plain
+
     def pieces(self, text: str):
         """Lists of the pieces of a text: one list, or of a very long text one for each stretch of it."""
         if len(text) <= STREAM_CHARS:
-            yield self.split.findall(text)
+            yield self.split(text).findall(text)
             return
-        found = (m.group() for m in self.split.finditer(text))
+        found = (m.group() for m in self.split(text).finditer(text))
         while part := list(islice(found, BLOCK_CHARS // 8)):
             yield part
 
@@ -214,7 +245,7 @@ class Codec:
                 chars += len(texts[to])
                 to += 1
             if chars <= STREAM_CHARS:
-                split = [self.split.findall(t) for t in texts[at:to]]
+                split = [self.split(t).findall(t) for t in texts[at:to]]
                 self.learn(p for s in split for p in s)
                 for s in split:
                     yield self._digest([s], ids)

@@ -76,6 +76,16 @@ def codec():
         return op1_bpe.Codec(f.read())
 
 
+def test_bpe_classes_are_the_library_s(codec):
+    """Every code point that the two libraries class differently, and others, beside letters, digits and themselves."""
+    enc, rng = encoding("byte_bpe_50k"), random.Random(21)
+    odd = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and codec.odd and codec.odd.match(c)]
+    chars = odd + [chr(rng.randrange(128, 0xD800)) for _ in range(1500)] + [chr(rng.randrange(0xE000, 0x110000)) for _ in range(1500)]
+    texts = ["".join(f"x{c}y {c}{c} 1{c}" for c in chars[i : i + 300]) for i in range(0, len(chars), 300)]
+    for t, (_, _, _, ids) in zip(texts, codec.texts(texts, True)):
+        assert list(ids) == enc.encode_ordinary(t)
+
+
 def unspaced(kind):
     rng = random.Random(20)
     if kind == "chinese":
