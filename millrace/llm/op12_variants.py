@@ -235,9 +235,9 @@ class Neighbours:
             word, own, a, b = word[same], own[same], a[same] + 1, b[same] + 1
 
 
-def shards(words: DataFrame, most: int = SHARD_WORDS) -> DataFrame:
-    """(shard, trie): words (word, n) in their order, ``most`` at most in a shard, each made into a trie where its words lie."""
-    n = max(1, -(-words.count() // most))
+def shards(words: DataFrame, n_words: int, most: int = SHARD_WORDS) -> DataFrame:
+    """(shard, trie): n_words words (word, n) in their order, ``most`` at most in a shard, each made into a trie where its words lie."""
+    n = max(1, -(-n_words // most))
 
     def run(batches):
         held: list[tuple[str, int]] = []
@@ -294,11 +294,14 @@ def meet(words: DataFrame, tries) -> DataFrame:
 
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(word, n_near, best_n, best) of the words (word, n) that have a neighbour. Every word meets every shard."""
-    spark, made, parts = words.sparkSession, shards(words, shard_words), []
+    spark, n_words, parts = words.sparkSession, words.count(), []
+    made = shards(words, n_words, shard_words)
+    # Neighbours in the order go down the tries together. There are as many tasks as the work asks for, not as the words' bytes do.
+    dealt = words.select("word").repartitionByRange(max(1, -(-n_words // (4 * TOGETHER))), "word").sortWithinPartitions("word")
     for group in groups(made, broadcast_bytes):
         rows = made.where(F.col("shard").isin(group)).orderBy("shard").collect()
         tries = spark.sparkContext.broadcast([pickle.loads(r["trie"]) for r in rows])
-        parts.append(stage(meet(words, tries), "near"))
+        parts.append(stage(meet(dealt, tries), "near"))
         tries.destroy()
     if not parts:
         return words.select("word", F.lit(0).cast("long").alias("n_near"), F.col("n").alias("best_n"), F.col("word").alias("best")).where("false")
