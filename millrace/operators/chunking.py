@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.params import CHUNK_OVERLAP, CHUNK_WORDS
+from millrace.functions.staging import stage
 from millrace.functions.tables import map_texts
 from millrace.functions.text import words
 
 #: Documents whose running totals are summed in one task.
 BUCKET = 4096
+#: Words of a slice of a file that are held before windows are made of them.
+HELD_WORDS = 1 << 16
 
 
 def n_windows(n: Column, size: int, overlap: int) -> Column:
@@ -129,6 +132,78 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return map_texts(rows, run, kind)
 
 
+#: Slices of files whose first words' numbers go to every task: 24 bytes each, so 48 MB.
+MOST_SLICES = 2_000_000
+
+
+def chunk_files(spark: SparkSession, path: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None, sep: str = "\n") -> DataFrame:
+    """Chunks of the text files under a path (UTF-8): (path, seq, start_word, end_word, page: null, text), the same as ``chunk_documents`` makes
+    of each file's text; but no row, task or worker ever holds a file.
+
+    Spark cuts files into slices at ``sep``, a character at which no word goes on (give a blank for files without line ends). A
+    first pass counts the words of each slice, so that the second knows at which word each begins. It makes the windows that lie
+    in its slice whole; of those that run over an end it passes on its part, and the parts meet by file and window.
+    """
+    _check(size, overlap)
+    stride = size - overlap
+    found = spark.read.option("lineSep", sep).text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    rows = found.select(F.col("file_path").alias("path"), F.xxhash64("file_path", "file_block_start").alias("slice"), F.col("file_block_start").alias("at"), "value")
+
+    def count(batches):
+        for batch in batches:
+            n = [len(t.split()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["path", "slice", "at", "n"])
+
+    counted = map_texts(rows, count, "path string, slice long, at long, n long").groupBy("path", "slice", "at").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("path").orderBy("at")
+    slices = stage(counted.select("slice", (F.sum("n").over(w) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy("path")).alias("total")), "slices")
+    if slices.count() > MOST_SLICES:
+        raise ValueError("too many slices: read fewer files at once, or raise spark.sql.files.maxPartitionBytes")
+
+    def cut(batches):
+        """Rows of a slice come together and in order. Its words are held as far as windows that aren't done need them."""
+        now, word, held, first, path, total = None, 0, [], 0, None, 0
+
+        def windows(last: bool):
+            """Of the windows that have words among those held, all that end there; at the slice's end the others' parts too."""
+            nonlocal held, first
+            out, k = [], max(0, -((size - first - 1) // stride) if first >= size else 0)
+            n = _count(total, size, overlap, cap)
+            while k < n and k * stride < first + len(held):
+                start, end = k * stride, min(k * stride + size, total)
+                if end > first + len(held) and not last:
+                    break
+                if end > first:
+                    part = held[max(0, start - first) : end - first]
+                    out.append((path, k, start, end, max(start, first), " ".join(part)))
+                k += 1
+            # The next window's words stay; those before it are done with.
+            keep = max(0, min(len(held), k * stride - first))
+            held, first = held[keep:], first + keep
+            return out
+
+        def batch_of(out):
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["path", "seq", "start_word", "end_word", "part", "text"])
+
+        for batch in batches:
+            for p, s, t, base, whole in zip(*(batch.column(c).to_pylist() for c in ("path", "slice", "value", "base", "total"))):
+                if s != now:
+                    if now is not None and (out := windows(True)):
+                        yield batch_of(out)
+                    now, held, first, path, total = s, [], base, p, whole
+                held += t.split()
+                if len(held) > HELD_WORDS and (out := windows(False)):
+                    yield batch_of(out)
+        if now is not None and (out := windows(True)):
+            yield batch_of(out)
+
+    placed = rows.join(F.broadcast(slices), "slice").select("path", "slice", "value", "base", "total")
+    parts = map_texts(placed, cut, "path string, seq int, start_word int, end_word int, part long, text string")
+    met = parts.groupBy("path", "seq", "start_word", "end_word").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"))
+    return met.select("path", "seq", "start_word", "end_word", F.lit(None).cast("int").alias("page"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+
+
 def chunk_pages(pages: DataFrame, key: str, page: str, text: str = "text", size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, cap: int | None = None) -> DataFrame:
     """Chunks of documents given page by page; windows run over page ends."""
     listed = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).cast("int").alias("page"), words(F.col(text)).alias("w")))).alias("p"))

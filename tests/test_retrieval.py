@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import html_words, terms, words
 from millrace.operators import answers, dense, metrics, spectral
-from millrace.operators.chunking import chunk_documents, chunk_pages, chunk_words, number_chunks
+from millrace.operators.chunking import chunk_documents, chunk_files, chunk_pages, chunk_words, number_chunks
 from millrace.operators.lexical import LexicalIndex
 from millrace.operators.ranking import fuse, top_k
 from millrace.operators.search import Corpus
@@ -45,6 +45,31 @@ def test_stream_of_a_thousand_words(spark):
     assert chunk_documents(df, cap=5).count() == 5
 
 
+def test_files_in_slices(spark, tmp_path):
+    """Files of all sizes, cut into slices anywhere: the same chunks as of the whole texts."""
+    rng = random.Random(4)
+    texts = {}
+    for i in range(12):
+        n = (0, 1, 7, 149, 150, 151, 270, 271, 5000, 20_000, 3, 60_000)[i]
+        words = [rng.choice(["a", "bb", "é" * 9, "x\ty"]) + str(k) for k in range(n)]
+        texts[i] = "".join(w + rng.choice([" ", " ", "  ", "\n", "\n\n"]) for w in words)
+        (tmp_path / f"{i}.txt").write_text(texts[i])
+    (tmp_path / "12.txt").write_text(texts.setdefault(12, " ".join(f"w{k}" for k in range(30_000))))  # one line
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, overlap, cap, most, sep in ((150, 30, None, "20k", "\n"), (150, 30, 40, "3k", " "), (7, 5, None, "50k", " "), (4, 0, None, "1m", "\n")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            out = chunk_files(spark, str(tmp_path), size, overlap, cap, sep)
+            got = {}
+            for r in out.collect():
+                got.setdefault(int(r["path"].rsplit("/")[-1][:-4]), []).append((r["seq"], (r["start_word"], r["end_word"], r["text"])))
+            for i, t in texts.items():
+                want = brute_windows(t.split(), size, overlap)[:cap]
+                assert [x for _, x in sorted(got.get(i, []))] == want, (i, size, most)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_pages(spark):
     rows = [(1, p, " ".join(f"p{p}w{j}" for j in range(40))) for p in range(1, 101)]
     out = sorted(chunk_pages(spark.createDataFrame(rows, "d long, p long, text string"), "d", "p").collect(), key=lambda r: r["seq"])
