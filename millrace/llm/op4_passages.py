@@ -36,9 +36,8 @@ UNIT_WORDS, LONG_SENTENCE, SHINGLE = 8, 48, 5  # a paragraph has at most 8 + 48
 #: Bands of rows: two paragraphs at the threshold of 0.8 meet with a chance of 0.95, at 0.9 with 0.99.
 BANDS, ROWS, THRESHOLD = 3, 2, 0.8
 #: Words that a repeated passage has to have. Its first and last sentences may have grown together with the text
-#: around them: up to CONTEXT words on either side of the paragraphs, as many as a paragraph has at most, are compared
-#: one by one.
-PASSAGE_WORDS, CONTEXT = 50, UNIT_WORDS + LONG_SENTENCE
+#: around them: words on either side of the paragraphs are compared, as many as may be lacking.
+PASSAGE_WORDS = 50
 BLOCK = 256
 #: A bitmap has 16 bits for each of its members, and 2^LEAST_BITS to 2^MOST_BITS (32 MB) in all: with many more
 #: members it lets more through to the joins.
@@ -49,6 +48,8 @@ WINDOW = 32
 STEP, MOST_UNITS = PASSAGE_WORDS - WINDOW + 1, -(-PASSAGE_WORDS // UNIT_WORDS)
 #: Words up to which a chain of paragraphs needs more than four words on one side; see _chains.
 SURELY, MARGIN = PASSAGE_WORDS - 9, 6
+#: Words by which chains of the same classes may differ in length: at the threshold, 50 words and a fifth of them less.
+SPREAD = 12
 #: Makes one number of a place in a document and a number of words.
 PLACE = 2654435761
 
@@ -56,6 +57,7 @@ _CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
 _WORD = re.compile(rb"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+_GROWING = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(PASSAGE_WORDS)], np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -393,30 +395,42 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
-    """(mr_doc, at, words, before, after, lefts, rights): of ``wanted`` (mr_doc, at, words) and a few others, CRCs of up to CONTEXT words
-    before and after; lefts and rights have a hash of none, one, two and so on of these words together."""
-    kind = "mr_doc long, at int, words int, before array<int>, after array<int>, lefts array<bigint>, rights array<bigint>"
-    arrow = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
-    def growing(words: list[int]) -> list[int]:
-        out = [0]
-        for w in words[: PASSAGE_WORDS - UNIT_WORDS]:
-            out.append(((out[-1] ^ w) * PLACE + 1) % (1 << 61))
-        return out
+    """(mr_doc, at, words, lefts, rights): of ``wanted`` (mr_doc, at, words) and a few others; lefts and rights have a hash of none, one,
+    two and so on of the nearest words on that side together, of as many as a chain of the same classes may lack, if it has up
+    to SPREAD words less."""
+    kind = "mr_doc long, at int, words int, lefts array<int>, rights array<int>"
+
+    def growing(words: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum((words.astype(np.uint64) + np.uint64(1)) * _GROWING[: len(words)])])
+        return (total >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        made = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))]
+        for x in columns[3:]:
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in x], dtype=np.int64)]).astype(np.int32)
+            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *x]))))
+        return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in kind.split(", ")])
 
     def run(part, pairs):
         rows = []
         for doc, t in zip(part.column(0).to_pylist(), part.column(2).cast(pa.large_binary())):
             cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes())]
-            words = [x for u in cut for x in u]
             starts = np.cumsum([0, *map(len, cut)])
+            chosen = []
             for k in range(1, MOST_UNITS + 1):
                 at, n = starts[:-k], starts[k:] - starts[:-k]
-                for i in np.nonzero(_in(pairs, (at * PLACE + n).view(np.uint64) ^ np.uint64(doc & (1 << 64) - 1)))[0].tolist():
-                    a, b = int(at[i]), int(at[i] + n[i])
-                    left, right = [crc32(x) - (1 << 31) for x in words[max(0, a - CONTEXT) : a][::-1]], [crc32(x) - (1 << 31) for x in words[b : b + CONTEXT]]
-                    rows.append((doc, a, b - a, left, right, growing(left), growing(right)))
-        yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
+                chosen += [(int(at[i]), int(n[i])) for i in np.nonzero(_in(pairs, (at * PLACE + n).view(np.uint64) ^ np.uint64(doc & (1 << 64) - 1)))[0].tolist()]
+            if not chosen:
+                continue
+            crc = np.fromiter((crc32(x) for u in cut for x in u), np.int64, int(starts[-1]))
+            for a, n in chosen:
+                room = min(PASSAGE_WORDS - 1, max(0, PASSAGE_WORDS - n) + SPREAD)
+                rows.append((doc, a, n, growing(crc[max(0, a - room) : a][::-1]), growing(crc[a + n : a + n + room])))
+                if len(rows) == 4096:
+                    yield out(rows)
+                    rows = []
+        yield out(rows)
 
     return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), members, run, kind)
 
@@ -491,23 +505,35 @@ def _later(rows: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _partners(met: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(mr_doc, at, words, keeper, k_doc, k_at, k_words): for chains (met: classes, mr_doc, doc_id, at, words, goes) that don't go yet, the
-    earliest documents that have the same classes and beside them equal words that make PASSAGE_WORDS together.
+    """(mr_doc, first, last, keeper): of chains (met: classes, mr_doc, doc_id, at, words, goes) that don't go yet, stretches of PASSAGE_WORDS words and
+    more that an earlier document has with the same classes and beside them equal words.
 
     A chain that lacks n words has them as l on its left and n - l on its right, for some l. Each of these n + 1 ways is a
     key, so that every stretch of PASSAGE_WORDS words around a chain meets the earliest of all documents that have it,
-    however many have the chain.
+    however many have the chain. Chains with the same words beside them as far as may matter are one for this: the earliest
+    stands for all.
     """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", "at").alias("rep")
+    here = met.join(contexts, ["mr_doc", "at", "words"]).withColumn("beside", F.xxhash64("lefts", "rights"))
+    group = ["classes", "words", "beside"]
+    reps = stage(here.groupBy(*group).agg(F.min(order).alias("rep"), F.bool_or(~F.col("goes")).alias("asks"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")), "op4-reps")
     lack = F.greatest(F.lit(0), PASSAGE_WORDS - F.col("words"))
-    lacking = met.where("NOT goes").groupBy("classes").agg(F.collect_set(lack).alias("lacks"))
-    here = met.join(lacking, "classes").join(contexts.select("mr_doc", "at", "words", "lefts", "rights"), ["mr_doc", "at", "words"])
-    ways = here.select("*", F.explode("lacks").alias("n"), lack.alias("own")).select("*", F.explode(F.expr("sequence(0, n)")).alias("l"))
+    lacking = reps.where("asks").groupBy("classes").agg(F.collect_set(lack).alias("lacks"))
+    ways = reps.join(lacking, "classes").select("*", F.explode("lacks").alias("n"), lack.alias("own")).select("*", F.explode(F.expr("sequence(0, n)")).alias("l"))
     ways = ways.where("l < size(lefts) AND n - l < size(rights)").select(
-        F.xxhash64("classes", "n", "l", F.expr("lefts[l]"), F.expr("rights[n - l]")).alias("way"), "mr_doc", "doc_id", "at", "words", F.expr("n = own AND NOT goes").alias("asks")
+        F.xxhash64("classes", "n", "l", F.expr("lefts[l]"), F.expr("rights[n - l]")).alias("way"), *group, "rep", F.expr("n = own AND asks").alias("asking")
     )
     ways = stage(ways, "op4-ways")
-    pairs = _later(ways, "way", "at", "words").where("asks")
-    return pairs.select("mr_doc", "at", "words", F.col("keeper.doc_id").alias("keeper"), F.col("keeper.mr_doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), F.col("keeper.words").alias("k_words")).distinct()
+    kept = ways.groupBy(F.col("way").alias("w")).agg(F.min("rep").alias("keeper"), F.max("rep").alias("last")).where("keeper <> last").select("w", "keeper")
+    pairs = ways.where("asking").join(kept, F.col("way") == F.col("w")).where("rep.mr_doc <> keeper.mr_doc").select(*group, "keeper").distinct()
+    # How far the words beside both agree.
+    same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 2, least(size({a}), size({b})) - 1)"
+    other = reps.select("classes", F.col("rep").alias("keeper"), F.col("lefts").alias("k_lefts"), F.col("rights").alias("k_rights"))
+    met_pairs = pairs.join(reps.select(*group, "lefts", "rights"), group).join(other, ["classes", "keeper"])
+    far = met_pairs.selectExpr(*group, "keeper", f"CAST({same('lefts', 'k_lefts')} AS int) AS left", f"CAST({same('rights', 'k_rights')} AS int) AS right")
+    far = far.union(reps.where("asks").selectExpr(*group, "rep AS keeper", "size(lefts) - 1", "size(rights) - 1"))
+    asking = here.where("NOT goes").select("mr_doc", "at", *group).join(far, group).where("mr_doc <> keeper.mr_doc")
+    return asking.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper.doc_id AS keeper")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -561,21 +587,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     chains = stage(_chains(classed, gone), "op4-chains")
     unstage(whole, names, roots)
     _release(spark)
-    same = lambda a, b: f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x IS NOT NULL AND y IS NOT NULL AND x = y), false), 0) - 1, size({a}))"
     # Chains that several documents have, under a name that tells some of the words beside them, meet by classes.
     several = chains.groupBy(F.col("chain").alias("c")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("goes").alias("all")).where("d0 <> d1 AND NOT all").select("c")
     met = stage(chains.join(several, F.col("chain") == F.col("c"), "left_semi").drop("chain").distinct(), "op4-met")
     wanted = met.select("mr_doc", "at", "words").distinct()
     contexts = stage(_contexts(docs, wanted, n_units // 8).join(wanted, ["mr_doc", "at", "words"], "left_semi").dropDuplicates(["mr_doc", "at", "words"]), "op4-contexts")
-    pairs = stage(_partners(met, contexts), "op4-near-pairs")
-    other = contexts.selectExpr("mr_doc AS k_doc", "at AS k_at", "words AS k_words", "before AS k_before", "after AS k_after")
-    near = pairs.join(contexts, ["mr_doc", "at", "words"]).join(other, ["k_doc", "k_at", "k_words"]).selectExpr(
-        "mr_doc", "at", "words", f"CAST({same('before', 'k_before')} AS int) AS left", f"CAST({same('after', 'k_after')} AS int) AS right", "keeper"
-    )
-    near = near.where(f"left + words + right >= {PASSAGE_WORDS}").selectExpr("mr_doc", "at - left AS first", "at + words + right AS last", "keeper")
+    near = stage(_partners(met, contexts), "op4-near")
     before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
     out = stage(_runs(before.union(near)), "op4-runs")
-    unstage(gone, chains, met, pairs, contexts)
+    unstage(gone, chains, met, near, contexts)
     return out
 
 
