@@ -60,8 +60,9 @@ CLOSES = {
 DEEPEST = 400
 #: The most columns and rows that a cell spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: A table of over 64 kB that would have more blanks than this for a character isn't aligned.
-MOST_BLANKS = 16
+#: A table that would have more blanks than this for a character isn't aligned. Blanks before the lines of lists in lists, at
+#: two a level: what lies deeper stands under the last of these.
+MOST_BLANKS, MOST_INDENT = 16, 24
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?")
@@ -86,6 +87,8 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
         self.display, self.visible = tag not in HIDDEN and tag not in UNDRAWN, None
+        if tag == "object" and "data" not in self.attrs:
+            self.display = True  # there is nothing to draw but what stands in its place
         if tag == "dialog" and "open" not in self.attrs or "hidden" in self.attrs:
             self.display = False
         if "style" in self.attrs:
@@ -369,7 +372,7 @@ def _table(element: Element, seen: bool) -> list[str]:
         left.append(left[-1] + (w + 2 if w else 0))
     # Blanks that would be many times the text aren't worth their room.
     blanks = sum(left[c[0]] for r in placed for c in r[-1:] for _ in c[2])
-    if blanks > 1 << 16 and blanks > MOST_BLANKS * sum(len(line) for r in placed for c in r for line in c[2]):
+    if blanks > MOST_BLANKS * sum(len(line) for r in placed for c in r for line in c[2]):
         placed = [[(0, 0, ["  ".join(line for c in r for line in c[2] if line)])] if r else [] for r in placed]
     for r in placed:
         for k in range(max((len(c[2]) for c in r), default=0)):
@@ -404,12 +407,29 @@ def _options(select: Element) -> list[Element]:
 _TEXTLESS = frozenset("hidden password checkbox radio file range color image".split())
 
 
+def _marker(n: int, kind: str) -> str:
+    """The number of an item in a list of a type: letters and Roman numerals as far as there are some."""
+    out, m = "", n
+    if kind in ("a", "A") and n > 0:
+        while m:
+            m, letter = divmod(m - 1, 26)
+            out = chr(97 + letter) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, m = out + sign * (m // value), m % value
+    else:
+        return str(n)
+    return out.upper() if kind.isupper() else out
+
+
 def render(element: Element, w: _Writer | None = None, pre: bool = False, seen: bool = True) -> str:
     """All visible text of an element; ``seen``: whether its own text is, apart from that of elements in it which say so
     themselves."""
     top = w is None
     w = w or _Writer()
-    number = _number(element.attrs.get("start"), 1) - 1 if element.tag == "ol" else 0
+    step = -1 if "reversed" in element.attrs else 1
+    first = sum(not isinstance(c, str) and c.tag == "li" for c in element.children) if step < 0 else 1
+    number = _number(element.attrs.get("start"), first) - step if element.tag == "ol" else 0
     for c in element.children:
         if isinstance(c, str):
             if seen:
@@ -445,10 +465,10 @@ def render(element: Element, w: _Writer | None = None, pre: bool = False, seen:
             w.end(spaced)
             old = w.indent
             if tag == "li":
-                number = _number(c.attrs.get("value"), number + 1)
-                w.mark = "" if not shown else f"{number}. " if element.tag == "ol" else "- "
+                number = _number(c.attrs.get("value"), number + step)
+                w.mark = "" if not shown else f"{_marker(number, c.attrs.get('type') or element.attrs.get('type', ''))}. " if element.tag == "ol" else "- "
             elif nested or tag in ("dd", "blockquote"):
-                w.indent += "  "
+                w.indent = (w.indent + "  ")[:MOST_INDENT]
             render(c, w, pre or tag == "pre" or tag in SHOWN_RAW, shown)
             w.end(spaced)
             w.indent = old

@@ -157,6 +157,11 @@ def test_changed_passages_meet_every_earlier_holder(spark, decoys):
         ("a<dialog open>b</dialog>c", "a\nb\nc"),
         ("a<dialog>b</dialog>c", "ac"),
         ('<table><tr><td colspan="²">a<td>b</table>', "a  b"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=9 type=A><li>a<li>b</ol>", "I. a\nH. b"),
+        ("<ol type=i start=3><li>a<li>b<li type=a value=28>c</ol>", "iii. a\niv. b\nab. c"),
+        ("<ol type=I start=0><li>a<li>b</ol>", "0. a\nI. b"),
+        ("a<object>in its place</object><object data=x>no</object>", "ain its place"),
         ('<ol start="--5"><li>a</ol>', "1. a"),
         ('<ol start=" 7x"><li>a<li value=9>b<li>c</ol>', "7. a\n9. b\n10. c"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
@@ -262,6 +267,17 @@ def overlaps(rows):
     return False
 
 
+def test_deep_lists_and_sparse_tables_are_bounded():
+    page = "<ul><li>x" * 110_000
+    text = html_to_text(page)
+    assert len(text) < 4 * len(page) and text.count("x") == 110_000 and text.startswith("- x\n  - x\n    - x")
+    # One rule at every size: mostly blanks isn't aligned.
+    for n in (40, 4000):
+        sparse = f"<table><tr><td>{'wide ' * n}<td>a" + "<tr><td><td>b" * 40 + "</table>"
+        assert len(html_to_text(sparse)) < 3 * len(sparse)
+    assert html_to_text("<table><tr><td>name<td>n<tr><td>x<td>1</table>") == "name  n\nx     1"
+
+
 def repeated_words(rows, n=50):
     """{document: numbers of its words that lie in n words in a row which an earlier document has too}, by brute force."""
     first, out = {}, {}
