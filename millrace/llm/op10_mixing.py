@@ -17,6 +17,8 @@ from millrace.llm.common import hash60, partitions, shielded, stage, table
 
 #: Bytes that a partition of the shuffled output should hold at most.
 PART_BYTES = 128 << 20
+#: Tables of all sources together that go to every task; beyond, rows of a source are dealt into SALTS joins.
+BROADCAST_BYTES, SALTS = 64 << 20, 64
 #: Copies of a document that one task makes.
 COPIES = 256
 
@@ -89,15 +91,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     repeated rows get the same. A null doc_id counts as an id of its own; a null source is a source; a null
     text has no bytes. An empty table gives an empty one.
 
-    A document of very many copies is dealt out to other tasks, COPIES at a time, before they are made.
+    Tables of up to BROADCAST_BYTES in all go to every task; larger ones meet documents by source and a hash of the id, so
+    that no source lies in one task. A document of very many copies is dealt out to other tasks, COPIES at a time, before they are made.
     """
     spark = docs.sparkSession
     rates = source_rates(docs, weights, budget).where("rate > 0").select(F.col("source").alias("mr_source"), "n_bytes", "rate")
     tabled = stage(with_tables(rates), "op10-rates")
-    facts = tabled.agg(F.sum(F.col("n_bytes") * F.col("rate")), F.max(F.col("mr_least") + F.size("mr_cdf"))).first()
+    facts = tabled.agg(F.sum(F.col("n_bytes") * F.col("rate")), F.max(F.col("mr_least") + F.size("mr_cdf")), F.sum(8 * F.size("mr_cdf") + 64)).first()
     n = max(partitions(spark), int((facts[0] or 0) // PART_BYTES) + 1)
     u = hash60(str(seed), "copies", F.col("doc_id")) / float(1 << 60)
-    counted = docs.join(tabled.select("mr_source", "mr_least", "mr_cdf"), F.expr("source <=> mr_source")).withColumn("n_copies", poisson_count(u)).drop("mr_source", "mr_least", "mr_cdf")
+    tables = tabled.select("mr_source", "mr_least", "mr_cdf")
+    if (facts[2] or 0) <= BROADCAST_BYTES:
+        met = docs.join(F.broadcast(tables), F.expr("source <=> mr_source"))
+    else:
+        salted = docs.withColumn("mr_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        met = salted.join(tables.withColumn("mr_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), F.expr("source <=> mr_source AND mr_salt = mr_s")).drop("mr_salt", "mr_s")
+    counted = met.withColumn("n_copies", poisson_count(u)).drop("mr_source", "mr_least", "mr_cdf")
     counted = counted.where("n_copies > 0")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))
     if (facts[1] or 0) <= COPIES:

@@ -73,6 +73,9 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(n * sign).cast("long").alias("n_docs"), F.sum(n * delta).cast("long").alias("n_tokens"))
 
 
+FOLDED = "batch string, folder string"
+
+
 class Ledger:
     """Committed deltas in a folder, one batch each, and totals that are their sum.
 
@@ -124,8 +127,9 @@ class Ledger:
             self._fs.delete(self._at(f"{self.path}/{folder}"), True)
             return False
 
-    def _folded(self, base: str | None) -> list[str]:
-        return [r[0] for r in self.spark.read.parquet(f"{self._rows_of(base)}/batches").collect()] if base else []
+    def _folded(self, base: str | None) -> dict[str, str]:
+        """The batches in a base, each with the folder that its rows were in."""
+        return dict(map(tuple, self.spark.read.schema(FOLDED).parquet(f"{self._rows_of(base)}/batches").collect())) if base else {}
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
@@ -140,8 +144,14 @@ class Ledger:
             return False
         folder = f"rows-{uuid.uuid4().hex}"
         signed(changes).write.parquet(f"{self.path}/{folder}")
-        # If the same batch was committed and folded meanwhile, its id is in the base's list, and this file doesn't count.
-        return self._put(folder, f"batch-{batch}")
+        if not self._put(folder, f"batch-{batch}"):
+            return False
+        # If another commit of the batch was folded between the look and the rename, the base lists that one's rows.
+        if self._folded(self._listed()[0]).get(batch, folder) == folder:
+            return True
+        self._fs.delete(self._at(f"{self.path}/batch-{batch}"), False)
+        self._fs.delete(self._at(f"{self.path}/{folder}"), True)
+        return False
 
     def _sum(self, base: str | None, names: list[str]) -> DataFrame:
         parts = ([f"{self._rows_of(base)}/totals"] if base else []) + [self._rows_of(f"batch-{n}") for n in names]
@@ -153,20 +163,21 @@ class Ledger:
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) of all batches; keys of which nothing is left are absent."""
         base, names = self._listed()
-        inside = set(self._folded(base))
+        inside = self._folded(base)
         return self._sum(base, [n for n in names if n not in inside])
 
     def fold(self) -> bool:
         """Sum the batches that are committed now into a new base, so that totals read one table. Batches may be
         committed meanwhile: they aren't in the base's list, and count beside it. False if another fold came first."""
         base, names = self._listed()
-        inside = set(self._folded(base))
+        inside = self._folded(base)
         names = [n for n in names if n not in inside]
         if not names:
             return True
         folder = f"rows-{uuid.uuid4().hex}"
         self._sum(base, names).write.parquet(f"{self.path}/{folder}/totals")
-        self.spark.createDataFrame([(i,) for i in sorted({*inside, *names})], "batch string").write.parquet(f"{self.path}/{folder}/batches")
+        listed = inside | {n: self._rows_of(f"batch-{n}").rpartition("/")[2] for n in names}
+        self.spark.createDataFrame(sorted(listed.items()), FOLDED).write.parquet(f"{self.path}/{folder}/batches")
         if not self._put(folder, f"base-{int(base.split('-')[1]) + 1 if base else 0:09d}"):
             return False
         gone = [f"batch-{n}" for n in names] + ([base] if base else [])
@@ -175,6 +186,17 @@ class Ledger:
             self._fs.delete(self._at(rows), True)
         return True
 
+    def clean(self) -> None:
+        """Delete what commits and folds that broke off have left: rows that no file names, and files of batches that the
+        base has. Nothing may write meanwhile."""
+        base, names = self._listed()
+        inside = self._folded(base)
+        files = [f"batch-{n}" for n in names if n not in inside] + ([base] if base else [])
+        keep = {*files, *(self._rows_of(f).rpartition("/")[2] for f in files)}
+        for s in self._fs.listStatus(self._at(self.path)):
+            if s.getPath().getName() not in keep:
+                self._fs.delete(s.getPath(), True)
+
     def remove(self) -> None:
         """Delete the folder with all that is in it."""
         self._fs.delete(self._at(self.path), True)

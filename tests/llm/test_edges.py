@@ -245,6 +245,44 @@ def test_ledger_while_it_folds(spark, tmp_path):
     assert not (tmp_path / "ledger").exists()
 
 
+def test_ledger_of_a_batch_that_was_folded_meanwhile(spark, tmp_path):
+    """The second commit of a batch says that it did nothing, though the file of the first is gone again; what broken-off
+    writers leave is removed, and nothing else."""
+    kind = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
+    add = lambda n: spark.createDataFrame([("insert", "a", "en", "1", n, None)], kind)
+    led = Ledger(spark, str(tmp_path / "ledger"))
+
+    class Late(Ledger):
+        def _put(self, folder, name):
+            if name.startswith("batch-"):
+                assert led.commit("b1", add(5)) and led.fold()
+            return super()._put(folder, name)
+
+    assert not Late(spark, led.path).commit("b1", add(5))
+    assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 1, 5)]
+
+    class Dies(Ledger):
+        def _put(self, folder, name):
+            raise OSError("lost before the rename")
+
+    with pytest.raises(OSError):
+        Dies(spark, led.path).commit("b2", add(7))
+    assert led.commit("b3", add(20))
+    left = {p.name for p in (tmp_path / "ledger").iterdir() if not p.name.startswith(".")}
+    led.clean()
+    kept = {p.name for p in (tmp_path / "ledger").iterdir() if not p.name.startswith(".")}
+    assert len(left) == len(kept) + 1 and kept < left and led.batches() == ["b1", "b3"]
+    assert [tuple(r) for r in led.totals().collect()] == [("a", "en", "1", 2, 25)]
+
+
+def test_mixing_with_large_tables(docs, monkeypatch):
+    """Tables beyond the size that is broadcast give the same rows."""
+    small = sorted(map(str, mix(docs, budget=3000).drop("kept").collect()))
+    monkeypatch.setattr("millrace.llm.op10_mixing.BROADCAST_BYTES", 0)
+    out = mix(docs, budget=3000)
+    assert sorted(map(str, out.drop("kept").collect())) == small and "mr_salt" not in out.columns
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_mixing(request, which):
     df = request.getfixturevalue(which)
