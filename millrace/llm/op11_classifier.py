@@ -133,7 +133,7 @@ def context_sums(texts: DataFrame) -> np.ndarray:
     dealt = parts.repartition(min(partitions(texts.sparkSession), BUCKETS // ROWS), "part").sortWithinPartitions("part")
     out = np.zeros((BUCKETS, DIMS + 1), np.int64)
     # As many rows as the table has parts, whatever the corpus: 17 MB in all.
-    for r in dealt.mapInArrow(_added, "part int, sums binary").toLocalIterator():
+    for r in dealt.mapInArrow(_added, "part int, sums binary").collect():
         out[r["part"] * ROWS : (r["part"] + 1) * ROWS] = np.frombuffer(r["sums"], np.int64).reshape(ROWS, DIMS + 1)
     return out
 

@@ -406,6 +406,30 @@ def test_vectors_against_all_pairs(spark):
     assert np.mean([out[i]["component_id"] == root[i] for i in range(700)]) > 0.99
 
 
+def test_vectors_near_the_threshold(spark):
+    """Thousands of vectors, planted pairs around the threshold, and a crowd: nothing under it is linked, and of what reaches it
+    nearly all is, also just above it."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(1500):
+        away = rng.standard_normal(64)
+        away -= (away @ x[k]) * x[k]
+        c = rng.uniform(0.915, 0.955)
+        x[3000 + k] = c * x[k] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    x[5600:] = x[5600] + rng.standard_normal((400, 64)) * 0.03
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    labels = rng.integers(0, 10, 6000)
+    labels[3000:4500], labels[5600:] = labels[:1500], 3
+    s = x @ x.T
+    near = (s >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(6000, dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    found = np.array([r[1] for r in sorted((r["vec_id"], r["n_links"]) for r in op5_vectors.vector_groups(df).collect())])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum()
+    just = [k for k in range(1500) if 0.93 <= s[k, 3000 + k] < 0.935]
+    assert len(just) > 100 and np.mean(found[just] > 0) >= 0.97
+
+
 def test_vectors_in_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(op5_vectors, "BLOCK", 16)
     rng = np.random.default_rng(12)
