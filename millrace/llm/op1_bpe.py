@@ -77,9 +77,10 @@ def _ranges(chars: set[str]) -> str:
 
 
 @cache
-def _as_library(pattern: str) -> tuple[re.Pattern | None, regex.Pattern]:
+def _as_library(pattern: str) -> tuple[re.Pattern | None, re.Pattern | None, regex.Pattern]:
     """(what finds a character that the pattern's classes hold in this process's tables of characters but not in the
-    library's, or the other way round; the pattern with the library's classes). The library is asked for every code point."""
+    library's, or the other way round; what finds one from the first of these on, which is faster; the pattern with the
+    library's classes). The library is asked for every code point."""
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
     ranks, odd = {bytes([i]): i for i in range(256)}, set()
     for name in (r"\p{L}", r"\p{N}"):
@@ -89,7 +90,8 @@ def _as_library(pattern: str) -> tuple[re.Pattern | None, regex.Pattern]:
             more, less = _ranges(theirs - ours), _ranges(ours - theirs)
             pattern = pattern.replace(name, "[" + (f"[{name}{more}]" if more else name) + (f"--[{less}]" if less else "") + "]")
             odd |= theirs ^ ours
-    return (re.compile(f"[{_ranges(odd)}]") if odd else None), regex.compile(pattern, regex.V1)
+    exact = regex.compile(pattern, regex.V1)
+    return (re.compile(f"[{_ranges(odd)}]"), re.compile(f"[{min(odd)}-\U0010ffff]"), exact) if odd else (None, None, exact)
 
 
 class Codec:
@@ -97,7 +99,7 @@ class Codec:
 
     def __init__(self, ranks_file: bytes, pattern: str = PATTERN):
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_file.splitlines()) if t}
-        self.plain, (self.odd, self.exact) = regex.compile(pattern), _as_library(pattern)
+        self.plain, (self.odd, self.high, self.exact) = regex.compile(pattern), _as_library(pattern)
         self.name = [b"%d" % i for i in range(len(self.ranks))]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -108,28 +110,25 @@ class Codec:
             self.db.register("given", at)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        #: piece -> (ids in decimal, joined by a space; the bytes they decode to); and the generation before
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        #: piece -> its ids in decimal, joined by a space; piece -> the bytes they decode to; and both of the generation before
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
-    def learn(self, pieces) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that aren't known yet, and decode their ids."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = []
-        for p in dict.fromkeys(pieces):
-            if p in self.known:
-                continue
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        unknown = pieces.difference(self.ids)
+        ids, decoded = self.older
+        for p in [p for p in unknown if p in ids]:
+            self.ids[p], self.decoded[p] = ids[p], decoded[p]
+        new = sorted(unknown.difference(ids))
         if new:
             flat, ends = self._encode([p.encode() for p in new])
-            texts = self._decode(flat, np.diff(ends))
-            name, ids, low = self.name, flat.tolist(), 0
-            for p, high, text in zip(new, ends[1:].tolist(), texts):
-                self.known[p] = b" ".join([name[i] for i in ids[low:high]]), text
+            name, found, low = self.name, flat.tolist(), 0
+            for p, high, text in zip(new, ends[1:].tolist(), self._decode(flat, np.diff(ends))):
+                self.ids[p], self.decoded[p] = b" ".join([name[i] for i in found[low:high]]), text
                 low = high
 
     def _contract(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +224,9 @@ class Codec:
 
     def split(self, text: str) -> regex.Pattern:
         """The pattern for a text: the plain one is faster, and the same where no character is in doubt."""
-        return self.exact if not text.isascii() and self.odd and self.odd.search(text) else self.plain
+        if not self.odd or text.isascii() or not self.high.search(text):
+            return self.plain
+        return self.exact if self.odd.search(text) else self.plain
 
     def pieces(self, text: str):
         """Lists of the pieces of a text: one list, or of a very long text one for each stretch of it."""
@@ -246,7 +247,7 @@ class Codec:
                 to += 1
             if chars <= STREAM_CHARS:
                 split = [self.split(t).findall(t) for t in texts[at:to]]
-                self.learn(p for s in split for p in s)
+                self.learn(set().union(*split))
                 for s in split:
                     yield self._digest([s], ids)
             else:
@@ -257,14 +258,13 @@ class Codec:
         n, first, h_ids, h_text, got = 0, True, hashlib.sha256(), hashlib.sha256(), []
         for part in parts:
             if learn:
-                self.learn(part)
-            known = [self.known[p] for p in part]
-            joined = b" ".join([k[0] for k in known])
+                self.learn(set(part))
+            joined = b" ".join(map(self.ids.__getitem__, part))
             if joined:
                 n += joined.count(b" ") + 1
                 h_ids.update(joined if first else b" " + joined)
                 first = False
-            h_text.update(b"".join([k[1] for k in known]))
+            h_text.update(b"".join(map(self.decoded.__getitem__, part)))
             if ids and joined:
                 got.append(np.fromstring(joined, np.int32, sep=" "))
         return n, h_ids.hexdigest(), h_text.hexdigest(), np.concatenate(got) if got else np.zeros(0, np.int32) if ids else None
