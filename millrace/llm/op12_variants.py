@@ -351,3 +351,41 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_variants": op12_variants}
+
+ORACLE = {
+    "op12_variants": """
+WITH RECURSIVE crc AS (  -- the reflected polynomial's table, one entry a byte
+    SELECT [list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) FOR b IN range(256)] AS t
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents
+), counted AS (
+    SELECT d, r, count(*) AS c FROM runs GROUP BY ALL
+), hashed AS (
+    SELECT r, c, xor(4294967295, list_reduce(
+        list_transform(regexp_extract_all(hex(encode(d || ':' || r)), '..'), lambda b: ('0x' || b)::BIGINT),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM counted, crc
+), spelled AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, c FROM hashed
+), words AS MATERIALIZED (
+    SELECT word, sum(c)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), places AS (
+    SELECT word, unnest(range(length(word)))::INT AS i FROM words
+), holes AS MATERIALIZED (
+    SELECT DISTINCT word, substr(word, 1, i) AS a, substr(word, i + 2) AS b, length(word) AS l FROM places
+), near AS (
+    SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.l = y.l AND x.word <> y.word
+    UNION SELECT holes.word, words.word FROM holes JOIN words ON words.word = a || b
+    UNION SELECT words.word, holes.word FROM holes JOIN words ON words.word = a || b
+), best AS (
+    SELECT near.word, count(*) AS n_near, first(other ORDER BY words.n DESC, other) AS other, max(words.n) AS n FROM near JOIN words ON words.word = other GROUP BY near.word
+), formed AS MATERIALIZED (
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * words.n THEN other END AS form, CASE WHEN best.n >= 10 * words.n THEN best.n END AS form_n
+    FROM words LEFT JOIN best ON best.word = words.word
+), ways(word, root) AS (
+    SELECT word, coalesce(form, word) FROM formed
+    UNION SELECT ways.word, form FROM ways JOIN formed ON formed.word = root WHERE form IS NOT NULL
+)
+SELECT formed.word, formed.form, root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN ways ON ways.word = formed.word JOIN formed ends ON ends.word = root AND ends.form IS NULL
+"""
+}

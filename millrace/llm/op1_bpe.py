@@ -34,7 +34,7 @@ RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 BLOCK_CHARS, STREAM_CHARS = 1 << 20, 1 << 22
 #: Pieces in a generation of those that a worker remembers: what the new one doesn't meet goes with the next.
 #: Documents in a batch that it returns.
-REMEMBERED, ROWS = 200_000, 256
+REMEMBERED, ROWS = 400_000, 256
 #: Bytes of a window, and from one window to the next; a shorter piece is one window.
 WINDOW, STEP = 64, 32
 #: Bytes that are encoded by one query, unless one window has more, and rows of all its rounds together: a query makes as
