@@ -42,6 +42,15 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_chunk_html_leaves_references_that_break_off(spark, tmp_path):
+    page = "<p>cut&&&amp short &ltb &amp;lt; &amp;&amp; caf&eacute; &#65; x&nbsp;y &copy;&middot;&#39;&quot;</p>"
+    spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r[c] for c in ("page_id", "seq", "start_word", "end_word", "text")) for r in catalog.queries()["chunk_html"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert got == c.sql(f"SELECT page_id, seq, start_word, end_word, text FROM ({catalog.oracle_sql()['chunk_html']})").fetchall()
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["query_id", "rank", "chunk_id", "bm25"] and df.count() > 0
