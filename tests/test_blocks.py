@@ -96,3 +96,27 @@ def test_bounds_hold_after_the_corpus_has_changed(spark, indexes):
     for r in grown.search(q, "query_id", k=7).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {n: [i for _, i in sorted(x)[:7]] for n, x in best.items()}
+
+
+def test_blocks_of_texts_and_scores_by_stretch(spark, tmp_path, monkeypatch):
+    """Made of whole texts and scored by stretch, as made of single postings and scored by these."""
+    draw = random.Random(9)
+    some = lambda n: " ".join(draw.choice("abcdefghijklmnop") * 2 for _ in range(n))
+    rows = [(i, some(draw.randrange(0, 7))) for i in range(1500)] + [(5000, None), (5001, "aa zz")]
+    whole = LexicalIndex.build(spark.createDataFrame(rows, "id long, text string").repartition(3), "id")
+    b.BlockIndex.write(whole, str(tmp_path / "a"))
+    b.BlockIndex.write(LexicalIndex.of(whole.postings, whole.lengths), str(tmp_path / "b"))
+    one, two = (b.BlockIndex.open(spark, str(tmp_path / x)) for x in "ab")
+    for name in ("blocks", "terms", "stats"):
+        assert sorted(map(str, getattr(one, name).collect())) == sorted(map(str, getattr(two, name).collect()))
+    q = spark.createDataFrame([(i, some(3)) for i in range(25)] + [(70, "zz"), (71, "nothing"), (72, None)], "query_id long, text string")
+    weights = one.weights(q, "query_id")
+    wanted = one.heads(weights).select("query_id", "block").where("(query_id + block) % 3 > 0")
+    close = lambda found: {(r["query_id"], r["id"], "rank" in found.columns and r["rank"]): round(r["bm25"], 9) for r in found.collect()}
+    by_stretch, hits = one._scored(weights, wanted), {k: one.search(q, "query_id", k=k) for k in (0, 1, 7)}
+    # Blocks are shuffled, not their postings for each query.
+    assert "MapInArrow" in by_stretch._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(b, "ASKED_BYTES", -1)
+    assert close(by_stretch) == close(one._scored(weights, wanted)) != {}
+    for k, found in hits.items():
+        assert close(found) == close(one.search(q, "query_id", k=k)) and (k == 0) == (not found.count())
