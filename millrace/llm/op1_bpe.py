@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.tables import hold
+from millrace.functions.tables import give_back, hold
 from millrace.llm.common import map_texts, table
 
 RANKS, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 
 #: Characters of text whose new pieces are encoded by one query, and of a text that is split as a stream.
 BLOCK_CHARS, STREAM_CHARS = 1 << 20, 1 << 22
-#: Pieces in a generation of those that a worker remembers: what the new one doesn't meet goes with the next.
-#: Documents in a batch that it returns.
-REMEMBERED, ROWS = 400_000, 256
+#: Pieces in a generation of those that a worker remembers: what the new one doesn't meet goes with the next. Two
+#: generations take about 100 MB. Documents in a batch that it returns.
+REMEMBERED, ROWS = 200_000, 256
 #: Bytes of a window, and from one window to the next; a shorter piece is one window.
 WINDOW, STEP = 64, 32
 #: Bytes that are encoded by one query, unless one window has more, and rows of all its rounds together: a query makes as
@@ -110,25 +110,29 @@ class Codec:
             self.db.register("given", at)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        #: piece -> its ids in decimal, joined by a space; piece -> the bytes they decode to; and both of the generation before
+        #: piece -> its ids in decimal, joined by a space; and those of the generation before
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: piece -> the bytes that its ids decode to, where these aren't its own: only those take room
         self.decoded: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that aren't known yet, and decode their ids."""
         if len(self.ids) > REMEMBERED:
-            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+            self.older, self.ids = self.ids, {}
         unknown = pieces.difference(self.ids)
-        ids, decoded = self.older
-        for p in [p for p in unknown if p in ids]:
-            self.ids[p], self.decoded[p] = ids[p], decoded[p]
-        new = sorted(unknown.difference(ids))
+        older = self.older
+        for p in [p for p in unknown if p in older]:
+            self.ids[p] = older[p]
+        new = sorted(unknown.difference(older))
         if new:
-            flat, ends = self._encode([p.encode() for p in new])
+            own = [p.encode() for p in new]
+            flat, ends = self._encode(own)
             name, found, low = self.name, flat.tolist(), 0
-            for p, high, text in zip(new, ends[1:].tolist(), self._decode(flat, np.diff(ends))):
-                self.ids[p], self.decoded[p] = b" ".join([name[i] for i in found[low:high]]), text
+            for p, high, text, given in zip(new, ends[1:].tolist(), self._decode(flat, np.diff(ends)), own):
+                self.ids[p] = b" ".join([name[i] for i in found[low:high]])
+                if text != given:
+                    self.decoded[p] = text
                 low = high
 
     def _contract(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +268,7 @@ class Codec:
                 n += joined.count(b" ") + 1
                 h_ids.update(joined if first else b" " + joined)
                 first = False
-            h_text.update(b"".join(map(self.decoded.__getitem__, part)))
+            h_text.update(b"".join([self.decoded[p] if p in self.decoded else p.encode() for p in part]) if self.decoded else "".join(part).encode())
             if ids and joined:
                 got.append(np.fromstring(joined, np.int32, sep=" "))
         return n, h_ids.hexdigest(), h_text.hexdigest(), np.concatenate(got) if got else np.zeros(0, np.int32) if ids else None
@@ -354,6 +358,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, ids
                     ends = np.cumsum([0, *map(len, i)])
                     new.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(i))))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *new], names=[*[part.schema.names[k] for k in keep], *added])
+                # What queries and pieces have left free between what stays adds up over a task.
+                give_back()
 
     types = [T.LongType(), T.StringType(), T.StringType()] + [T.ArrayType(T.IntegerType())] * ids
     return map_texts(docs, run, T.StructType([*[docs.schema.fields[k] for k in keep], *[T.StructField(c, t) for c, t in zip(added, types)]]), "bpe")
