@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import gc
 import re
-from bisect import bisect_right
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,10 @@ STEP, MOST_UNITS = PASSAGE_WORDS - WINDOW + 1, -(-PASSAGE_WORDS // UNIT_WORDS)
 SURELY, MARGIN = PASSAGE_WORDS - 9, 6
 #: Words by which chains of the same classes may differ in length: at the threshold, 50 words and a fifth of them less.
 SPREAD = 12
+#: Whether a chain has n words beside it, and how many of these can be on its left: as many as there are, and not so few that its
+#: right hasn't the rest. lefts and rights have a hash for none too.
+ENOUGH = "n <= size(lefts) + size(rights) - 2"
+WAYS = "sequence(greatest(0, n - size(rights) + 1), least(n, size(lefts) - 1))"
 #: Makes one number of a place in a document and a number of words.
 PLACE = 2654435761
 
@@ -65,26 +69,22 @@ def paragraphs(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of the paragraphs, in bytes; words in lower case (A-Z). The last may be short."""
     out: list[tuple[int, int, list[bytes]]] = []
     lower, start, at, words = text.lower(), 0, 0, []
-
-    def sentence(a: int, b: int) -> None:
-        nonlocal start, words
-        more = lower[a:b].split()
+    ends = [m.end() for m in _CUT.finditer(text)]
+    ends.append(len(text))
+    for b in ends:
+        more = lower[at:b].split()
         if len(more) <= LONG_SENTENCE:
             words += more
             if len(words) >= UNIT_WORDS:
                 out.append((start, b, words))
                 start, words = b, []
-            return
-        for m in _WORD.finditer(lower, a, b):
-            words.append(m.group(1))
-            if len(words) >= UNIT_WORDS and (crc32(m.group(1)) % 16 == 0 or len(words) >= LONG_SENTENCE):
-                out.append((start, m.end(), words))
-                start, words = m.end(), []
-
-    for m in _CUT.finditer(text):
-        sentence(at, m.end())
-        at = m.end()
-    sentence(at, len(text))
+        else:
+            for m in _WORD.finditer(lower, at, b):
+                words.append(m.group(1))
+                if len(words) >= UNIT_WORDS and (len(words) >= LONG_SENTENCE or crc32(m.group(1)) % 16 == 0):
+                    out.append((start, m.end(), words))
+                    start, words = m.end(), []
+        at = b
     if words:
         out.append((start, len(text), words))
     return out
@@ -340,8 +340,10 @@ def _windows(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     return _parts(docs, wanted, members, run, "window long, mr_doc long, doc_id long, first int, last int")
 
 
-def _arrays(rows: list[tuple], kind: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, a) for c, a in zip(zip(*rows) if rows else [[]] * len(kind), kind)], names=names)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers whose high bits tell on the low ones too."""
+    x = (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[5]
+    return x ^ (x >> np.uint64(29))
 
 
 def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -356,40 +358,54 @@ def _chains(classed: DataFrame, gone: DataFrame) -> DataFrame:
     whole = classed.groupBy("mr_doc").agg(F.min("doc_id").alias("doc_id"), F.collect_list(members).alias("x")).where("exists(x, e -> e.near)")
     whole = whole.join(gone.selectExpr("mr_doc", "transform(runs, r -> struct(r.first, r.last)) AS runs"), "mr_doc", "left")
     kind = "chain long, classes long, mr_doc long, doc_id long, at int, words int, goes boolean"
-    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-
-    def named(classes: bytes, words: int, first: dict, last: dict):
-        if words >= PASSAGE_WORDS - MARGIN:
-            yield classes
-        if words >= PASSAGE_WORDS + MARGIN:
-            return
-        for side, end in ((b"<", first["b4"]), (b">", last["a4"])):
-            if end is not None:
-                yield classes + side + b"4" + end.to_bytes(4, "little", signed=True)
-        if words > SURELY - MARGIN:
-            for side, end in ((b"<", first["b1"]), (b">", last["a1"])):
-                if end is not None:
-                    yield classes + side + b"1" + end.to_bytes(4, "little", signed=True)
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                part, rows = batch.slice(k, 100), []
-                for doc, doc_id, x, runs in zip(*(c.to_pylist() for c in part.columns)):
-                    units = {e["seq"]: e for e in x}
-                    firsts, lasts = [r["first"] for r in runs or []], [r["last"] for r in runs or []]
-                    for seq, e in units.items():
-                        classes, words, near = b"", 0, False
-                        for u in map(units.get, range(seq, seq + MOST_UNITS)):
-                            if u is None:
-                                break
-                            classes, words, near = classes + u["class"].to_bytes(8, "little", signed=True), words + u["words"], near or u["near"]
-                            if near:
-                                r = bisect_right(firsts, e["at"]) - 1
-                                goes = r >= 0 and e["at"] + words <= lasts[r]
-                                own = xxhash.xxh64_intdigest(classes) - (1 << 63)
-                                rows += [(xxhash.xxh64_intdigest(n) - (1 << 63), own, doc, doc_id, e["at"], words, goes) for n in named(classes, words, e, u)]
-                yield _arrays(rows, arrow, [c.split()[0] for c in kind.split(", ")])
+            for k in range(0, batch.num_rows, 500):
+                yield from chains(batch.slice(k, 500))
+
+    def chains(part):
+        x, runs = part.column(2), part.column(3)
+        units = x.flatten()
+        doc, seq = np.repeat(np.arange(part.num_rows), pc.list_value_length(x).to_numpy()), pc.struct_field(units, "seq").to_numpy()
+        # In order, a unit of a row that repeats once.
+        order = np.lexsort((seq, doc))
+        order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(seq[order]) != 0)])]
+        doc, seq = doc[order], seq[order]
+        first, size, cls, near = (pc.struct_field(units, c).to_numpy(zero_copy_only=False)[order] for c in ("at", "words", "class", "near"))
+        beside = {c: pc.struct_field(units, c).take(pa.array(order)) for c in ("b4", "a4", "b1", "a1")}
+        there = {c: (v.is_valid().to_numpy(zero_copy_only=False), v.fill_null(0).to_numpy().view(np.uint32).astype(np.uint64)) for c, v in beside.items()}
+        # Where the runs of each document begin and end; they don't overlap.
+        gone = runs.flatten()
+        of = np.repeat(np.arange(part.num_rows), pc.list_value_length(runs).fill_null(0).to_numpy())
+        run_first, run_last = (pc.struct_field(gone, c).to_numpy() for c in ("first", "last"))
+        begins = of * (1 << 32) + run_first
+        cls = cls.view(np.uint64)
+        name, words, some = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
+        for k in range(1, MOST_UNITS + 1):
+            i = np.arange(max(0, len(doc) - k + 1))
+            j = i + k - 1
+            name = _mixed(name[: len(i)] * _MULTIPLIERS[0] + cls[j])
+            words, some = words[: len(i)] + size[j], some[: len(i)] | near[j]
+            i = i[(doc[i] == doc[j]) & (seq[j] - seq[i] == k - 1) & some]
+            if not len(i):
+                continue
+            j, own, n = i + k - 1, name[i], words[i]
+            r = np.searchsorted(begins, doc[i] * (1 << 32) + first[i], "right") - 1
+            goes = np.zeros(len(i), bool)
+            if len(begins):
+                goes = (r >= 0) & (of[r] == doc[i]) & (first[i] + n <= run_last[r])
+            short = n < PASSAGE_WORDS + MARGIN
+            called = [(n >= PASSAGE_WORDS - MARGIN, own)]
+            for m, (side, at, least) in enumerate((("b4", i, 0), ("a4", j, 0), ("b1", i, SURELY - MARGIN + 1), ("a1", j, SURELY - MARGIN + 1)), 1):
+                valid, h = there[side]
+                called.append((short & valid[at] & (n >= least), _mixed(own * _MULTIPLIERS[m] + h[at])))
+            for which, chain in called:
+                w = np.nonzero(which)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chain[w].view(np.int64)), pa.array(own[w].view(np.int64)), part.column(0).take(d := pa.array(doc[i[w]])), part.column(1).take(d), pa.array(first[i[w]], pa.int32()), pa.array(n[w], pa.int32()), pa.array(goes[w])],
+                    names=[c.split()[0] for c in kind.split(", ")],
+                )
 
     return map_texts(whole, run, kind)
 
@@ -400,55 +416,65 @@ def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     to SPREAD words less."""
     kind = "mr_doc long, at int, words int, lefts array<int>, rights array<int>"
 
-    def growing(words: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[np.uint64(0)], np.cumsum((words.astype(np.uint64) + np.uint64(1)) * _GROWING[: len(words)])])
-        return (total >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        made = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))]
-        for x in columns[3:]:
-            ends = np.concatenate([[0], np.cumsum([len(v) for v in x], dtype=np.int64)]).astype(np.int32)
-            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *x]))))
-        return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in kind.split(", ")])
+    def growing(crc: np.ndarray, at: np.ndarray, step: int, n: np.ndarray) -> pa.ListArray:
+        """For each place, hashes of none up to n of the words from ``at`` on, in direction ``step``."""
+        k = np.arange(int(n.max()))
+        words = np.where(k < n[:, None], crc[np.clip(at[:, None] + step * k, 0, len(crc) - 1)] + np.uint64(1), np.uint64(0))
+        total = np.zeros((len(n), len(k) + 1), np.uint64)
+        np.cumsum(words * _GROWING[: len(k)], axis=1, out=total[:, 1:])
+        made = (total[np.arange(len(k) + 1) <= n[:, None]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n + 1)]), pa.int32()), pa.array(made))
 
     def run(part, pairs):
-        rows = []
-        for doc, t in zip(part.column(0).to_pylist(), part.column(2).cast(pa.large_binary())):
-            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes())]
-            starts = np.cumsum([0, *map(len, cut)])
-            chosen = []
-            for k in range(1, MOST_UNITS + 1):
-                at, n = starts[:-k], starts[k:] - starts[:-k]
-                chosen += [(int(at[i]), int(n[i])) for i in np.nonzero(_in(pairs, (at * PLACE + n).view(np.uint64) ^ np.uint64(doc & (1 << 64) - 1)))[0].tolist()]
-            if not chosen:
-                continue
-            crc = np.fromiter((crc32(x) for u in cut for x in u), np.int64, int(starts[-1]))
-            for a, n in chosen:
-                room = min(PASSAGE_WORDS - 1, max(0, PASSAGE_WORDS - n) + SPREAD)
-                rows.append((doc, a, n, growing(crc[max(0, a - room) : a][::-1]), growing(crc[a + n : a + n + room])))
-                if len(rows) == 4096:
-                    yield out(rows)
-                    rows = []
-        yield out(rows)
+        cut = [[w for _, _, w in paragraphs(t.as_buffer().to_pybytes())] if t.is_valid else [] for t in part.column(2).cast(pa.large_binary())]
+        ids, doc = part.column(0).to_numpy(), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        starts = np.concatenate([[0], np.cumsum([len(u) for c in cut for u in c], dtype=np.int64)])
+        ends = starts[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])]
+        chosen = []
+        for k in range(1, MOST_UNITS + 1):
+            i = np.nonzero(doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :])[0]
+            n = starts[i + k] - starts[i]
+            seen = _in(pairs, ((starts[i] - ends[doc[i]]) * PLACE + n) ^ ids[doc[i]])
+            chosen.append((i[seen], n[seen]))
+        i, n = map(np.concatenate, zip(*chosen))
+        which = doc[i]
+        crc, some = np.zeros(int(starts[-1]), np.uint64), np.unique(which)
+        for d in some.tolist():
+            crc[ends[d] : ends[d + 1]] = np.fromiter((crc32(x) for u in cut[d] for x in u), np.uint64, int(ends[d + 1] - ends[d]))
+        for k in range(0, len(i), 4096):
+            d, a, m = which[k : k + 4096], starts[i[k : k + 4096]], n[k : k + 4096]
+            room = np.minimum(PASSAGE_WORDS - 1, np.maximum(0, PASSAGE_WORDS - m) + SPREAD)
+            lefts, rights = growing(crc, a - 1, -1, np.minimum(room, a - ends[d])), growing(crc, a + m, 1, np.minimum(room, ends[d + 1] - a - m))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array((a - ends[d]).astype(np.int32)), pa.array(m.astype(np.int32)), lefts, rights], names=[c.split()[0] for c in kind.split(", ")])
 
     return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), members, run, kind)
 
 
 def _union(batches):
     """(mr_doc, x: array of (first, last, keeper)) -> (mr_doc, runs): stretches that overlap or adjoin are one."""
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("keepers", pa.list_(pa.int64()))]))
     for batch in batches:
-        out = []
-        for x in batch.column(1):
-            runs: list[dict] = []
-            for e in sorted(x.as_py(), key=lambda e: (e["first"], e["last"])):
-                if not runs or e["first"] > runs[-1]["last"]:
-                    runs.append({"first": e["first"], "last": e["last"], "keepers": {}})
-                runs[-1]["last"] = max(runs[-1]["last"], e["last"])
-                runs[-1]["keepers"][e["keeper"]] = True
-            out.append([r | {"keepers": list(r["keepers"])} for r in runs])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["mr_doc", "runs"])
+        x = batch.column(1)
+        rows, doc = x.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(x).to_numpy())
+        first, last, keeper = (pc.struct_field(rows, c) for c in ("first", "last", "keeper"))
+        first, last, none, keeper = first.to_numpy(), last.to_numpy(), keeper.is_null().to_numpy(zero_copy_only=False), keeper.fill_null(0).to_numpy()
+        order = np.lexsort((last, first, doc))
+        first, last, none, keeper, doc = first[order], last[order], none[order], keeper[order], doc[order]
+        # The furthest end so far; that of an earlier document lies before all of this one's.
+        base = doc * (1 << 32)
+        far = np.maximum.accumulate(base + last)
+        new = np.ones(len(doc), bool)
+        new[1:] = (base + first)[1:] > far[:-1]
+        new[1:] |= doc[1:] != doc[:-1]
+        run, at = np.cumsum(new) - 1, np.nonzero(new)[0]
+        end = np.append(at[1:], len(doc))[: len(at)] - 1
+        order = np.lexsort((keeper, none, run))
+        r, k, o = run[order], keeper[order], none[order]
+        one = np.ones(len(r), bool)
+        one[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+        edges = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        keepers = pa.ListArray.from_arrays(edges(np.bincount(r[one], minlength=len(at))), pa.array(k[one], pa.int64(), mask=o[one]))
+        runs = pa.StructArray.from_arrays([pa.array(first[at], pa.int32()), pa.array((far - base)[end], pa.int32()), keepers], names=["first", "last", "keepers"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(edges(np.bincount(doc[at], minlength=batch.num_rows)), runs)], names=["mr_doc", "runs"])
 
 
 def _runs(stretches: DataFrame) -> DataFrame:
@@ -514,13 +540,14 @@ def _partners(met: DataFrame, contexts: DataFrame) -> DataFrame:
     stands for all.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", "at").alias("rep")
-    here = met.join(contexts, ["mr_doc", "at", "words"]).withColumn("beside", F.xxhash64("lefts", "rights"))
+    # Contexts meet their chains once; those of rows that repeat come more than once, which changes nothing.
+    here = stage(met.join(contexts, ["mr_doc", "at", "words"]).withColumn("beside", F.xxhash64("lefts", "rights")), "op4-here")
     group = ["classes", "words", "beside"]
     reps = stage(here.groupBy(*group).agg(F.min(order).alias("rep"), F.bool_or(~F.col("goes")).alias("asks"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")), "op4-reps")
     lack = F.greatest(F.lit(0), PASSAGE_WORDS - F.col("words"))
     lacking = reps.where("asks").groupBy("classes").agg(F.collect_set(lack).alias("lacks"))
-    ways = reps.join(lacking, "classes").select("*", F.explode("lacks").alias("n"), lack.alias("own")).select("*", F.explode(F.expr("sequence(0, n)")).alias("l"))
-    ways = ways.where("l < size(lefts) AND n - l < size(rights)").select(
+    ways = reps.join(lacking, "classes").select("*", F.explode("lacks").alias("n"), lack.alias("own"))
+    ways = ways.where(ENOUGH).select("*", F.explode(F.expr(WAYS)).alias("l")).select(
         F.xxhash64("classes", "n", "l", F.expr("lefts[l]"), F.expr("rights[n - l]")).alias("way"), *group, "rep", F.expr("n = own AND asks").alias("asking")
     )
     ways = stage(ways, "op4-ways")
@@ -590,12 +617,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Chains that several documents have, under a name that tells some of the words beside them, meet by classes.
     several = chains.groupBy(F.col("chain").alias("c")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("goes").alias("all")).where("d0 <> d1 AND NOT all").select("c")
     met = stage(chains.join(several, F.col("chain") == F.col("c"), "left_semi").drop("chain").distinct(), "op4-met")
-    wanted = met.select("mr_doc", "at", "words").distinct()
-    contexts = stage(_contexts(docs, wanted, n_units // 8).join(wanted, ["mr_doc", "at", "words"], "left_semi").dropDuplicates(["mr_doc", "at", "words"]), "op4-contexts")
-    near = stage(_partners(met, contexts), "op4-near")
+    near = stage(_partners(met, _contexts(docs, met.select("mr_doc", "at", "words"), n_units // 8)), "op4-near")
     before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
     out = stage(_runs(before.union(near)), "op4-runs")
-    unstage(gone, chains, met, near, contexts)
+    unstage(gone, chains, met, near)
     return out
 
 

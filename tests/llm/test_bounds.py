@@ -1,8 +1,11 @@
 """What operators hold and make, beyond their results."""
 
+import random
+
 import public_tokenizers
+import pyarrow as pa
 
-from millrace.llm import op1_bpe
+from millrace.llm import op1_bpe, op4_passages
 
 
 def test_pieces_that_decode_to_themselves_take_no_room():
@@ -14,3 +17,24 @@ def test_pieces_that_decode_to_themselves_take_no_room():
     # What decodes to something else still counts as that.
     c.decoded["Two"] = b"2"
     assert [a[2] == b[2] for a, b in zip(first, c.texts(texts, True))] == [False, True, False]
+
+
+def test_ways_are_made_where_a_chain_has_the_words(spark):
+    rows = [(3, [0] * (a + 1), [0] * (b + 1)) for a in range(6) for b in range(6)]
+    found = spark.createDataFrame(rows, "n int, lefts array<int>, rights array<int>").where(op4_passages.ENOUGH).selectExpr("size(lefts) - 1 AS a", "size(rights) - 1 AS b", f"{op4_passages.WAYS} AS w").collect()
+    assert {(r.a, r.b): r.w for r in found} == {(a, b): w for a in range(6) for b in range(6) if (w := [x for x in range(4) if x <= a and 3 - x <= b])}
+
+
+def test_stretches_that_overlap_or_adjoin_are_one():
+    rng, kind = random.Random(4), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("keeper", pa.int64())]))
+    docs = [[{"first": (a := rng.randrange(60)), "last": a + rng.randrange(1, 9), "keeper": rng.choice([None, 0, 1, 2])} for _ in range(rng.randrange(1, 12))] for _ in range(200)]
+    (out,) = op4_passages._union([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(docs, kind)], names=["mr_doc", "x"])])
+    for x, runs in zip(docs, out.column(1).to_pylist()):
+        said = []
+        for e in sorted(x, key=lambda e: e["first"]):
+            if not said or e["first"] > said[-1][1]:
+                said.append([e["first"], e["last"], set()])
+            said[-1][1] = max(said[-1][1], e["last"])
+            said[-1][2].add(e["keeper"])
+        assert [[r["first"], r["last"], set(r["keepers"])] for r in runs] == said
+        assert all(len(set(r["keepers"])) == len(r["keepers"]) for r in runs)
