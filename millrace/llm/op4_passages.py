@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import gc
 import re
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,57 +54,119 @@ SPREAD = 12
 #: right hasn't the rest. lefts and rights have a hash for none too.
 ENOUGH = "n <= size(lefts) + size(rights) - 2"
 WAYS = "sequence(greatest(0, n - size(rights) + 1), least(n, size(lefts) - 1))"
+#: Neighbouring ways are looked for together first, in about four steps of 8 or more. All ways of step s have s * step words on the
+#: left and as many as LEAST says on the right, or more.
+STEPS, LEAST = "greatest(8, (n + 4) DIV 4)", "greatest(0, n - s * step - step + 1)"
 #: Makes one number of a place in a document and a number of words.
 PLACE = 2654435761
 
-_CUT = re.compile(rb"[.!?][\x20\x09\x0b-\x0d]+|\n+")
 _WORD = re.compile(rb"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _GROWING = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(PASSAGE_WORDS)], np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
+_BLANK, _LOWER = np.isin(np.arange(256), list(b" \t\n\v\f\r")), np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: A number for each byte, by which words are hashed.
+_BYTES = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at a time, and words of which powers are remembered.
+USUAL = 1 << 18
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower, starts, ends, bounds): the bytes of all texts in a row, in lower case (A-Z); where in them the words begin and end;
+    and before which word each text begins, and the last one ends. A null text has no words."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    solid = ~_BLANK[data]
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    stops[:-1] &= ~solid[1:]
+    # Words don't run on from one text into the next.
+    inner = edges[(edges > 0) & (edges < len(data))]
+    begins[inner], stops[inner - 1] = solid[inner], solid[inner - 1]
+    starts = np.nonzero(begins)[0]
+    return _LOWER[data], starts, np.nonzero(stops)[0] + 1, np.searchsorted(starts, edges)
+
+
+def _cuts(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Before which word each paragraph ends, in order, of the texts of ``_words``. All words are in one; the last of a text may be short."""
+    if not len(starts):
+        return starts
+    # Sentence and line ends after each word: a sign and a blank, and each stretch of newlines.
+    mark, new = lower[ends - 1], np.nonzero(lower == 10)[0]
+    new = new[np.concatenate([[True], np.diff(new) > 1])] if len(new) else new
+    follows = np.searchsorted(starts, new) - 1
+    many = np.bincount(follows[follows >= 0], minlength=len(starts))
+    after = lower[np.minimum(ends, len(lower) - 1)]
+    many += ((mark == 46) | (mark == 33) | (mark == 63)) & (after != 10)
+    last = np.zeros(len(starts), bool)
+    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    stops = np.nonzero((many > 0) | last)[0] + 1
+    out, start, at = [], 0, 0
+    for stop, several, end in zip(stops.tolist(), (many[stops - 1] > 1).tolist(), last[stops - 1].tolist()):
+        long = stop - at > LONG_SENTENCE
+        if long:
+            text, (a, b) = lower[starts[at] : ends[stop - 1]].tobytes(), (x[at:stop] - starts[at] for x in (starts, ends))
+            for k, (i, j) in enumerate(zip(a.tolist(), b.tolist()), at + 1):
+                if k - start >= UNIT_WORDS and (k - start >= LONG_SENTENCE or crc32(text[i:j]) % 16 == 0):
+                    out.append(k)
+                    start = k
+        # What is left of a long sentence goes on in the next one, but not over a second end.
+        if stop - start >= UNIT_WORDS and (several or not long) or end and stop > start:
+            out.append(stop)
+            start = stop
+        at = stop
+    return np.array(out)
 
 
 def paragraphs(text: bytes) -> list[tuple[int, int, list[bytes]]]:
     """(start, end, words) of the paragraphs, in bytes; words in lower case (A-Z). The last may be short."""
-    out: list[tuple[int, int, list[bytes]]] = []
-    lower, start, at, words = text.lower(), 0, 0, []
-    ends = [m.end() for m in _CUT.finditer(text)]
-    ends.append(len(text))
-    for b in ends:
-        more = lower[at:b].split()
-        if len(more) <= LONG_SENTENCE:
-            words += more
-            if len(words) >= UNIT_WORDS:
-                out.append((start, b, words))
-                start, words = b, []
-        else:
-            for m in _WORD.finditer(lower, at, b):
-                words.append(m.group(1))
-                if len(words) >= UNIT_WORDS and (len(words) >= LONG_SENTENCE or crc32(m.group(1)) % 16 == 0):
-                    out.append((start, m.end(), words))
-                    start, words = m.end(), []
-        at = b
-    if words:
-        out.append((start, len(text), words))
-    return out
+    lower, starts, ends, bounds = _words(pa.array([text], pa.binary()))
+    cuts = _cuts(lower, starts, ends, bounds).tolist()
+    at = [0, *starts[cuts[:-1]].tolist(), len(text)] if cuts else []
+    return [(a, b, lower[a:b].tobytes().split()) for a, b in zip(at, at[1:])]
 
 
-def _name(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), 4)
+@lru_cache(maxsize=1)
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    powers, inverse = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    return np.cumprod(powers), np.cumprod(inverse)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of a number, and their inverses. Long ones aren't remembered."""
+    powers, inverse = _table(USUAL) if n <= USUAL else _table.__wrapped__(n)
+    return powers[: n + 1], inverse[: n + 1]
 
 
-def _hashes(words, n: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+def _hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word of ``_words``: equal ones for equal words, wherever they stand."""
+    out = np.zeros(len(starts), np.uint64)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(lower), USUAL // 2)), len(starts)))
+    for i, j in zip(edges.tolist(), edges[1:].tolist()):
+        first, a, b = starts[i], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        powers, inverse = _powers(int(b[-1]))
+        total = np.zeros(b[-1] + 1, np.uint64)
+        np.cumsum(_BYTES[lower[first : first + b[-1]]] * powers[:-1], out=total[1:])
+        out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
+    out = (out ^ (out >> np.uint64(31))) * _MULTIPLIERS[4]
+    return out ^ (out >> np.uint64(29))
+
+
+def _name(words: list[bytes]) -> int:
+    return int(_stretch(_sums(_hashes(*_words(pa.array([b" ".join(words)]))[:3])), np.array([0]), np.array([len(words)]))[0])
 
 
 def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For _stretch: running totals of word hashes times powers, and the powers' inverses."""
-    powers, inverse = np.full(len(h), _BASE, np.uint64), np.full(len(h) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    powers[:1] = inverse[0] = 1
+    powers, inverse = _powers(len(h))
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * np.cumprod(powers), out=total[1:])
-    return total, np.cumprod(inverse)
+    np.cumsum(h * powers[:-1], out=total[1:])
+    return total, inverse
 
 
 def _stretch(sums: tuple[np.ndarray, np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -159,8 +221,8 @@ def _around(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, first: np.ndarr
 
 def _bands(units: list[list[bytes]]) -> np.ndarray:
     """Band keys of each paragraph (UNIT_WORDS words at least), one column a band."""
-    lens = np.fromiter(map(len, units), np.int64, len(units))
-    return _bands_of(_hashes((w for u in units for w in u), int(lens.sum())), lens)
+    text = b" ".join(w for u in units for w in u)
+    return _bands_of(_hashes(*_words(pa.array([text]))[:3]), np.fromiter(map(len, units), np.int64, len(units)))
 
 
 def _bands_of(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -200,15 +262,6 @@ def _probes(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndar
     return out
 
 
-def _words(part: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts, and before which of them each text begins, and the last one ends."""
-    words, ends = [], [0]
-    for t in part.column(column).cast(pa.large_binary()):
-        words += t.as_buffer().to_pybytes().lower().split() if t.is_valid else []
-        ends.append(len(words))
-    return words, np.array(ends)
-
-
 def _unit_batches(batches):
     """(mr_doc, doc_id, text) -> _UNITS: paragraphs, the words from first to before last, with their band keys and _probes;
     and picked windows, of which m0 is null, m1 their class, and first and last the words that it is about."""
@@ -216,29 +269,26 @@ def _unit_batches(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            rows, units, keep, words, ends = [], [], [], [], [0]
-            for i, t in enumerate(part.column(2).cast(pa.large_binary())):
-                for seq, (_, _, w) in enumerate(paragraphs(t.as_buffer().to_pybytes()) if t.is_valid else []):
-                    words += w
-                    if len(w) >= UNIT_WORDS:
-                        rows.append(i)
-                        units.append(_name(w))
-                        keep.append((len(words) - len(w), len(w), seq))
-                ends.append(len(words))
-            if not rows:
+            lower, begins, stops, ends = _words(part.column(2))
+            cuts = _cuts(lower, begins, stops, ends)
+            if not len(cuts):
+                continue
+            h = _hashes(lower, begins, stops)
+            sums, starts = _sums(h), np.concatenate([[0], cuts[:-1]])
+            doc = np.searchsorted(ends[1:], starts, "right")
+            seq, lens = np.arange(len(cuts)) - np.searchsorted(doc, doc), cuts - starts
+            starts, lens, seq, doc = (x[lens >= UNIT_WORDS] for x in (starts, lens, seq, doc))
+            if not len(starts):
                 continue
-            h, ends = _hashes(words, len(words)), np.array(ends)
-            starts, lens, seq = np.array(keep, np.int64).T
+            units = _stretch(sums, starts, starts + lens)
             inner = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
             m = _bands_of(h[inner], lens).view(np.int64)
-            doc = np.array(rows)
             which, first, last = pa.array(doc, pa.int32()), ends[doc], ends[doc + 1]
             here = [pa.array(x.astype(np.int32)) for x in (starts - first, starts + lens - first, seq)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(which), part.column(1).take(which), pa.array(np.array(units, np.uint64).view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)], *here, *_probes(h, starts, starts + lens, first, last)],
+                [part.column(0).take(which), part.column(1).take(which), pa.array(units.view(np.int64)), *[pa.array(m[:, b]) for b in range(BANDS)], *here, *_probes(h, starts, starts + lens, first, last)],
                 names=names,
             )
-            sums = _sums(h)
             at, ids = _picked(sums, np.repeat(ends[1:], np.diff(ends)))
             doc = np.searchsorted(ends[1:], at, "right")
             left, right, cls = _around(sums, at, ends[doc], ends[doc + 1])
@@ -304,14 +354,15 @@ def _texts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     """(id, text): the words of paragraphs, of ``wanted`` (mr_doc, id) and a few others."""
 
     def run(part, pairs):
-        ids, texts = [], []
-        for doc, t in zip(part.column(0).to_numpy().view(np.uint64), part.column(2).cast(pa.large_binary())):
-            cut = [w for _, _, w in paragraphs(t.as_buffer().to_pybytes()) if len(w) >= UNIT_WORDS] if t.is_valid else []
-            names = np.array([_name(w) for w in cut], np.uint64)
-            for i in np.nonzero(_in(pairs, names ^ doc))[0].tolist():
-                ids.append(names[i])
-                texts.append(b" ".join(cut[i]).decode("utf-8"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
+        lower, begins, stops, bounds = _words(part.column(2))
+        last = _cuts(lower, begins, stops, bounds)
+        first = np.concatenate([[0], last])[: len(last)]
+        first, last = (x[last - first >= UNIT_WORDS] for x in (first, last))
+        doc = np.searchsorted(bounds[1:], first, "right")
+        names = _stretch(_sums(_hashes(lower, begins, stops)), first, last)
+        seen = np.nonzero(_in(pairs, names ^ part.column(0).to_numpy().view(np.uint64)[doc]))[0]
+        texts = [b" ".join(lower[a:b].tobytes().split()).decode("utf-8") for a, b in zip(begins[first[seen]].tolist(), stops[last[seen] - 1].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(names[seen].view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
 
     return _parts(docs, wanted, members, run, "id long, text string")
 
@@ -321,8 +372,8 @@ def _windows(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     (mr_doc, id), and a few others. first and before last are numbers of words in the document."""
 
     def run(part, pairs):
-        words, ends = _words(part, 2)
-        h = _hashes(words, len(words))
+        *text, ends = _words(part.column(2))
+        h = _hashes(*text)
         sums, doc = _sums(h), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         at, ids = _picked(sums, ends[1:][doc])
         at = at[_in(pairs, ids ^ part.column(0).to_numpy().view(np.uint64)[doc[at]])]
@@ -416,20 +467,19 @@ def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
     to SPREAD words less."""
     kind = "mr_doc long, at int, words int, lefts array<int>, rights array<int>"
 
-    def growing(crc: np.ndarray, at: np.ndarray, step: int, n: np.ndarray) -> pa.ListArray:
+    def growing(h: np.ndarray, at: np.ndarray, step: int, n: np.ndarray) -> pa.ListArray:
         """For each place, hashes of none up to n of the words from ``at`` on, in direction ``step``."""
         k = np.arange(int(n.max()))
-        words = np.where(k < n[:, None], crc[np.clip(at[:, None] + step * k, 0, len(crc) - 1)] + np.uint64(1), np.uint64(0))
+        words = np.where(k < n[:, None], h[np.clip(at[:, None] + step * k, 0, len(h) - 1)] | np.uint64(1), np.uint64(0))
         total = np.zeros((len(n), len(k) + 1), np.uint64)
         np.cumsum(words * _GROWING[: len(k)], axis=1, out=total[:, 1:])
         made = (total[np.arange(len(k) + 1) <= n[:, None]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n + 1)]), pa.int32()), pa.array(made))
 
     def run(part, pairs):
-        cut = [[w for _, _, w in paragraphs(t.as_buffer().to_pybytes())] if t.is_valid else [] for t in part.column(2).cast(pa.large_binary())]
-        ids, doc = part.column(0).to_numpy(), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        starts = np.concatenate([[0], np.cumsum([len(u) for c in cut for u in c], dtype=np.int64)])
-        ends = starts[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])]
+        *text, ends = _words(part.column(2))
+        starts = np.concatenate([[0], _cuts(*text, ends)]).astype(np.int64)
+        ids, doc, h = part.column(0).to_numpy(), np.searchsorted(ends[1:], starts[:-1], "right"), _hashes(*text)
         chosen = []
         for k in range(1, MOST_UNITS + 1):
             i = np.nonzero(doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :])[0]
@@ -438,13 +488,10 @@ def _contexts(docs: DataFrame, wanted: DataFrame, members: int) -> DataFrame:
             chosen.append((i[seen], n[seen]))
         i, n = map(np.concatenate, zip(*chosen))
         which = doc[i]
-        crc, some = np.zeros(int(starts[-1]), np.uint64), np.unique(which)
-        for d in some.tolist():
-            crc[ends[d] : ends[d + 1]] = np.fromiter((crc32(x) for u in cut[d] for x in u), np.uint64, int(ends[d + 1] - ends[d]))
         for k in range(0, len(i), 4096):
             d, a, m = which[k : k + 4096], starts[i[k : k + 4096]], n[k : k + 4096]
             room = np.minimum(PASSAGE_WORDS - 1, np.maximum(0, PASSAGE_WORDS - m) + SPREAD)
-            lefts, rights = growing(crc, a - 1, -1, np.minimum(room, a - ends[d])), growing(crc, a + m, 1, np.minimum(room, ends[d + 1] - a - m))
+            lefts, rights = growing(h, a - 1, -1, np.minimum(room, a - ends[d])), growing(h, a + m, 1, np.minimum(room, ends[d + 1] - a - m))
             yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array((a - ends[d]).astype(np.int32)), pa.array(m.astype(np.int32)), lefts, rights], names=[c.split()[0] for c in kind.split(", ")])
 
     return _parts(docs, wanted.selectExpr("mr_doc", f"at * {PLACE}L + words AS id"), members, run, kind)
@@ -536,8 +583,8 @@ def _partners(met: DataFrame, contexts: DataFrame) -> DataFrame:
 
     A chain that lacks n words has them as l on its left and n - l on its right, for some l. Each of these n + 1 ways is a
     key, so that every stretch of PASSAGE_WORDS words around a chain meets the earliest of all documents that have it,
-    however many have the chain. Chains with the same words beside them as far as may matter are one for this: the earliest
-    stands for all.
+    however many have the chain. Ways of a step have some words in common: keys are made only where one that asks and another
+    document share these. Chains with the same words beside them as far as may matter are one for this: the earliest stands for all.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mr_doc", "at").alias("rep")
     # Contexts meet their chains once; those of rows that repeat come more than once, which changes nothing.
@@ -547,9 +594,14 @@ def _partners(met: DataFrame, contexts: DataFrame) -> DataFrame:
     lack = F.greatest(F.lit(0), PASSAGE_WORDS - F.col("words"))
     lacking = reps.where("asks").groupBy("classes").agg(F.collect_set(lack).alias("lacks"))
     ways = reps.join(lacking, "classes").select("*", F.explode("lacks").alias("n"), lack.alias("own"))
-    ways = ways.where(ENOUGH).select("*", F.explode(F.expr(WAYS)).alias("l")).select(
-        F.xxhash64("classes", "n", "l", F.expr("lefts[l]"), F.expr("rights[n - l]")).alias("way"), *group, "rep", F.expr("n = own AND asks").alias("asking")
+    ways = ways.where(ENOUGH).select("*", F.expr(WAYS).alias("at"), F.expr(STEPS).cast("int").alias("step"), F.expr("n = own AND asks").alias("asking"))
+    ways = ways.select("*", F.explode(F.expr("sequence(CAST(at[0] DIV step AS int), CAST(element_at(at, -1) DIV step AS int))")).alias("s")).select(
+        F.xxhash64("classes", "n", "s", F.expr("lefts[s * step]"), F.expr(f"rights[{LEAST}]")).alias("least"), *group, "rep", "asking",
+        F.expr("transform(filter(at, l -> l DIV step = s), l -> xxhash64(classes, n, l, lefts[l], rights[n - l]))").alias("ways"),
     )
+    ways = stage(ways, "op4-steps")
+    some = ways.groupBy(F.col("least").alias("c")).agg(F.bool_or("asking").alias("asked"), F.min("rep.mr_doc").alias("d0"), F.max("rep.mr_doc").alias("d1")).where("asked AND d0 <> d1").select("c")
+    ways = ways.join(some, F.col("least") == F.col("c"), "left_semi").select(F.explode("ways").alias("way"), *group, "rep", "asking")
     ways = stage(ways, "op4-ways")
     kept = ways.groupBy(F.col("way").alias("w")).agg(F.min("rep").alias("keeper"), F.max("rep").alias("last")).where("keeper <> last").select("w", "keeper")
     pairs = ways.where("asking").join(kept, F.col("way") == F.col("w")).where("rep.mr_doc <> keeper.mr_doc").select(*group, "keeper").distinct()
@@ -596,10 +648,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     units = whole.where("m0 IS NOT NULL")
     names = units.groupBy("unit").agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), *[F.min(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
     names = stage(names, "op4-names")
+    _release(spark)
     keyed = names.select("unit", F.explode(F.array(*[f"m{b}" for b in range(BANDS)])).alias("key"))
     mixed = stage(keyed.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select(F.col("key").alias("id")), "op4-mixed")
     keys = _chosen(keyed, ("key", mixed, n_units // 8)).join(mixed, F.col("key") == F.col("id"), "left_semi")
     keys = stage(keys.select("key", F.col("unit").alias("id")), "op4-keys")
+    _release(spark)
     wanted = names.join(keys.select("id").distinct(), F.col("unit") == F.col("id"), "left_semi").selectExpr("d0 AS mr_doc", "unit AS id")
     texts = _texts(docs, wanted, n_units // 8).groupBy("id").agg(F.first("text").alias("text"))
     edges = blocks(keys, texts, BLOCK).mapInArrow(lambda b: stream(b, _verify), "a long, b long")
@@ -617,10 +671,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Chains that several documents have, under a name that tells some of the words beside them, meet by classes.
     several = chains.groupBy(F.col("chain").alias("c")).agg(F.min("mr_doc").alias("d0"), F.max("mr_doc").alias("d1"), F.min("goes").alias("all")).where("d0 <> d1 AND NOT all").select("c")
     met = stage(chains.join(several, F.col("chain") == F.col("c"), "left_semi").drop("chain").distinct(), "op4-met")
+    unstage(chains)
+    _release(spark)
     near = stage(_partners(met, _contexts(docs, met.select("mr_doc", "at", "words"), n_units // 8)), "op4-near")
     before = gone.select("mr_doc", F.explode("runs").alias("r")).select("mr_doc", "r.first", "r.last", F.explode("r.keepers").alias("keeper"))
     out = stage(_runs(before.union(near)), "op4-runs")
-    unstage(gone, chains, met, near)
+    unstage(gone, met, near)
     return out
 
 
